@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dagloom.llm.chat import op9_chat_format
 from dagloom.llm.media import op8_telephony
+from dagloom.llm.prefix_tokens import op3_prefix_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_telephony,)}
+    return {f.__name__: f for f in (op3_prefix_tokens, op8_telephony, op9_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
