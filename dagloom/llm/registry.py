@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dagloom.llm.chat import op9_chat_format
+from dagloom.llm.jaccard import op2_ngram_jaccard
 from dagloom.llm.media import op8_telephony
 from dagloom.llm.prefix_tokens import op3_prefix_tokens
+from dagloom.llm.substring import op10_substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_prefix_tokens, op8_telephony, op9_chat_format)}
+    return {f.__name__: f for f in (
+        op2_ngram_jaccard,
+        op3_prefix_tokens,
+        op8_telephony,
+        op9_chat_format,
+        op10_substring_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:

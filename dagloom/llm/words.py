@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 17
 
@@ -161,7 +162,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> It
     if not n:
         return
     column = batch.column(batch.schema.get_field_index(text))
-    size = np.array(pa.compute.binary_length(column).fill_null(0)).astype(np.int64)
+    size = np.array(pc.binary_length(column).fill_null(0)).astype(np.int64)
     part = np.cumsum(size) // most
     edges = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), n]):
