@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dagloom.llm.chat import op9_chat_format
+from dagloom.llm.decontam import op7_decontaminate
 from dagloom.llm.jaccard import op2_ngram_jaccard
+from dagloom.llm.langid import op5_language_id
 from dagloom.llm.media import op8_telephony
 from dagloom.llm.prefix_tokens import op3_prefix_tokens
 from dagloom.llm.substring import op10_substring_dedup
@@ -19,6 +21,8 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op2_ngram_jaccard,
         op3_prefix_tokens,
+        op5_language_id,
+        op7_decontaminate,
         op8_telephony,
         op9_chat_format,
         op10_substring_dedup,
