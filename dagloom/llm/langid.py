@@ -131,6 +131,8 @@ def identify(rows: DataFrame, model: Model, name: str = "langid") -> DataFrame:
     (k, t, lang, posterior, accepted) for each."""
     languages = model.languages
     size = len(languages)
+    if not size:
+        return rows.select("k", "t", F.lit("und").alias("lang"), F.lit(1.0).alias("posterior"), F.lit(False).alias("accepted"))
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +170,7 @@ def identify(rows: DataFrame, model: Model, name: str = "langid") -> DataFrame:
     whole = [F.lit(x) for x in base]
     host = shares("by_host", shares("by_parent", whole))
     suffix = shares("by_suffix", whole)
-    known = F.col("declared").isin(languages) if size else F.lit(False)
+    known = F.col("declared").isin(languages)
     miss = math.log((1 - TRUST) / max(size - 1, 1))
     score = [
         F.col("ll")[k] + F.log(host[k]) + F.log(suffix[k]) - math.log(base[k])
