@@ -45,14 +45,15 @@ class PartEncoder:
                 split.append(None)  # a special string may hold no white space, but be next to none
             else:
                 split.append(text.replace("\n", " ").split(" "))
-        missing = {p for parts in split if parts is not None for p in parts if p not in self.known}
+        known = self.known  # a full cache is replaced, not emptied, meanwhile
+        missing = {p for parts in split if parts is not None for p in parts if p not in known}
         new = self._learn(list(missing)) if missing else {}
         out = []
         for text, parts in zip(texts, split):
             if parts is None:
                 out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes())
                 continue
-            got = list(map(self.known.get, parts))
+            got = list(map(known.get, parts))
             if None in got:
                 got = [new[p] if x is None else x for p, x in zip(parts, got)]
             out.append(b"".join(got))
