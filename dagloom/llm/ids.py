@@ -2,8 +2,9 @@
 
 That tokenizer's pre-tokens never hold white space and its normaliser works on
 each character run by itself, so a text's ids are those of its parts between
-spaces and line ends.  Each worker keeps the ids of parts it has seen, up to
-``CACHE`` of them; the library encodes the others.
+spaces and line ends; and a Latin-1 letter and a punctuation mark after it are
+never in one pre-token.  Each worker keeps the ids of parts it has seen, up to ``CACHE``
+of them; the library encodes the others, many in one call.
 """
 
 from __future__ import annotations
@@ -17,6 +18,14 @@ from tokenizers import Tokenizer
 CACHE = 900_000
 #: Parts longer than this are not kept.
 LONG_PART = 64
+#: Parts in one call of the library.
+CALL = 20_000
+BETWEEN = "\x01"
+_MARKS = frozenset(".,;:!?")
+
+
+def _ends_in_mark(part: str) -> bool:
+    return part[-1] in _MARKS and len(part) > 1 and part[-2] < "Ā" and part[-2].isalpha()
 
 
 class PartEncoder:
@@ -26,37 +35,71 @@ class PartEncoder:
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        added = self.library.get_added_tokens_decoder().values()
-        self.special = [x.content for x in added]
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        mark = self.library.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = mark[0] if len(mark) == 1 else None
         self.known: dict[str, bytes] = {"": b""}
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        coded = self.library.encode_batch_fast(parts, add_special_tokens=False)
-        new = {p: np.array(c.ids, "<u2").tobytes() for p, c in zip(parts, coded)}
+    def _library(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts without spaces, from texts made of many of them with a
+        mark between that none of them holds and that is one id of its own."""
+        new = {}
+        for at in range(0, len(parts), CALL):
+            some = [p for p in parts[at : at + CALL] if BETWEEN not in p]
+            if self.between is None or not some:
+                some = []
+            else:
+                coded = self.library.encode_batch_fast([f" {BETWEEN} ".join(some)], add_special_tokens=False)[0]
+                ids = np.array(coded.ids, "<u2")
+                edge = np.flatnonzero(ids == self.between).tolist()
+                begin, end = [0, *(x + 1 for x in edge)], [*edge, len(ids)]
+                if len(begin) != len(some):
+                    raise AssertionError("a part held the mark")
+                new.update((p, ids[x:y].tobytes()) for p, x, y in zip(some, begin, end))
+            for p in parts[at : at + CALL]:
+                if p not in new:
+                    new[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, "<u2").tobytes()
+        return new
+
+    def _keep(self, new: dict[str, bytes]) -> None:
         if len(self.known) + len(new) > CACHE:
             self.known = {"": b""}
         self.known.update((p, x) for p, x in new.items() if len(p) <= LONG_PART)
-        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
+        known, work, missing = self.known, [], set()
         for text in texts:
             if any(x in text for x in self.special):
-                split.append(None)  # a special string may hold no white space, but be next to none
-            else:
-                split.append(text.replace("\n", " ").split(" "))
-        known = self.known  # a full cache is replaced, not emptied, meanwhile
-        missing = {p for parts in split if parts is not None for p in parts if p not in known}
-        new = self._learn(list(missing)) if missing else {}
-        out = []
-        for text, parts in zip(texts, split):
-            if parts is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes())
+                work.append((None, None))
                 continue
+            parts = text.replace("\n", " ").split(" ")
             got = list(map(known.get, parts))
+            work.append((parts, got))
             if None in got:
-                got = [new[p] if x is None else x for p, x in zip(parts, got)]
-            out.append(b"".join(got))
+                for p, x in zip(parts, got):
+                    if x is None:
+                        for q in (p[:-1], p[-1]) if _ends_in_mark(p) else (p,):
+                            if q not in known:
+                                missing.add(q)
+        new = self._library(list(missing)) if missing else {}
+
+        def ids(p: str) -> bytes:
+            found = new.get(p)
+            if found is None:
+                found = known.get(p)
+            if found is None:
+                found = new[p] = ids(p[:-1]) + ids(p[-1])
+            return found
+
+        out = []
+        for text, (parts, got) in zip(texts, work):
+            if parts is None:
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes())
+            else:
+                if None in got:
+                    got = [ids(p) if x is None else x for p, x in zip(parts, got)]
+                out.append(b"".join(got))
+        self._keep(new)
         return out
 
 
