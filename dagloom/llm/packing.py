@@ -193,8 +193,10 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
     return rows.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, part int, bin int, rank long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text: str = "text", key: str = "doc_id", name: str = "packing") -> DataFrame:
-    """(doc_id, start, length, doc_tokens, sequence_id, offset, ids binary)."""
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text: str = "text", key: str = "doc_id", name: str = "packing", with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) and,
+    unless left out, the pieces' ids as uint16; the checksum is of the ids as
+    little-endian uint32."""
     cut = stored(pieces(docs, tokenizer, text, key), f"{name}-pieces")
     by_part = stored(cut.groupBy("bin", "part").agg(F.count("*").alias("n")), f"{name}-counts")
     histogram = np.zeros(SIZE // UNIT + 1, np.int64)
@@ -214,33 +216,21 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text: str = "tex
                 ids = b.column("ids").to_pylist()
                 for row, begin, size, window, slot in lookup.assign(np.array(b.column("length")), np.array(b.column("rank")) + np.array(b.column("base"))):
                     some = [ids[r][2 * s : 2 * (s + n)] for r, s, n in zip(row.tolist(), begin.tolist(), size.tolist())]
-                    yield pa.record_batch(
-                        [doc.take(pa.array(row)), pa.array(first[row] + begin), pa.array(size), total.take(pa.array(row)),
-                         pa.array(window), pa.array(slot.astype(np.int32)), pa.array(some, pa.binary())],
-                        ["doc_id", "start", "length", "doc_tokens", "sequence_id", "slot", "ids"],
-                    )
-
-    placed = ranked.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, slot int, ids binary")
+                    crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in some]
+                    columns = [doc.take(pa.array(row)), pa.array(first[row] + begin), pa.array(size), pa.array(crc, pa.int64()),
+                               total.take(pa.array(row)), pa.array(window), pa.array(slot.astype(np.int32))]
+                    yield pa.record_batch(columns + [pa.array(some, pa.binary())] * with_ids, names)
+
+    shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot int" + ", ids binary" * with_ids
+    names = [x.split()[0] for x in shape.split(", ")]
+    placed = ranked.mapInArrow(run, shape)
     before = Window.partitionBy("sequence_id").orderBy("slot")
     return placed.withColumn("offset", F.sum("length").over(before) - F.col("length")).drop("slot")
 
 
-def with_checksums(placed: DataFrame) -> DataFrame:
-    """The pieces' checksum (ids as little-endian uint32) instead of their ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in b.column("ids").to_pylist()]
-            kept = [c for c in b.schema.names if c != "ids"]
-            yield pa.record_batch([*(b.column(c) for c in kept), pa.array(crc, pa.int64())], [*kept, "ids_crc32"])
-
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in placed.schema if f.name != "ids"]
-    return placed.mapInArrow(run, ", ".join([*fields, "ids_crc32 long"]))
-
-
 def packed_digests(docs: DataFrame, name: str = "packing") -> DataFrame:
     columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-    return with_checksums(pack(docs, name=name)).select(*columns)
+    return pack(docs, name=name, with_ids=False).select(*columns)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
