@@ -16,10 +16,10 @@ Parts that are empty are no keys for a set with more than D other parts: its
 partners meet it elsewhere.  Only sets with fewer list their empty parts too.
 
 Lists are scanned without emitting their pairs: in each round every set of a
-list is held against one pivot of another component, and only lists that still
-have several components give their remaining pairs, which a bit-parity sketch
-(its Hamming distance never exceeds the symmetric difference) thins out before
-the exact test.  No candidate is capped.
+list is held against a few pivots of other components and keeps the nearest by
+a bit-parity sketch, whose Hamming distance never exceeds the symmetric
+difference; only lists that still have several components give their remaining
+pairs, as far as the sketch allows a link, for the exact test.  No candidate is capped.
 
 Edge cases: null texts and texts without words have an empty set, linked with
 nothing; with fewer words than a shingle has, the whole sequence is one; a null
@@ -47,8 +47,10 @@ from dagloom.llm.words import mix, slices, split_words, text_bytes, windows
 LIGHT_MOST = 40
 #: Chance taken for two sets to share one shingle, in the cost of short list keys.
 SHARE = 0.05
-#: Star rounds before the remaining pairs of unsettled lists are looked at.
+#: Star rounds at most before the remaining pairs of unsettled lists are looked
+#: at, and pivots of a list in each.
 STARS = 4
+PIVOTS = 3
 #: 64-bit words of the parity sketch.
 SKETCH = 8
 
@@ -246,7 +248,7 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
     sets = stored(sets.dropDuplicates(["d"]), f"{name}-sets")
 
     # star rounds: each set against one pivot of another component
-    links = tried = spark.createDataFrame([], "a binary, b binary")
+    tried = spark.createDataFrame([], "a binary, b binary")
     label: DataFrame | None = None
 
     def labelled(df: DataFrame) -> DataFrame:
@@ -255,40 +257,51 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
         return df.join(label, "d", "left").withColumn("c", F.coalesce("c", "d"))
 
     def settle(found: DataFrame) -> bool:
-        """Adds verified pairs to the links; whether there were any."""
-        nonlocal links, label
+        """Joins the components of verified pairs; whether there were any.
+        Only pairs of different components are looked at, once each."""
+        nonlocal label
         new = stored(found, f"{name}-links")
         if new.isEmpty():
             return False
-        links = links.union(new)
-        label = components(links, f"{name}-comp").toDF("d", "c")
+        ends = new
+        for side in ("a", "b"):
+            ends = labelled(ends.withColumnRenamed(side, "d")).drop("d").withColumnRenamed("c", side)
+        merged = components(ends.where("a <> b").distinct(), f"{name}-comp")
+        if label is None:
+            label = merged.toDF("d", "c")
+            return True
+        moved = label.join(merged.toDF("c", "to"), "c", "left").select("d", F.coalesce("to", "c").alias("c"))
+        fresh = merged.toDF("d", "c").join(label, "d", "left_anti")
+        label = stored(moved.unionByName(fresh), f"{name}-label")
         return True
 
-    open_lists = lists
+    signs = sets.select("d", F.array(*(f"s{k}" for k in range(SKETCH))).alias("sign"))
+    # codegen'd sums over the sketch's words; the arrays are read by position
+    apart = sum(F.bit_count(F.col("x.sign")[k].bitwiseXOR(F.col("y.sign")[k])) for k in range(SKETCH))
+    within = apart * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num)
+    sized = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
+    able = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & sized & within
+
+    def unsettled() -> DataFrame:
+        now = labelled(lists)
+        several = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+        return stored(now.join(several, "key", "left_semi").join(signs, "d"), f"{name}-open")
+
+    rest = unsettled()
     for turn in range(STARS):
-        now = labelled(open_lists)
-        pivot = now.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64("d", F.lit(turn)).alias("h"), "d", "c", "n")).alias("p"),
-            F.min("c").alias("c0"), F.max("c").alias("c1"),
-        )
-        pivot = pivot.where("c0 <> c1").select("key", "p")
-        near = now.join(pivot, "key").where((F.col("p.c") != F.col("c")) & (F.least("n", "p.n") * den >= F.greatest("n", "p.n") * num))
-        pairs = near.groupBy("d").agg(F.min("p").alias("p")).select(F.least("d", "p.d").alias("a"), F.greatest("d", "p.d").alias("b"))
-        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"{name}-star")
+        firsts = [F.min(F.struct(F.xxhash64("d", F.lit(turn * PIVOTS + j)).alias("h"), "d", "c", "n", "sign")) for j in range(PIVOTS)]
+        pivot = rest.groupBy("key").agg(F.array(*firsts).alias("p")).select("key", F.explode(F.array_distinct("p")).alias("p")).select("key", "p.d", "p.c", "p.n", "p.sign")
+        near = rest.alias("x").join(pivot.alias("y"), able).select(F.col("x.d").alias("d"), F.struct(apart.alias("apart"), F.col("y.d").alias("p")).alias("y"))
+        near = near.groupBy("d").agg(F.min("y").alias("y")).select(F.least("d", "y.p").alias("a"), F.greatest("d", "y.p").alias("b"))
+        pairs = stored(near.distinct().join(tried, ["a", "b"], "left_anti"), f"{name}-star")
         tried = tried.union(pairs)
         if not settle(_verified(pairs, sets, plan)):
             break
+        rest = unsettled()
 
     # what unsettled lists have left
-    now = labelled(lists)
-    unsettled = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    signs = sets.select("d", *(f"s{k}" for k in range(SKETCH)))
-    rest = now.join(unsettled, "key", "left_semi").join(signs, "d")
     x, y = rest.alias("x"), rest.alias("y")
-    apart = sum(F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH))
-    within = apart * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num)
-    sized = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
-    left = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.d") < F.col("y.d")) & (F.col("x.c") != F.col("y.c")) & sized & within)
+    left = x.join(y, able & (F.col("x.d") < F.col("y.d")))
     left = left.select(F.col("x.d").alias("a"), F.col("y.d").alias("b"), apart.alias("apart")).distinct()
     left = stored(left.join(tried, ["a", "b"], "left_anti"), f"{name}-left")
     best = 2
