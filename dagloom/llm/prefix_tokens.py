@@ -29,8 +29,9 @@ from tokenizers import Tokenizer
 
 from dagloom.llm.common import load
 
-#: Entries kept in each of the two caches of a worker.
-CACHE = 800_000
+#: Entries kept in each of a worker's two caches: counts of chunks, and pairs.
+CACHE = 1_400_000
+PAIRS = 400_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -53,7 +54,7 @@ class PrefixCounter:
         self.vocab = spec["model"]["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {(a, b): k for k, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocab))
+        self.begins = {t[:k] for t in self.vocab for k in range(1, len(t) + 1)}
         self.byte = byte_alphabet()
         self.specials = [x["content"] for x in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
@@ -77,7 +78,7 @@ class PrefixCounter:
         known = self.follows.get(key)
         if known is None:
             known = self.merge((before or "") + token) == ([token] if before is None else [before, token])
-            if len(self.follows) >= CACHE:
+            if len(self.follows) >= PAIRS:
                 self.follows.clear()
             self.follows[key] = known
         return known
@@ -85,33 +86,34 @@ class PrefixCounter:
     def steps(self, pre_token: str) -> list[int]:
         """Token counts at each byte prefix of a pre-token (its first entry is 0)."""
         s = "".join([self.byte[b] for b in pre_token.encode()])
-        last: list[str | None] = [None]
-        count = [0]
-        vocab, follows = self.vocab, self.follows
-        for i in range(1, len(s) + 1):
-            for j in range(max(0, i - self.longest), i):
+        n = len(s)
+        last: list[str | None] = [None] * (n + 1)
+        count = [0] + [-1] * n
+        vocab, begins, follows = self.vocab, self.begins, self.follows
+        for j in range(n):  # tokens that start here; the right ones before are known
+            before, after = last[j], count[j] + 1
+            for i in range(j + 1, n + 1):
                 t = s[j:i]
-                if t in vocab:
-                    ok = follows.get((last[j], t))
+                if t not in begins:
+                    break
+                if count[i] < 0 and t in vocab:
+                    ok = follows.get((before, t))
                     if ok is None:
-                        ok = self.may_follow(last[j], t)
+                        ok = self.may_follow(before, t)
                     if ok:
-                        last.append(t)
-                        count.append(count[j] + 1)
-                        break
-            else:
-                raise AssertionError("a byte without a token")
+                        last[i], count[i] = t, after
         return count
 
     def pre_tokens(self, chunk: str) -> list[str]:
-        if chunk.isascii() or max(chunk) < "ɐ":
+        if not chunk or chunk.isascii() or max(chunk) < "ɐ":
             return self.pattern.findall(chunk)
         return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
     def total(self, chunk: str) -> int:
         known = self.totals.get(chunk)
         if known is None:
-            known = sum(self.steps(p)[-1] for p in self.pre_tokens(chunk))
+            parts = self.pre_tokens(chunk)
+            known = self.steps(chunk)[-1] if len(parts) == 1 else sum(map(self.total, parts))
             if len(self.totals) >= CACHE:
                 self.totals.clear()
             self.totals[chunk] = known
