@@ -43,6 +43,12 @@ def _parts(f: Callable) -> Query:
     return lambda spark, sf: f(part_graph(spark, sf))
 
 
+def _all_parts(f: Callable) -> Query:
+    """Over the whole of lineitem; the SQL of the queries by _parts takes every
+    tenth order, so these have none."""
+    return lambda spark, sf: f(part_graph(spark, sf, every=1))
+
+
 def _node_ids(g) -> DataFrame:
     return g.nodes.select("graph_id", "node_id")
 
@@ -131,6 +137,12 @@ def spark_queries() -> dict[str, Query]:
         "mis_luby": _parts(lambda g: mis.mis(g, "luby", SEED)),
         "mis_independent": _parts(lambda g: mis.is_independent(g, mis.mis(g, "luby", SEED))),
         "mis_maximal": _parts(lambda g: mis.is_maximal(g, mis.mis(g, "luby", SEED))),
+        "undirected_edge_count_whole": _all_parts(mis.count_edges),
+        "mis_greedy_whole": _all_parts(lambda g: mis.mis(g, "greedy")),
+        "mis_priority_whole": _all_parts(lambda g: mis.mis(g, "priority", SEED)),
+        "mis_luby_whole": _all_parts(lambda g: mis.mis(g, "luby", SEED)),
+        "mis_independent_whole": _all_parts(lambda g: mis.is_independent(g, mis.mis(g, "luby", SEED))),
+        "mis_maximal_whole": _all_parts(lambda g: mis.is_maximal(g, mis.mis(g, "luby", SEED))),
         "mis_report": lambda spark, sf: mis.report(mis.random_graph(spark, 100, 0.1, SEED), SEED),
         "random_graph": lambda spark, sf: mis.random_graph(spark, 100, 0.1, SEED).edges,
         "dot_dump": _events(dot_lines),

@@ -1,9 +1,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from dagloom.graph import UndirectedGraph
+from dagloom.functions.numbers import priority
 from dagloom.operators import mis
+from dagloom.queries import SEED, spark_queries
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +53,24 @@ def test_random_graph(spark):
     g = mis.random_graph(spark, 50, 0.2)
     n = mis.count_edges(g).first()[0]
     assert 150 < n < 350 and g.edges.count() == 2 * n
+
+
+def test_whole_part_graph(spark, tmp_path):
+    """Orders of all keys count, not only of those that ten divides."""
+    rng = random.Random(5)
+    items = [(o, rng.randrange(40)) for o in range(1, 60) for _ in range(3)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    by_order = {}
+    for o, v in items:
+        by_order.setdefault(o, set()).add(v)
+    pairs = {(a, b) for s in by_order.values() for a in s for b in s if a < b}
+    parts = {v for _, v in items}
+    near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in parts}
+    hashes = {r.v: r.h for r in spark.range(40).select(F.col("id").alias("v"), priority(F.col("id"), 0, SEED).alias("h")).collect()}
+    got = {n: [tuple(r) for r in spark_queries()[f"{n}_whole"](spark, str(tmp_path)).collect()] for n in ("undirected_edge_count", "mis_greedy", "mis_priority", "mis_luby", "mis_independent", "mis_maximal")}
+    assert got["undirected_edge_count"] == [(len(pairs),)]
+    assert {v for v, in got["mis_greedy"]} == scan(sorted(parts), pairs)
+    assert {v for v, in got["mis_priority"]} == scan(sorted(parts, key=lambda v: (hashes[v], v)), pairs)
+    luby = {v for v, in got["mis_luby"]}
+    assert all((v in luby) != bool(near[v] & luby) for v in parts)
+    assert got["mis_independent"] == [(True,)] and got["mis_maximal"] == [(True,)]
