@@ -11,13 +11,16 @@ A row's posterior over languages adds, in logs,
 
 Suffix and host counts come from grouped sums of the text likelihood's winners
 over all rows.  One more class, "und", has all trigrams alike; a row for which
-it wins, or that has no letter, is rejected.
+it wins, or that has no letter, is rejected.  A declared language without a
+model shares this likelihood and has ``TRUST`` of its weight, so such a row
+keeps its declared language unless a model explains its text better.
 
-The trigram model is fitted on about ``SAMPLE_ROWS`` labelled rows, taken by a
-hash of their content; everything else covers all rows.
+Every labelled language has a model, however rare it is, fitted on about
+``SAMPLE_ROWS`` of its rows (all, if it has fewer), taken by a hash of their
+content; everything else covers all rows.  A language takes 128 KB.
 
 Edge cases: null and empty texts, and texts without a letter, are rejected as
-"und"; null or unknown declarations and null hosts say nothing; a null id is
+"und"; null or empty declarations and null hosts say nothing; a null id is
 reported as null; repeated rows are alike; extra columns are ignored or, in
 ``known_language_only``, kept; an empty table, or one without labels, rejects
 everything it has.
@@ -37,13 +40,12 @@ from pyspark.sql import functions as F
 from dagloom.llm.common import NULL_ID, id_key, load, small_side, stored
 from dagloom.llm.words import slices, text_bytes
 
+#: Of each language.
 SAMPLE_ROWS = 20_000
 BUCKETS = 1 << 14
 TEMPER = 0.3
 TRUST = 0.9
 KAPPA = 20.0
-#: Languages need this share of the sample's labels, which bounds their number.
-LEAST_SHARE = 0.005
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -82,10 +84,9 @@ class Model:
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """labelled: (label, text).  Languages are in alphabetical order."""
     rows = labelled.where("label is not null and text is not null")
-    total = rows.select("label").count()
-    share = min(1.0, sample_rows / max(total, 1))
-    cut = int(share * (1 << 20))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < cut)
+    keyed = rows.select("label", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
+    cut = F.greatest(F.min("h") + 1, F.ceil(F.lit(float(sample_rows << 40)) / F.count("*")).cast("long"))  # one text at least
+    sample = keyed.join(F.broadcast(keyed.groupBy("label").agg(cut.alias("cut"))), "label").where("h < cut")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -106,15 +107,15 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     found = sample.select("label", "text").mapInArrow(counts, "label string, bucket int, n long")
     sums = found.groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    packed = sums.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("x"), F.sum("n").alias("total"))
-    whole = packed.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
-    kept = packed.where(F.col("total") >= LEAST_SHARE * whole).orderBy("label").collect()
-    table = np.full((len(kept) + 1, BUCKETS), -math.log(BUCKETS))
-    for k, r in enumerate(kept):
-        one = np.zeros(BUCKETS)
-        one[[x["bucket"] for x in r["x"]]] = [x["n"] for x in r["x"]]
-        table[k] = np.log((one + 0.05) / (one.sum() + 0.05 * BUCKETS))
-    return Model([r["label"] for r in kept], table)
+    got = sums.toArrow()
+    label = got.column("label").combine_chunks().dictionary_encode()
+    languages = sorted(label.dictionary.to_pylist())
+    table = np.full((len(languages) + 1, BUCKETS), -math.log(BUCKETS))
+    order = np.array([languages.index(x) for x in label.dictionary.to_pylist()], int)
+    one = np.zeros((len(languages), BUCKETS))
+    one[order[np.array(label.indices, int)], np.array(got.column("bucket"), int)] = np.array(got.column("n"))
+    table[:-1] = np.log((one + 0.05) / (one.sum(axis=1, keepdims=True) + 0.05 * BUCKETS))
+    return Model(languages, table)
 
 
 def host_of(url: str | Column) -> Column:
@@ -154,39 +155,41 @@ def identify(rows: DataFrame, model: Model, name: str = "langid") -> DataFrame:
         }
     )
     usable = seen.where((F.col("letters") > 0) & (F.col("won") < size))
-    per = [F.coalesce(F.sum((F.col("won") == k).cast("double")), F.lit(0.0)).alias(f"n{k}") for k in range(size)]
-    n = [f"n{k}" for k in range(size)]
-    every = usable.agg(*per).first()
-    base = [(every[c] + 1.0) / (sum(every[x] for x in n) + size) for c in n]
+    per = [F.coalesce(F.sum((F.col("won") == k).cast("double")), F.lit(0.0)) for k in range(size)]
+    every = usable.agg(F.array(*per).alias("n")).first()["n"]
+    base = [(x + 1.0) / (sum(every) + size) for x in every]
 
-    def shares(column: str, above: list[Column]) -> list[Column]:
-        total = sum(F.coalesce(F.col(f"{column}.{c}"), F.lit(0.0)) for c in n)
-        return [(F.coalesce(F.col(f"{column}.{c}"), F.lit(0.0)) + KAPPA * a) / (total + KAPPA) for c, a in zip(n, above)]
+    def shares(column: str, above: Column) -> Column:
+        total = F.coalesce(F.col(f"{column}.total"), F.lit(0.0)) + KAPPA
+        counts = F.coalesce(F.col(f"{column}.n"), F.array_repeat(F.lit(0.0), size))
+        return F.zip_with(counts, above, lambda c, a: (c + KAPPA * a) / total)
 
     out = seen
     for column in ("host", "parent", "suffix"):
-        counts = stored(usable.where(F.col(column).isNotNull()).groupBy(column).agg(*per), f"{name}-{column}")
-        out = out.join(small_side(counts.select(column, F.struct(*n).alias(f"by_{column}"))), column, "left")
-    whole = [F.lit(x) for x in base]
+        found = usable.where(F.col(column).isNotNull()).groupBy(column).agg(F.array(*per).alias("n"), F.count("*").cast("double").alias("total"))
+        counts = stored(found, f"{name}-{column}")
+        out = out.join(small_side(counts.select(column, F.struct("n", "total").alias(f"by_{column}"))), column, "left")
+    whole = F.array(*[F.lit(x) for x in base])
     host = shares("by_host", shares("by_parent", whole))
-    suffix = shares("by_suffix", whole)
-    known = F.col("declared").isin(languages)
+    suffix = F.zip_with(shares("by_suffix", whole), whole, lambda s, b: F.log(s) - F.log(b))
+    place = F.zip_with(host, suffix, lambda h, s: F.log(h) + s)
+    # of the declared language among the models; null if nothing is declared
+    at = F.when(F.col("declared") != "", F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("declared")))
     miss = math.log((1 - TRUST) / max(size - 1, 1))
-    score = [
-        F.col("ll")[k] + F.log(host[k]) + F.log(suffix[k]) - math.log(base[k])
-        + F.when(known, F.when(F.col("declared") == languages[k], math.log(TRUST)).otherwise(miss)).otherwise(0.0)
-        for k in range(size)
-    ]
-    score.append(F.col("ll")[size] + math.log(0.01) + F.when(known, F.lit(-math.log(max(size, 1)))).otherwise(0.0))
-    out = out.withColumn("score", F.array(*score))
+    said = lambda k: F.when(F.col("at") == k + 1, math.log(TRUST)).when(F.col("at") > 0, miss).otherwise(0.0)
+    score = F.transform(F.zip_with(F.slice("ll", 1, size), "place", lambda a, b: a + b), lambda x, k: x + said(k))
+    none = F.col("ll")[size] + math.log(0.01)
+    other = F.when(F.col("at") == 0, none + math.log(TRUST)).otherwise(float("-inf"))
+    und = none + F.when(F.col("at") == 0, math.log(1 - TRUST)).when(F.col("at") > 0, -math.log(size)).otherwise(0.0)
+    out = out.withColumns({"place": place, "at": at}).withColumn("score", F.concat(score, F.array(other, und)))
     top = F.array_max("score")
     out = out.withColumns(
         {
-            "best": F.array_position("score", top) - 1,
+            "best": F.array_position("score", top),
             "posterior": 1.0 / F.aggregate(F.transform("score", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x),
         }
     )
-    named = F.element_at(F.array(*[F.lit(x) for x in [*languages, "und"]]), (F.col("best") + 1).cast("int"))
+    named = F.element_at(F.array(*[F.lit(x) for x in languages], F.col("declared"), F.lit("und")), F.col("best").cast("int"))
     lang = F.when(F.col("letters") == 0, F.lit("und")).otherwise(named)
     return out.select("k", "t", lang.alias("lang"), F.when(F.col("letters") == 0, 1.0).otherwise(F.col("posterior")).alias("posterior")).withColumn("accepted", F.col("lang") != "und")
 

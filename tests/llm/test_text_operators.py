@@ -252,6 +252,24 @@ def test_language_id(spark):
     assert langid.known_language_only(awkward(spark, extra=True)).count() <= len(ROWS)
 
 
+def test_rare_and_unmodelled_languages(spark):
+    """A language under half a per cent of all text has a model, and a declared
+    one without labels does not fall to "und"."""
+    from pyspark.sql import functions as F
+
+    text = {"en": "the house of the rising sun is the one that they all know ", "el": "το σπίτι και ο κήπος δεν είναι τόσο μεγάλα όσο νόμιζα "}
+    docs = [(i, text["en"] * 20 + str(i), "en", "src0", 1) for i in range(500)] + [(500 + i, text["el"], "el", "src0", 1) for i in range(3)]
+    docs = spark.createDataFrame(docs + [(600, text["el"], None, "src0", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.fit(docs.select(F.col("lang").alias("label"), "text"), sample_rows=50)
+    assert model.languages == ["el", "en"]
+    found = {r.k: r.lang for r in langid.identify(langid.evidence(docs, "text", "doc_id", F.col("lang"), F.col("source")), model).collect()}
+    assert found[500] == found[502] == found[600] == "el" and found[7] == "en"
+    assert langid.known_language_only(docs).count() == 504
+    few = langid.Model(["en"], model.table[[1, 2]])
+    found = {r.k: (r.lang, r.accepted) for r in langid.identify(langid.evidence(docs, "text", "doc_id", F.col("lang"), F.col("source")), few).collect()}
+    assert found[500] == ("el", True) and found[600] == ("und", False) and found[7] == ("en", True)
+
+
 def test_markup_and_host(spark):
     df = spark.createDataFrame([("https://u@News.Example.de:8080/x?y#z", '<HTML class=a LANG="de-AT">'), (None, None), ("nonsense", "<p lang=fr>")], "url string, html string")
     got = df.select(langid.host_of("url"), langid.declared_of("html")).collect()
