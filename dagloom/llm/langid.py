@@ -28,7 +28,9 @@ everything it has.
 
 from __future__ import annotations
 
+import html as markup
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -127,6 +129,14 @@ def declared_of(html: str | Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit("")), r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
 
 
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[a-z!?/][^>]*(?:>|\Z)", re.S | re.I)
+
+
+def visible_text(html: Column) -> Column:
+    """html without comments, scripts, styles and tags, entities decoded."""
+    return F.udf(lambda x: None if x is None else markup.unescape(_MARKUP.sub(" ", x)), "string")(html)
+
+
 def identify(rows: DataFrame, model: Model, name: str = "langid") -> DataFrame:
     """rows: (k, t, text, declared, host), the last two may be null.  Returns
     (k, t, lang, posterior, accepted) for each."""
@@ -220,3 +230,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evidence(docs, "text", "doc_id", F.col("lang"), F.col("source"))
     found = identify(rows, fit(docs.select(F.col("lang").alias("label"), "text")), "op5")
     return found.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"), "lang", "posterior", "accepted")
+
+
+def page_languages(pages: DataFrame, model: Model, name: str = "langid-pages") -> DataFrame:
+    """(k, t, lang, posterior, accepted) of pages(page_id, url, html), by their
+    text, html element, host, its parent domain and suffix."""
+    shown = pages.withColumn("__text", visible_text(F.col("html")))
+    return identify(evidence(shown, "__text", "page_id", declared_of("html"), host_of("url")), model, name)
+
+
+def op5_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, by a model of the labelled documents."""
+    docs = load(spark, sf_dir, "documents")
+    found = page_languages(load(spark, sf_dir, "pages"), fit(docs.select(F.col("lang").alias("label"), "text")), "op5-pages")
+    return found.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias("page_id"), "lang", "posterior", "accepted")

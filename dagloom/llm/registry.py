@@ -10,7 +10,7 @@ from dagloom.llm.chat import op9_chat_format
 from dagloom.llm.codec import op4_id_files
 from dagloom.llm.decontam import op7_decontaminate
 from dagloom.llm.jaccard import op2_ngram_jaccard
-from dagloom.llm.langid import op5_language_id
+from dagloom.llm.langid import op5_language_id, op5_language_id_pages
 from dagloom.llm.lm import op1_lm_score
 from dagloom.llm.media import op8_telephony
 from dagloom.llm.packing import op6_packing
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         op3_prefix_tokens,
         op4_id_files,
         op5_language_id,
+        op5_language_id_pages,
         op6_packing,
         op7_decontaminate,
         op8_telephony,

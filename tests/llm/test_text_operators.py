@@ -276,6 +276,32 @@ def test_markup_and_host(spark):
     assert [tuple(r) for r in got] == [("news.example.de", "de"), ("", ""), ("", "")]
 
 
+def test_suffix_and_parent_of_pages(spark):
+    """A page that says nothing itself follows its suffix's pages and, where
+    suffixes are alike, its parent domain's; markup is read too."""
+    from pyspark.sql import functions as F
+
+    text = {"en": "the house of the rising sun is the one that they all know ", "de": "das haus und der garten sind nicht so groß wie ich dachte "}
+    labelled = spark.createDataFrame([(x, text[x] * 5) for x in text], "label string, text string")
+    page = lambda i, host, body, tag="<html>": (i, f"https://{host}/p{i}", f"{tag}<style>p {{the}}</style><!-- the --><body>{body}")
+    far = [page(100 * (x == "de") + i, f"h{i}.s{i}.{end}", text[x] * 5) for x, end in (("en", "uk"), ("de", "de")) for i in range(20)]
+    near = [page(300 + 100 * (x == "de") + i, f"h{i}.{x}-site.com", text[x] * 5) for x in text for i in range(20)]
+    asked = [page(900, "new.s91.uk", "zq"), page(901, "new.s92.de", "zq"), page(902, "new.en-site.com", "zq"), page(903, "new.de-site.com", "zq"), page(904, "new.s93.org", "zq", '<html lang="de">'), page(905, "new.s94.org", "zq", '<html lang="en">')]
+    pages = spark.createDataFrame(far + near + asked + [(None, None, None)], "page_id long, url string, html string")
+    shown = pages.where("page_id = 0").select(langid.visible_text(F.col("html"))).first()[0]
+    assert shown.split() == (text["en"] * 5).split()
+    found = {r.k: r for r in langid.page_languages(pages, langid.fit(labelled)).collect()}
+    assert [found[i].lang for i in range(900, 906)] == ["en", "de", "en", "de", "de", "en"]
+    assert all(found[i].posterior > 0.7 for i in range(900, 906)) and not found[-(1 << 63)].accepted
+
+
+def test_pages_query(spark, tmp_path):
+    text = "das haus und der garten sind nicht so groß wie ich dachte " * 5
+    spark.createDataFrame([(1, text, "de")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "http://a.b.de/", f"<p>{text}")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert [tuple(r)[:2] for r in langid.op5_language_id_pages(spark, str(tmp_path)).collect()] == [(7, "de")]
+
+
 def test_decontamination(spark):
     item = " ".join("q%d" % i for i in range(40))
     half = item.split()
