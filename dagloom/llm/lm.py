@@ -5,9 +5,9 @@ smoothing with weight ``MU``)::
 
     p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU)
 
-The unigram model keeps the ``TOP`` most frequent words' counts, and those of
-all others by ``CELLS`` hash cells, whose mass their words share evenly along
-with unseen ones; its size is bounded whatever the corpus holds.
+The unigram model has every word's own count, and an unseen word counts as one
+seen once.  About ``TOP`` of the most frequent words' counts are broadcast; a
+shuffle on the word takes each other count to the shards whose pairs need it.
 
 Pairs of neighbouring words, the training texts' and the queries' alike, go to
 shards by the first one's hash.  A shard counts its training pairs, builds its
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,7 @@ from dagloom.llm.words import mix, slices, split_words, text_bytes
 
 MU = 300.0
 TOP = 1 << 18
+#: Counts on their way to the shards that a task packs at once.
 CELLS = 1 << 19
 SHARD_PAIRS = 2_500_000
 #: Words (tokens) of a message to the shards at most, but for longer texts.
@@ -58,31 +59,32 @@ class Unigrams:
     single: int  # words seen once
     words: np.ndarray  # sorted hashes of frequent words
     counts: np.ndarray
-    cell_sum: np.ndarray  # of the others, by cell
-    cell_kinds: np.ndarray
+    rest_words: np.ndarray  # sorted hashes of the others that a shard needs
+    rest_counts: np.ndarray
 
     def top(self, word: np.ndarray) -> np.ndarray:
         """Counts of frequent words, 0 for others."""
-        if not len(self.words):
-            return np.zeros(len(word), np.int64)
-        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-        return np.where(self.words[at] == word, self.counts[at], 0)
+        return _looked_up(self.words, self.counts, word)
 
     def log10(self, word: np.ndarray) -> np.ndarray:
         """log10 probabilities; the unseen share follows the words seen once."""
-        unseen = self.single + 1.0
-        whole = self.tokens + unseen
-        count = self.top(word).astype(float)
-        cell = (word & np.uint64(CELLS - 1)).astype(np.int64)
-        each = unseen / CELLS
-        rest = (self.cell_sum[cell] + each) / (self.cell_kinds[cell] + each)
-        p = np.where(count > 0, count, rest)
+        whole = self.tokens + self.single + 1.0
+        count = np.maximum(self.top(word), _looked_up(self.rest_words, self.rest_counts, word)).astype(float)
+        p = np.where(count > 0, count, 1.0)
         p = np.where(word == END, self.ends + 0.1, p)
         return np.log10(p / whole)
 
 
-def training_counts(rows: DataFrame) -> Unigrams:
-    """rows: (text, train)."""
+def _looked_up(words: np.ndarray, counts: np.ndarray, word: np.ndarray) -> np.ndarray:
+    if not len(words):
+        return np.zeros(len(word), np.int64)
+    at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+    return np.where(words[at] == word, counts[at], 0)
+
+
+def training_counts(rows: DataFrame) -> tuple[Unigrams, DataFrame]:
+    """rows: (text, train).  The model with frequent words, and (h, c) of the
+    others."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,15 +107,12 @@ def training_counts(rows: DataFrame) -> Unigrams:
     top = vocab.where(scale >= cut).toArrow()
     words = np.array(top["h"]).astype(np.int64).view(np.uint64)
     order = np.argsort(words)
-    cell = F.col("h").bitwiseAND(F.lit(CELLS - 1)).cast("int")
-    cells = vocab.where(scale < cut).groupBy(cell.alias("cell")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
-    sums, kinds = np.zeros(CELLS), np.zeros(CELLS)
-    at = np.array(cells["cell"]).astype(np.int64)
-    sums[at], kinds[at] = np.array(cells["c"]), np.array(cells["n"])
-    return Unigrams(
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    uni = Unigrams(
         sum(r["c"] for r in levels) + ends, sum(r["n"] for r in levels) + (ends > 0), ends, sum(r["one"] for r in levels),
-        words[order], np.array(top["c"]).astype(np.int64)[order], sums, kinds,
+        words[order], np.array(top["c"]).astype(np.int64)[order], *none,
     )
+    return uni, vocab.where(scale < cut)
 
 
 def _pairs(w, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,13 +162,48 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(id_key(key).alias("k"), whole.alias("text"), train.alias("train"))
     spark = docs.sparkSession
-    uni = training_counts(rows)
+    uni, rest = training_counts(rows)
     held = spark.sparkContext.broadcast(uni)
     total = rows.agg(F.coalesce(F.sum(F.length("text") / 5 + 1), F.lit(0)).alias("n")).first()["n"]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SHARD_PAIRS), 1)
     share = max(1, uni.tokens // (8 * shards))
     hot = uni.words[uni.counts > share]  # at most 8 * shards words
 
+    def dealt(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The pairs' shards."""
+        spread = np.isin(first, hot) | (first == START)
+        return (mix(np.where(spread, first ^ mix(second), first)) % np.uint64(shards)).astype(np.int32)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shards that need the count of a word that is not broadcast."""
+        for batch in batches:
+            for b in slices(batch, "text", CHUNK_BYTES):
+                first, second, _ = _pairs(split_words(*text_bytes(b.column("text")), lower=True), b.num_rows)
+                rare = (second != END) & (held.value.top(second) == 0)
+                words, at = np.unique(second[rare], return_inverse=True)
+                each = np.unique(at * np.int64(shards) + dealt(first[rare], second[rare]))
+                yield pa.record_batch([pa.array(words[each // shards].view(np.int64)), pa.array((each % shards).astype(np.int32))], ["h", "shard"])
+
+    def pack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+            s, h, c = (np.concatenate([np.array(b.column(x)) for b in some]) for x in ("shard", "h", "c"))
+            order = np.argsort(s, kind="stable")
+            at, begin = np.unique(s[order], return_index=True)
+            edges = np.append(begin, len(s)).tolist()
+            data = [h[order[a:z]].tobytes() + c[order[a:z]].tobytes() for a, z in zip(edges[:-1], edges[1:])]
+            n = len(at)
+            return pa.record_batch([pa.array(at, pa.int32()), pa.array([-1] * n, pa.int64()), pa.array([0] * n, pa.int32()), pa.array(data, pa.binary())], ["shard", "message", "docs", "data"])
+
+        some, n = [], 0
+        for batch in batches:
+            some.append(batch)
+            n += batch.num_rows
+            if n >= CELLS:
+                yield packed(some)
+                some, n = [], 0
+        if n:
+            yield packed(some)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, message = TaskContext.get().partitionId(), 0
         names = ["shard", "message", "docs", "data"]
@@ -180,8 +214,7 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_
                     part = b.slice(at, 60_000)
                     w = split_words(*text_bytes(part.column("text")), lower=True)
                     first, second, doc = _pairs(w, part.num_rows)
-                    spread = np.isin(first, hot) | (first == START)
-                    goes = (mix(np.where(spread, first ^ mix(second), first)) % np.uint64(shards)).astype(np.int32)
+                    goes = dealt(first, second)
                     order = np.argsort(goes, kind="stable")
                     edges = np.searchsorted(goes[order], np.arange(shards + 1))
                     k, x, learn = (np.array(part.column(c)) for c in ("k", "x", "train"))
@@ -200,6 +233,11 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_
         if table.column("shard")[0].as_py() < 0:
             return pa.table({"message": pa.array(names, pa.int64()), "docs": pa.array(docs, pa.int32()), "own": [True] * len(names), "data": pa.array(data, pa.binary())})
         first, second, doc, learn, base = [], [], [], [], [0]
+        counts = [np.frombuffer(raw, np.int64).reshape(2, -1) for name, raw in zip(names, data) if name < 0]
+        words, at = np.unique(np.concatenate([x[0] for x in counts] or [np.zeros(0, np.int64)]).view(np.uint64), return_index=True)
+        uni = replace(held.value, rest_words=words, rest_counts=np.concatenate([x[1] for x in counts] or [np.zeros(0, np.int64)])[at])
+        sent = [i for i, name in enumerate(names) if name >= 0]
+        names, docs, data = ([x[i] for i in sent] for x in (names, docs, data))
         for n, raw in zip(docs, data):
             flags = -(-n // 8)
             a, b, d = _unpack(raw[flags:])
@@ -208,7 +246,7 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_
             doc.append(d + base[-1])
             learn.append(np.unpackbits(np.frombuffer(raw, np.uint8, flags), count=n).astype(bool))
             base.append(base[-1] + n)
-        sums = score_shard(held.value, hot, *(np.concatenate(y) for y in (first, second, doc, learn)), base[-1], mu)
+        sums = score_shard(uni, hot, *(np.concatenate(y) for y in (first, second, doc, learn)), base[-1], mu)
         out = []
         for a, b in zip(base[:-1], base[1:]):
             at = np.flatnonzero(sums["n_tokens"][a:b])
@@ -234,11 +272,13 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_
                 sums[c][place] += one
         return pa.table({"k": keys[0], "x": keys[1], "train": keys[2], **sums})
 
+    asked = rows.select("text").mapInArrow(ask, "h long, shard int")
+    counts = asked.join(rest, "h").select("shard", "h", "c").mapInArrow(pack_counts, "shard int, message long, docs int, data binary")
     sent = rows.withColumn("x", F.hash("text")).select("k", "x", "train", "text").mapInArrow(send, "shard int, message long, docs int, data binary")
     shape = "message long, docs int, own boolean, data binary"
     # the documents' rows are dealt out by message, not gathered as one shard
     spot = F.when(F.col("shard") < 0, -1 - F.pmod("message", F.lit(shards))).otherwise(F.col("shard"))
-    parts = sent.withColumn("spot", spot.cast("int")).groupBy("spot").applyInArrow(shard, shape)
+    parts = sent.union(counts).withColumn("spot", spot.cast("int")).groupBy("spot").applyInArrow(shard, shape)
     whole = parts.groupBy("message").applyInArrow(gather, "k long, x int, train boolean, rows long, n_tokens long, n_known long, base double, score double")
     names = [c for c, _ in SUMS]
     return whole.groupBy("k", "x", "train").agg(*[F.sum(c).alias(c) for c in names]), uni

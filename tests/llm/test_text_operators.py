@@ -57,6 +57,15 @@ def test_lm_scores(spark):
     assert lm.scores(empty(spark)).count() == 0
 
 
+def test_lm_counts_of_words_beyond_the_broadcast(spark, monkeypatch):
+    """Words that are not broadcast keep their own counts: scores don't change
+    with the number of those that are."""
+    wide = {(r.doc_id, r.n_tokens): r.score for r in lm.scores(awkward(spark)).collect()}
+    monkeypatch.setattr(lm, "TOP", 20)
+    few = {(r.doc_id, r.n_tokens): r.score for r in lm.scores(awkward(spark)).collect()}
+    assert few.keys() == wide.keys() and all(abs(few[k] - wide[k]) < 1e-6 for k in wide)
+
+
 def test_lm_is_a_distribution_and_learns(spark):
     """Probabilities of known continuations sum to at most one, and repeated
     text gets likelier than its unigrams."""
