@@ -7,6 +7,8 @@ repeat counts are solved by non-negative least squares against the histogram
 and rounded, and a greedy pass packs what is left, longest first.  Where no
 piece fits a gap it cuts one, so hardly a window is left open.  The plan works
 on counts; a piece finds its window by its rank among pieces of its length.
+Pieces under ``SHORT`` ids are first joined end to end, within a task, into
+bundles that nearly fill whole units, and a bundle is planned as one piece.
 
 Edge cases: a null text is empty and becomes the end id alone; repeated rows
 are packed each; a null id is reported as null; extra columns are ignored; an
@@ -32,6 +34,10 @@ SIZE = 4096
 UNIT = 16
 END_ID = 2
 SWEEPS = 60
+#: Pieces below go into bundles; a bundle has MOST_BUNDLED ids at most, and is
+#: closed from half of that on where it fills its units.
+SHORT = 256
+MOST_BUNDLED = 2048
 
 
 def patterns(bins: int) -> list[tuple[int, ...]]:
@@ -165,32 +171,71 @@ class Lookup:
 
 
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, start, length, doc_tokens, part, bin, rank, ids): pieces of at
-    most SIZE ids; rank counts a task's pieces of one bin; ids are uint16."""
-    names = ["doc_id", "start", "length", "doc_tokens", "part", "bin", "rank", "ids"]
+    """(doc_id, start, length, doc_tokens, part, bin, rank, ids, inner): pieces
+    of at most SIZE ids and bundles of short ones; rank counts a task's pieces of
+    one bin; ids are uint16; inner has a bundle's pieces, a row of int64 each of
+    has an id, id, start, length, doc_tokens."""
+    names = ["doc_id", "start", "length", "doc_tokens", "part", "bin", "rank", "ids", "inner"]
+    kinds = (pa.int64(),) * 4 + (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoder(tokenizer), TaskContext.get().partitionId()
         seen = [0] * (SIZE // UNIT + 1)
         end = np.array([END_ID], "<u2").tobytes()
+        out, short, held = [], [], 0  # rows; pieces of the open bundle, their ids
+
+        def add(k: int | None, start: int, size: int, n: int, ids: bytes, inner: bytes | None = None) -> None:
+            kind = -(-size // UNIT)
+            out.append((k, start, size, n, part, kind, seen[kind], ids, inner))
+            seen[kind] += 1
+
+        def close() -> None:
+            nonlocal short, held
+            inner = np.array([(k is not None, k or 0, start, size, n) for k, start, size, n, _ in short], np.int64)
+            add(None, 0, held, 0, b"".join(x[-1] for x in short), inner.tobytes())
+            short, held = [], 0
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
                 keys = b.column(0).to_pylist()
-                out = []
                 for k, ids in zip(keys, code.encode([x or "" for x in b.column(1).to_pylist()])):
                     ids += end
                     n = len(ids) // 2
                     for start in range(0, n, SIZE):
                         size = min(SIZE, n - start)
-                        kind = -(-size // UNIT)
-                        out.append((k, start, size, n, part, kind, seen[kind], ids[2 * start : 2 * (start + size)]))
-                        seen[kind] += 1
-                kinds = (pa.int64(),) * 4 + (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+                        one = ids[2 * start : 2 * (start + size)]
+                        if size >= SHORT:
+                            add(k, start, size, n, one)
+                            continue
+                        if held + size > MOST_BUNDLED:
+                            close()
+                        short.append((k, start, size, n, one))
+                        held += size
+                        if held >= MOST_BUNDLED // 2 and held % UNIT == 0:
+                            close()
+                if out:
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+                    out.clear()
+        if held:
+            close()
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, part int, bin int, rank long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, part int, bin int, rank long, ids binary, inner binary")
+
+
+def _members(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's first place among all pieces of the batch (and their number),
+    and the pieces: has an id, id, start, length, doc_tokens, place in the row."""
+    doc = b.column("doc_id")
+    plain = np.stack([np.array(doc.is_valid()), np.array(doc.fill_null(0)), *(np.array(b.column(c)) for c in ("start", "length", "doc_tokens"))], axis=1).astype(np.int64)
+    every = [plain[i : i + 1] if x is None else np.frombuffer(x, np.int64).reshape(-1, 5) for i, x in enumerate(b.column("inner").to_pylist())]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in every])])
+    found = np.concatenate(every)
+    ends = np.cumsum(found[:, 3])
+    begin = ends - found[:, 3]
+    return first, np.column_stack([found, begin - np.repeat(begin[first[:-1]], np.diff(first))])
 
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text: str = "text", key: str = "doc_id", name: str = "packing", with_ids: bool = True) -> DataFrame:
@@ -211,14 +256,20 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text: str = "tex
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
-                doc, start, total = (b.column(k) for k in ("doc_id", "start", "doc_tokens"))
-                first = np.array(start)
+                first, member = _members(b)
                 ids = b.column("ids").to_pylist()
                 for row, begin, size, window, slot in lookup.assign(np.array(b.column("length")), np.array(b.column("rank")) + np.array(b.column("base"))):
-                    some = [ids[r][2 * s : 2 * (s + n)] for r, s, n in zip(row.tolist(), begin.tolist(), size.tolist())]
+                    n = first[row + 1] - first[row]
+                    of = np.repeat(np.arange(len(row)), n)
+                    inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                    has, doc, start, length, total, place = member[first[row][of] + inner].T
+                    low, high = np.maximum(begin[of], place), np.minimum((begin + size)[of], place + length)
+                    in_part = high > low
+                    of, inner, has, doc, start, total, place, low, high = (x[in_part] for x in (of, inner, has, doc, start, total, place, low, high))
+                    some = [ids[r][2 * a : 2 * z] for r, a, z in zip(row[of].tolist(), low.tolist(), high.tolist())]
                     crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in some]
-                    columns = [doc.take(pa.array(row)), pa.array(first[row] + begin), pa.array(size), pa.array(crc, pa.int64()),
-                               total.take(pa.array(row)), pa.array(window), pa.array(slot.astype(np.int32))]
+                    columns = [pa.array(doc, pa.int64(), mask=has == 0), pa.array(start + low - place), pa.array(high - low), pa.array(crc, pa.int64()),
+                               pa.array(total), pa.array(window[of]), pa.array((slot[of] * SIZE + inner).astype(np.int32))]
                     yield pa.record_batch(columns + [pa.array(some, pa.binary())] * with_ids, names)
 
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot int" + ", ids binary" * with_ids

@@ -224,6 +224,24 @@ def test_packing(spark):
     assert packing.packed_digests(empty(spark)).count() == 0
 
 
+def test_packing_short_texts(spark):
+    """Very short texts fill their windows too."""
+    rows = [(i if i % 7 else None, ["", "a", "of the", "x y z a b"][i % 4]) for i in range(6000)] + [(9000, " ".join(["word"] * 5000))]
+    got = packing.packed_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    ids = {t: word_ids(t) for t in {t for _, t in rows}}
+    assert sum(r.length for r in got) == (n := sum(len(ids[t]) for _, t in rows))
+    whole = collections.Counter((r.doc_id, r.ids_crc32) for r in got if r.length == r.doc_tokens)
+    want = collections.Counter((d, id_crc(ids[t])) for d, t in rows)
+    assert not whole - want and (want - whole).total() < 20  # few are cut
+    assert len({r.sequence_id for r in got}) <= 1.02 * n / packing.SIZE + 2
+    for s in {r.sequence_id for r in got}:
+        at = 0
+        for r in sorted((r for r in got if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= packing.SIZE
+
+
 @pytest.mark.parametrize("lengths", [[3000] * 2000, list(range(1, 4097)) * 3, [4096] * 5, [1], [2049] * 999 + [100] * 50])
 def test_packing_plan(lengths):
     n = np.array(lengths)
