@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from dagloom.llm.common import NULL_ID, id_key, load, stored
 from dagloom.llm.ids import encoder
+from dagloom.llm.words import slices
 
 MAGIC = b"TIDB"
 VERSION = 1
@@ -312,13 +313,13 @@ def write_ids(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text: str =
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                coded = code.encode([x or "" for x in b.column(1).to_pylist()])
-                for k, ids in zip(b.column(0).to_pylist(), coded):
+            for b in slices(batch, "text", 2 << 20):
+                flat, sizes = code.encode(b.column(1))
+                stop = np.cumsum(sizes)
+                for k, low, high in zip(b.column(0).to_pylist(), (stop - sizes).tolist(), stop.tolist()):
                     keys.append(k)
-                    held.append(ids + end)
-                    size += len(ids) // 2 + 1
+                    held.append(flat[low:high].tobytes() + end)
+                    size += high - low + 1
                     if size >= BLOCK_IDS:
                         yield block()
         if keys:

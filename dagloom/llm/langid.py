@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagloom.llm.common import NULL_ID, id_key, load, small_side, stored
-from dagloom.llm.words import slices, text_bytes
+from dagloom.llm.common import NULL_ID, digest, id_key, load, small_side, stored, without
+from dagloom.llm.words import LOWER, slices, text_bytes
 
 #: Of each language.
 SAMPLE_ROWS = 20_000
@@ -49,8 +49,6 @@ TEMPER = 0.3
 TRUST = 0.9
 KAPPA = 20.0
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -60,7 +58,7 @@ def trigrams(raw: np.ndarray) -> np.ndarray:
     """The bucket of the trigram that starts at each byte (two fewer)."""
     if len(raw) < 3:
         return np.zeros(0, np.int64)
-    x = _LOWER.take(raw).astype(np.uint32)
+    x = LOWER.take(raw).astype(np.uint32)
     h = (x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]) * np.uint32(2654435761)
     return (h >> np.uint32(18)).astype(np.int64)
 
@@ -212,7 +210,7 @@ def evidence(docs: DataFrame, text: str, key: str, declared: Column | None, host
         (none if declared is None else declared.cast("string")).alias("declared"),
         (none if host is None else host.cast("string")).alias("host"),
     )
-    return rows.withColumn("t", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    return rows.withColumn("t", digest("text"))
 
 
 def known_language_only(docs: DataFrame, name: str = "langid") -> DataFrame:
@@ -220,8 +218,7 @@ def known_language_only(docs: DataFrame, name: str = "langid") -> DataFrame:
     rows = evidence(docs, "text", "doc_id", F.col("lang"), F.col("source"))
     found = identify(rows, fit(docs.select(F.col("lang").alias("label"), "text")), name)
     gone = stored(found.where("not accepted").select("k", "t").distinct(), f"{name}-gone")
-    keyed = docs.withColumns({"__k": id_key("doc_id"), "__t": F.unhex(F.substring(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256), 1, 32))})
-    return keyed.join(small_side(gone).toDF("__k", "__t"), ["__k", "__t"], "left_anti").select(*docs.columns)
+    return without(docs, gone, "text", "doc_id")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

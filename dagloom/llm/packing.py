@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from dagloom.llm.common import load, small_side, stored
 from dagloom.llm.ids import encoder
+from dagloom.llm.words import slices
 
 SIZE = 4096
 UNIT = 16
@@ -181,7 +182,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoder(tokenizer), TaskContext.get().partitionId()
         seen = [0] * (SIZE // UNIT + 1)
-        end = np.array([END_ID], "<u2").tobytes()
+        end = np.array([END_ID], np.uint16).tobytes()
         out, short, held = [], [], 0  # rows; pieces of the open bundle, their ids
 
         def add(k: int | None, start: int, size: int, n: int, ids: bytes, inner: bytes | None = None) -> None:
@@ -196,12 +197,12 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
             short, held = [], 0
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                keys = b.column(0).to_pylist()
-                for k, ids in zip(keys, code.encode([x or "" for x in b.column(1).to_pylist()])):
-                    ids += end
-                    n = len(ids) // 2
+            for b in slices(batch, "text", 2 << 20):
+                flat, sizes = code.encode(b.column(1))
+                stop = np.cumsum(sizes)
+                for k, low, high in zip(b.column(0).to_pylist(), (stop - sizes).tolist(), stop.tolist()):
+                    ids = flat[low:high].tobytes() + end
+                    n = high - low + 1
                     for start in range(0, n, SIZE):
                         size = min(SIZE, n - start)
                         one = ids[2 * start : 2 * (start + size)]

@@ -22,12 +22,12 @@ PIECE = 1 << 17
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POW_BASE = np.uint64(0x9E3779B97F4A7C15)
-_SEP = np.zeros(256, bool)
-_SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTE[_SEP] = 0
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_BYTE[SEPARATOR] = 0
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_BYTE_LOWER = _BYTE[LOWER]
 Q = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -103,17 +103,20 @@ def _piece(raw: np.ndarray, cut: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return mix(np.add.reduceat(value, start - start[0])), start, end
 
 
-def split_words(raw: np.ndarray, off: np.ndarray, lower: bool) -> Words:
+def split_words(raw: np.ndarray, off: np.ndarray, lower: bool, cut: np.ndarray | None = None) -> Words:
+    """The words of texts at off; cut: more places (len raw + 1) where a word
+    ends, which is written to."""
     table = _BYTE_LOWER if lower else _BYTE
     n = len(raw)
-    cut = np.zeros(n + 1, bool)
+    if cut is None:
+        cut = np.zeros(n + 1, bool)
     cut[off] = True
     hashes, starts, ends = [], [], []
     a = 0
     while a < n:
         b = min(n, a + PIECE)
         while b < n:  # move the cut to a separator or a document's start
-            near = np.flatnonzero(_SEP[raw[b : b + 512]] | cut[b : min(n, b + 512)])
+            near = np.flatnonzero(SEPARATOR[raw[b : b + 512]] | cut[b : min(n, b + 512)])
             if len(near):
                 b += int(near[0])
                 break

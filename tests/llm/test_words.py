@@ -16,7 +16,7 @@ def test_split(texts, piece):
     finally:
         W.PIECE = old
     want = [(x or "").translate({i: i + 32 for i in range(65, 91)}).encode().split() for x in texts]
-    low = W._LOWER[raw].tobytes()
+    low = W.LOWER[raw].tobytes()
     assert [[low[a:b] for a, b in zip(w.start[x:y], w.end[x:y])] for x, y in zip(w.first[:-1], w.first[1:])] == want
     known = {}
     for word, h in zip([y for x in want for y in x], w.hash.tolist()):
