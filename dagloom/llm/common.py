@@ -4,43 +4,85 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-#: Rows of one or two longs up to which a side is broadcast; beyond, it is shuffled.
-BROADCAST_ROWS = 4_000_000
+from pyspark.sql.types import BinaryType, DataType, StringType
+
+#: Bytes of a side, as it stands in a join's hash table, up to which it is
+#: broadcast; beyond, it is shuffled.
+BROADCAST_BYTES = 64 << 20
+#: Bits of a key filter at most (32 MB), and bits for each key below that.
+FILTER_BITS = 1 << 28
+BITS_A_KEY = 16
 #: Stands for a null id inside joins; orders before every other id.
 NULL_ID = -(1 << 63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share; a temporary one only where none is
+    set and everything runs on this machine (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="dagloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows, written as a Parquet table in the shared folder and read again.
 
     Cuts the lineage so that a lost executor costs a reread, not a rerun.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a counted (already stored) side for broadcast if it is small; else
-    leaves it to a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def row_bytes(kinds: list[DataType]) -> int:
+    """About what a row takes in a hash table of a broadcast join."""
+    return 48 + sum(40 if isinstance(x, (BinaryType, StringType)) else 8 for x in kinds)
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a stored side for broadcast if its rows, which are counted, are
+    small; else leaves it to a shuffled join.  For short keys only."""
+    return F.broadcast(df) if df.count() * row_bytes([x.dataType for x in df.schema]) <= most else df
+
+
+@dataclass
+class KeyFilter:
+    """A Bloom filter of mixed 64-bit keys with two probes: the keys' high and
+    low bits.  Its size is bounded, so an exact join follows it."""
+
+    bits: np.ndarray
+    log: int
+
+    def may_hold(self, key: np.ndarray) -> np.ndarray:
+        out = None
+        for slot in (key >> np.uint64(64 - self.log), key & np.uint64((1 << self.log) - 1)):
+            hit = self.bits.take((slot >> np.uint64(3)).astype(np.int64)) >> (slot & np.uint64(7)).astype(np.uint8) & 1
+            out = hit if out is None else out & hit
+        return out.astype(bool)
+
+
+def key_filter(keys: DataFrame, column: str = "key") -> KeyFilter:
+    """The filter of a stored column of keys, put together by the executors as
+    bitmaps of 4 KB each."""
+    log = min(FILTER_BITS.bit_length() - 1, max(15, (BITS_A_KEY * keys.count()).bit_length()))
+    high = F.shiftrightunsigned(column, 64 - log)
+    low = F.col(column).bitwiseAND((1 << log) - 1)
+    slots = keys.select(F.explode(F.array(high, low)).alias("slot")).select((F.col("slot") + 1).alias("slot"))
+    found = slots.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    bits = np.zeros((1 << log) // 8, np.uint8)
+    for r in found.toLocalIterator():
+        bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return KeyFilter(bits, log)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,7 +93,29 @@ def id_key(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(NULL_ID)).cast("long")
 
 
-def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
+def digest(text: str | Column) -> Column:
+    """16 bytes that tell texts apart; null texts are empty."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.unhex(F.substring(F.sha2(F.coalesce(c.cast("string"), F.lit("")), 256), 1, 32))
+
+
+def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(k, text, t): a number for the id, the text and its digest."""
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(id_key(key).alias("k"), whole.alias("text")).withColumn("t", digest("text"))
+
+
+def keyed_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(row, k, t): whole rows as structs, so that no column's name matters."""
+    return docs.select(F.struct("*").alias("row"), id_key(key).alias("k"), digest(text).alias("t"))
+
+
+def without(docs: DataFrame, gone: DataFrame, text: str, key: str) -> DataFrame:
+    """docs without the rows that the stored table gone(k, t) names."""
+    return keyed_rows(docs, text, key).join(small_side(gone), ["k", "t"], "left_anti").select("row.*")
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges(a, b) as (id, component), component being
     the smallest id.  Min-label hooking with pointer jumping; each round is
     stored.  Vertices without an edge are not returned.
@@ -60,7 +124,7 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{name}-edges"
     ).toDF("id", "other")
     label = stored(both.groupBy("id").agg(F.min(F.least("id", "other")).alias("component")), f"{name}-label")
-    for _ in range(most_rounds):
+    while True:
         near = (
             both.join(label.toDF("other", "o"), "other")
             .groupBy("id")
@@ -76,8 +140,3 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         label = jump.select("id", F.col("new").alias("component"))
         if not changed:
             return label
-    raise RuntimeError("components did not settle")
-
-
-def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagloom.llm.common import id_key, load, small_side, stored
+from dagloom.llm.common import keyed, load, stored, without
 from dagloom.llm.words import slices, split_words, text_bytes, windows
 
 SEED = 4
@@ -127,9 +127,7 @@ class Block:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(k, t, item_id, coverage, tiles): a row for each document and item."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(id_key(key).alias("k"), whole.alias("text"))
-    rows = rows.withColumn("t", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    rows = keyed(docs, text, key)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     words = items.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))).alias("n")).first()["n"] or 0
     blocks = int(words // BLOCK_WORDS) + 1
@@ -165,8 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text
 def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without those that an item contaminates."""
     gone = stored(find_leaks(docs, benchmark, share, text, key).select("k", "t").distinct(), "leaks")
-    rows = docs.withColumns({"__k": id_key(key), "__t": F.unhex(F.substring(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256), 1, 32))})
-    return rows.join(small_side(gone).toDF("__k", "__t"), ["__k", "__t"], "left_anti").select(*docs.columns)
+    return without(docs, gone, text, key)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

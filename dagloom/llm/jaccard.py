@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dagloom.llm.common import NULL_ID, components, id_key, load, small_side, stored
+from dagloom.llm.common import NULL_ID, components, key_filter, keyed, keyed_rows, load, small_side, stored
 from dagloom.llm.words import mix, slices, split_words, text_bytes, windows
 
 #: Most elements of a light set, whatever its cost.
@@ -158,12 +158,6 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return np.packbits(cell.astype(np.uint8)).view(np.int64)
 
 
-def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(id_key(key).alias("k"), whole.alias("text"))
-    return rows.withColumn("t", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
-
-
 def _digest(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
@@ -178,12 +172,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return both.where(F.lit(plan.den) * inter >= F.lit(plan.num) * union).select("a", "b")
 
 
-def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "text", key: str = "doc_id", name: str = "jaccard") -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "text", key: str = "doc_id", name: str = "jaccard") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored tables: members (k, t, n, d), a row for each row of docs, d being
-    its class; and groups (d, c), for classes that are linked with others: c is
-    the smallest d of the component."""
+    its class; kinds (d, own, n), the classes of sets that are not empty, own
+    being the least (k, t); and groups (d, c), for classes that are linked with
+    others: c is the smallest d of the component."""
     spark = docs.sparkSession
-    rows = _keyed(docs, text, key)
+    rows = keyed(docs, text, key)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,6 +191,7 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
 
     members = stored(rows.mapInArrow(classes, "k long, t binary, n long, d binary"), f"{name}-members")
     kinds = members.where("n > 0").groupBy("d").agg(F.min(F.struct("k", "t")).alias("own"), F.first("n").alias("n"))
+    kinds = stored(kinds, f"{name}-kinds")
     sizes = kinds.groupBy(F.least("n", F.lit(LIGHT_MOST + 1)).alias("s")).agg(F.count("*").alias("c"), F.max("n").alias("m")).collect()
     plan = make_plan(num, den, words, {r["s"]: r["c"] for r in sizes}, max([r["m"] for r in sizes], default=0))
 
@@ -204,10 +200,13 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
             for b in slices(batch, "text", 1 << 20):
                 sets = shingle_sets(b, words)
                 keys = [keys_of(plan, x) for x in sets]
-                row = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in keys]))
+                row = np.repeat(np.arange(len(sets)), [len(x) for x in keys])
+                key = np.concatenate(keys)
+                some = several.value.may_hold(key)
+                key, row = key[some], pa.array(row[some])
                 yield pa.record_batch(
                     [
-                        pa.array(np.concatenate(keys).view(np.int64)),
+                        pa.array(key.view(np.int64)),
                         pa.array([_digest(x) for x in sets], pa.binary()).take(row),
                         pa.array([len(x) for x in sets], pa.int64()).take(row),
                     ],
@@ -215,15 +214,17 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
                 )
 
     def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in with_keys(batches):
-            yield b.select(["key"])
+        for batch in batches:
+            for b in slices(batch, "text", 1 << 20):
+                keys = np.concatenate([keys_of(plan, x) for x in shingle_sets(b, words)])
+                yield pa.record_batch([pa.array(keys.view(np.int64))], ["key"])
 
-    extra = stored(
-        members.join(kinds.select("d", "own"), "d").where("own.k <> k or own.t <> t").select("k", "t").distinct(), f"{name}-extra"
-    )
+    extra = members.join(small_side(kinds.select("d", "own")), "d").where("own.k <> k or own.t <> t").select("k", "t").distinct()
+    extra = stored(extra, f"{name}-extra")
     own = rows.join(small_side(extra), ["k", "t"], "left_anti").select("k", "t", "text")
     counts = own.mapInArrow(keys_only, "key long").groupBy("key").agg(F.count("*").alias("c"))
     twice = stored(counts.where("c > 1").select("key"), f"{name}-keys")
+    several = spark.sparkContext.broadcast(key_filter(twice))
     lists = own.mapInArrow(with_keys, "key long, d binary, n long").join(small_side(twice), "key", "left_semi")
     lists = stored(lists.distinct(), f"{name}-lists")
     met = kinds.join(lists.select("d").distinct(), "d", "left_semi").select("own.k", "own.t")
@@ -291,6 +292,9 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
     for turn in range(STARS):
         firsts = [F.min(F.struct(F.xxhash64("d", F.lit(turn * PIVOTS + j)).alias("h"), "d", "c", "n", "sign")) for j in range(PIVOTS)]
         pivot = rest.groupBy("key").agg(F.array(*firsts).alias("p")).select("key", F.explode(F.array_distinct("p")).alias("p")).select("key", "p.d", "p.c", "p.n", "p.sign")
+        # stored, so that neither side of the join has its exchange in common
+        # with the aggregate and Spark can split the lists with most sets
+        pivot = stored(pivot, f"{name}-pivots")
         near = rest.alias("x").join(pivot.alias("y"), able).select(F.col("x.d").alias("d"), F.struct(apart.alias("apart"), F.col("y.d").alias("p")).alias("y"))
         near = near.groupBy("d").agg(F.min("y").alias("y")).select(F.least("d", "y.p").alias("a"), F.greatest("d", "y.p").alias("b"))
         pairs = stored(near.distinct().join(tried, ["a", "b"], "left_anti"), f"{name}-star")
@@ -318,33 +322,42 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
             break
         settle(_verified(pairs, sets, plan))
         best *= 16
-    return members, label if label is not None else spark.createDataFrame([], "d binary, c binary")
+    return members, kinds, label if label is not None else spark.createDataFrame([], "d binary, c binary")
+
+
+def linked(docs: DataFrame, words: int, num: int, den: int, text: str = "text", key: str = "doc_id", name: str = "jaccard") -> DataFrame:
+    """(k, t, n, own): own is the least (k, t) of the linked rows, null for an
+    empty set.  Components are worked out on classes; rows meet only their
+    class, by a join whose hot classes can be split."""
+    members, kinds, groups = link_classes(docs, words, num, den, text, key, name)
+    named = stored(kinds.select("d", "own").join(groups, "d", "left").withColumn("g", F.coalesce("c", "d")).select("d", "own", "g"), f"{name}-named")
+    least = stored(named.groupBy("g").agg(F.min("own").alias("own")), f"{name}-least")
+    owners = stored(named.select("d", "g").join(small_side(least), "g").select("d", "own"), f"{name}-owners")
+    found = members.where("n > 0").join(small_side(owners), "d").select("k", "t", "n", "own")
+    return found.unionByName(members.where("n = 0").select("k", "t", "n"), allowMissingColumns=True)
 
 
 def jaccard_components(docs: DataFrame, words: int, num: int, den: int, text: str = "text", key: str = "doc_id", name: str = "jaccard") -> DataFrame:
     """(k, t, n, component): component is the smallest k of the linked rows; an
     empty set's is its own."""
-    members, groups = link_classes(docs, words, num, den, text, key, name)
-    some = members.where("n > 0").join(groups, "d", "left").withColumn("g", F.coalesce("c", "d"))
-    least = some.groupBy("g").agg(F.min("k").alias("component"))
-    whole = some.join(least, "g").select("k", "t", "n", "component")
-    return whole.union(members.where("n = 0").select("k", "t", "n", F.col("k").alias("component")))
+    found = linked(docs, words, num, den, text, key, name)
+    return found.select("k", "t", "n", F.coalesce("own.k", "k").alias("component"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without those that are near copies of one with a smaller id.  Of
-    rows with one id in a group, the one whose digest is smallest stays; rows
+    rows with one id in a group, the one whose digest is smallest stays, and of
+    rows with one id and text the one whose columns as JSON come first; rows
     without words all stay."""
-    found = stored(jaccard_components(docs, words, num, den, text, key, "near"), "near-components")
-    first = found.where("n > 0").groupBy("component").agg(F.min(F.struct("k", "t")).alias("own"))
-    gone = found.where("n > 0").join(first, "component").where("own.k <> k or own.t <> t").select("k", "t").distinct()
-    gone = small_side(stored(gone, "near-gone"))
-    again = not found.where("n > 0").groupBy("k", "t").count().where("count > 1").isEmpty()
-    rows = docs.withColumns({"__k": id_key(key), "__t": F.unhex(F.substring(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256), 1, 32))})
-    rows = rows.join(gone.toDF("__k", "__t"), ["__k", "__t"], "left_anti")
-    if again:
-        rows = rows.dropDuplicates(["__k", "__t"])
-    return rows.select(*docs.columns)
+    found = stored(linked(docs, words, num, den, text, key, "near"), "near-components").where("n > 0")
+    gone = stored(found.where("own.k <> k or own.t <> t").select("k", "t").distinct(), "near-gone")
+    again = stored(found.where("own.k = k and own.t = t").groupBy("k", "t").count().where("count > 1").select("k", "t"), "near-again")
+    rows = keyed_rows(docs, text, key).join(small_side(gone), ["k", "t"], "left_anti")
+    if not again.isEmpty():
+        again = small_side(again)
+        least = rows.join(again, ["k", "t"], "left_semi").groupBy("k", "t").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        rows = rows.join(again, ["k", "t"], "left_anti").select("row").union(least.select("row"))
+    return rows.select("row.*")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
