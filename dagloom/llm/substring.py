@@ -7,15 +7,16 @@ Windows of ``ANCHOR`` words are hashed only at positions whose residue modulo
 ``PERIOD`` is in ``COVER``.  Every residue is a difference of two cover
 elements, so two equal runs of ANCHOR + PERIOD - 1 words, however they are
 aligned, share a hashed anchor at the same offset.  Anchors that occur once are
-dropped; around the others the match is extended to all windows that hold the
-anchor, and among windows of equal words all but the first are covered.
+dropped, most of them by a filter of bounded size where they are made; around
+the others the match is extended to all windows that hold the anchor, and among
+windows of equal words (128 bits of hash) all but the first are covered.
 
 Whole copies need no windows: every word of a copy that is not the first is
 covered if the text has at least WINDOW words.
 
 Edge cases: a null text has no words; a null id counts as the smallest; rows
 that repeat a doc_id and its text count as one place and stay alike; rows that
-share a doc_id but not the text are told apart by a digest of the text; extra
+share a doc_id but not the text come in the order of a hash of the text; extra
 columns are ignored or, in ``without_repeats``, kept; an empty table gives an
 empty result.
 """
@@ -23,16 +24,17 @@ empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagloom.llm.common import id_key, load, small_side, stored
-from dagloom.llm.words import slices, split_words, text_bytes, windows
+from dagloom.llm.common import digest, id_key, key_filter, load, small_side, stored
+from dagloom.llm.words import mix, slices, split_words, text_bytes, windows
 
 WINDOW = 20
 # A perfect difference set, and its modulus.
@@ -42,6 +44,9 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Numbers in broadcast position lists at most; beyond, the join is shuffled.
 BROADCAST_NUMBERS = 16_000_000
 
+#: Makes the second 64 bits of a window's hash.
+OTHER = np.uint64(0x5851F42D4C957F2D)
+
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -62,18 +67,25 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["h", "n"])
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in slices(batch, "text"):
-            w = split_words(*text_bytes(b.column("text")), lower=False)
-            at = _anchor_places(w.first)
-            h = windows(w.hash, ANCHOR)[at].view(np.int64)
-            doc = np.searchsorted(w.first, at, "right") - 1
-            row = pa.array(doc)
-            yield pa.record_batch(
-                [pa.array(h), b.column("k").take(row), b.column("t").take(row), pa.array((at - w.first[doc]).astype(np.int32))],
-                ["h", "k", "t", "at"],
-            )
+def _anchor_rows(several: Broadcast) -> Callable:
+    """Makes the rows of anchors that several, a filter, may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text"):
+                w = split_words(*text_bytes(b.column("text")), lower=False)
+                at = _anchor_places(w.first)
+                h = windows(w.hash, ANCHOR)[at]
+                some = several.value.may_hold(h)
+                at, h = at[some], h[some].view(np.int64)
+                doc = np.searchsorted(w.first, at, "right") - 1
+                row = pa.array(doc)
+                yield pa.record_batch(
+                    [pa.array(h), b.column("k").take(row), b.column("x").take(row), pa.array((at - w.first[doc]).astype(np.int32))],
+                    ["h", "k", "x", "at"],
+                )
+
+    return run
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,18 +108,20 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(
                 [
                     pa.array(windows(w.hash, WINDOW)[start].view(np.int64)),
+                    pa.array(windows(mix(w.hash ^ OTHER), WINDOW)[start].view(np.int64)),
                     b.column("k").take(row),
-                    b.column("t").take(row),
+                    b.column("x").take(row),
                     pa.array((start - w.first[doc]).astype(np.int32)),
                 ],
-                ["g", "k", "t", "at"],
+                ["g", "g2", "k", "x", "at"],
             )
 
 
-def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """The rows, a number for the id (k), the text and a digest of it (t)."""
+def _keyed(docs: DataFrame, text: str, key: str, *more: Column) -> DataFrame:
+    """A number for the id (k), the text, a digest (t) and a hash (x) of it."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(id_key(key).alias("k"), whole.alias("text")).withColumn("t", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    rows = docs.select(*more, id_key(key).alias("k"), whole.alias("text"))
+    return rows.withColumns({"t": digest("text"), "x": F.xxhash64("text")})
 
 
 def _numbers_side(lists: DataFrame, column: str) -> DataFrame:
@@ -117,22 +131,26 @@ def _numbers_side(lists: DataFrame, column: str) -> DataFrame:
 
 def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = "substring") -> tuple[DataFrame, DataFrame]:
     """Two stored tables: copies (t, first), of texts that more than one id has,
-    and covered (k, t, starts), the starts of covered windows of other texts."""
+    and covered (k, x, starts), the starts of covered windows of other texts."""
     rows = _keyed(docs, text, key)
     copies = stored(
         rows.groupBy("t").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("last > first").select("t", "first"),
         f"{name}-copies",
     )
-    own = rows.join(small_side(copies), "t", "left").where("first is null or first = k").select("k", "t", "text")
+    own = rows.join(small_side(copies), "t", "left").where("first is null or first = k").select("k", "x", "text")
     counts = own.select("text").mapInArrow(_anchor_counts, "h long, n byte")
     twice = stored(counts.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), f"{name}-anchors")
-    found = own.mapInArrow(_anchor_rows, "h long, k long, t binary, at int").join(small_side(twice), "h", "left_semi")
-    places = stored(found.groupBy("k", "t").agg(F.collect_list("at").alias("places")), f"{name}-places")
-    near = own.join(_numbers_side(places, "places"), ["k", "t"])
-    spans = stored(near.mapInArrow(_window_rows, "g long, k long, t binary, at int"), f"{name}-windows")
-    first = spans.groupBy("g").agg(F.min(F.struct("k", "at")).alias("f"), F.max(F.struct("k", "at")).alias("l")).where("f <> l")
-    later = spans.join(first, "g").where("f.k <> k or f.at <> at")
-    covered = later.groupBy("k", "t").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    several = docs.sparkSession.sparkContext.broadcast(key_filter(twice, "h"))
+    found = own.mapInArrow(_anchor_rows(several), "h long, k long, x long, at int").join(small_side(twice), "h", "left_semi")
+    places = stored(found.groupBy("k", "x").agg(F.collect_list("at").alias("places")), f"{name}-places")
+    near = own.join(_numbers_side(places, "places"), ["k", "x"])
+    spans = stored(near.mapInArrow(_window_rows, "g long, g2 long, k long, x long, at int"), f"{name}-windows")
+    first = spans.groupBy("g", "g2").agg(F.min(F.struct("k", "x", "at")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    # stored, so that the join has exchanges of its own and Spark can split the
+    # windows that most documents have
+    first = stored(first.select("g", "g2", F.col("f.k").alias("fk"), F.col("f.x").alias("fx"), F.col("f.at").alias("fat")), f"{name}-first")
+    later = spans.join(small_side(first), ["g", "g2"]).where("fk <> k or fx <> x or fat <> at")
+    covered = later.groupBy("k", "x").agg(F.sort_array(F.collect_set("at")).alias("starts"))
     return copies, stored(covered, f"{name}-covered")
 
 
@@ -149,10 +167,9 @@ def _kept(words: list[bytes], starts: np.ndarray | None, copy: bool) -> list[byt
 
 def _with_repeats(docs: DataFrame, copies: DataFrame, covered: DataFrame, text: str, key: str) -> DataFrame:
     """docs' rows with a list of covered starts and whether they are copies."""
-    rows = docs.select(F.struct("*").alias("row"), id_key(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("t", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    rows = _keyed(docs, text, key, F.struct("*").alias("row"))
     rows = rows.join(small_side(copies), "t", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("k"), F.lit(False)))
-    return rows.join(_numbers_side(covered, "starts"), ["k", "t"], "left")
+    return rows.join(_numbers_side(covered, "starts"), ["k", "x"], "left")
 
 
 def repeat_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -137,6 +137,17 @@ def test_jaccard_keys_meet():
                     assert len(np.intersect1d(jaccard.keys_of(plan, a), jaccard.keys_of(plan, b))), (len(a), len(b), inter)
 
 
+def test_names_and_repeated_rows(spark):
+    """Columns with inner names keep their values, rows without words all stay,
+    and of rows with one id and text the least as JSON stays."""
+    text = "one two three four five six seven"
+    rows = [(1, text, "b", 5), (1, text, "a", 7), (2, text, "c", 8), (3, None, "d", 9), (3, None, "d", 9), (4, "", "e", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __k string, __t int")
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[1], *rows[3:]], key=repr)
+
+
 def test_one_of_each(spark):
     kept = jaccard.one_of_each(awkward(spark, extra=True))
     assert kept.columns == awkward(spark, extra=True).columns
@@ -456,6 +467,14 @@ def test_substring_dedup(spark):
     assert substring.repeat_digests(empty(spark)).count() == 0
 
 
+def test_windows_of_one_id_at_one_place(spark):
+    """Two texts with one id and a window at the same place: one of them goes."""
+    same = " ".join("s%d" % i for i in range(25))
+    rows = [(None, same + " a b c"), (None, same + " d e"), (3, "x y")]
+    got = substring.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.n_words, r.n_removed) for r in got.collect() if r.doc_id is None) in ([(27, 25), (28, 0)], [(27, 0), (28, 25)])
+
+
 def test_without_repeats(spark):
     docs = awkward(spark, extra=True)
     out = substring.without_repeats(docs)
