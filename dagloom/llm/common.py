@@ -17,6 +17,9 @@ BROADCAST_BYTES = 64 << 20
 #: Bits of a key filter at most (32 MB), and bits for each key below that.
 FILTER_BITS = 1 << 28
 BITS_A_KEY = 16
+#: Rows in an Arrow batch at most: with whole texts in them, Spark's default of
+#: 10,000 takes tens of megabytes on both sides of each worker's pipe.
+BATCH_ROWS = 2000
 #: Stands for a null id inside joins; orders before every other id.
 NULL_ID = -(1 << 63)
 
@@ -34,12 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows, written as a Parquet table in the shared folder and read again.
 
     Cuts the lineage so that a lost executor costs a reread, not a rerun.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    small_batches(df.sparkSession)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -15,6 +15,7 @@ enumeration ends is where its cost passes that of the lists.
 Parts that are empty are no keys for a set with more than D other parts: its
 partners meet it elsewhere.  Only sets with fewer list their empty parts too.
 
+Of lists that hold the same classes one is kept, as they give the same pairs.
 Lists are scanned without emitting their pairs: in each round every set of a
 list is held against a few pivots of other components and keeps the nearest by
 a bit-parity sketch, whose Hamming distance never exceeds the symmetric
@@ -172,6 +173,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return both.where(F.lit(plan.den) * inter >= F.lit(plan.num) * union).select("a", "b")
 
 
+def _of_one_membership(lists: DataFrame) -> DataFrame:
+    """Of lists(key, d, n) that hold the same classes, one each: they give the
+    same pairs, and near copies share most of their keys.  Memberships are told
+    apart by their number and 128 bits of hash."""
+    held = [F.bit_xor(F.xxhash64("d", F.lit(j))).alias(f"x{j}") for j in range(2)]
+    members = lists.groupBy("key").agg(F.count("*").alias("c"), *held)
+    kept = members.groupBy("c", "x0", "x1").agg(F.min("key").alias("key")).where("c > 1").select("key")
+    return lists.join(small_side(stored(kept, "one-membership")), "key", "left_semi")
+
+
 def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "text", key: str = "doc_id", name: str = "jaccard") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored tables: members (k, t, n, d), a row for each row of docs, d being
     its class; kinds (d, own, n), the classes of sets that are not empty, own
@@ -226,7 +237,7 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
     twice = stored(counts.where("c > 1").select("key"), f"{name}-keys")
     several = spark.sparkContext.broadcast(key_filter(twice))
     lists = own.mapInArrow(with_keys, "key long, d binary, n long").join(small_side(twice), "key", "left_semi")
-    lists = stored(lists.distinct(), f"{name}-lists")
+    lists = stored(_of_one_membership(stored(lists.distinct(), f"{name}-every")), f"{name}-lists")
     met = kinds.join(lists.select("d").distinct(), "d", "left_semi").select("own.k", "own.t")
     met = stored(met, f"{name}-met")
 
@@ -246,7 +257,9 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
 
     shape = "d binary, items array<long>" + "".join(f", s{k} long" for k in range(SKETCH))
     sets = own.join(small_side(met), ["k", "t"], "left_semi").mapInArrow(whole_sets, shape)
-    sets = stored(sets.dropDuplicates(["d"]), f"{name}-sets")
+    # sets are one for each class unless rows repeat an id and its text
+    again = members.join(small_side(met), ["k", "t"], "left_semi").groupBy("k", "t").count().where("count > 1")
+    sets = stored(sets if again.isEmpty() else sets.dropDuplicates(["d"]), f"{name}-sets")
 
     # star rounds: each set against one pivot of another component
     tried = spark.createDataFrame([], "a binary, b binary")
