@@ -1,24 +1,23 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items are joined on seeds, runs of ``SEED`` shared
-words (case of A-Z ignored).  For each pair that meets, Karp-Rabin hashes of
-the words give all maximal matches; the longest whose words are still unmarked
-on both sides becomes a tile, again and again, until no match of SEED words is
-left.  A document is contaminated by an item if tiles cover ``SHARE`` of the
+words (case of A-Z ignored).  For each pair that shares enough of them,
+Karp-Rabin hashes find the longest match of words that are still unmarked on
+both sides, which becomes a tile, again and again, until no match of SEED words
+is left.  A document is contaminated by an item if tiles cover ``SHARE`` of the
 item's words, in whatever order they stand.
 
 The benchmark is gone through in blocks of about ``BLOCK_WORDS`` words, so what
 a task holds of it is bounded whatever its size; each block meets all rows.
 
 Edge cases: null and empty texts match nothing; items with fewer words than a
-seed are never found; a null doc_id or item_id is reported as null; repeated
+seed are found where they stand whole, those without words never; a null doc_id or item_id is reported as null; repeated
 documents and items each give their rows; extra columns are ignored or, in
 ``without_leaks``, kept; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,43 +31,68 @@ from dagloom.llm.words import slices, split_words, text_bytes, windows
 SEED = 4
 SHARE = 0.5
 BLOCK_WORDS = 400_000
-
-
-def tiles(doc: np.ndarray, item: np.ndarray, seeds: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy string tiling; seeds: (place in doc, place in item) of equal
-    windows of ``least`` words.  Returns (doc place, item place, length)."""
-    if not len(seeds):
-        return []
-    order = np.lexsort((seeds[:, 0], seeds[:, 0] - seeds[:, 1]))
-    at, to = seeds[order, 0], seeds[order, 1]
-    new = np.ones(len(at), bool)
-    new[1:] = (np.diff(at) != 1) | (np.diff(at - to) != 0)
-    begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, len(at))) + least - 1
-    queue = [(-n, i, j) for n, i, j in zip(size.tolist(), at[begin].tolist(), to[begin].tolist())]
-    heapq.heapify(queue)
-    used_doc: set[int] = set()
-    used_item = np.zeros(len(item), bool)
-    out = []
-    while queue:
-        n, i, j = heapq.heappop(queue)
-        n = -n
-        free = [not used_item[j + k] and i + k not in used_doc for k in range(n)]
-        if all(free):
-            used_item[j : j + n] = True
-            used_doc.update(range(i, i + n))
-            out.append((i, j, n))
-            continue
-        k = 0
-        while k < n:  # what is left of the match goes back in line
-            if not free[k]:
-                k += 1
+#: Seeds of documents and items that are held side by side at once.
+MEETINGS = 1 << 21
+
+
+def _free(used: np.ndarray, size: int) -> np.ndarray:
+    """Starts of windows without a used word."""
+    total = np.concatenate([[0], np.cumsum(used)])
+    return np.flatnonzero(total[size:] == total[:-size]) if len(used) >= size else np.zeros(0, np.int64)
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of word hashes: again and again the longest match
+    of unmarked words is marked, of equally long ones the first in doc and then
+    in item.  Returns (doc place, item place, length).
+
+    The greatest length of any match is found by bisection: each length looks
+    for a Karp-Rabin hash of a window that both sides have.  Time and memory
+    don't depend on how often the same words repeat.
+    """
+    known = np.isin(doc, item)
+    near = np.zeros(len(doc) + 1, bool)  # words that can be in a tile, and one after each run
+    starts = _free(~known, least)
+    for k in range(least + 1):
+        near[starts + k] = True
+    place = np.flatnonzero(near[:-1])
+    doc, used_doc = doc[place], ~known[place]
+    # words that stood apart get a used one between them, as each run has one after it
+    used_item, out = np.zeros(len(item), bool), []
+
+    def shared(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Doc starts of free windows that the item has, and the item's starts
+        and hashes of its free windows."""
+        at, to = _free(used_doc, size), _free(used_item, size)
+        h, g = windows(doc, size)[at], windows(item, size)[to]
+        return at[np.isin(h, g)], to, g
+
+    low, high = least, min(len(doc), len(item))
+    while low <= high:
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(shared(middle)[0]):
+                low = middle
+            else:
+                high = middle - 1
+        at, to, g = shared(low)
+        if not len(at):
+            break
+        waiting: dict[int, list[int]] = {}
+        for j, x in zip(to[::-1].tolist(), g[::-1].tolist()):
+            waiting.setdefault(x, []).append(j)
+        h = windows(doc, low)
+        for i in at.tolist():
+            if used_doc[i : i + low].any():
                 continue
-            a = k
-            while k < n and free[k]:
-                k += 1
-            if k - a >= least:
-                heapq.heappush(queue, (a - k, i + a, j + a))
+            places = waiting[int(h[i])]
+            while places and used_item[places[-1] : places[-1] + low].any():
+                places.pop()
+            if places:
+                j = places.pop()
+                used_doc[i : i + low] = used_item[j : j + low] = True
+                out.append((int(place[i]), j, low))
+        low, high = least, low - 1
     return out
 
 
@@ -78,50 +102,79 @@ class Block:
     def __init__(self, ids: list, texts: list[str]):
         w = split_words(*text_bytes(pa.array(texts, pa.string())), lower=True)
         self.ids, self.first, self.words = ids, w.first, w.hash
+        self.size = np.diff(w.first)
         h = windows(w.hash, SEED)
         item = np.searchsorted(w.first, np.arange(len(h)), "right") - 1
-        fits = np.arange(len(h)) + SEED <= w.first[item + 1]
-        place = np.flatnonzero(fits)
+        place = np.flatnonzero(np.arange(len(h)) + SEED <= w.first[item + 1])
+        # of an item's equal seeds each counts by its place
         order = np.argsort(h[place], kind="stable")
         self.place = place[order]
-        self.hash = h[self.place]
+        self.hash, self.begin, self.times = np.unique(h[self.place], return_index=True, return_counts=True)
         self.item = item[self.place]
 
+    def short(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, int]]:
+        """Documents that hold a whole item of fewer words than a seed."""
+        out = set()
+        for n in range(1, SEED):
+            items = np.flatnonzero(self.size == n)
+            h = windows(words, n)
+            if not len(items) or not len(h):
+                continue
+            own = windows(self.words, n)[self.first[items]]
+            hit = np.flatnonzero(np.isin(h, own))
+            doc = np.searchsorted(first, hit, "right") - 1
+            fits = hit + n <= first[doc + 1]
+            for k, x in zip(items.tolist(), own.tolist()):
+                out |= {(d, k, 1.0, 1) for d in np.unique(doc[fits & (h[hit] == np.uint64(x))]).tolist()}
+        return sorted(out)
+
     def leaks(self, words: np.ndarray, first: np.ndarray, share: float) -> list[tuple[int, int, float, int]]:
         """(document, item, coverage, tiles) of those covered enough."""
+        out = self.short(words, first)
         h = windows(words, SEED)
         if not len(h) or not len(self.hash):
-            return []
-        low = np.searchsorted(self.hash, h)
-        hit = np.flatnonzero(self.hash[np.minimum(low, len(self.hash) - 1)] == h)
-        if not len(hit):
-            return []
+            return out
+        low = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        hit = np.flatnonzero(self.hash[low] == h)
         doc = np.searchsorted(first, hit, "right") - 1
         fits = hit + SEED <= first[doc + 1]
-        hit, doc = hit[fits], doc[fits]
-        low = low[hit]
-        n = np.searchsorted(self.hash, h[hit], "right") - low
-        row = np.repeat(np.arange(len(hit)), n)
-        seed = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        out, item = [], self.item[seed]
-        pair = doc[row].astype(np.int64) * len(self.ids) + item
-        order = np.argsort(pair, kind="stable")
-        edges = np.flatnonzero(np.diff(pair[order], prepend=-1))
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
-            d, k = divmod(int(pair[order[a]]), len(self.ids))
-            total = int(self.first[k + 1] - self.first[k])
-            at = hit[row[order[a:b]]] - first[d]
-            to = self.place[seed[order[a:b]]] - self.first[k]
+        met = np.unique(doc[fits].astype(np.int64) * len(self.hash) + low[hit[fits]])  # a document's seeds, once each
+        total = np.cumsum(self.times[met % len(self.hash)])
+        doc = met // len(self.hash)
+        a = 0
+        while a < len(met):  # whole documents, as many as meet few enough seeds
+            z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + MEETINGS, "right")))
+            z = int(np.searchsorted(doc, doc[z - 1], "right"))
+            out += self._tiled(met[a:z], words, first, share)
+            a = z
+        return out
+
+    def _tiled(self, met: np.ndarray, words: np.ndarray, first: np.ndarray, share: float) -> list[tuple[int, int, float, int]]:
+        seed = met % len(self.hash)
+        n = self.times[seed]
+        row = np.repeat(np.arange(len(met)), n)
+        at = self.begin[seed][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        pair = (met // len(self.hash))[row] * len(self.ids) + self.item[at]
+        pairs, each = np.unique(pair, return_counts=True)
+        enough = pairs[each * SEED >= share * self.size[pairs % len(self.ids)]]
+        kept = np.isin(pair, enough)
+        order = np.argsort(pair[kept], kind="stable")
+        pair, at = pair[kept][order], at[kept][order]
+        edges = np.flatnonzero(np.diff(pair, prepend=-1))
+        out = []
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(pair)]):
+            d, k = divmod(int(pair[a]), len(self.ids))
             # words of the item that any seed covers: tiles cover no more
-            mark = np.zeros(total + 1, np.int32)
+            mark = np.zeros(self.size[k] + 1, np.int32)
+            to = self.place[at[a:b]] - self.first[k]
             np.add.at(mark, to, 1)
             np.add.at(mark, to + SEED, -1)
-            if np.count_nonzero(np.cumsum(mark)) < share * total:
+            if np.count_nonzero(np.cumsum(mark)) < share * self.size[k]:
                 continue
-            found = tiles(words[first[d] : first[d + 1]], self.words[self.first[k] : self.first[k + 1]], np.stack([at, to], 1))
+            found = tiles(words[first[d] : first[d + 1]], self.words[self.first[k] : self.first[k + 1]])
             covered = sum(x[2] for x in found)
-            if covered >= share * total:
-                out.append((d, k, covered / total, len(found)))
+            if covered >= share * self.size[k]:
+                out.append((d, k, covered / int(self.size[k]), len(found)))
         return out
 
 

@@ -363,34 +363,62 @@ def test_decontamination(spark):
     assert decontam.find_leaks(df.limit(0), bench).count() == 0
 
 
+def brute_tiles(doc, item, least):
+    """Plain greedy string tiling, the first of equally long matches."""
+    md, mi, out = [False] * len(doc), [False] * len(item), []
+    while True:
+        best = (least - 1, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                k = 0
+                while i + k < len(doc) and j + k < len(item) and doc[i + k] == item[j + k] and not md[i + k] and not mi[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        if k < least:
+            return out
+        for x in range(k):
+            md[i + x] = mi[j + x] = True
+        out.append((i, j, k))
+
+
 def test_tiling_against_brute_force():
     rng = np.random.default_rng(1)
-    for _ in range(60):
-        doc, item = rng.integers(0, 4, int(rng.integers(0, 40))), rng.integers(0, 4, int(rng.integers(0, 20)))
-        n = 3
-        seeds = np.array([(i, j) for i in range(len(doc) - n + 1) for j in range(len(item) - n + 1) if (doc[i : i + n] == item[j : j + n]).all()]).reshape(-1, 2)
-        got = decontam.tiles(doc, item, seeds, n)
-        md, mi, want = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
-        while True:
-            best = 0
-            for i in range(len(doc)):
-                for j in range(len(item)):
-                    k = 0
-                    while i + k < len(doc) and j + k < len(item) and doc[i + k] == item[j + k] and not md[i + k] and not mi[j + k]:
-                        k += 1
-                    best = max(best, k)
-            if best < n:
-                break
-            i, j = next((i, j) for i in range(len(doc)) for j in range(len(item)) if i + best <= len(doc) and j + best <= len(item) and (doc[i : i + best] == item[j : j + best]).all() and not md[i : i + best].any() and not mi[j : j + best].any())
-            md[i : i + best] = mi[j : j + best] = True
-            want.append(best)
-        assert [x[2] for x in got][: 1] == want[:1]  # the longest is the same; ties may differ after it
-        used_d, used_i = set(), set()
-        for i, j, k in got:
-            assert (doc[i : i + k] == item[j : j + k]).all() and k >= n
-            assert not used_d & set(range(i, i + k)) and not used_i & set(range(j, j + k))
-            used_d |= set(range(i, i + k))
-            used_i |= set(range(j, j + k))
+    for letters in (1, 2, 4, 9):
+        for _ in range(25):
+            doc, item = (rng.integers(1, letters + 1, int(rng.integers(0, n))).astype(np.uint64) for n in (40, 20))
+            assert decontam.tiles(doc, item, 3) == brute_tiles(doc.tolist(), item.tolist(), 3)
+    one = np.full(30_000, 7, np.uint64)  # memory and time bounded for repeated words
+    assert decontam.tiles(one, one[:15_000]) == [(0, 0, 15_000)]
+
+
+def test_decontamination_against_brute_force(spark):
+    """Whole result, short items included, and with few seeds at once."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: [f"v{x}" for x in rng.integers(0, 12, n)]
+    items = [draw(int(rng.integers(1, 30))) for _ in range(25)] + [["a"], [], ["a", "a", "a", "a", "a"]]
+    docs = [draw(int(rng.integers(0, 80))) for _ in range(40)] + [["a"] * 300, items[3] + draw(9) + items[4]]
+    want = []
+    for d, x in enumerate(docs):
+        for k, y in enumerate(items):
+            if 0 < len(y) < decontam.SEED:
+                if any(x[i : i + len(y)] == y for i in range(len(x))):
+                    want.append((d, k, 1.0, 1))
+            elif y:
+                found = brute_tiles(x, y, decontam.SEED)
+                if sum(t[2] for t in found) >= 0.5 * len(y):
+                    want.append((d, k, round(sum(t[2] for t in found) / len(y), 6), len(found)))
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], f"{key} long, text string")
+    got = decontam.find_leaks(frame(docs, "doc_id"), frame(items, "item_id"))
+    assert sorted((r.k, r.item_id, round(r.coverage, 6), r.tiles) for r in got.collect()) == sorted(want)
+    block = decontam.Block(list(range(len(items))), [" ".join(x) for x in items])
+    w = decontam.split_words(*decontam.text_bytes(decontam.pa.array([" ".join(x) for x in docs])), lower=True)
+    meetings, decontam.MEETINGS = decontam.MEETINGS, 5
+    try:
+        assert sorted((d, k, round(c, 6), n) for d, k, c, n in block.leaks(w.hash, w.first, 0.5)) == sorted(want)
+    finally:
+        decontam.MEETINGS = meetings
 
 
 # ------------------------------------------------------------------ media
