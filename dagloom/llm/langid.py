@@ -214,17 +214,19 @@ def evidence(docs: DataFrame, text: str, key: str, declared: Column | None, host
 
 
 def known_language_only(docs: DataFrame, name: str = "langid") -> DataFrame:
-    """docs without rows that no language explains."""
-    rows = evidence(docs, "text", "doc_id", F.col("lang"), F.col("source"))
+    """docs without rows that no language explains.  lang labels what the model
+    is fitted on, so it is no evidence about a row."""
+    rows = evidence(docs, "text", "doc_id", None, F.col("source"))
     found = identify(rows, fit(docs.select(F.col("lang").alias("label"), "text")), name)
     gone = stored(found.where("not accepted").select("k", "t").distinct(), f"{name}-gone")
     return without(docs, gone, "text", "doc_id")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: text, declared language and source (as the host)."""
+    """All documents: text and source (as the host).  They declare nothing: lang
+    holds the labels that the model is fitted on."""
     docs = load(spark, sf_dir, "documents")
-    rows = evidence(docs, "text", "doc_id", F.col("lang"), F.col("source"))
+    rows = evidence(docs, "text", "doc_id", None, F.col("source"))
     found = identify(rows, fit(docs.select(F.col("lang").alias("label"), "text")), "op5")
     return found.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"), "lang", "posterior", "accepted")
 
