@@ -20,6 +20,8 @@ BITS_A_KEY = 16
 #: Rows in an Arrow batch at most: with whole texts in them, Spark's default of
 #: 10,000 takes tens of megabytes on both sides of each worker's pipe.
 BATCH_ROWS = 2000
+#: Spark's setting that drops a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Stands for a null id inside joins; orders before every other id.
 NULL_ID = -(1 << 63)
 
@@ -46,11 +48,17 @@ def small_batches(spark: SparkSession) -> None:
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows, written as a Parquet table in the shared folder and read again.
 
-    Cuts the lineage so that a lost executor costs a reread, not a rerun.
+    Cuts the lineage so that a lost executor costs a reread, not a rerun.  What
+    was shuffled for the table goes once it is written.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     small_batches(df.sparkSession)
-    df.write.options(**options).parquet(path)
+    before = df.sparkSession.conf.get(CLEANUP)
+    df.sparkSession.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        df.sparkSession.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -164,10 +164,11 @@ def _digest(items: np.ndarray) -> bytes:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """Of pairs(a, b), those whose sets are similar."""
-    left = sets.select(F.col("d").alias("a"), F.col("items").alias("ia"))
-    right = sets.select(F.col("d").alias("b"), F.col("items").alias("ib"))
-    both = pairs.join(left, "a").join(right, "b")
+    """Of the stored pairs(a, b), those whose sets are similar.  Sets meet the
+    pairs where they are read, and only those in pairs are shuffled."""
+    left = sets.select(F.col("d").alias("a"), F.col("items").alias("ia")).join(small_side(pairs), "a")
+    right = sets.select(F.col("d").alias("b"), F.col("items").alias("ib")).join(small_side(pairs.select("b")), "b", "left_semi")
+    both = left.join(right, "b")
     inter = F.size(F.array_intersect("ia", "ib"))
     union = F.size("ia") + F.size("ib") - inter
     return both.where(F.lit(plan.den) * inter >= F.lit(plan.num) * union).select("a", "b")
@@ -329,7 +330,7 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
         ends = ends.where("ca <> cb")
         order = Window.partitionBy("a", "cb").orderBy("apart", "b")
         ends = stored(ends.withColumn("r", F.row_number().over(order)), f"{name}-ends")
-        pairs = ends.where(F.col("r") <= best).select("a", "b")
+        pairs = stored(ends.where(F.col("r") <= best).select("a", "b"), f"{name}-best")
         left = ends.where(F.col("r") > best).select("a", "b", "apart")
         if pairs.isEmpty():
             break
