@@ -163,15 +163,22 @@ def _digest(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """Of the stored pairs(a, b), those whose sets are similar.  Sets meet the
-    pairs where they are read, and only those in pairs are shuffled."""
-    left = sets.select(F.col("d").alias("a"), F.col("items").alias("ia")).join(small_side(pairs), "a")
-    right = sets.select(F.col("d").alias("b"), F.col("items").alias("ib")).join(small_side(pairs.select("b")), "b", "left_semi")
-    both = left.join(right, "b")
-    inter = F.size(F.array_intersect("ia", "ib"))
-    union = F.size("ia") + F.size("ib") - inter
-    return both.where(F.lit(plan.den) * inter >= F.lit(plan.num) * union).select("a", "b")
+def _verified(pairs: DataFrame, sets: DataFrame, volume: int, plan: Plan, name: str) -> DataFrame:
+    """Of the stored pairs(a, b, n), those whose sets are similar; n: shingles
+    of a; volume: those of all sets.  Sets meet the pairs where they are read,
+    and only those in pairs are shuffled, about half the sets' volume at a time."""
+    parts = max(1, math.ceil(2 * (pairs.agg(F.sum("n").alias("n")).first()["n"] or 0) / max(volume, 1)))
+    out = None
+    for part in range(parts):
+        some = pairs.where(F.pmod(F.xxhash64("b"), F.lit(parts)) == part).select("a", "b")
+        left = sets.select(F.col("d").alias("a"), F.col("items").alias("ia")).join(small_side(some), "a")
+        right = sets.select(F.col("d").alias("b"), F.col("items").alias("ib")).join(small_side(some.select("b")), "b", "left_semi")
+        both = left.join(right, "b")
+        inter = F.size(F.array_intersect("ia", "ib"))
+        union = F.size("ia") + F.size("ib") - inter
+        found = stored(both.where(F.lit(plan.den) * inter >= F.lit(plan.num) * union).select("a", "b"), f"{name}-links")
+        out = found if out is None else out.union(found)
+    return out
 
 
 def _of_one_membership(lists: DataFrame) -> DataFrame:
@@ -271,11 +278,13 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
             return df.withColumn("c", F.col("d"))
         return df.join(label, "d", "left").withColumn("c", F.coalesce("c", "d"))
 
-    def settle(found: DataFrame) -> bool:
-        """Joins the components of verified pairs; whether there were any.
+    volume = sets.agg(F.sum(F.size("items")).alias("n")).first()["n"] or 0
+
+    def settle(pairs: DataFrame) -> bool:
+        """Joins the components of pairs that are similar; whether there were any.
         Only pairs of different components are looked at, once each."""
         nonlocal label
-        new = stored(found, f"{name}-links")
+        new = _verified(pairs, sets, volume, plan, name)
         if new.isEmpty():
             return False
         ends = new
@@ -309,18 +318,18 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
         # stored, so that neither side of the join has its exchange in common
         # with the aggregate and Spark can split the lists with most sets
         pivot = stored(pivot, f"{name}-pivots")
-        near = rest.alias("x").join(pivot.alias("y"), able).select(F.col("x.d").alias("d"), F.struct(apart.alias("apart"), F.col("y.d").alias("p")).alias("y"))
-        near = near.groupBy("d").agg(F.min("y").alias("y")).select(F.least("d", "y.p").alias("a"), F.greatest("d", "y.p").alias("b"))
+        near = rest.alias("x").join(pivot.alias("y"), able).select(F.col("x.d").alias("d"), F.struct(apart.alias("apart"), F.col("y.d").alias("p"), F.greatest("x.n", "y.n").alias("n")).alias("y"))
+        near = near.groupBy("d").agg(F.min("y").alias("y")).select(F.least("d", "y.p").alias("a"), F.greatest("d", "y.p").alias("b"), "y.n")
         pairs = stored(near.distinct().join(tried, ["a", "b"], "left_anti"), f"{name}-star")
-        tried = tried.union(pairs)
-        if not settle(_verified(pairs, sets, plan)):
+        tried = tried.union(pairs.select("a", "b"))
+        if not settle(pairs):
             break
         rest = unsettled()
 
     # what unsettled lists have left
     x, y = rest.alias("x"), rest.alias("y")
     left = x.join(y, able & (F.col("x.d") < F.col("y.d")))
-    left = left.select(F.col("x.d").alias("a"), F.col("y.d").alias("b"), apart.alias("apart")).distinct()
+    left = left.select(F.col("x.d").alias("a"), F.col("y.d").alias("b"), apart.alias("apart"), F.greatest("x.n", "y.n").alias("n")).distinct()
     left = stored(left.join(tried, ["a", "b"], "left_anti"), f"{name}-left")
     best = 2
     while True:
@@ -330,11 +339,11 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
         ends = ends.where("ca <> cb")
         order = Window.partitionBy("a", "cb").orderBy("apart", "b")
         ends = stored(ends.withColumn("r", F.row_number().over(order)), f"{name}-ends")
-        pairs = stored(ends.where(F.col("r") <= best).select("a", "b"), f"{name}-best")
-        left = ends.where(F.col("r") > best).select("a", "b", "apart")
+        pairs = stored(ends.where(F.col("r") <= best).select("a", "b", "n"), f"{name}-best")
+        left = ends.where(F.col("r") > best).select("a", "b", "apart", "n")
         if pairs.isEmpty():
             break
-        settle(_verified(pairs, sets, plan))
+        settle(pairs)
         best *= 16
     return members, kinds, label if label is not None else spark.createDataFrame([], "d binary, c binary")
 
