@@ -11,14 +11,14 @@ PRIME = 2147483647
 
 
 def priority(key: Column, turn: int | Column, seed: int) -> Column:
-    """A hash of key (below 8e9) that any SQL engine can compute, 0 .. PRIME-1."""
+    """A hash of any long key that any SQL engine can compute, 0 .. PRIME-1."""
     turn = F.lit(turn) if isinstance(turn, int) else turn
-    h = F.pmod(key.cast("long") * STEP + turn.cast("long") * SHIFT + F.lit(seed), F.lit(MODULUS))
+    h = F.pmod(F.pmod(key.cast("long"), F.lit(MODULUS)) * STEP + turn.cast("long") * SHIFT + F.lit(seed), F.lit(MODULUS))
     return F.pmod(h * (h + 1), F.lit(PRIME))
 
 
 def priority_sql(key: str, turn: str, seed: int) -> str:
-    h = f"((({key})::BIGINT * {STEP} + ({turn})::BIGINT * {SHIFT} + {seed}) % {MODULUS})"
+    h = f"((({key})::BIGINT % {MODULUS} * {STEP} + ({turn})::BIGINT * {SHIFT} + {seed}) % {MODULUS})"
     return f"(({h} * ({h} + 1)) % {PRIME})"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dagloom.graph import TaskGraph
 from dagloom.operators import kernels
-from dagloom.operators.traverse import by_strategy, checked_levels
+from dagloom.operators.traverse import by_strategy, checked_levels, is_acyclic
 from dagloom.plans.fixpoint import cut
 
 CLUSTERED = "graph_id long, node_id long, cluster_id long"
@@ -41,7 +41,7 @@ def convex_clusters(g: TaskGraph, size: int, strategy: str = "auto") -> DataFram
     if size < 1:
         raise ValueError("a cluster holds at least one node")
     levelled = TaskGraph(g.nodes.select("graph_id", "node_id", "node_seq").join(checked_levels(g, strategy), ["graph_id", "node_id"]), g.edges)
-    return by_strategy(levelled, strategy, lambda a, b: kernels.convex_clusters(a, b, size), CLUSTERED, lambda x: _loop_clusters(x, size))
+    return by_strategy(levelled, strategy, lambda a, b: kernels.convex_clusters(a, b, size), CLUSTERED, lambda x: _loop_clusters(x, size), like=g)
 
 
 def cluster_members(clusters: DataFrame) -> DataFrame:
@@ -50,6 +50,7 @@ def cluster_members(clusters: DataFrame) -> DataFrame:
 
 def quotient_edges(g: TaskGraph, clusters: DataFrame) -> DataFrame:
     """(graph_id, c_src, c_dst, multiplicity) of edges between clusters."""
+    clusters = cut(clusters)  # it is joined twice
     ends = g.edges.join(clusters.select("graph_id", F.col("node_id").alias("src"), F.col("cluster_id").alias("c_src")), ["graph_id", "src"])
     ends = ends.join(clusters.select("graph_id", F.col("node_id").alias("dst"), F.col("cluster_id").alias("c_dst")), ["graph_id", "dst"])
     return ends.where("c_src <> c_dst").groupBy("graph_id", "c_src", "c_dst").agg(F.count("*").alias("multiplicity"))
@@ -66,8 +67,6 @@ def quotient(g: TaskGraph, clusters: DataFrame, dedupe: bool = True) -> TaskGrap
     )
 
 
-def quotient_acyclic(g: TaskGraph, clusters: DataFrame) -> DataFrame:
-    """(graph_id, acyclic) by one pass: ids rise along every quotient edge."""
-    falls = quotient_edges(g, clusters).groupBy("graph_id").agg(F.max((F.col("c_src") >= F.col("c_dst")).cast("int")).alias("falls"))
-    graphs = clusters.select("graph_id").distinct()
-    return graphs.join(falls, "graph_id", "left").select("graph_id", (F.coalesce("falls", F.lit(0)) == 0).alias("acyclic"))
+def quotient_acyclic(g: TaskGraph, clusters: DataFrame, strategy: str = "auto") -> DataFrame:
+    """(graph_id, acyclic) of the quotient of any clustering."""
+    return is_acyclic(quotient(g, clusters), strategy)

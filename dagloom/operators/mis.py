@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,15 +13,38 @@ from dagloom.functions.numbers import priority
 from dagloom.graph import UndirectedGraph
 from dagloom.plans.fixpoint import cut, repeat
 
+#: Neighbours that are tried from one row.
+CHUNK = 100_000
+
 
 def random_graph(spark: SparkSession, n: int, chance: float, seed: int = 42) -> UndirectedGraph:
     """Each pair u < v is an edge with that chance, by a hash of the pair."""
     u = spark.range(n).toDF("src").where(F.col("src") < n - 1)
-    pairs = u.select("src", F.explode(F.sequence(F.col("src") + 1, F.lit(n - 1).cast("long"))).alias("dst"))
+    lead = u.select("src", F.explode(F.sequence(F.col("src") + 1, F.lit(n - 1).cast("long"), F.lit(CHUNK).cast("long"))).alias("from"))
+    pairs = lead.select("src", F.explode(F.sequence("from", F.least(F.col("from") + CHUNK - 1, F.lit(n - 1).cast("long")))).alias("dst"))
     coin = F.pmod(priority(F.col("src") * n + F.col("dst"), 0, seed), F.lit(1_000_000)) < F.lit(int(chance * 1_000_000))
     return UndirectedGraph.of(spark.range(n).toDF("v"), pairs.where(coin))
 
 
+def sparse_random_graph(spark: SparkSession, n: int, chance: float, seed: int = 42) -> UndirectedGraph:
+    """The same distribution without looking at every pair: each u draws the
+    gaps between its neighbours, of a generator of its own."""
+    if not 0 < chance < 1:
+        return random_graph(spark, n, chance, seed)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for u in b.column(0).to_pylist():
+                rng, at = np.random.default_rng([seed, u]), u
+                while at < n:
+                    places = at + np.cumsum(rng.geometric(chance, 1024))
+                    at = int(places[-1])
+                    found = places[places < n]
+                    yield pa.record_batch([pa.array(np.full(len(found), u)), pa.array(found)], ["src", "dst"])
+
+    return UndirectedGraph.of(spark.range(n).toDF("v"), spark.range(n).mapInArrow(draw, "src long, dst long"))
+
+
 def count_edges(g: UndirectedGraph) -> DataFrame:
     return g.edges.where("src < dst").agg(F.count("*").alias("n_edges"))
 

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from dagloom.functions.numbers import checksum
 from dagloom.graph import TaskGraph
 from dagloom.operators.cluster import quotient
-from dagloom.operators.lanes import lane_constraints, lane_graph
+from dagloom.operators.lanes import lane_constraints, lane_graph, lanes
+from dagloom.operators.mutate import incremental, parallelism_bounce
 from dagloom.operators.traverse import levels, topo_order
+from dagloom.plans.fixpoint import cut
 
 
 def schedule(g: TaskGraph, max_parallelism: int | None = None, strategy: str = "auto") -> DataFrame:
@@ -46,8 +48,9 @@ def schedule_clusters(g: TaskGraph, clusters: DataFrame, matrix_size: int = 8, s
 def schedule_lanes(g: TaskGraph, laned: DataFrame, incremental: bool = False, strategy: str = "auto") -> DataFrame:
     """(graph_id, node_id, wave, slot): levels over the lanes' edges, or, if
     incremental, over the edges with the lanes' chains; slot is the lane."""
+    laned = cut(laned)  # what follows reads it several times
     limited = lane_constraints(g, laned) if incremental else lane_graph(g, laned)
-    waves = levels(limited, strategy).withColumnRenamed("level", "wave")
+    waves = levels(limited, strategy, like=g).withColumnRenamed("level", "wave")
     return waves.join(laned.select("graph_id", "node_id", F.col("lane").alias("slot")), ["graph_id", "node_id"])
 
 
@@ -58,6 +61,35 @@ def run_totals(plan: DataFrame, matrix_size: int = 8) -> DataFrame:
     return waves.groupBy("graph_id").agg(F.count("*").alias("waves"), F.sum("n").alias("tasks"), F.max("n").alias("widest")).withColumn("total", F.col("tasks") * checksum(matrix_size))
 
 
+def incremental_runs(g: TaskGraph, mode: str, turns: int, n: int, most: int = 8, seed: int = 42, matrix_size: int = 8) -> DataFrame:
+    """(iter, k, graph_id, waves, tasks, widest, total, nodes, edges): in each
+    turn the graph runs with parallelism k, is changed (see ``incremental``) and
+    looked through for cycles, and k bounces between most and 1; nodes and
+    edges are those after the change.  mode: "semaphore" lets k tasks run,
+    "lanes" runs k lanes, and "lanes-incremental" the edges with the lanes'
+    chains.  A cycle ends the loop with an error, and so does a mode of another
+    name."""
+    plans = {
+        "semaphore": lambda g, k: schedule(g, k),
+        "lanes": lambda g, k: schedule_lanes(g, lanes(g, k)),
+        "lanes-incremental": lambda g, k: schedule_lanes(g, lanes(g, k), incremental=True),
+    }
+    if mode not in plans:
+        raise ValueError(f"no such mode: {mode}")
+    out, changes = None, incremental(g, turns, n, seed)
+    for turn in range(turns):
+        k = parallelism_bounce(turn, most)
+        ran = cut(run_totals(plans[mode](g, k), matrix_size))
+        _, g, found = next(changes)
+        found = cut(found)
+        if not found.where("not acyclic").isEmpty():
+            raise RuntimeError(f"the graph has a cycle after turn {turn}")
+        row = ran.join(found.drop("acyclic"), "graph_id", "left")
+        row = row.select(F.lit(turn).cast("long").alias("iter"), F.lit(k).cast("long").alias("k"), *row.columns)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def timed(spark: SparkSession, phases: dict[str, Callable[[], DataFrame]]) -> DataFrame:
     """(phase, rows, us): runs each phase's plan and times it."""
     out = []

@@ -58,14 +58,15 @@ def grouped(g: TaskGraph, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.Data
     return nodes.cogroup(edges).applyInPandas(lambda a, b: kernel(a, b) if len(a) else kernel(a, b).iloc[:0], schema)
 
 
-def by_strategy(g: TaskGraph, strategy: str, kernel: Callable, schema: str, loop: Callable[[TaskGraph], DataFrame]) -> DataFrame:
+def by_strategy(g: TaskGraph, strategy: str, kernel: Callable, schema: str, loop: Callable[[TaskGraph], DataFrame], like: TaskGraph | None = None) -> DataFrame:
+    """like: a graph of about the same sizes whose rows are cheaper to count."""
     if strategy == "loop":
         return loop(g)
     if strategy == "grouped":
         return grouped(g, kernel, schema)
     if strategy != "auto":
         raise ValueError(f"no such strategy: {strategy}")
-    size = stats(g).withColumn("rows", F.col("num_nodes") + F.col("num_edges"))
+    size = stats(like or g).withColumn("rows", F.col("num_nodes") + F.col("num_edges"))
     total = size.agg(F.sum("rows").alias("n"), F.max("rows").alias("m")).first()
     if (total["m"] or 0) <= TASK_ROWS:
         return grouped(g, kernel, schema, total["n"] or 0)
@@ -114,10 +115,10 @@ def _loop_orders(g: TaskGraph) -> DataFrame:
     return levels.select("graph_id", "node_id").join(done, ["graph_id", "node_id"], "left").select("graph_id", "node_id", "level", "lid", "topo_id")
 
 
-def levels(g: TaskGraph, strategy: str = "auto") -> DataFrame:
+def levels(g: TaskGraph, strategy: str = "auto", like: TaskGraph | None = None) -> DataFrame:
     """(graph_id, node_id, level): the longest way from any source; null for
     nodes on or behind a cycle."""
-    out = by_strategy(g, strategy, kernels.level_orders, ORDERED, lambda x: _loop_levels(x).withColumns({"lid": F.lit(None).cast("long"), "topo_id": F.lit(None).cast("long")}))
+    out = by_strategy(g, strategy, kernels.level_orders, ORDERED, lambda x: _loop_levels(x).withColumns({"lid": F.lit(None).cast("long"), "topo_id": F.lit(None).cast("long")}), like)
     return out.select("graph_id", "node_id", "level")
 
 

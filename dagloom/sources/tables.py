@@ -63,11 +63,9 @@ def key_graph(spark: SparkSession, sf_dir: str) -> TaskGraph:
     return TaskGraph.of(nodes, edges)
 
 
-def part_graph(spark: SparkSession, sf_dir: str, every: int = 10) -> UndirectedGraph:
-    """Parts that occur in one order, of orders whose key ``every`` divides;
-    1 takes the whole table."""
-    lines = table(spark, sf_dir, "lineitem")
-    items = (lines.where(F.col("l_orderkey") % every == 0) if every > 1 else lines).select("l_orderkey", "l_partkey").distinct()
+def part_graph(spark: SparkSession, sf_dir: str) -> UndirectedGraph:
+    """Parts that occur in one order."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     other = items.select("l_orderkey", F.col("l_partkey").alias("dst"))
     pairs = items.join(other, "l_orderkey").select(F.col("l_partkey").alias("src"), "dst").where("src < dst").distinct()
     return UndirectedGraph.of(items.select(F.col("l_partkey").alias("v")), pairs)

@@ -74,9 +74,14 @@ def append_results(results: DataFrame, path: str) -> None:
 
 
 def harness_averages(log: DataFrame) -> DataFrame:
-    """log: (benchmark, run, line), lines such as ``run time: 123 us``.  The
-    mean of each metric over the runs, whole numbers rounded down."""
+    """log: (benchmark, run, line_no, line), lines such as ``run time: 123 us``.
+    A run's last line of a metric counts; the mean over the benchmark's runs has
+    six decimals, cut off.  A metric that a run lacks has no mean."""
     metric = F.regexp_extract("line", r"^\s*([A-Za-z_ ]+?)\s*[:=]\s*(\d+)\s*(?:us|ms)?\s*$", 1)
     value = F.regexp_extract("line", r"^\s*([A-Za-z_ ]+?)\s*[:=]\s*(\d+)\s*(?:us|ms)?\s*$", 2)
-    rows = log.select("benchmark", metric.alias("metric"), value.try_cast("long").alias("value")).where("value is not null")
-    return rows.groupBy("benchmark", "metric").agg(F.floor(F.sum("value") / F.count("*")).cast("long").alias("average"))
+    runs = log.groupBy("benchmark").agg(F.count_distinct("run").alias("runs"))
+    rows = log.select("benchmark", "run", "line_no", metric.alias("metric"), value.try_cast("long").alias("value")).where("value is not null")
+    last = rows.groupBy("benchmark", "metric", "run").agg(F.max_by("value", "line_no").alias("value"))
+    sums = last.groupBy("benchmark", "metric").agg(F.sum("value").alias("total"), F.count("*").alias("n")).join(runs, "benchmark")
+    mean = F.expr("(total * 1000000L) div runs") / F.lit(1e6)
+    return sums.select("benchmark", "metric", F.when(F.col("n") == F.col("runs"), mean).alias("average"))

@@ -67,7 +67,7 @@ def test_whole_part_graph(spark, tmp_path):
     parts = {v for _, v in items}
     near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in parts}
     hashes = {r.v: r.h for r in spark.range(40).select(F.col("id").alias("v"), priority(F.col("id"), 0, SEED).alias("h")).collect()}
-    got = {n: [tuple(r) for r in spark_queries()[f"{n}_whole"](spark, str(tmp_path)).collect()] for n in ("undirected_edge_count", "mis_greedy", "mis_priority", "mis_luby", "mis_independent", "mis_maximal")}
+    got = {n: [tuple(r) for r in spark_queries()[n](spark, str(tmp_path)).collect()] for n in ("undirected_edge_count", "mis_greedy", "mis_priority", "mis_luby", "mis_independent", "mis_maximal")}
     assert got["undirected_edge_count"] == [(len(pairs),)]
     assert {v for v, in got["mis_greedy"]} == scan(sorted(parts), pairs)
     assert {v for v, in got["mis_priority"]} == scan(sorted(parts, key=lambda v: (hashes[v], v)), pairs)

@@ -29,12 +29,13 @@ def test_bad_files(spark, tmp_path, text):
 
 
 def test_results(spark, tmp_path):
-    log = spark.createDataFrame([("x", 1, "run time: 10 us"), ("x", 2, "run time: 13 us"), ("x", 2, "noise")], "benchmark string, run int, line string")
+    lines = [("x", 1, 1, "run time: 99 us"), ("x", 1, 2, "run time: 10 us"), ("x", 2, 1, "run time: 13 us"), ("x", 2, 2, "noise"), ("x", 3, 7, "run time: 12 us"), ("x", 3, 8, "extra: 5")]
+    log = spark.createDataFrame(lines, "benchmark string, run int, line_no int, line string")
     found = harness_averages(log)
-    assert [tuple(r) for r in found.collect()] == [("x", "run time", 11)]
+    assert sorted(map(tuple, found.collect())) == [("x", "extra", None), ("x", "run time", 11.666666)]
     append_results(found, str(tmp_path / "csv"))
     append_results(found, str(tmp_path / "csv"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 4
 
 
 def test_stream_of_mutations(spark, tmp_path):
