@@ -6,13 +6,16 @@ ids.  Within a block the ids are split into up to ``LANES`` runs of neighbours
 which are coded side by side, one id of each run at a step; all runs share the
 models, which learn after each step.  So numpy works on whole steps.
 
-For each id, the last id seen after the two ids before it (order 2) and after
-the one before it (order 1) are candidates.  How sure each is - by its run of
-hits, by whether they agree, and by the candidate's order-0 frequency - is
-mixed in the logistic domain with learned weights into the chances that the
-order-2 candidate, else the order-1 candidate, is right.  Those decide the first
-coding step; an id that neither gives is coded by adaptive order-0 frequencies.
-All model arithmetic is on integers, so that any machine decodes alike.
+A block lists its distinct ids, frequent ones first.  An id is coded as its place
+in that list, as digits to base 16, the highest first.  Each digit is predicted
+from counts under no context (order 0), the id before (order 1) and the two ids
+before (order 2), always with the digits already known; rows of counts of orders
+1 and 2 are found by a hash, and contexts that fall together share one.  The
+three distributions are mixed with weights that depend on how often each context
+was seen, and which learn from the share that each order had in the chance of
+the digit that came (the expectation step of a mixture).  Frequencies come from
+single steps of IEEE arithmetic on elements and from exact sums of whole numbers,
+so any machine decodes alike.
 
 A file is a Parquet table of blocks, in ascending order of doc_id over the
 parts and within them; blocks list their documents' ids and lengths.
@@ -39,11 +42,10 @@ from dagloom.llm.ids import encoder
 from dagloom.llm.words import slices
 
 MAGIC = b"TIDB"
-VERSION = 1
+VERSION = 2
 BLOCK_IDS = 1 << 20
-LANES = 8192
-LEAST_STEPS = 64
-VOCAB = 1 << 16
+LANES = 4096
+LEAST_STEPS = 256
 END_ID = 2
 
 # range coder: 48-bit low and range, 16 bits out at a time
@@ -51,98 +53,80 @@ _MASK = np.uint64((1 << 48) - 1)
 _TOP = np.uint64(1 << 32)
 _BOT = np.uint64((1 << 28) - 1)
 _W, _W16 = np.uint64(32), np.uint64(16)
-_FLAGS = np.uint64(1 << 16)
 
+# models: rows of the hashed tables (as powers of two), where counts are halved
+ROWS_1, ROWS_2 = 18, 20
+MOST_1, MOST_2 = 1000, 250
+SCALE = 1 << 15
+LEAST_WEIGHT = 64
+LEARN_ALL, LEARN_EACH = 32, 4
 
-def _stretch() -> np.ndarray:
-    p = (np.arange(4096) + 0.5) / 4096
-    return np.round(np.log(p / (1 - p)) * 256).astype(np.int64)
-
-
-def _squash() -> np.ndarray:
-    x = np.arange(-2047, 2048) / 256
-    return np.clip(np.round(4096 / (1 + np.exp(-x))), 1, 4095).astype(np.int64)
-
-
-STRETCH, SQUASH = _stretch(), _squash()
-
-
-class Mixer:
-    """The chance of a yes from three integer-counted tables of contexts."""
-
-    def __init__(self, sizes: tuple[int, int, int]):
-        self.yes = [np.full(n, 1, np.int64) for n in sizes]
-        self.all = [np.full(n, 4, np.int64) for n in sizes]
-        self.weight = np.full(3, 1 << 15, np.int64)
-
-    def chance(self, contexts: list[np.ndarray]) -> np.ndarray:
-        self.contexts = contexts
-        self.inputs = []
-        total = 0
-        for yes, every, c, w in zip(self.yes, self.all, contexts, self.weight):
-            s = STRETCH[np.clip(yes * 4096 // every, 0, 4095)].take(c)
-            self.inputs.append(s)
-            total = total + s * w
-        self.p = SQUASH.take(np.clip(total >> 16, -2047, 2047) + 2047)
-        return self.p
-
-    def learn(self, hit: np.ndarray, on: np.ndarray) -> None:
-        n = int(on.sum())
-        if not n:
-            return
-        miss = np.where(hit, 4095, 0) - self.p
-        miss[~on] = 0
-        for k in range(3):
-            c = self.contexts[k]
-            self.all[k] += np.bincount(c[on], minlength=len(self.all[k]))
-            self.yes[k] += np.bincount(c[on & hit], minlength=len(self.yes[k]))
-            self.weight[k] += int((miss * self.inputs[k]).sum()) // n >> 6
+_ONES = np.ones(16, np.float32)
+_UPTO = np.triu(np.ones((16, 16), np.float32))
+_BITS = np.array([min(n.bit_length(), 7) for n in range(128)])
 
 
 class Models:
     """What has been learned of a block so far."""
 
-    def __init__(self) -> None:
-        self.next2 = np.zeros(1 << 18, np.uint16)
-        self.run2 = np.zeros(1 << 18, np.int64)
-        self.next1 = np.zeros(VOCAB, np.uint16)
-        self.run1 = np.zeros(VOCAB, np.int64)
-        self.count = np.ones(VOCAB, np.int64)
-        self.first, self.second = Mixer((32, 16, 32)), Mixer((16, 32, 32))
-        self.sums()
-
-    def sums(self) -> None:
-        self.cumulated = np.concatenate([[0], np.cumsum(self.count)]).astype(np.uint64)
-
-    def predict(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Candidates of order 2 and 1 and the interval ends of their flags."""
-        self.slot = (before.astype(np.int64) * 40503 + last.astype(np.int64) * 30011) & ((1 << 18) - 1)
-        self.last = last
-        a, b = self.next2.take(self.slot), self.next1.take(last)
-        r2, r1 = np.minimum(self.run2.take(self.slot), 15), np.minimum(self.run1.take(last), 15)
-        same = a == b
-        rare = lambda x: np.minimum(np.frexp(self.count.take(x).astype(np.float64))[1] - 1, 31).astype(np.int64)
-        p2 = self.first.chance([r2 + 16 * same, r1, rare(a)])
-        p1 = self.second.chance([r1, r2, rare(b)])
-        p1 = np.where(same, 0, p1)
-        q2 = np.minimum(p2 << 4, 65000)
-        q1 = np.where(same, 0, np.maximum((65536 - q2) * p1 >> 12, 1))
-        q1 = np.minimum(q1, 65535 - q2)
-        return a, b, q2.astype(np.uint64), (q2 + q1).astype(np.uint64)
-
-    def learn(self, sym: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-        hit2, hit1 = sym == a, sym == b
-        every = np.ones(len(sym), bool)
-        self.first.learn(hit2, every)
-        self.second.learn(hit1, ~hit2 & (a != b))
-        self.run2[self.slot] = np.where(hit2, np.minimum(self.run2.take(self.slot) + 1, 40), 0)
-        self.run1[self.last] = np.where(hit1, np.minimum(self.run1.take(self.last) + 1, 40), 0)
-        self.next2[self.slot] = sym
-        self.next1[self.last] = sym
-        new = sym[~hit2 & ~hit1]
-        if len(new):
-            self.count += 8 * np.bincount(new, minlength=VOCAB)
-            self.sums()
+    def __init__(self, levels: int) -> None:
+        self.zero = [np.zeros((16**k, 16), np.int64) for k in range(levels)]
+        self.one = np.zeros((1 << ROWS_1, 16), np.uint16)
+        self.two = np.zeros((1 << ROWS_2, 16), np.uint16)
+        self.weight = np.full((3, levels * 64), SCALE // 3, np.int64)
+        self.step = -1
+
+    def after(self, before: np.ndarray, last: np.ndarray) -> None:
+        """Sets the contexts of the next id."""
+        self.step += 1
+        self.hash1 = last.astype(np.uint32) * np.uint32(0x9E3779B1)
+        self.hash2 = (self.hash1 ^ (before.astype(np.uint32) * np.uint32(0x85EBCA6B) + np.uint32(1))) * np.uint32(0xC2B2AE35)
+        self.row = np.arange(len(last)) * 16
+
+    def predict(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Frequencies of the digits and their running sums; node: the digits
+        known of the id, as a number."""
+        self.level, self.node = level, node
+        place = (node + 16**level).astype(np.uint32) * np.uint32(0x85EBCA77)
+        self.at1 = ((self.hash1 ^ place) * np.uint32(0x27D4EB2F) >> np.uint32(32 - ROWS_1)).astype(np.int64)
+        self.at2 = ((self.hash2 ^ place) * np.uint32(0x165667B1) >> np.uint32(32 - ROWS_2)).astype(np.int64)
+        zero = self.zero[level]
+        share = (zero / np.maximum(zero.sum(1, keepdims=True), 1)).astype(np.float32)
+        part0 = share.take(node, 0)
+        part1, part2 = self.one.take(self.at1, 0).astype(np.float32), self.two.take(self.at2, 0).astype(np.float32)
+        seen1, seen2 = part1 @ _ONES, part2 @ _ONES
+        self.set = level * 64 + _BITS.take(seen1.astype(np.int64), mode="clip") * 8 + _BITS.take(seen2.astype(np.int64), mode="clip")
+        weight = [w.take(self.set) for w in self.weight.astype(np.float32)]
+        part0 *= weight[0][:, None]
+        part1 *= (weight[1] / np.maximum(seen1, np.float32(1)))[:, None]
+        part2 *= (weight[2] / np.maximum(seen2, np.float32(1)))[:, None]
+        self.parts = part0, part1, part2
+        f = part0 + part1
+        f += part2
+        np.floor(f, out=f)
+        f += np.float32(1)
+        self.frequency = f
+        return f, f @ _UPTO
+
+    def learn(self, digit: np.ndarray) -> None:
+        came = self.row + digit
+        if self.step < LEARN_ALL or self.step % LEARN_EACH == 0:
+            size = self.weight.shape[1]
+            f = self.frequency.ravel().take(came)
+            n = np.bincount(self.set, minlength=size)
+            on = np.flatnonzero(n)
+            for w, part in zip(self.weight, self.parts):
+                share = np.floor(part.ravel().take(came) * np.float32(SCALE) / f)
+                mean = np.bincount(self.set, share, size).astype(np.int64)[on] // n[on]
+                w[on] = np.maximum(w[on] + (mean - w[on]) * np.minimum(n[on], 64) // 256, LEAST_WEIGHT)
+        zero = self.zero[self.level]
+        zero += np.bincount(self.node * 16 + digit, minlength=zero.size).reshape(zero.shape)
+        for table, at, most in ((self.one, self.at1, MOST_1), (self.two, self.at2, MOST_2)):
+            flat, cell = table.reshape(-1), at * 16 + digit
+            np.add.at(flat, cell, np.uint16(1))
+            high = flat.take(cell) > most
+            if high.any():
+                table[np.unique(at[high])] >>= np.uint16(1)
 
 
 def _shape(n: int) -> tuple[np.ndarray, int]:
@@ -153,122 +137,128 @@ def _shape(n: int) -> tuple[np.ndarray, int]:
     return size, int(size[0]) if n else 0
 
 
+def _digits(distinct: int) -> int:
+    levels = 1
+    while 16**levels < distinct:
+        levels += 1
+    return levels
+
+
 class _Coder:
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, _MASK, np.uint64)
 
-    def shrink(self, at: np.ndarray | slice, start: np.ndarray, width: np.ndarray, unit: np.ndarray) -> None:
-        self.low[at] += start * unit
-        self.range[at] = width * unit
-
     def ready(self, n: int) -> Iterator[np.ndarray]:
         """Lanes that shift 16 bits out, until all have range enough."""
-        at = np.arange(n)
-        while True:
-            low, wide = self.low[at], self.range[at]
-            settled = (low ^ (low + wide)) < _TOP
-            short = ~settled & (wide <= _BOT)
-            if short.any():
-                # the range ends at the next border, so that the top settles
-                self.range[at[short]] = (~low[short] + np.uint64(1)) & _BOT
-            at = at[settled | short]
-            if not len(at):
-                return
+        low, wide = self.low[:n], self.range[:n]
+        at = np.flatnonzero(((low ^ (low + wide)) < _TOP) | (wide <= _BOT))
+        while len(at):
+            # where the top isn't settled the range ends at the next border
+            a, w = low[at], wide[at]
+            w = np.where((a ^ (a + w)) < _TOP, w, (~a + np.uint64(1)) & _BOT)
             yield at
-            self.low[at] = (self.low[at] << _W16) & _MASK
-            self.range[at] = (self.range[at] << _W16) & _MASK
+            low[at] = a = (a << _W16) & _MASK
+            wide[at] = w = (w << _W16) & _MASK
+            at = at[((a ^ (a + w)) < _TOP) | (w <= _BOT)]
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
     """Coded form of ids (each under 65,536)."""
     n = len(ids)
+    if n and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << 16:
+        raise ValueError("ids of this format have 16 bits")
     size, steps = _shape(n)
     begin = np.cumsum(size) - size
-    coder, model = _Coder(len(size)), Models()
+    count = np.bincount(ids, minlength=1 << 16)
+    order = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]  # distinct ids
+    place = np.empty(1 << 16, np.int64)
+    place[order] = np.arange(len(order))
+    symbols = place.take(ids)
+    levels = _digits(len(order))
+    coder, model = _Coder(len(size)), Models(levels)
     lanes, words = [], []
-    ids = ids.astype(np.uint16)
-
-    def put(n: int) -> None:
-        for at in coder.ready(n):
-            lanes.append(at.astype(np.int32))
-            words.append((coder.low[at] >> _W).astype(np.uint16))
-
-    before = last = np.zeros(len(size), np.uint16)
+    before = last = np.zeros(len(size), np.int64)
     for step in range(steps):
         on = int(np.searchsorted(-size, -step, "left"))  # lanes longer than step come first
-        sym = ids[begin[:on] + step]
-        a, b, q2, q1 = model.predict(before[:on], last[:on])
-        hit2, hit1 = sym == a, sym == b
-        start = np.where(hit2, np.uint64(0), np.where(hit1, q2, q1))
-        end = np.where(hit2, q2, np.where(hit1, q1, _FLAGS))
-        coder.shrink(slice(0, on), start, end - start, coder.range[:on] // _FLAGS)
-        put(on)
-        new = np.flatnonzero(~hit2 & ~hit1)
-        if len(new):
-            s = sym[new].astype(np.int64)
-            total = model.cumulated[-1]
-            low = model.cumulated[s]
-            coder.shrink(new, low, model.cumulated[s + 1] - low, coder.range[new] // total)
-            put(on)
-        model.learn(sym, a, b)
-        before, last = last[:on], sym
-    for _ in range(3):
-        lanes.append(np.arange(len(size), dtype=np.int32))
-        words.append((coder.low >> _W).astype(np.uint16))
-        coder.low = (coder.low << _W16) & _MASK
-    lane, word = np.concatenate(lanes), np.concatenate(words)
-    order = np.argsort(lane, kind="stable")
+        symbol = symbols[begin[:on] + step]
+        model.after(before[:on], last[:on])
+        node = np.zeros(on, np.int64)
+        for level in range(levels):
+            digit = symbol >> 4 * (levels - 1 - level) & 15
+            f, upto = model.predict(level, node)
+            came = model.row + digit
+            width = f.ravel().take(came).astype(np.uint64)
+            start = upto.ravel().take(came).astype(np.uint64) - width
+            unit = coder.range[:on] // upto[:, 15].astype(np.uint64)
+            coder.low[:on] += start * unit
+            coder.range[:on] = width * unit
+            for at in coder.ready(on):
+                lanes.append(at.astype(np.uint16))
+                words.append((coder.low[at] >> _W).astype(np.uint16))
+            model.learn(digit)
+            node = node * 16 + digit
+        before, last = last[:on], symbol
+    # as few words as name a value in the range; zeros follow
+    left = np.arange(len(size) if n else 0)
+    for k in range(1, 4):
+        unit = np.uint64(1 << 48 - 16 * k)
+        value = (coder.low[left] + unit - np.uint64(1)) // unit * unit
+        fits = value < coder.low[left] + coder.range[left]
+        for j in range(k):
+            lanes.append(left[fits].astype(np.uint16))
+            words.append((value[fits] >> np.uint64(32 - 16 * j) & np.uint64(0xFFFF)).astype(np.uint16))
+        left = left[~fits]
+    lane, word = np.concatenate([np.zeros(0, np.uint16), *lanes]), np.concatenate([np.zeros(0, np.uint16), *words])
     length = np.bincount(lane, minlength=len(size)).astype("<u4")
-    return length.tobytes() + word[order].astype("<u2").tobytes()
+    head = zlib.compress(order.astype("<u2").tobytes() + length.tobytes(), 6)
+    return struct.pack("<II", len(order), len(head)) + head + word[np.argsort(lane, kind="stable")].astype("<u2").tobytes()
 
 
 def decode_ids(coded: bytes, n: int) -> np.ndarray:
     size, steps = _shape(n)
     begin = np.cumsum(size) - size
     k = len(size)
-    length = np.frombuffer(coded, "<u4", k).astype(np.int64)
-    word = np.append(np.frombuffer(coded, "<u2", offset=4 * k).astype(np.uint64), np.zeros(4, np.uint64))
-    at = np.cumsum(length) - length
-    coder, model = _Coder(k), Models()
+    kinds, head_size = struct.unpack_from("<II", coded)
+    head = zlib.decompress(coded[8 : 8 + head_size])
+    distinct = np.frombuffer(head, "<u2", kinds)
+    length = np.frombuffer(head, "<u4", k, 2 * kinds).astype(np.int64)
+    word = np.append(np.frombuffer(coded, "<u2", offset=8 + head_size).astype(np.uint64), np.uint64(0))
+    stop = np.cumsum(length)
+    at = stop - length
+    levels = _digits(kinds)
+    coder, model = _Coder(k), Models(levels)
     code = np.zeros(k, np.uint64)
-    for _ in range(3):
-        code = code << _W16 | word[at]
-        at += 1
-    out = np.empty(n, np.uint16)
 
-    def take(n: int) -> None:
-        for x in coder.ready(n):
-            code[x] = (code[x] << _W16 | word[at[x]]) & _MASK
-            at[x] += 1
+    def take(x: np.ndarray) -> None:
+        code[x] = (code[x] << _W16 | word[np.where(at[x] < stop[x], at[x], -1)]) & _MASK
+        at[x] += 1
 
-    before = last = np.zeros(k, np.uint16)
+    for _ in range(3):
+        take(np.arange(k))
+    out = np.empty(n, np.int64)
+    before = last = np.zeros(k, np.int64)
     for step in range(steps):
         on = int(np.searchsorted(-size, -step, "left"))
-        a, b, q2, q1 = model.predict(before[:on], last[:on])
-        unit = coder.range[:on] // _FLAGS
-        value = ((code[:on] - coder.low[:on]) & _MASK) // unit
-        hit2 = value < q2
-        hit1 = ~hit2 & (value < q1)
-        start = np.where(hit2, np.uint64(0), np.where(hit1, q2, q1))
-        end = np.where(hit2, q2, np.where(hit1, q1, _FLAGS))
-        coder.shrink(slice(0, on), start, end - start, unit)
-        take(on)
-        sym = np.where(hit2, a, b)
-        new = np.flatnonzero(~hit2 & ~hit1)
-        if len(new):
-            total = model.cumulated[-1]
-            unit = coder.range[new] // total
-            value = np.minimum(((code[new] - coder.low[new]) & _MASK) // unit, total - np.uint64(1))
-            s = np.searchsorted(model.cumulated, value, "right") - 1
-            sym[new] = s
-            low = model.cumulated[s]
-            coder.shrink(new, low, model.cumulated[s + 1] - low, unit)
-            take(on)
-        out[begin[:on] + step] = sym
-        model.learn(sym, a, b)
-        before, last = last[:on], sym
-    return out
+        model.after(before[:on], last[:on])
+        node = np.zeros(on, np.int64)
+        for level in range(levels):
+            f, upto = model.predict(level, node)
+            total = upto[:, 15].astype(np.uint64)
+            unit = coder.range[:on] // total
+            value = np.minimum((code[:on] - coder.low[:on]) // unit, total - np.uint64(1)).astype(np.float32)
+            digit = ((upto <= value[:, None]).astype(np.float32) @ _ONES).astype(np.int64)
+            came = model.row + digit
+            width = f.ravel().take(came).astype(np.uint64)
+            coder.low[:on] += (upto.ravel().take(came).astype(np.uint64) - width) * unit
+            coder.range[:on] = width * unit
+            for x in coder.ready(on):
+                take(x)
+            model.learn(digit)
+            node = node * 16 + digit
+        out[begin[:on] + step] = node
+        before, last = last[:on], node
+    return distinct[out].astype(np.uint16) if n else np.empty(0, np.uint16)
 
 
 def write_block(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:

@@ -202,6 +202,20 @@ def test_codec_round_trips_and_sees_damage():
             codec.read_block(bytes(bad))
     small = codec.encode_ids(np.tile(np.arange(500), 100))
     assert len(small) < 50_000
+    with pytest.raises(ValueError):
+        codec.encode_ids(np.array([1 << 16]))
+
+
+def test_codec_beats_order_0_on_real_ids():
+    """Real ids of made-up prose: the context models earn clearly more than the
+    best static code of single ids would."""
+    rng = np.random.default_rng(8)
+    made = ["".join(rng.choice(list("aeioustrnlkm"), int(rng.integers(4, 11)))) for _ in range(2000)]
+    ids = np.array(word_ids(" ".join(made[min(int(x), 1999)] for x in rng.zipf(1.2, 40_000))))
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    coded = codec.encode_ids(ids)
+    assert (codec.decode_ids(coded, len(ids)) == ids).all()
+    assert len(coded) * 8 < 0.85 * len(ids) * -(share * np.log2(share)).sum()
 
 
 def check_packing(rows, got):
