@@ -61,11 +61,23 @@ SCALE = 1 << 15
 LEAST_WEIGHT = 64
 LEARN_ALL, LEARN_EACH = 32, 4
 
-_ONES = np.ones(16, np.float32)
 _UPTO = np.triu(np.ones((16, 16), np.float32))
 _BITS = np.array([min(n.bit_length(), 7) for n in range(128)])
 
 
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij->i", x)
+
+
+def _running_sums(x: np.ndarray) -> np.ndarray:
+    """Along rows.  Products this small stay in the calling thread: BLAS threads
+    would double the CPU time."""
+    out = np.empty_like(x)
+    for k in range(0, len(x), 512):
+        np.matmul(x[k : k + 512], _UPTO, out=out[k : k + 512])
+    return out
+
+
 class Models:
     """What has been learned of a block so far."""
 
@@ -94,7 +106,7 @@ class Models:
         share = (zero / np.maximum(zero.sum(1, keepdims=True), 1)).astype(np.float32)
         part0 = share.take(node, 0)
         part1, part2 = self.one.take(self.at1, 0).astype(np.float32), self.two.take(self.at2, 0).astype(np.float32)
-        seen1, seen2 = part1 @ _ONES, part2 @ _ONES
+        seen1, seen2 = _row_sums(part1), _row_sums(part2)
         self.set = level * 64 + _BITS.take(seen1.astype(np.int64), mode="clip") * 8 + _BITS.take(seen2.astype(np.int64), mode="clip")
         weight = [w.take(self.set) for w in self.weight.astype(np.float32)]
         part0 *= weight[0][:, None]
@@ -106,7 +118,7 @@ class Models:
         np.floor(f, out=f)
         f += np.float32(1)
         self.frequency = f
-        return f, f @ _UPTO
+        return f, _running_sums(f)
 
     def learn(self, digit: np.ndarray) -> None:
         came = self.row + digit
@@ -247,7 +259,7 @@ def decode_ids(coded: bytes, n: int) -> np.ndarray:
             total = upto[:, 15].astype(np.uint64)
             unit = coder.range[:on] // total
             value = np.minimum((code[:on] - coder.low[:on]) // unit, total - np.uint64(1)).astype(np.float32)
-            digit = ((upto <= value[:, None]).astype(np.float32) @ _ONES).astype(np.int64)
+            digit = _row_sums((upto <= value[:, None]).astype(np.float32)).astype(np.int64)
             came = model.row + digit
             width = f.ravel().take(came).astype(np.uint64)
             coder.low[:on] += (upto.ravel().take(came).astype(np.uint64) - width) * unit
