@@ -1,15 +1,19 @@
-"""Elias-Fano sequences and the bigram trie that is built of them.
+"""Elias-Fano sequences and the trigram trie that is built of them.
 
 ``EliasFano`` keeps a non-decreasing sequence in about 2 + log2(U / n) bits an
 entry: the low bits packed, the high bits as unary gaps with a directory of set
-bits, both readable at any place without unpacking the rest.  ``Trie`` has two
-levels: contexts, and the successors of each.  Level one gives, through a
-monotone pointer sequence, the range of a context's successors in level two;
-there each successor's rank in the shard's vocabulary is stored relative to its
-context (shifted by the ranges before it), so that the whole level is monotone
-and a successor is found by a search within its context's range alone.
-Log probabilities are quantised to a byte.  A trie is written as one file,
-whose levels are read through a memory map.
+bits, both readable at any place without unpacking the rest.
+
+``Trie`` has the contexts v, for each its successors w (the bigrams v w), for
+each its earlier words u (the trigram contexts u v), and for each of these its
+successors w (the trigrams u v w).  Every level is one monotone sequence of
+ranks, each range shifted by the ranges before it, and a monotone sequence of
+pointers to where its ranges begin.  A trigram's word is not kept by its rank in
+the vocabulary but by its place among the successors of the shorter context v,
+which is a much smaller number; a successor is found by a search within its
+context's range alone.  Log probabilities and backoff weights are quantised to a
+byte.  A trie is written as one file, whose levels are read through a memory map
+and never unpacked whole.
 
 The empty sequence and the empty trie are allowed.
 """
@@ -68,9 +72,6 @@ class EliasFano:
             out |= (low | over) & np.uint64((1 << self.low_bits) - 1)
         return out
 
-    def all(self) -> np.ndarray:
-        return self[np.arange(self.n)]
-
     def find(self, want: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Place of each wanted value within its range [low, high), or -1."""
         low, end = low.copy(), high
@@ -109,26 +110,33 @@ def value(codes: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """contexts, words: sorted hashes; pointers: ranges; successors: relative
-    ranks; probability: of each successor; backoff: of each context."""
-
-    NAMES = ("contexts", "words", "pointers", "successors")
-
-    def __init__(self, levels: dict[str, EliasFano], probability: np.ndarray, backoff: np.ndarray):
-        self.levels, self.probability, self.backoff = levels, probability, backoff
-        self._contexts, self._words = levels["contexts"].all(), levels["words"].all()
-
-    @staticmethod
-    def build(context: np.ndarray, word: np.ndarray, probability: np.ndarray, contexts: np.ndarray, backoff: np.ndarray) -> bytes:
-        """context, word, probability: of each bigram, sorted by the first two;
-        contexts, backoff: all contexts, sorted.  Returns the file's bytes."""
-        words = np.unique(word)
-        rank = np.searchsorted(words, word)
-        begin = np.searchsorted(context, contexts)
-        end = np.append(begin[1:], len(context))
-        shift = _shift(rank, begin, end)
-        levels = [contexts, words, np.append(begin, len(context)), rank + np.repeat(shift, end - begin)]
-        arrays = [a for x in levels for a in EliasFano.of(x).parts()] + [quantise(probability), quantise(backoff)]
+    NAMES = ("contexts", "words", "earlier", "pointers", "successors", "node_pointers", "nodes", "third_pointers", "third")
+    CODES = ("probability", "backoff", "third_probability", "node_backoff")
+
+    def __init__(self, levels: dict[str, EliasFano], codes: dict[str, np.ndarray]):
+        self.levels, self.codes = levels, codes
+
+    @classmethod
+    def build(
+        cls, contexts: np.ndarray, words: np.ndarray, earlier: np.ndarray,
+        bigrams: tuple[np.ndarray, np.ndarray, np.ndarray], backoff: np.ndarray,
+        nodes: tuple[np.ndarray, np.ndarray, np.ndarray],
+        trigrams: tuple[np.ndarray, np.ndarray, np.ndarray],
+    ) -> bytes:
+        """contexts, words, earlier: sorted hashes.  bigrams: (context, word, log
+        probability); nodes: (context, earlier word, log backoff); trigrams:
+        (node, bigram, log probability); all by places in the former, and sorted
+        by the first two.  backoff: each context's.  Returns the file's bytes."""
+        begin = np.searchsorted(bigrams[0], np.arange(len(contexts) + 1))
+        node_begin = np.searchsorted(nodes[0], np.arange(len(contexts) + 1))
+        third_begin = np.searchsorted(trigrams[0], np.arange(len(nodes[0]) + 1))
+        among = trigrams[1] - begin[nodes[0][trigrams[0]]]
+        levels = (
+            contexts, words, earlier, begin, _shifted(bigrams[1], begin),
+            node_begin, _shifted(nodes[1], node_begin), third_begin, _shifted(among, third_begin),
+        )
+        arrays = [a for x in levels for a in EliasFano.of(x).parts()]
+        arrays += [quantise(x) for x in (bigrams[2], backoff, trigrams[2], nodes[2])]
         head = np.array([[ord(a.dtype.kind), a.dtype.itemsize, len(a)] for a in arrays], np.int64)
         out = [np.array([len(arrays)], np.int64).tobytes(), head.tobytes()]
         for a in arrays:
@@ -150,48 +158,64 @@ class Trie:
             arrays.append(np.frombuffer(view, np.dtype(f"{chr(kind)}{size}"), length, at))
             at += size * length + -(size * length) % 8
         levels = {name: EliasFano.from_parts(arrays[4 * k : 4 * k + 4]) for k, name in enumerate(cls.NAMES)}
-        return cls(levels, *arrays[-2:])
-
-    def query(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability, found) of bigrams; for those not found, it is
-        the context's backoff weight, or 0 for a context that was not seen."""
-        n = len(context)
-        out, found = np.zeros(n), np.zeros(n, bool)
-        if not len(self._contexts):
-            return out, found
-        node = np.minimum(np.searchsorted(self._contexts, context), len(self._contexts) - 1)
-        known = self._contexts[node] == context
-        out[known] = value(self.backoff[node[known]])
-        if not len(self._words):
-            return out, found
-        rank = np.minimum(np.searchsorted(self._words, word), len(self._words) - 1)
-        at = np.flatnonzero(known & (self._words[rank] == word))
-        low = self.levels["pointers"][node[at]].astype(np.int64)
-        high = self.levels["pointers"][node[at] + 1].astype(np.int64)
-        every = self.levels["pointers"].all().astype(np.int64)
-        ranks = self.levels["successors"]
-        # a range's shift is what its first entry stands above its own rank
-        shift = self._shifts(every, ranks)[node[at]]
-        place = ranks.find(rank[at].astype(np.uint64) + shift, low, high)
-        hit = place >= 0
-        found[at[hit]] = True
-        out[at[hit]] = value(self.probability[place[hit]])
-        return out, found
-
-    def _shifts(self, pointers: np.ndarray, ranks: EliasFano) -> np.ndarray:
-        """Where each context's ranks begin: after the last one before it."""
-        if not hasattr(self, "_shift"):
-            last = pointers[:-1] - 1  # the last entry of the ranges before
-            shift = np.zeros(len(last), np.uint64)
-            some = last >= 0
-            shift[some] = ranks[last[some]] + np.uint64(1)
-            self._shift = shift
-        return self._shift
-
-
-def _shift(rank: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For each range, one more than the last shifted rank before it."""
-    if not len(begin):
+        return cls(levels, dict(zip(cls.CODES, arrays[4 * len(cls.NAMES) :])))
+
+    def places(self, level: str, hashes: np.ndarray) -> np.ndarray:
+        """Places of hashes among the contexts, words or earlier words, or -1."""
+        n = self.levels[level].n
+        if not n:
+            return np.full(len(hashes), -1, np.int64)
+        return self.levels[level].find(hashes, np.zeros(len(hashes), np.int64), np.full(len(hashes), n))
+
+    def _range(self, pointers: str, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.levels[pointers]
+        return at[node].astype(np.int64), at[node + 1].astype(np.int64)
+
+    def _within(self, pointers: str, ranks: str, node: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Places of ranks within the nodes' ranges, or -1; of -1, too."""
+        out = np.full(len(node), -1, np.int64)
+        level = self.levels[ranks]
+        at = np.flatnonzero((node >= 0) & (rank >= 0))
+        if level.n and len(at):
+            low, high = self._range(pointers, node[at])
+            # a range's shift is one more than the entry before it
+            shift = np.where(low > 0, level[np.maximum(low - 1, 0)] + np.uint64(1), np.uint64(0))
+            out[at] = level.find(rank[at].astype(np.uint64) + shift, low, high)
+        return out
+
+    def bigrams(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, place) by the places of contexts and words; where
+        the place is -1, the context's backoff weight, 0 for an unknown one."""
+        place = self._within("pointers", "successors", context, word)
+        out = np.zeros(len(context))
+        known, hit = context >= 0, place >= 0
+        out[known] = value(self.codes["backoff"][context[known]])
+        out[hit] = value(self.codes["probability"][place[hit]])
+        return out, place
+
+    def nodes(self, context: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        """Places of the trigram contexts, or -1."""
+        return self._within("node_pointers", "nodes", context, earlier)
+
+    def trigrams(self, context: np.ndarray, node: np.ndarray, bigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, found) by the places of contexts, trigram contexts
+        and bigrams; where not found, the trigram context's backoff weight, 0 for
+        an unknown one."""
+        among = bigram.copy()
+        some = bigram >= 0
+        among[some] -= self._range("pointers", context[some])[0] if some.any() else 0
+        place = self._within("third_pointers", "third", node, among)
+        out = np.zeros(len(node))
+        known, hit = node >= 0, place >= 0
+        out[known] = value(self.codes["node_backoff"][node[known]])
+        out[hit] = value(self.codes["third_probability"][place[hit]])
+        return out, hit
+
+
+def _shifted(rank: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Ranks, each range of them moved to begin after the last one before it."""
+    if not len(rank):
         return np.zeros(0, np.int64)
-    top = np.where(end > begin, rank[np.maximum(end - 1, 0)] + 1 if len(rank) else 0, 0)
-    return np.cumsum(top) - top
+    size = np.diff(begin)
+    top = np.where(size > 0, rank[np.maximum(begin[1:] - 1, 0)] + 1, 0)
+    return rank + np.repeat(np.cumsum(top) - top, size)

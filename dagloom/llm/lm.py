@@ -1,20 +1,31 @@
-"""Language-model scores from a sharded Elias-Fano bigram trie.
+"""Language-model scores from a sharded Elias-Fano trigram trie.
 
-The model interpolates each word's bigram count with a unigram model (Dirichlet
-smoothing with weight ``MU``)::
+Each order is smoothed with the one below it (Dirichlet, weights ``MU``, ``MU3``)::
 
-    p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU)
+    p(w | v)   = (c(v w) + MU p(w)) / (c(v) + MU)
+    p(w | u v) = (c(u v w) S + MU3 p(w | v)) / (c(u v B) + MU3)
 
-The unigram model has every word's own count, and an unseen word counts as one
-seen once.  About ``TOP`` of the most frequent words' counts are broadcast; a
-shuffle on the word takes each other count to the shards whose pairs need it.
+A text's first word has two start marks before it.  The unigram model has every
+word's own count, and an unseen word counts as one seen once.  About ``TOP`` of
+the most frequent words' counts are broadcast; a shuffle on the word takes each
+other count to the shards whose trigrams need it.
 
-Pairs of neighbouring words, the training texts' and the queries' alike, go to
-shards by the first one's hash.  A shard counts its training pairs, builds its
-trie, and asks it for all its pairs; sums by document, a packed row for each
-message of texts, are then added up over the shards.  A word so frequent that its pairs would swell one shard is spread
-by the second word's hash too.  A word's training count is what its pairs as
-first word say, so base scores and known words come from the same shards.
+All trigrams, the training texts' and the queries' alike, go to shards by the
+middle word v, so that its bigrams and trigram contexts meet there.  A shard
+counts its training trigrams, builds its trie, and asks it for all its trigrams;
+sums by document, a packed row for each message of texts, are then added up over
+the shards.
+
+Where v is so frequent that it would swell one shard, its next words w are
+divided into 2^b classes B by their hash, as few as will do, and each class goes
+to a shard of its own.  There the trigram context is (u, v, B), and
+S = p(B | v) = (c(v B) + MU p(B)) / (c(v) + MU) is the class's share, so that the
+probabilities after u v still sum to one, and no trigram is left out.  For all
+other v, B is every word and S is 1.  Shards and classes follow from the texts'
+number of words alone, not from the cluster's settings.
+
+A word's training count is what its bigrams as first word say, so base scores and
+known words come from the same shards.
 
 Edge cases: a null text is empty, with one token, its end; a null id is held
 out; rows that repeat an id and its text are scored and counted each; extra
@@ -39,10 +50,13 @@ from dagloom.llm.elias_fano import Trie
 from dagloom.llm.words import mix, slices, split_words, text_bytes
 
 MU = 300.0
+MU3 = 30.0
 TOP = 1 << 18
 #: Counts on their way to the shards that a task packs at once.
 CELLS = 1 << 19
-SHARD_PAIRS = 2_500_000
+SHARD_WORDS = 1_500_000
+#: Shards at least, so that small tables are not left to one task.
+SHARDS_LEAST = 8
 #: Words (tokens) of a message to the shards at most, but for longer texts.
 CHUNK_BYTES = 8 << 20
 #: A shard's sums for a document, and their size with its place in the message.
@@ -66,13 +80,60 @@ class Unigrams:
         """Counts of frequent words, 0 for others."""
         return _looked_up(self.words, self.counts, word)
 
+    @property
+    def whole(self) -> float:
+        return self.tokens + self.single + 1.0
+
     def log10(self, word: np.ndarray) -> np.ndarray:
         """log10 probabilities; the unseen share follows the words seen once."""
-        whole = self.tokens + self.single + 1.0
         count = np.maximum(self.top(word), _looked_up(self.rest_words, self.rest_counts, word)).astype(float)
         p = np.where(count > 0, count, 1.0)
         p = np.where(word == END, self.ends + 0.1, p)
-        return np.log10(p / whole)
+        return np.log10(p / self.whole)
+
+
+@dataclass
+class Classes:
+    """The first words that are spread, and the classes of their next words: a
+    word's lowest bits.  mass: the probability of each of 2^k classes, with the
+    most bits that any word has."""
+
+    words: np.ndarray  # sorted hashes
+    bits: np.ndarray
+    mass: np.ndarray
+
+    def bits_of(self, first: np.ndarray) -> np.ndarray:
+        return _looked_up(self.words, self.bits, first)
+
+    def share(self, bits: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """p(B) by the unigram model."""
+        out = np.ones(len(bits))
+        for k in np.unique(bits).tolist():
+            folded = self.mass.reshape(-1, 1 << k).sum(0)
+            out[bits == k] = folded[label[bits == k].astype(np.int64)]
+        return out
+
+
+def label_of(bits: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return second & ((np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))
+
+
+def classes_of(vocab: DataFrame, uni: Unigrams, shards: int) -> Classes:
+    """Classes for words with more than half a shard's words; there are at most
+    2 * shards of them, and as many classes in all."""
+    share = max(1, uni.tokens // (2 * shards))
+    words = np.append(uni.words, START)
+    counts = np.append(uni.counts, uni.ends)
+    hot = np.flatnonzero(counts > share)
+    hot = hot[np.argsort(words[hot])]
+    bits = np.ceil(np.log2(counts[hot] / share)).astype(np.int64)
+    most = int(bits.max(initial=0))
+    low = F.expr(f"h & {(1 << most) - 1}L")
+    found = vocab.groupBy(low.alias("label")).agg(F.sum("c").alias("c")).toArrow()
+    mass = np.full(1 << most, (uni.single + 0.9) / (1 << most))
+    mass[np.array(found["label"]).astype(np.int64)] += np.array(found["c"]).astype(float)
+    mass[int(END) & ((1 << most) - 1)] += uni.ends + 0.1
+    return Classes(words[hot], bits, mass / uni.whole)
 
 
 def _looked_up(words: np.ndarray, counts: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -82,9 +143,9 @@ def _looked_up(words: np.ndarray, counts: np.ndarray, word: np.ndarray) -> np.nd
     return np.where(words[at] == word, counts[at], 0)
 
 
-def training_counts(rows: DataFrame) -> tuple[Unigrams, DataFrame]:
-    """rows: (text, train).  The model with frequent words, and (h, c) of the
-    others."""
+def training_counts(rows: DataFrame) -> tuple[Unigrams, DataFrame, DataFrame]:
+    """rows: (text, train).  The model with frequent words, and (h, c) of all
+    words and of those that are not frequent."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,12 +173,13 @@ def training_counts(rows: DataFrame) -> tuple[Unigrams, DataFrame]:
         sum(r["c"] for r in levels) + ends, sum(r["n"] for r in levels) + (ends > 0), ends, sum(r["one"] for r in levels),
         words[order], np.array(top["c"]).astype(np.int64)[order], *none,
     )
-    return uni, vocab.where(scale < cut)
+    return uni, vocab, vocab.where(scale < cut)
 
 
-def _pairs(w, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, second, document) of all neighbours; texts start with START and
-    end with END."""
+def _trigrams(w, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, earlier, document) of every word and end: the one before
+    it, itself, and the one before both; texts start with START twice and end
+    with END."""
     n = np.diff(w.first)
     doc = np.repeat(np.arange(docs), n + 1)
     begin = w.first[:-1] + np.arange(docs)
@@ -131,55 +193,70 @@ def _pairs(w, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last[begin + n] = False
     second[begin + n] = END
     second[last] = w.hash
-    return first, second, doc
+    earlier = np.empty(len(doc), np.uint64)
+    earlier[1:] = first[:-1]
+    earlier[begin] = START
+    return first, second, earlier, doc
+
 
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
-def _pack(first: np.ndarray, second: np.ndarray, doc: np.ndarray) -> bytes:
-    """Pairs sorted by the first word: its words once each with their number of
-    pairs, a table of second words, and per pair its place there and document."""
-    order = np.argsort(first, kind="stable")
-    heads, n = np.unique(first, return_counts=True)
-    table, at = np.unique(second[order], return_inverse=True)
+
+def _pack(first: np.ndarray, second: np.ndarray, earlier: np.ndarray, doc: np.ndarray) -> bytes:
+    """Trigrams sorted by the first and second word: the first words once each
+    with their numbers of trigrams, a table of second and earlier words, and by
+    trigram both places there and the document; compressed."""
+    n = len(first)
+    heads, head = np.unique(first, return_inverse=True)
+    table, at = np.unique(np.concatenate([second, earlier]), return_inverse=True)
+    order = np.argsort(head * np.int64(len(table)) + at[:n], kind="stable")
     wide = 4 if len(table) > 1 << 16 else 2
-    head = np.array([len(heads), len(table), len(first), wide], np.int64)
-    return b"".join(
-        x.tobytes() for x in (head, heads, n.astype(np.uint32), table, at.astype(f"<u{wide}"), doc[order].astype("<u2"))
-    )
+    fields = (
+        heads, np.bincount(head).astype("<u4"), table, at[:n][order].astype(f"<u{wide}"),
+        at[n:][order].astype(f"<u{wide}"), doc[order].astype("<u2"),
+    )
+    data = b"".join(map(_planes, fields))
+    sizes = np.array([len(heads), len(table), n, wide, len(data)], np.int64)
+    return sizes.tobytes() + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    heads, table, n, wide = np.frombuffer(data, np.int64, 4).tolist()
-    at, out = 32, []
-    for kind, size in ((np.uint64, heads), (np.uint32, heads), (np.uint64, table), (f"<u{wide}", n), ("<u2", n)):
-        out.append(np.frombuffer(data, kind, size, at))
-        at += out[-1].nbytes
-    return np.repeat(out[0], out[1]), out[2][out[3]], out[4].astype(np.int64)
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    heads, table, n, wide, size = np.frombuffer(data, np.int64, 5).tolist()
+    raw = pa.Codec("zstd").decompress(data[40:], decompressed_size=size, asbytes=True)
+    at, out = 0, []
+    for kind, length in (("<u8", heads), ("<u4", heads), ("<u8", table), (f"<u{wide}", n), (f"<u{wide}", n), ("<u2", n)):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, length * width, at).reshape(width, length)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(length))
+        at += length * width
+    return np.repeat(out[0], out[1]), out[2][out[3]], out[2][out[4]], out[5]
 
 
-def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_id", mu: float = MU) -> tuple[DataFrame, Unigrams]:
+def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_id", mu: float = MU, mu3: float = MU3) -> tuple[DataFrame, Unigrams]:
     """(k, x, train, rows, n_tokens, n_known, base, score) of the texts, with
     the training counts; rows: how many rows share this id and text."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(id_key(key).alias("k"), whole.alias("text"), train.alias("train"))
     spark = docs.sparkSession
-    uni, rest = training_counts(rows)
-    held = spark.sparkContext.broadcast(uni)
+    uni, vocab, rest = training_counts(rows)
     total = rows.agg(F.coalesce(F.sum(F.length("text") / 5 + 1), F.lit(0)).alias("n")).first()["n"]
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SHARD_PAIRS), 1)
-    share = max(1, uni.tokens // (8 * shards))
-    hot = uni.words[uni.counts > share]  # at most 8 * shards words
+    shards = max(SHARDS_LEAST, math.ceil(total / SHARD_WORDS))
+    held = spark.sparkContext.broadcast((uni, classes_of(vocab, uni, shards)))
 
     def dealt(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """The pairs' shards."""
-        spread = np.isin(first, hot) | (first == START)
-        return (mix(np.where(spread, first ^ mix(second), first)) % np.uint64(shards)).astype(np.int32)
+        """The trigrams' shards."""
+        bits = held.value[1].bits_of(first)
+        spot = np.where(bits > 0, first ^ mix(label_of(bits, second) + np.uint64(1)), first)
+        return (mix(spot) % np.uint64(shards)).astype(np.int32)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The shards that need the count of a word that is not broadcast."""
         for batch in batches:
             for b in slices(batch, "text", CHUNK_BYTES):
-                first, second, _ = _pairs(split_words(*text_bytes(b.column("text")), lower=True), b.num_rows)
-                rare = (second != END) & (held.value.top(second) == 0)
+                first, second, _, _ = _trigrams(split_words(*text_bytes(b.column("text")), lower=True), b.num_rows)
+                rare = (second != END) & (held.value[0].top(second) == 0)
                 words, at = np.unique(second[rare], return_inverse=True)
                 each = np.unique(at * np.int64(shards) + dealt(first[rare], second[rare]))
                 yield pa.record_batch([pa.array(words[each // shards].view(np.int64)), pa.array((each % shards).astype(np.int32))], ["h", "shard"])
@@ -213,7 +290,7 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_
                 for at in range(0, b.num_rows, 60_000):
                     part = b.slice(at, 60_000)
                     w = split_words(*text_bytes(part.column("text")), lower=True)
-                    first, second, doc = _pairs(w, part.num_rows)
+                    first, second, earlier, doc = _trigrams(w, part.num_rows)
                     goes = dealt(first, second)
                     order = np.argsort(goes, kind="stable")
                     edges = np.searchsorted(goes[order], np.arange(shards + 1))
@@ -225,28 +302,34 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_
                     out = [(-1, name, part.num_rows, k.tobytes() + x.astype("<i4").tobytes() + flags)]
                     for s in np.flatnonzero(np.diff(edges)).tolist():
                         pick = order[edges[s] : edges[s + 1]]
-                        out.append((s, name, part.num_rows, flags + _pack(first[pick], second[pick], doc[pick])))
+                        out.append((s, name, part.num_rows, flags + _pack(first[pick], second[pick], earlier[pick], doc[pick])))
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     def shard(table: pa.Table) -> pa.Table:
         names, docs, data = (table.column(c).to_pylist() for c in ("message", "docs", "data"))
         if table.column("shard")[0].as_py() < 0:
             return pa.table({"message": pa.array(names, pa.int64()), "docs": pa.array(docs, pa.int32()), "own": [True] * len(names), "data": pa.array(data, pa.binary())})
-        first, second, doc, learn, base = [], [], [], [], [0]
+        first, second, earlier, doc, learn, base = [], [], [], [], [], [0]
         counts = [np.frombuffer(raw, np.int64).reshape(2, -1) for name, raw in zip(names, data) if name < 0]
         words, at = np.unique(np.concatenate([x[0] for x in counts] or [np.zeros(0, np.int64)]).view(np.uint64), return_index=True)
-        uni = replace(held.value, rest_words=words, rest_counts=np.concatenate([x[1] for x in counts] or [np.zeros(0, np.int64)])[at])
+        uni = replace(held.value[0], rest_words=words, rest_counts=np.concatenate([x[1] for x in counts] or [np.zeros(0, np.int64)])[at])
         sent = [i for i, name in enumerate(names) if name >= 0]
         names, docs, data = ([x[i] for i in sent] for x in (names, docs, data))
         for n, raw in zip(docs, data):
             flags = -(-n // 8)
-            a, b, d = _unpack(raw[flags:])
+            a, b, c, d = _unpack(raw[flags:])
             first.append(a)
             second.append(b)
-            doc.append(d + base[-1])
+            earlier.append(c)
+            doc.append((d + np.int64(base[-1])).astype(np.int32))
             learn.append(np.unpackbits(np.frombuffer(raw, np.uint8, flags), count=n).astype(bool))
             base.append(base[-1] + n)
-        sums = score_shard(uni, hot, *(np.concatenate(y) for y in (first, second, doc, learn)), base[-1], mu)
+        del table, data
+        whole = []
+        for part in (first, second, earlier, doc, learn):
+            whole.append(np.concatenate(part))
+            part.clear()
+        sums = score_shard(uni, held.value[1], *whole, base[-1], mu, mu3)
         out = []
         for a, b in zip(base[:-1], base[1:]):
             at = np.flatnonzero(sums["n_tokens"][a:b])
@@ -284,40 +367,81 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_
     return whole.groupBy("k", "x", "train").agg(*[F.sum(c).alias(c) for c in names]), uni
 
 
-def score_shard(uni: Unigrams, hot: np.ndarray, first: np.ndarray, second: np.ndarray, doc: np.ndarray, learn: np.ndarray, docs: int, mu: float = MU) -> dict[str, np.ndarray]:
-    """Builds a shard's trie from its training pairs and asks it for all."""
+def score_shard(
+    uni: Unigrams, classes: Classes, first: np.ndarray, second: np.ndarray, earlier: np.ndarray, doc: np.ndarray, learn: np.ndarray, docs: int, mu: float = MU, mu3: float = MU3
+) -> dict[str, np.ndarray]:
+    """Builds a shard's trie from its training trigrams and asks it for all."""
+    train = learn[doc]
     contexts, a = np.unique(first, return_inverse=True)
     words, b = np.unique(second, return_inverse=True)
+    bits = classes.bits_of(contexts)
+    spread = np.flatnonzero(bits[a])
+    if len(spread):  # their trigram contexts are by class
+        label = label_of(bits[a[spread]], second[spread])
+        earlier = earlier.copy()
+        earlier[spread] = mix(earlier[spread] ^ mix(label + np.uint64(1)))
+    befores, c = np.unique(earlier, return_inverse=True)
+    del second, earlier
     pair, each = np.unique(a * np.int64(len(words)) + b, return_inverse=True)
-    train = learn[doc]
-    count = np.bincount(each[train], minlength=len(pair))
+    node, at = np.unique(a * np.int64(len(befores)) + c, return_inverse=True)
+    del b, c
+    third, to = np.unique(at * np.int64(len(pair)) + each, return_inverse=True)
+    pair_v, pair_w = pair // len(words), pair % len(words)
+    node_v, node_u = node // len(befores), node % len(befores)
+    third_node, third_pair = third // len(pair), third % len(pair)
+
+    times = np.bincount(each[train], minlength=len(pair))
     own = np.bincount(a[train], minlength=len(contexts))
-    frequent = np.isin(contexts, hot)
-    own[frequent] = uni.top(contexts[frequent])
-    own[contexts == START] = uni.ends
-    pa_, pw = pair // len(words), pair % len(words)
+    start = contexts == START
+    own = np.where(bits > 0, uni.top(contexts), own)
+    own[start] = uni.ends
     low = uni.log10(words)
-    seen = count > 0
-    logs = np.log10((count[seen] + mu * 10.0 ** low[pw[seen]]) / (own[pa_[seen]] + mu))
-    kept = np.flatnonzero(own > 0)
-    backoff = np.log10(mu / (own[kept] + mu))
-    trie = Trie.open(Trie.build(contexts[pa_[seen]], words[pw[seen]], logs, contexts[kept], backoff))
-    found, hit = trie.query(contexts[pa_], words[pw])
-    logp = np.where(hit, found, found + low[pw])
-    is_word = contexts != START
+    p = (times + mu * 10.0 ** low[pair_w]) / (own[pair_v] + mu)
+    share = np.ones(len(pair))
+    some = np.flatnonzero(bits[pair_v])
+    if len(some):
+        v, k = pair_v[some], bits[pair_v[some]]
+        label = label_of(k, words[pair_w[some]])
+        _, group = np.unique(v << np.int64(32) | label.astype(np.int64), return_inverse=True)
+        inside = np.bincount(group, weights=times[some])
+        share[some] = (inside[group] + mu * classes.share(k, label)) / (own[v] + mu)
+    third_times = np.bincount(to[train], minlength=len(third))
+    node_times = np.bincount(at[train], minlength=len(node))
+    p3 = (third_times * share[third_pair] + mu3 * p[third_pair]) / (node_times[third_node] + mu3)
+
+    has_v, has_pair, has_node, has_third = own > 0, times > 0, node_times > 0, third_times > 0
+    rank_v, rank_pair, rank_node = (np.cumsum(x) - 1 for x in (has_v, has_pair, has_node))
+    known_w, rank_w = np.unique(pair_w[has_pair], return_inverse=True)
+    known_u, rank_u = np.unique(node_u[has_node], return_inverse=True)
+    trie = Trie.open(
+        Trie.build(
+            contexts[has_v], words[known_w], befores[known_u],
+            (rank_v[pair_v[has_pair]], rank_w, np.log10(p[has_pair])), np.log10(mu / (own[has_v] + mu)),
+            (rank_v[node_v[has_node]], rank_u, np.log10(mu3 / (node_times[has_node] + mu3))),
+            (rank_node[third_node[has_third]], rank_pair[third_pair[has_third]], np.log10(p3[has_third])),
+        )
+    )
+    del p, p3, share, times, third_times, node_times
+    v, w, u = (trie.places(x, y) for x, y in (("contexts", contexts), ("words", words), ("earlier", befores)))
+    log2, place = trie.bigrams(v[pair_v], w[pair_w])
+    log2 = np.where(place >= 0, log2, log2 + low[pair_w])
+    context = trie.nodes(v[node_v], u[node_u])
+    log3, hit = trie.trigrams(v[node_v[third_node]], context[third_node], place[third_pair])
+    logp = np.where(hit, log3, log3 + log2[third_pair])
+    is_word = ~start
     base = np.where(is_word, np.log10(own + 0.1), 0.0)
     return {
-        "rows": np.bincount(doc, weights=first == START, minlength=docs).astype(np.int64),
+        "rows": np.bincount(doc, weights=start[a], minlength=docs).astype(np.int64),
         "n_tokens": np.bincount(doc, minlength=docs).astype(np.int64),
         "n_known": np.bincount(doc, weights=(is_word & (own > 0))[a], minlength=docs).astype(np.int64),
         "base": np.bincount(doc, weights=base[a], minlength=docs),
-        "score": np.bincount(doc, weights=logp[each], minlength=docs),
+        "score": np.bincount(doc, weights=logp[to], minlength=docs),
     }
 
 
-def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", mu: float = MU) -> DataFrame:
+def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", mu: float = MU, mu3: float = MU3) -> DataFrame:
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    found, uni = score(docs, F.crc32(name) % 10 != 0, text, key, mu)
+    found, uni = score(docs, F.crc32(name) % 10 != 0, text, key, mu, mu3)
     n = F.col("rows")
     tokens = (F.col("n_tokens") / n).cast("long")
     whole = math.log10(uni.tokens + 0.1 * (uni.kinds + 1))

@@ -3,14 +3,18 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from dagloom.llm import codec, decontam, jaccard, langid, lm, media, packing, prefix_tokens, substring
+from dagloom.llm.elias_fano import Trie
+from dagloom.llm.words import split_words, text_bytes
 from tests.llm.helpers import awkward, awkward_rows, empty, rows_of, words
 
 ROWS = awkward_rows()
@@ -66,24 +70,118 @@ def test_lm_counts_of_words_beyond_the_broadcast(spark, monkeypatch):
     assert few.keys() == wide.keys() and all(abs(few[k] - wide[k]) < 1e-6 for k in wide)
 
 
-def test_lm_is_a_distribution_and_learns(spark):
-    """Probabilities of known continuations sum to at most one, and repeated
-    text gets likelier than its unigrams."""
-    uni = lm.Unigrams(100, 11, 10, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(lm.CELLS), np.zeros(lm.CELLS))
-    rng = np.random.default_rng(0)
-    vocabulary = np.sort(rng.integers(1 << 20, 1 << 62, 10).astype(np.uint64))
-    uni.words, uni.counts = vocabulary, np.full(10, 9)
-    first = np.full(9, vocabulary[0])
-    second = vocabulary[[1, 1, 1, 2, 2, 3, 4, 5, 6]]
-    every = np.concatenate([second, vocabulary, [lm.END]])
-    a = np.concatenate([first, np.full(11, vocabulary[0])])
-    doc = np.concatenate([np.zeros(9, int), np.arange(1, 12)])
-    learn = np.zeros(12, bool)
-    learn[0] = True
-    out = lm.score_shard(uni, np.zeros(0, np.uint64), a, every, doc, learn, 12, mu=5.0)
-    p = 10.0 ** out["score"][1:]
-    assert 0.9 < p.sum() < 1.08  # quantised to steps of 4 hundredths
-    assert p[1] > p[3] > p[8]
+def lm_of(texts, held, shards):
+    """A plain model of the training texts: probabilities after two words."""
+    hashed = split_words(*text_bytes(pa.array(texts)), lower=True)
+    seen, events = {}, []
+    for i, t in enumerate(texts):
+        names = words(t, True)
+        seen.update(zip(names, hashed.hash[hashed.first[i] :].tolist()))
+        w = ["<s>", "<s>", *names, None]
+        events.append(list(zip(w, w[1:], w[2:])))
+    seen |= {None: int(lm.END)}
+    one, two, three, before, classed = (collections.Counter() for _ in range(5))
+    learn = [e for e, h in zip(events, held) if not h]
+    one.update(w for e in learn for _, _, w in e)
+    n, ends = sum(one.values()), len(learn)
+    share = max(1, n // (2 * shards))
+    total = one + collections.Counter({"<s>": ends})
+
+    def label(v, w):
+        count = ends if v == "<s>" else one[v]
+        bits = math.ceil(math.log2(count / share)) if count > share else 0
+        return bits, seen[w] & ((1 << bits) - 1)
+
+    for e in learn:
+        for u, v, w in e:
+            two[v, w] += 1
+            three[u, v, w] += 1
+            before[u, v, label(v, w)] += 1
+            classed[v, label(v, w)] += 1
+    single = sum(c == 1 for w, c in one.items() if w is not None)
+    whole = n + single + 1
+
+    def p1(w):
+        return (ends + 0.1 if w is None else max(one[w], 1)) / whole
+
+    def mass(bits, low):
+        at = lambda w: (seen[w] & ((1 << bits) - 1)) == low
+        return (sum(c for w, c in one.items() if w is not None and at(w)) + (ends + 0.1) * at(None) + (single + 0.9) / (1 << bits)) / whole
+
+    def p3(u, v, w):
+        p2 = (two[v, w] + lm.MU * p1(w)) / (total[v] + lm.MU)
+        k = label(v, w)
+        s = (classed[v, k] + lm.MU * mass(*k)) / (total[v] + lm.MU) if k[0] else 1.0
+        return (three[u, v, w] * s + lm.MU3 * p2) / (before[u, v, k] + lm.MU3)
+
+    return events, p3, one, single, label
+
+
+def test_lm_scores_against_brute_force(spark):
+    """Within what quantising costs, with words that are spread and others."""
+    held = [d is None or zlib.crc32(str(d).encode()) % 10 == 0 for d, *_ in ROWS]
+    events, p3, one, single, label = lm_of([t or "" for _, t, *_ in ROWS], held, lm.SHARDS_LEAST)
+    want = collections.defaultdict(list)
+    for (d, *_), e in zip(ROWS, events):
+        want[d].append((sum(math.log10(p3(*x)) for x in e), len(e)))
+    got = collections.defaultdict(list)
+    for r in lm.scores(awkward(spark)).collect():
+        got[r.doc_id].append((r.score, r.n_tokens))
+    assert got.keys() == want.keys()
+    for d in want:
+        for (x, n), (y, m) in zip(sorted(got[d]), sorted(want[d])):
+            assert n == m and abs(x - y) < 0.02 + 0.006 * n + 0.04 * (n < 20)
+    # after any two words, all words' probabilities and the unseen ones' share sum to one
+    for u, v in (("<s>", "<s>"), (b"one", b"two"), (b"w1", b"w2"), events[-1][50][:2]):
+        assert sum(p3(u, v, w) for w in one) <= 1 + 1e-9
+
+
+def test_lm_spreads_frequent_words(spark):
+    """With a word that stands between all others, the plain model's scores come
+    out, each context's probabilities sum to one but for unseen words, and the
+    trigrams of a spread word count."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(40)} the" for _ in range(60)) for _ in range(40)]
+    texts += ["w1 the w2 the w3 the w4"] * 8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [zlib.crc32(str(d).encode()) % 10 == 0 for d in range(len(texts))]
+    events, p3, one, single, label = lm_of(texts, held, lm.SHARDS_LEAST)
+    assert label(b"the", b"w1")[0] >= 2 and not label(b"w1", b"the")[0]
+    for r in lm.scores(df).collect():
+        want = sum(math.log10(p3(*x)) for x in events[r.doc_id])
+        assert abs(r.score - want) < 0.02 * r.n_tokens
+    assert 0.9 < sum(p3(b"w1", b"the", w) for w in one) <= 1 + 1e-9
+    assert p3(b"w1", b"the", b"w2") > 1.5 * p3(b"w5", b"the", b"w2")
+
+
+def test_trie_against_dictionaries():
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 50, 3000):
+        table = np.unique(rng.integers(1, 1 << 63, 60).astype(np.uint64) * np.uint64(2))
+        events = np.unique(rng.integers(0, len(table), (size, 3)), axis=0)  # v, u, w
+        pairs = np.unique(events[:, [0, 2]], axis=0)
+        nodes = np.unique(events[:, :2], axis=0)
+        pair_at = {tuple(x): i for i, x in enumerate(pairs.tolist())}
+        node_at = {tuple(x): i for i, x in enumerate(nodes.tolist())}
+        third = sorted((node_at[v, u], pair_at[v, w]) for v, u, w in events.tolist())
+        n4, b4 = (np.array([x[i] for x in third], np.int64) for i in (0, 1))
+        logs = lambda n: -rng.integers(0, 200, n) / 25
+        two, back, node_back, three = logs(len(pairs)), logs(len(table)), logs(len(nodes)), logs(len(third))
+        trie = Trie.open(Trie.build(table, table, table, (pairs[:, 0], pairs[:, 1], two), back, (nodes[:, 0], nodes[:, 1], node_back), (n4, b4, three)))
+        asked = np.vstack([events, rng.integers(0, len(table), (500, 3))])
+        v, u, w = asked.T
+        assert (trie.places("contexts", table) == np.arange(len(table))).all()
+        assert (trie.places("words", table + np.uint64(1)) == -1).all()
+        log2, place = trie.bigrams(v, w)
+        node = trie.nodes(v, u)
+        log3, hit = trie.trigrams(v, node, place)
+        known = dict(zip(third, three))
+        for i, (x, y, z) in enumerate(asked.tolist()):
+            p, c = pair_at.get((x, z), -1), node_at.get((x, y), -1)
+            assert place[i] == p and node[i] == c
+            assert abs(log2[i] - (two[p] if p >= 0 else back[x])) < 1e-9
+            assert hit[i] == ((c, p) in known)
+            assert abs(log3[i] - (known[c, p] if hit[i] else node_back[c] if c >= 0 else 0)) < 1e-9
 
 
 # ------------------------------------------------------------------ joins
