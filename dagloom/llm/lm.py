@@ -59,9 +59,8 @@ SHARD_WORDS = 1_500_000
 SHARDS_LEAST = 8
 #: Words (tokens) of a message to the shards at most, but for longer texts.
 CHUNK_BYTES = 8 << 20
-#: A shard's sums for a document, and their size with its place in the message.
+#: A shard's sums for a document.
 SUMS = (("rows", "<u2"), ("n_tokens", "<u4"), ("n_known", "<u4"), ("base", "<f8"), ("score", "<f8"))
-ROW = 28
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 
@@ -199,39 +198,64 @@ def _trigrams(w, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return first, second, earlier, doc
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then the second ones, and so on."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+def _press(fields: list[np.ndarray]) -> bytes:
+    """Arrays of numbers, compressed: all numbers' first bytes, then the second
+    ones, and so on."""
+    data = b"".join(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in fields)
+    return pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
 
 
-def _pack(first: np.ndarray, second: np.ndarray, earlier: np.ndarray, doc: np.ndarray) -> bytes:
+def _unpress(data: bytes, shape: list[tuple[str, int]]) -> list[np.ndarray]:
+    size = sum(np.dtype(kind).itemsize * n for kind, n in shape)
+    raw = pa.Codec("zstd").decompress(data, decompressed_size=size, asbytes=True)
+    at, out = 0, []
+    for kind, n in shape:
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n * width
+    return out
+
+
+def _table(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers of x, as steps of places in the sorted array known
+    and, of the others, steps of the numbers; and where each of x stands in
+    both, one after the other."""
+    values, at = np.unique(x, return_inverse=True)
+    place = np.searchsorted(known, values)
+    hit = np.zeros(len(values), bool)
+    inside = np.flatnonzero(place < len(known))
+    hit[inside] = known[place[inside]] == values[inside]
+    rank = np.where(hit, np.cumsum(hit) - 1, hit.sum() + np.cumsum(~hit) - 1)
+    steps = np.diff(place[hit], prepend=0).astype("<u4")
+    return steps, np.diff(values[~hit], prepend=np.uint64(0)), rank[at]
+
+
+def _pack(first: np.ndarray, second: np.ndarray, earlier: np.ndarray, doc: np.ndarray, known: np.ndarray) -> bytes:
     """Trigrams sorted by the first and second word: the first words once each
     with their numbers of trigrams, a table of second and earlier words, and by
-    trigram both places there and the document; compressed."""
+    trigram both places there and the document; compressed.  known: the words
+    that are named by their place in it."""
     n = len(first)
-    heads, head = np.unique(first, return_inverse=True)
-    table, at = np.unique(np.concatenate([second, earlier]), return_inverse=True)
-    order = np.argsort(head * np.int64(len(table)) + at[:n], kind="stable")
-    wide = 4 if len(table) > 1 << 16 else 2
-    fields = (
-        heads, np.bincount(head).astype("<u4"), table, at[:n][order].astype(f"<u{wide}"),
+    near, far, head = _table(first, known)
+    table_near, table_far, at = _table(np.concatenate([second, earlier]), known)
+    size = len(table_near) + len(table_far)
+    order = np.argsort(head * np.int64(size) + at[:n], kind="stable")
+    wide = 4 if size > 1 << 16 else 2
+    fields = [
+        near, far, np.bincount(head).astype("<u4"), table_near, table_far, at[:n][order].astype(f"<u{wide}"),
         at[n:][order].astype(f"<u{wide}"), doc[order].astype("<u2"),
-    )
-    data = b"".join(map(_planes, fields))
-    sizes = np.array([len(heads), len(table), n, wide, len(data)], np.int64)
-    return sizes.tobytes() + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+    ]
+    sizes = np.array([len(near), len(far), len(table_near), len(table_far), n, wide], np.int64)
+    return sizes.tobytes() + _press(fields)
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    heads, table, n, wide, size = np.frombuffer(data, np.int64, 5).tolist()
-    raw = pa.Codec("zstd").decompress(data[40:], decompressed_size=size, asbytes=True)
-    at, out = 0, []
-    for kind, length in (("<u8", heads), ("<u4", heads), ("<u8", table), (f"<u{wide}", n), (f"<u{wide}", n), ("<u2", n)):
-        width = np.dtype(kind).itemsize
-        planes = np.frombuffer(raw, np.uint8, length * width, at).reshape(width, length)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(length))
-        at += length * width
-    return np.repeat(out[0], out[1]), out[2][out[3]], out[2][out[4]], out[5]
+def _unpack(data: bytes, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    near, far, table_near, table_far, n, wide = np.frombuffer(data, np.int64, 6).tolist()
+    shape = [("<u4", near), ("<u8", far), ("<u4", near + far), ("<u4", table_near), ("<u8", table_far), (f"<u{wide}", n), (f"<u{wide}", n), ("<u2", n)]
+    a, b, times, c, d, second, earlier, doc = _unpress(data[48:], shape)
+    heads, table = (np.concatenate([known[np.cumsum(x, dtype=np.int64)], np.cumsum(y, dtype=np.uint64)]) for x, y in ((a, b), (c, d)))
+    return np.repeat(heads, times), table[second], table[earlier], doc
 
 
 def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_id", mu: float = MU, mu3: float = MU3) -> tuple[DataFrame, Unigrams]:
@@ -302,7 +326,7 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_
                     out = [(-1, name, part.num_rows, k.tobytes() + x.astype("<i4").tobytes() + flags)]
                     for s in np.flatnonzero(np.diff(edges)).tolist():
                         pick = order[edges[s] : edges[s + 1]]
-                        out.append((s, name, part.num_rows, flags + _pack(first[pick], second[pick], earlier[pick], doc[pick])))
+                        out.append((s, name, part.num_rows, flags + _pack(first[pick], second[pick], earlier[pick], doc[pick], held.value[0].words)))
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     def shard(table: pa.Table) -> pa.Table:
@@ -317,7 +341,7 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_
         names, docs, data = ([x[i] for i in sent] for x in (names, docs, data))
         for n, raw in zip(docs, data):
             flags = -(-n // 8)
-            a, b, c, d = _unpack(raw[flags:])
+            a, b, c, d = _unpack(raw[flags:], uni.words)
             first.append(a)
             second.append(b)
             earlier.append(c)
@@ -334,7 +358,7 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_
         for a, b in zip(base[:-1], base[1:]):
             at = np.flatnonzero(sums["n_tokens"][a:b])
             columns = [at.astype("<u2"), *(sums[c][a:b][at].astype(t) for c, t in SUMS)]
-            out.append(b"".join(c.tobytes() for c in columns))
+            out.append(np.int64(len(at)).tobytes() + _press(columns))
         return pa.table({"message": pa.array(names, pa.int64()), "docs": pa.array(docs, pa.int32()), "own": [False] * len(names), "data": pa.array(out, pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
@@ -346,13 +370,10 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_
             if own:
                 keys = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, "<i4", n, 8 * n), np.unpackbits(np.frombuffer(raw, np.uint8, offset=12 * n), count=n).astype(bool)
                 continue
-            m, at = len(raw) // ROW, 0
-            place = np.frombuffer(raw, "<u2", m)
-            at += 2 * m
-            for c, t in SUMS:
-                one = np.frombuffer(raw, t, m, at)
-                at += one.nbytes
-                sums[c][place] += one
+            m = int(np.frombuffer(raw, np.int64, 1)[0])
+            place, *parts = _unpress(raw[8:], [("<u2", m), *((t, m) for _, t in SUMS)])
+            for (c, _), part in zip(SUMS, parts):
+                sums[c][place] += part
         return pa.table({"k": keys[0], "x": keys[1], "train": keys[2], **sums})
 
     asked = rows.select("text").mapInArrow(ask, "h long, shard int")
@@ -367,12 +388,17 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", key: str = "doc_
     return whole.groupBy("k", "x", "train").agg(*[F.sum(c).alias(c) for c in names]), uni
 
 
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values, at = np.unique(x, return_inverse=True)
+    return values, at.astype(np.int32)
+
+
 def score_shard(
     uni: Unigrams, classes: Classes, first: np.ndarray, second: np.ndarray, earlier: np.ndarray, doc: np.ndarray, learn: np.ndarray, docs: int, mu: float = MU, mu3: float = MU3
 ) -> dict[str, np.ndarray]:
     """Builds a shard's trie from its training trigrams and asks it for all."""
     train = learn[doc]
-    contexts, a = np.unique(first, return_inverse=True)
+    contexts, a = _ranked(first)
     words, b = np.unique(second, return_inverse=True)
     bits = classes.bits_of(contexts)
     spread = np.flatnonzero(bits[a])
@@ -382,10 +408,10 @@ def score_shard(
         earlier[spread] = mix(earlier[spread] ^ mix(label + np.uint64(1)))
     befores, c = np.unique(earlier, return_inverse=True)
     del second, earlier
-    pair, each = np.unique(a * np.int64(len(words)) + b, return_inverse=True)
-    node, at = np.unique(a * np.int64(len(befores)) + c, return_inverse=True)
+    pair, each = _ranked(a * np.int64(len(words)) + b)
+    node, at = _ranked(a * np.int64(len(befores)) + c)
     del b, c
-    third, to = np.unique(at * np.int64(len(pair)) + each, return_inverse=True)
+    third, to = _ranked(at * np.int64(len(pair)) + each)
     pair_v, pair_w = pair // len(words), pair % len(words)
     node_v, node_u = node // len(befores), node % len(befores)
     third_node, third_pair = third // len(pair), third % len(pair)
