@@ -74,17 +74,16 @@ class EliasFano:
 
     def find(self, want: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Place of each wanted value within its range [low, high), or -1."""
-        low, end = low.copy(), high
-        high = high.copy()
-        live = np.flatnonzero(low < high)
-        while len(live):
+        low, high = low.copy(), high.copy()
+        inside = np.flatnonzero(low < high)
+        live = inside[high[inside] - low[inside] > 1]
+        while len(live):  # low stays at or before the place, if there is one
             mid = (low[live] + high[live]) >> 1
-            less = self[mid] < want[live]
-            low[live[less]] = mid[less] + 1
+            less = self[mid] <= want[live]
+            low[live[less]] = mid[less]
             high[live[~less]] = mid[~less]
-            live = live[low[live] < high[live]]
+            live = live[high[live] - low[live] > 1]
         out = np.full(len(want), -1, np.int64)
-        inside = np.flatnonzero(low < end)
         same = self[low[inside]] == want[inside]
         out[inside[same]] = low[inside[same]]
         return out
@@ -99,6 +98,8 @@ class EliasFano:
 
 #: log10 probabilities are kept in steps of 1 / STEPS, down to -255 / STEPS.
 STEPS = 25
+#: Every how many hashes of a level one is looked at first, to bound its search.
+SAMPLE = 64
 
 
 def quantise(logs: np.ndarray) -> np.ndarray:
@@ -165,7 +166,9 @@ class Trie:
         n = self.levels[level].n
         if not n:
             return np.full(len(hashes), -1, np.int64)
-        return self.levels[level].find(hashes, np.zeros(len(hashes), np.int64), np.full(len(hashes), n))
+        some = np.arange(0, n, SAMPLE)
+        low = np.maximum(np.searchsorted(self.levels[level][some], hashes, "right") - 1, 0) * SAMPLE
+        return self.levels[level].find(hashes, low, np.minimum(low + SAMPLE, n))
 
     def _range(self, pointers: str, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self.levels[pointers]
