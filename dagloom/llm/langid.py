@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagloom.llm.common import NULL_ID, digest, id_key, load, small_side, stored, without
+from dagloom.llm.common import NULL_ID, digest, id_key, load, small_batches, small_side, stored, without
 from dagloom.llm.words import LOWER, slices, text_bytes
 
 #: Of each language.
@@ -83,6 +83,7 @@ class Model:
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """labelled: (label, text).  Languages are in alphabetical order."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where("label is not null and text is not null")
     keyed = rows.select("label", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
     cut = F.greatest(F.min("h") + 1, F.ceil(F.lit(float(sample_rows << 40)) / F.count("*")).cast("long"))  # one text at least
@@ -91,7 +92,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 1 << 20):
                 raw, off = text_bytes(b.column("text"))
                 grams = trigrams(raw)
                 for label, a, z in zip(b.column("label").to_pylist(), off[:-1].tolist(), off[1:].tolist()):
