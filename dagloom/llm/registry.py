@@ -16,6 +16,7 @@ from dagloom.llm.media import op8_telephony
 from dagloom.llm.packing import op6_packing
 from dagloom.llm.prefix_tokens import op3_prefix_tokens
 from dagloom.llm.substring import op10_substring_dedup
+from dagloom.llm.suffixes import op11_suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,7 @@ def queries() -> dict[str, Query]:
         op8_telephony,
         op9_chat_format,
         op10_substring_dedup,
+        op11_suffix_dedup,
     )
     return {f.__name__: f for f in every}
 
