@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dagloom.llm import collocations, search
 from dagloom.llm.chat import op9_chat_format
 from dagloom.llm.codec import op4_id_files
+from dagloom.llm.collocations import op13_collocations
 from dagloom.llm.decontam import op7_decontaminate
 from dagloom.llm.jaccard import op2_ngram_jaccard
 from dagloom.llm.langid import op5_language_id, op5_language_id_pages
@@ -15,6 +17,7 @@ from dagloom.llm.lm import op1_lm_score
 from dagloom.llm.media import op8_telephony
 from dagloom.llm.packing import op6_packing
 from dagloom.llm.prefix_tokens import op3_prefix_tokens
+from dagloom.llm.search import op12_lexical_search
 from dagloom.llm.substring import op10_substring_dedup
 from dagloom.llm.suffixes import op11_suffix_dedup
 
@@ -35,9 +38,11 @@ def queries() -> dict[str, Query]:
         op9_chat_format,
         op10_substring_dedup,
         op11_suffix_dedup,
+        op12_lexical_search,
+        op13_collocations,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_lexical_search": search.SQL, "op13_collocations": collocations.SQL}

@@ -79,10 +79,10 @@ class Words:
     end: np.ndarray
 
 
-def _piece(raw: np.ndarray, cut: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece(raw: np.ndarray, cut: np.ndarray, table: np.ndarray, separator: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of raw; cut: positions (bool, len raw) where a document begins."""
     global _POW
-    sep = (raw == 32) | ((raw - np.uint8(9)) < 5)
+    sep = (raw == 32) | ((raw - np.uint8(9)) < 5) if separator is None else separator.take(raw)
     begin = ~sep
     fin = begin.copy()
     begin[1:] &= sep[:-1] | cut[1:]
@@ -103,10 +103,13 @@ def _piece(raw: np.ndarray, cut: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return mix(np.add.reduceat(value, start - start[0])), start, end
 
 
-def split_words(raw: np.ndarray, off: np.ndarray, lower: bool, cut: np.ndarray | None = None) -> Words:
+def split_words(raw: np.ndarray, off: np.ndarray, lower: bool, cut: np.ndarray | None = None, separator: np.ndarray | None = None) -> Words:
     """The words of texts at off; cut: more places (len raw + 1) where a word
-    ends, which is written to."""
+    ends, which is written to; separator: which of the 256 bytes part words, if
+    not white space alone."""
     table = _BYTE_LOWER if lower else _BYTE
+    if separator is not None:
+        table = np.where(separator, np.uint64(0), table)
     n = len(raw)
     if cut is None:
         cut = np.zeros(n + 1, bool)
@@ -116,12 +119,12 @@ def split_words(raw: np.ndarray, off: np.ndarray, lower: bool, cut: np.ndarray |
     while a < n:
         b = min(n, a + PIECE)
         while b < n:  # move the cut to a separator or a document's start
-            near = np.flatnonzero(SEPARATOR[raw[b : b + 512]] | cut[b : min(n, b + 512)])
+            near = np.flatnonzero((SEPARATOR if separator is None else separator)[raw[b : b + 512]] | cut[b : min(n, b + 512)])
             if len(near):
                 b += int(near[0])
                 break
             b = min(n, b + 512)
-        h, s, e = _piece(raw[a:b], cut[a:b], table)
+        h, s, e = _piece(raw[a:b], cut[a:b], table, separator)
         hashes.append(h)
         starts.append(s + a)
         ends.append(e + a)
@@ -133,6 +136,16 @@ def split_words(raw: np.ndarray, off: np.ndarray, lower: bool, cut: np.ndarray |
     return Words(np.concatenate(hashes), np.searchsorted(start, off), start, np.concatenate(ends))
 
 
+def strings_at(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> pa.Array:
+    """The bytes from each start to its end as an Arrow string column."""
+    size = end - start
+    ends = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=ends[1:])
+    data = raw[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+    data = LOWER.take(data) if lower else data
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.string())
+
+
 def windows(h: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` neighbouring hashes, by doubling.
 
