@@ -9,7 +9,7 @@ each over all texts, and filters of bounded size hold those that occur
 ``least`` times.  A hash or filter that errs lets too much through, never too
 little, and the counts that follow are of the words themselves.
 
-Each shard, some ten megabytes of a partition's texts, then becomes a suffix
+Each shard, some megabytes of a partition's texts, then becomes a suffix
 automaton over its runs of such words.  A state is a class of word strings that
 end at the same places (endpos); its strings are suffixes of the longest one,
 down to a word more than its suffix link has.  Links form the tree of contexts
@@ -48,8 +48,8 @@ from dagloom.llm.words import Q, mix, slices, split_words, strings_at, text_byte
 WORDS = 5
 LEAST = 100
 TOP = 2000
-#: Bytes of text of a shard.
-SHARD_BYTES = 12 << 20
+#: Bytes of text of a shard: its automaton takes some forty times as much.
+SHARD_BYTES = 3 << 20
 #: Parts in which a language's phrases are ranked before they meet.
 SALTS = 64
 
@@ -139,7 +139,7 @@ def automaton(ids: np.ndarray, depth: np.ndarray, words: int = WORDS) -> States:
     n = len(at)
     if not n:
         return States(at, at, at, at)
-    context = np.zeros((words, n), np.int64)
+    context = np.zeros((words, n), np.int32)
     for d in range(words):
         deep = depth[at] > d
         context[d, deep] = ids[at[deep] - d] + 1
@@ -192,19 +192,9 @@ def _state_rows(filters: Broadcast) -> Callable:
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size >= SHARD_BYTES:
-                for part in pa.Table.from_batches(held).combine_chunks().to_batches():
-                    for x in slices(part, "text", SHARD_BYTES):
-                        yield from shard(x)
-                held, size = [], 0
-        if held:
-            for part in pa.Table.from_batches(held).combine_chunks().to_batches():
-                for x in slices(part, "text", SHARD_BYTES):
-                    yield from shard(x)
+        for batch in batches:
+            for b in slices(batch, "text", SHARD_BYTES):
+                yield from shard(b)
 
     return run
 

@@ -61,7 +61,7 @@ def rows_with_phrases():
     return rows
 
 
-@pytest.mark.parametrize("shard", [12 << 20, 900])
+@pytest.mark.parametrize("shard", [3 << 20, 900])
 def test_phrases(spark, monkeypatch, shard):
     """The same however texts fall into shards."""
     monkeypatch.setattr(collocations, "SHARD_BYTES", shard)
