@@ -17,7 +17,8 @@ read backwards, so states and endpos counts come from sorting all places by
 their last words: a string of d words is a run of equal d-word contexts, and
 strings with the same run are one state.  Depth is bounded by ``WORDS``.  A
 shard gives a row for each state, with its longest string, the length of its
-shortest and the count; the strings' counts are summed over shards.
+shortest and the count.  Equal states are summed over shards, and then, down the
+links, the counts of all their strings.
 
 A phrase is subsumed where one that holds it is as frequent.  Then one with one
 word more is, too: one whose suffix link leads to the phrase, or the same at its
@@ -214,6 +215,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
             totals = counts.where("h is null").select("lang", F.col("n").alias("total"))
         filters = [*filters, key_filter(counts.where("h is not null").select("h"), "h")]
     states = rows.mapInArrow(_state_rows(spark.sparkContext.broadcast(filters)), "lang string, phrase string, low int, high int, n long")
+    states = states.groupBy("lang", "phrase", "low", "high").agg(F.sum("n").alias("n"))
     strings = states.select("lang", "phrase", "n", F.explode(F.sequence("low", "high")).alias("words"))
     strings = strings.withColumn("phrase", F.expr("substring_index(phrase, ' ', -words)"))
     counts = strings.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
