@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,12 @@ def priority(key: Column, turn: int | Column, seed: int) -> Column:
     return F.pmod(h * (h + 1), F.lit(PRIME))
 
 
+def priority_of(key: np.ndarray, turn: int, seed: int) -> np.ndarray:
+    """The same hash of an array."""
+    h = (key % MODULUS * STEP + turn * SHIFT + seed) % MODULUS
+    return h * (h + 1) % PRIME
+
+
 def priority_sql(key: str, turn: str, seed: int) -> str:
     h = f"((({key})::BIGINT % {MODULUS} * {STEP} + ({turn})::BIGINT * {SHIFT} + {seed}) % {MODULUS})"
     return f"(({h} * ({h} + 1)) % {PRIME})"

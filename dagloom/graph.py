@@ -64,3 +64,12 @@ class UndirectedGraph:
     def of(vertices: DataFrame, pairs: DataFrame) -> UndirectedGraph:
         both = pairs.select("src", "dst").union(pairs.select("dst", "src")).where("src <> dst").distinct()
         return UndirectedGraph(vertices.select("v").distinct(), both)
+
+
+@dataclass(frozen=True)
+class Hypergraph:
+    """vertices(v) and members(e, v): the vertices of each hyperedge, each once.
+    Vertices of one hyperedge are neighbours."""
+
+    vertices: DataFrame
+    members: DataFrame

@@ -1,20 +1,28 @@
-"""Maximal independent sets of undirected graphs."""
+"""Maximal independent sets of undirected graphs and hypergraphs.
+
+Sets are found on incidence rows (e, v): v is a vertex of the hyperedge e, and
+vertices of one hyperedge are neighbours.  Pairs of neighbours are never made,
+so a hyperedge of m vertices costs m rows.  An edge of a graph is a hyperedge of
+two.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagloom.functions.numbers import priority
-from dagloom.graph import UndirectedGraph
-from dagloom.plans.fixpoint import cut, repeat
+from dagloom.functions.numbers import priority, priority_of
+from dagloom.graph import Hypergraph, UndirectedGraph
+from dagloom.plans.fixpoint import cut
 
 #: Neighbours that are tried from one row.
 CHUNK = 100_000
+#: Incidence rows up to which the remaining rounds run in one task.
+TAIL_ROWS = 200_000
 
 
 def random_graph(spark: SparkSession, n: int, chance: float, seed: int = 42) -> UndirectedGraph:
@@ -49,65 +57,122 @@ def count_edges(g: UndirectedGraph) -> DataFrame:
     return g.edges.where("src < dst").agg(F.count("*").alias("n_edges"))
 
 
-def _rounds(g: UndirectedGraph, rank: Column | None, seed: int) -> tuple[DataFrame, int]:
-    """(v, h) of an independent set: in each round vertices that come first
-    among their undecided neighbours are taken, and their neighbours out.
-
-    rank orders vertices, low first, with ties to the lower id; None draws new
-    hashes each round, high first, with ties to the higher id."""
-    fresh = rank is None
-    edges = cut(g.edges.toDF("v", "u"))
-    first = F.lit(0).cast("long") if fresh else rank.cast("long")
-    state = cut(g.vertices.select("v", first.alias("h"), F.lit(0).alias("s")))  # 0 open, 1 taken, 2 out
-
-    def step(state: DataFrame, turn: int) -> DataFrame | None:
-        live = state.where("s = 0")
-        if live.isEmpty():
-            return None
-        key = F.struct(priority(F.col("v"), turn, seed), "v") if fresh else F.struct(-F.col("h"), -F.col("v"))
-        keyed = live.select("v", key.alias("k"))
-        near = edges.join(keyed.select("v"), "v", "left_semi").join(keyed.toDF("u", "ku"), "u").groupBy("v").agg(F.max("ku").alias("m"))
-        taken = cut(keyed.join(near, "v", "left").where("m is null or k > m").select("v"))
-        out = edges.join(taken, "v", "left_semi").select(F.col("u").alias("v")).distinct()
-        marks = taken.withColumn("t", F.lit(1)).union(out.withColumn("t", F.lit(2)))
-        new = state.join(marks, "v", "left")
-        return cut(new.select("v", "h", F.when((F.col("s") == 0) & F.col("t").isNotNull(), F.col("t")).otherwise(F.col("s")).alias("s")))
-
-    state, turns = repeat(state, step, most_rounds=1_000_000)
-    return state.where("s = 1").select("v"), turns
-
-
-def mis(g: UndirectedGraph, algo: str = "greedy", seed: int = 42) -> DataFrame:
+def _incidence(g: UndirectedGraph | Hypergraph) -> Hypergraph:
+    if isinstance(g, Hypergraph):
+        return g
+    both = g.edges.where("src < dst").select(F.struct("src", "dst").alias("e"), F.explode(F.array("src", "dst")).alias("v"))
+    return Hypergraph(g.vertices, both)
+
+
+def _key(algo: str, seed: int, packed: bool) -> Callable[[int], Column]:
+    """What vertices are compared by in a round: the largest comes first.
+    "greedy" and "priority" prefer low ids and low hashes, "luby" draws new
+    hashes each round and prefers high ones; ties go to the id alike."""
+    v = F.col("v")
+    if algo == "greedy":
+        return lambda turn: -v
+    if packed:  # a hash has 31 bits
+        wide = lambda h, v: F.shiftleft(h, 32) + v
+    else:
+        wide = F.struct
+    if algo == "luby":
+        return lambda turn: wide(priority(v, turn, seed), v)
+    last = 2**32 - 1 if packed else 0
+    return lambda turn: wide(F.lit(2**31 - 1) - priority(v, 0, seed), F.lit(last) - v)
+
+
+def _tail(algo: str, seed: int, turn: int) -> Callable:
+    """The rounds from ``turn`` on over one task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        rows = pa.Table.from_batches(held)
+        e = np.array(pa.concat_arrays(rows.column("e").chunks).dictionary_encode().indices)
+        ids, v = np.unique(rows.column("v").to_numpy(), return_inverse=True)
+        now = turn
+        while len(v):
+            if algo == "greedy":
+                by = np.argsort(-ids, kind="stable")
+            elif algo == "priority":
+                by = np.lexsort((-ids, -priority_of(ids, 0, seed)))
+            else:
+                by = np.lexsort((ids, priority_of(ids, now, seed)))
+            rank = np.empty(len(ids), np.int64)
+            rank[by] = np.arange(len(ids))
+            top, seen = np.full(e.max() + 1, -1), np.full(len(ids), -1)
+            np.maximum.at(top, e, rank[v])
+            np.maximum.at(seen, v, top[e])
+            taken = seen == rank
+            yield pa.record_batch([pa.array(ids[taken])], ["v"])
+            hit = np.zeros(len(top), bool)
+            hit[e[taken[v]]] = True
+            gone = np.zeros(len(ids), bool)
+            gone[v[hit[e]]] = True
+            e, v = e[~gone[v]], v[~gone[v]]
+            now += 1
+
+    return run
+
+
+def _rounds(g: Hypergraph, algo: str, seed: int) -> tuple[DataFrame, int]:
+    """(v) of an independent set, and the rounds over DataFrames it took: in
+    each, vertices that come first in all their hyperedges are taken, and all
+    vertices of those hyperedges leave with their rows.  Few rows that are left
+    go through the same rounds in one task."""
+    ends = g.vertices.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    key = _key(algo, seed, ends["lo"] is not None and ends["lo"] >= 0 and ends["hi"] < 2**32)
+    out = g.vertices.join(g.members, "v", "left_anti").select("v")
+    live, turn = cut(g.members.select("e", "v")), 0
+    while True:
+        rows = live.count()
+        if rows <= TAIL_ROWS:
+            named = live.select(F.col("e").cast("string").alias("e"), F.col("v").cast("long").alias("v"))
+            return out.unionByName(named.coalesce(1).mapInArrow(_tail(algo, seed, turn), "v long")), turn
+        keyed = live.withColumn("k", key(turn))
+        top = keyed.groupBy("e").agg(F.max("k").alias("m"))
+        seen = keyed.join(top, "e").groupBy("v", "k").agg(F.max("m").alias("m"))
+        taken = cut(seen.where("m = k").select("v"))
+        hit = live.join(taken, "v", "left_semi").select("e").distinct()
+        gone = live.join(hit, "e", "left_semi").select("v").distinct()
+        live = cut(live.join(gone, "v", "left_anti").select("e", "v"))
+        out, turn = out.unionByName(taken), turn + 1
+
+
+def mis(g: UndirectedGraph | Hypergraph, algo: str = "greedy", seed: int = 42) -> DataFrame:
     """(v): "greedy" gives the lexicographically first set, as a scan by id
     does; "priority" scans by a hash of the id; "luby" draws anew each round."""
-    ranks = {"greedy": F.col("v"), "priority": priority(F.col("v"), 0, seed), "luby": None}
-    if algo not in ranks:
+    if algo not in ("greedy", "priority", "luby"):
         raise ValueError(f"no such algorithm: {algo}")
-    return _rounds(g, ranks[algo], seed)[0]
+    return _rounds(_incidence(g), algo, seed)[0]
 
 
-def violations(g: UndirectedGraph, chosen: DataFrame) -> DataFrame:
-    """Edges within the chosen set."""
-    at = lambda c: chosen.select(F.col("v").alias(c))
-    return g.edges.where("src < dst").join(at("src"), "src", "left_semi").join(at("dst"), "dst", "left_semi")
+def violations(g: UndirectedGraph | Hypergraph, chosen: DataFrame) -> DataFrame:
+    """(e, n): hyperedges that have n > 1 chosen vertices."""
+    met = _incidence(g).members.join(chosen, "v", "left_semi")
+    return met.groupBy("e").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def uncovered(g: UndirectedGraph, chosen: DataFrame) -> DataFrame:
+def uncovered(g: UndirectedGraph | Hypergraph, chosen: DataFrame) -> DataFrame:
     """Vertices that are neither chosen nor next to a chosen one."""
-    near = g.edges.join(chosen.select(F.col("v").alias("src")), "src", "left_semi").select(F.col("dst").alias("v"))
+    g = _incidence(g)
+    hit = g.members.join(chosen, "v", "left_semi").select("e").distinct()
+    near = g.members.join(hit, "e", "left_semi").select("v")
     return g.vertices.join(chosen, "v", "left_anti").join(near, "v", "left_anti")
 
 
-def is_independent(g: UndirectedGraph, chosen: DataFrame) -> DataFrame:
+def is_independent(g: UndirectedGraph | Hypergraph, chosen: DataFrame) -> DataFrame:
     return violations(g, chosen).agg((F.count("*") == 0).alias("independent"))
 
 
-def is_maximal(g: UndirectedGraph, chosen: DataFrame) -> DataFrame:
+def is_maximal(g: UndirectedGraph | Hypergraph, chosen: DataFrame) -> DataFrame:
     return uncovered(g, chosen).agg((F.count("*") == 0).alias("maximal"))
 
 
-def report(g: UndirectedGraph, seed: int = 42) -> DataFrame:
+def report(g: UndirectedGraph | Hypergraph, seed: int = 42) -> DataFrame:
     """(algo, size, independent, maximal) of the three algorithms."""
+    g = _incidence(g)
     out = None
     for algo in ("greedy", "priority", "luby"):
         chosen = cut(mis(g, algo, seed))

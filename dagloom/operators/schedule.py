@@ -23,9 +23,16 @@ from dagloom.plans.fixpoint import cut
 
 def schedule(g: TaskGraph, max_parallelism: int | None = None, strategy: str = "auto") -> DataFrame:
     """(graph_id, node_id, wave, slot): levels, in lots of max_parallelism."""
+    if max_parallelism is not None and max_parallelism < 1:
+        raise ValueError("something must be let run")
     ordered = topo_order(g, strategy=strategy)
     if max_parallelism is None:
         return ordered.select("graph_id", "node_id", F.col("level").alias("wave"), F.col("lid").alias("slot"))
+    return in_lots(ordered, max_parallelism)
+
+
+def in_lots(ordered: DataFrame, max_parallelism: int) -> DataFrame:
+    """The schedule of an order that is worked out already."""
     if max_parallelism < 1:
         raise ValueError("something must be let run")
     k = F.lit(max_parallelism)
@@ -49,7 +56,7 @@ def schedule_lanes(g: TaskGraph, laned: DataFrame, incremental: bool = False, st
     """(graph_id, node_id, wave, slot): levels over the lanes' edges, or, if
     incremental, over the edges with the lanes' chains; slot is the lane."""
     laned = cut(laned)  # what follows reads it several times
-    limited = lane_constraints(g, laned) if incremental else lane_graph(g, laned)
+    limited = lane_constraints(g, laned, strategy) if incremental else lane_graph(g, laned, strategy)
     waves = levels(limited, strategy, like=g).withColumnRenamed("level", "wave")
     return waves.join(laned.select("graph_id", "node_id", F.col("lane").alias("slot")), ["graph_id", "node_id"])
 

@@ -1,30 +1,21 @@
-"""Loops over DataFrames: lineage cuts and the round limit."""
+"""Loops over DataFrames: lineage cuts."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows, checkpointed in the folder the cluster names (a temporary one
-    only where none is named, as in tests), so that plans don't grow by round
-    and a lost executor loses nothing."""
+    only where none is named and everything runs on this machine), so that plans
+    don't grow by round and a lost executor loses nothing."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dagloom-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="dagloom-"))
     return df.checkpoint(eager=True)
-
-
-def repeat(state: DataFrame, step: Callable[[DataFrame, int], DataFrame | None], most_rounds: int) -> tuple[DataFrame, int]:
-    """Applies step(state, round) until it gives None; returns the last state
-    and the number of rounds.  Fails past ``most_rounds``."""
-    for turn in range(most_rounds):
-        new = step(state, turn)
-        if new is None:
-            return state, turn
-        state = new
-    raise RuntimeError(f"no fixpoint within {most_rounds} rounds")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagloom.functions.numbers import payload, priority_sql
-from dagloom.graph import TaskGraph
-from dagloom.operators import cluster, lanes, mis, mutate, schedule, traverse
+from dagloom.graph import Hypergraph, TaskGraph
+from dagloom.operators import cluster, lanes, log, mis, mutate, schedule, traverse
 from dagloom.plans.fixpoint import cut
-from dagloom.sources.tables import conversation_graph, event_graph, key_graph, part_graph, table
+from dagloom.sources.tables import conversation_graph, event_graph, event_log, key_graph, part_graph, part_orders, table
 from dagloom.sources.text import dot_lines, harness_averages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,17 @@ def _lanes(f: Callable) -> Query:
     return run
 
 
+def _logged(f: Callable) -> Query:
+    return lambda spark, sf: f(log.apply_log(event_graph(spark, sf), event_log(spark, sf)))
+
+
 def _parts(f: Callable) -> Query:
-    return lambda spark, sf: f(part_graph(spark, sf))
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        g = part_orders(spark, sf)
+        members = cut(g.members)
+        return f(Hypergraph(cut(members.select("v").distinct()), members))
+
+    return run
 
 
 def _node_ids(g) -> DataFrame:
@@ -93,11 +102,10 @@ def _every_third(g) -> DataFrame:
 
 
 def parallelism_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    g = event_graph(spark, sf)
-    g = TaskGraph(cut(g.nodes), cut(g.edges))
+    ordered = cut(traverse.topo_order(event_graph(spark, sf)))
     out = None
     for k in (8, 6, 4, 2):
-        row = schedule.run_totals(schedule.schedule(g, k)).withColumn("k", F.lit(k).cast("long"))
+        row = schedule.run_totals(schedule.in_lots(ordered, k)).withColumn("k", F.lit(k).cast("long"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -116,7 +124,7 @@ def spark_queries() -> dict[str, Query]:
         "node_degrees": _events(traverse.degrees),
         "source_nodes": _events(traverse.sources),
         "sink_nodes": _events(traverse.sinks),
-        "undirected_edge_count": _parts(mis.count_edges),
+        "undirected_edge_count": lambda spark, sf: mis.count_edges(part_graph(spark, sf)),
         "key_graph_levels": lambda spark, sf: traverse.checked_levels(key_graph(spark, sf)),
         "levels": _events(traverse.levels),
         "level_widths": _events(lambda g: traverse.levels(g).groupBy("graph_id", "level").agg(F.count("*").alias("width"))),
@@ -151,6 +159,10 @@ def spark_queries() -> dict[str, Query]:
         "remove_edges": _events(lambda g: _edge_ends(mutate.remove_random_edges(g, CHANGES, SEED))),
         "add_edges": _events(lambda g: mutate.random_edges(g, CHANGES, SEED)),
         "add_nodes": _events(_new_node_edges),
+        "log_nodes": _logged(lambda g: g.nodes),
+        "log_edges": _logged(lambda g: g.edges),
+        "insert_nodes": _events(lambda g: mutate.add_nodes(g, mutate.random_nodes(g, CHANGES, SEED)[0]).nodes),
+        "insert_edges": _events(lambda g: mutate.add_edges(g, mutate.random_edges(g, CHANGES, SEED)).edges),
         "sample_ints": lambda spark, sf: mutate.sample_ints(spark, 1000, 50, SEED),
         "parallelism_bounce": lambda spark, sf: spark.range(30).select(F.col("id").alias("iter"), mutate.parallelism_bounce(F.col("id")).alias("k")),
         "incremental_stats": incremental_stats,
@@ -166,7 +178,7 @@ def spark_queries() -> dict[str, Query]:
         "incremental_semaphore_runs": _incremental_runs("semaphore"),
         "incremental_lane_runs": _incremental_runs("lanes"),
         "incremental_chain_runs": _incremental_runs("lanes-incremental"),
-        "mis_report": lambda spark, sf: mis.report(mis.random_graph(spark, 100, 0.1, SEED), SEED),
+        "mis_report": _parts(lambda g: mis.report(g, SEED)),
         "random_graph": lambda spark, sf: mis.random_graph(spark, 100, 0.1, SEED).edges,
         "dot_dump": _events(dot_lines),
         "harness_averages": harness,
@@ -262,6 +274,14 @@ def _checks(chosen: str) -> str:
 NOT EXISTS (SELECT 1 FROM vx WHERE v NOT IN (SELECT v FROM {chosen}) AND v NOT IN (SELECT ue.dst FROM ue JOIN {chosen} c ON c.v = ue.src)) AS maximal"""
 
 
+def _report() -> str:
+    """Sizes and checks of the three sets, each found by its own query."""
+    sets = {"greedy": _with(_SCAN.format(rank="vx.v"), ""), "priority": _with(_SCAN.format(rank=priority_sql("vx.v", "0", SEED)), ""),
+            "luby": _with(_LUBY, "SELECT v FROM st WHERE it = (SELECT max(it) FROM st) AND s = 1")}
+    rows = [f"SELECT '{a}' AS algo, (SELECT count(*) FROM {a}) AS size, independent, maximal FROM ({_checks(a)})" for a in sets]
+    return f"WITH {_PARTS}, " + ", ".join(f"{a} AS MATERIALIZED ({q})" for a, q in sets.items()) + " " + " UNION ALL ".join(rows)
+
+
 def _pick(source: str, key: str, turn: str = "0") -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY gid ORDER BY {priority_sql(key, turn, SEED)}, {key}) AS pick FROM {source})"
 
@@ -281,6 +301,22 @@ fo AS (SELECT dj.gid, a.v AS src, b.v AS dst, min(try) AS try FROM dj JOIN o a O
   WHERE NOT EXISTS (SELECT 1 FROM ee WHERE ee.gid = dj.gid AND ee.src = a.v AND ee.dst = b.v) GROUP BY ALL)"""
 
 
+_LOG = f"""{_EVENTS},
+lr AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY v) - 1 AS rk FROM k),
+lh AS (SELECT *, min(v) OVER (PARTITION BY gid, rk // 4) AS head, (extract(minute FROM ts) // 10) * 1000000000000 + v AS t FROM lr),
+es AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY src, dst) - 1 AS eseq FROM ee),
+aa AS (SELECT gid, t, CASE WHEN event_type = 'signup' THEN head ELSE -v END AS v, event_type || '_' || v AS name,
+  row_number() OVER (PARTITION BY gid ORDER BY t) - 1 AS num FROM lh WHERE event_type IN ('signup', 'purchase')),
+rr AS (SELECT gid, head AS v, t FROM lh WHERE event_type = 'click'),
+gone AS (SELECT gid, v, max(t) AS t FROM rr GROUP BY ALL),
+ops AS (SELECT gid, v, t, true AS there FROM aa UNION ALL SELECT gid, v, t, false FROM rr),
+ae AS (SELECT gid, t, head AS src, v AS dst, row_number() OVER (PARTITION BY gid ORDER BY t) - 1 AS num FROM lh WHERE event_type = 'view'),
+en AS (SELECT ae.gid, ae.t, ae.src, ae.dst, ae.num, x.v AS node, max_by(ops.there, ops.t) AS there
+  FROM ae, LATERAL (SELECT unnest([ae.src, ae.dst]) AS v) x LEFT JOIN ops ON ops.gid = ae.gid AND ops.v = x.v AND ops.t < ae.t GROUP BY ALL),
+ok AS (SELECT en.gid, t, src, dst, num FROM en LEFT JOIN k ON k.gid = en.gid AND k.v = en.node GROUP BY ALL HAVING bool_and(coalesce(there, k.v IS NOT NULL)))"""
+_LOG_NODES = """SELECT k.gid AS graph_id, k.v AS node_id, k.v::VARCHAR AS name, row_number() OVER (PARTITION BY k.gid ORDER BY k.v) - 1 AS node_seq FROM k"""
+
+
 def duckdb_sql() -> dict[str, str]:
     ev = lambda x: _with(_EVENTS, x)
     order = lambda x: _with(_ORDER, x)
@@ -356,6 +392,19 @@ FROM w JOIN (SELECT gid, c, count(*) AS n FROM cl GROUP BY ALL) t ON t.gid = w.g
         "add_nodes": _with(f"{_EVENTS}, {node}", f""", nn AS (SELECT gid, n, top + 1 + i AS v FROM (SELECT gid, count(*) AS n, max(v) AS top FROM k GROUP BY gid), (SELECT unnest(range(0, {CHANGES})) AS i)),
 me AS (SELECT nn.gid, nn.v, ns.v AS old, {mod(priority_sql("nn.v", "0", SEED + 1), "2")} = 0 AS up FROM nn JOIN ns ON ns.gid = nn.gid AND ns.nseq = {priority_sql("nn.v", "0", SEED)} % nn.n)
 SELECT gid AS graph_id, v AS node_id, CASE WHEN up THEN v ELSE old END AS src, CASE WHEN up THEN old ELSE v END AS dst FROM me"""),
+        "log_nodes": _with(_LOG, f"""SELECT n.* FROM ({_LOG_NODES}) n ANTI JOIN gone ON gone.gid = n.graph_id AND gone.v = n.node_id UNION ALL
+SELECT aa.gid, aa.v, min_by(aa.name, aa.t), (SELECT count(*) FROM k WHERE k.gid = aa.gid) + min_by(aa.num, aa.t) FROM aa LEFT JOIN gone ON gone.gid = aa.gid AND gone.v = aa.v
+  LEFT JOIN k ON k.gid = aa.gid AND k.v = aa.v WHERE (gone.t IS NULL AND k.v IS NULL) OR aa.t > gone.t GROUP BY aa.gid, aa.v"""),
+        "log_edges": _with(_LOG, """, every AS (SELECT gid, eseq, src, dst, -1 AS t FROM es UNION ALL
+  SELECT ok.gid, coalesce(n, 0) + num, src, dst, t FROM ok LEFT JOIN (SELECT gid, count(*) AS n FROM es GROUP BY gid) c ON c.gid = ok.gid)
+SELECT gid AS graph_id, eseq AS edge_seq, src, dst FROM every e WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.gid = e.gid AND gone.v IN (e.src, e.dst) AND gone.t > e.t)
+  AND NOT EXISTS (SELECT 1 FROM lh WHERE lh.gid = e.gid AND event_type = 'error' AND rk = e.eseq AND lh.t > e.t)"""),
+        "insert_nodes": ev(f""", num AS (SELECT gid, count(*) AS n, max(v) AS top FROM k GROUP BY gid)
+SELECT * FROM ({_LOG_NODES}) UNION ALL SELECT gid, top + 1 + i, 'new_' || (n + i) || '_' || i, n + i FROM num, (SELECT unnest(range(0, {CHANGES})) AS i)"""),
+        "insert_edges": _with(_ORDER + _draws(), f""", {edge}, na AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY src, dst) - 1 AS i FROM
+  (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY try) AS r FROM fo) WHERE r <= {CHANGES})
+SELECT gid AS graph_id, eseq AS edge_seq, src, dst FROM es UNION ALL
+SELECT na.gid, coalesce(c.n, 0) + i, na.src, na.dst FROM na LEFT JOIN (SELECT gid, count(*) AS n FROM es GROUP BY gid) c ON c.gid = na.gid"""),
         "sample_ints": f"SELECT range AS value FROM range(1000) ORDER BY {priority_sql('range', '0', SEED)}, range LIMIT 50",
         "parallelism_bounce": "SELECT range AS iter, 1 + abs(7 - range % 14) AS k FROM range(30)",
         "mis_greedy": _with(_SCAN.format(rank="vx.v"), ""),
@@ -364,6 +413,7 @@ SELECT gid AS graph_id, v AS node_id, CASE WHEN up THEN v ELSE old END AS src, C
         "mis_checks_planted": _with(_PARTS + ", third AS (SELECT v FROM vx WHERE v % 3 = 0)", _checks("third")),
         "mis_independent": f"SELECT independent FROM ({_with(_LUBY + _LUBY_SET, _checks('lu'))})",
         "mis_maximal": f"SELECT maximal FROM ({_with(_LUBY + _LUBY_SET, _checks('lu'))})",
+        "mis_report": _report(),
         "random_graph": f"SELECT src, dst FROM ({pairs}) WHERE {coin} UNION ALL SELECT dst, src FROM ({pairs}) WHERE {coin}",
         "dot_dump": _with(f"{_EVENTS}, {edge}, {node}, c AS (SELECT gid, count(*) AS n FROM k GROUP BY gid)", dot_line),
         "harness_averages": """SELECT benchmark, 'run time' AS metric, (sum(v) * 1000000 // count(*))::BIGINT / 1e6::DOUBLE AS average FROM (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dagloom.graph import TaskGraph, UndirectedGraph
+from dagloom.graph import Hypergraph, TaskGraph, UndirectedGraph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,29 @@ def event_graph(spark: SparkSession, sf_dir: str) -> TaskGraph:
     return TaskGraph.of(keyed.select("graph_id", "node_id"), follows.where("dst is not null").distinct())
 
 
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of changes to the hours' graphs, a row for each event: a click
+    removes the first of its block of four events of the hour and a signup adds
+    it (again); a view leads from that one to the event; a purchase adds a node
+    of the event's negative id; an error removes the edge of the event's rank.
+    Rows go by tens of minutes and event."""
+    events = table(spark, sf_dir, "events")
+    hour = hour_of(events, "ts")
+    rows = events.select(hour.alias("graph_id"), F.floor(F.minute("ts") / 10).cast("long").alias("iter"), F.col("event_id").cast("long").alias("step"), F.col("event_type").alias("type"))
+    rows = rows.withColumn("rank", (F.row_number().over(Window.partitionBy("graph_id").orderBy("step")) - 1).cast("long"))
+    head = F.min("step").over(Window.partitionBy("graph_id", F.floor(F.col("rank") / 4)))
+    rows = rows.withColumn("head", head)
+    is_ = lambda *types: F.col("type").isin(*types)
+    op = F.when(is_("click"), "remove_node").when(is_("signup", "purchase"), "add_node").when(is_("view"), "add_edge").otherwise("remove_edge")
+    return rows.select(
+        "graph_id", "iter", "step", op.alias("op"),
+        F.when(is_("click", "signup"), F.col("head")).when(is_("purchase"), -F.col("step")).alias("node_id"),
+        F.when(op == "remove_edge", F.col("rank")).alias("edge_seq"),
+        F.when(op == "add_edge", F.col("head")).alias("src"), F.when(op == "add_edge", F.col("step")).alias("dst"),
+        F.when(op == "add_node", F.concat_ws("_", "type", "step")).alias("name"),
+    )
+
+
 def conversation_graph(spark: SparkSession, sf_dir: str, planted: bool = False) -> TaskGraph:
     """A chain of turns for each conversation.  planted: of conversations with
     three turns or more, every third gets an edge from its last turn to its
@@ -69,3 +92,9 @@ def part_graph(spark: SparkSession, sf_dir: str) -> UndirectedGraph:
     other = items.select("l_orderkey", F.col("l_partkey").alias("dst"))
     pairs = items.join(other, "l_orderkey").select(F.col("l_partkey").alias("src"), "dst").where("src < dst").distinct()
     return UndirectedGraph.of(items.select(F.col("l_partkey").alias("v")), pairs)
+
+
+def part_orders(spark: SparkSession, sf_dir: str) -> Hypergraph:
+    """The same neighbours, with orders as hyperedges of their parts."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("e"), F.col("l_partkey").alias("v")).distinct()
+    return Hypergraph(items.select("v").distinct(), items)

@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dagloom.graph import UndirectedGraph
-from dagloom.functions.numbers import priority
+from dagloom.graph import Hypergraph, UndirectedGraph
+from dagloom.functions.numbers import priority, priority_of
 from dagloom.operators import mis
 from dagloom.queries import SEED, spark_queries
 
@@ -74,3 +75,68 @@ def test_whole_part_graph(spark, tmp_path):
     luby = {v for v, in got["mis_luby"]}
     assert all((v in luby) != bool(near[v] & luby) for v in parts)
     assert got["mis_independent"] == [(True,)] and got["mis_maximal"] == [(True,)]
+
+
+def hypergraph(spark, items, lone=()):
+    members = spark.createDataFrame(sorted(set(items)), "e long, v long")
+    return Hypergraph(spark.createDataFrame(sorted({(v,) for _, v in items} | {(v,) for v in lone}), "v long"), members)
+
+
+def plain_rounds(items, lone, rank):
+    """Rounds of vertices that are first in all their hyperedges, as sets."""
+    out, left, turn = set(lone), set(items), 0
+    while left:
+        of = {}
+        for e, v in left:
+            of.setdefault(e, set()).add(v)
+        first = {v for _, v in left}
+        for s in of.values():
+            first -= s - {max(s, key=lambda v: rank(v, turn))}
+        gone = {u for s in of.values() if s & first for u in s}
+        left = {(e, v) for e, v in left if v not in gone}
+        out, turn = out | first, turn + 1
+    return out
+
+
+@pytest.mark.parametrize("tail", [0, 300, 200_000])
+@pytest.mark.parametrize("far", [0, 10**12])
+def test_rounds_on_incidence_rows(spark, monkeypatch, tail, far):
+    """DataFrame rounds, one task's rounds and a mix of both give the same, for
+    ids that are packed with their hashes and ids that are not."""
+    monkeypatch.setattr(mis, "TAIL_ROWS", tail)
+    rng = random.Random(8)
+    items = [(e, far + rng.randrange(150)) for e in range(120) for _ in range(rng.randrange(1, 8))]
+    lone = [far + 500, far + 501]
+    g = hypergraph(spark, items, lone)
+    hashed = lambda v, t: int(priority_of(np.array([v]), t, SEED)[0])
+    ranks = {"greedy": lambda v, t: -v, "priority": lambda v, t: (-hashed(v, 0), -v), "luby": lambda v, t: (hashed(v, t), v)}
+    for algo, rank in ranks.items():
+        got = [r.v for r in mis.mis(g, algo, SEED).collect()]
+        assert sorted(got) == sorted(plain_rounds(items, lone, rank)), algo
+
+
+def test_order_of_many_parts(spark):
+    """A hyperedge of m vertices costs m rows: no pairs are made."""
+    many = spark.range(100_000).select(F.lit(0).alias("e"), F.col("id").alias("v"))
+    more = spark.range(1, 30_000).select((F.col("id") % 9_000 + 1).alias("e"), (F.col("id") * 7 % 130_000).alias("v"))
+    members = many.union(more).distinct()
+    g = Hypergraph(members.select("v").distinct(), members)
+    for algo in ("greedy", "luby"):
+        chosen = mis.mis(g, algo)
+        assert mis.is_independent(g, chosen).first()[0] and mis.is_maximal(g, chosen).first()[0]
+
+
+def test_report(spark, graph):
+    rows = {r.algo: r for r in mis.report(graph[0]).collect()}
+    assert set(rows) == {"greedy", "priority", "luby"} and all(r.independent and r.maximal for r in rows.values())
+    assert rows["greedy"].size == len(scan(range(40), graph[1]))
+    lists = [{r.v for r in mis.mis(graph[0], a).collect()} for a in rows]
+    assert [r.size for r in rows.values()] == [len(s) for s in lists]
+
+
+def test_hashes_agree(spark):
+    ids = [0, 1, 2**31, 10**15, 2**40 + 5]
+    df = spark.createDataFrame([(i,) for i in ids], "v long")
+    for turn in (0, 7):
+        got = {r.v: r.h for r in df.select("v", priority(F.col("v"), turn, SEED).alias("h")).collect()}
+        assert [got[i] for i in ids] == priority_of(np.array(ids), turn, SEED).tolist()

@@ -1,8 +1,9 @@
+import random
+
 import pytest
 
 from dagloom.graph import TaskGraph
-from dagloom.sources.text import append_results, dot_lines, harness_averages, read_graph, write_graph
-from dagloom.streaming import mutations
+from dagloom.sources.text import append_results, dot_lines, harness_averages, read_graph, read_results, write_dot, write_graph
 
 TEXT = '3\n"a";\n"b";\n"c";\n"a" -> "b";\n"b" -> "c";\n"a" -> "b";\n'
 
@@ -33,18 +34,43 @@ def test_results(spark, tmp_path):
     log = spark.createDataFrame(lines, "benchmark string, run int, line_no int, line string")
     found = harness_averages(log)
     assert sorted(map(tuple, found.collect())) == [("x", "extra", None), ("x", "run time", 11.666666)]
-    append_results(found, str(tmp_path / "csv"))
-    append_results(found, str(tmp_path / "csv"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 4
-
-
-def test_stream_of_mutations(spark, tmp_path):
-    start = TaskGraph.from_lists(spark, [0, 1, 2], [(0, 1), (1, 2)])
-    log = [(0, 0, 0, "remove_node", 1, None, None, None, None), (0, 0, 1, "add_node", 9, None, None, None, "nine"), (0, 0, 2, "add_edge", None, None, 0, 9, None)]
-    spark.createDataFrame(log, mutations.LOG).write.parquet(str(tmp_path / "log"))
-    stream = spark.readStream.schema(mutations.LOG).parquet(str(tmp_path / "log"))
-    query = mutations.run(start, stream, str(tmp_path / "graphs"), str(tmp_path / "check"))
-    query.awaitTermination(120)
-    g = mutations.saved(spark, str(tmp_path / "graphs"), 0)
-    assert sorted(r.node_id for r in g.nodes.collect()) == [0, 2, 9]
-    assert [(r.src, r.dst) for r in g.edges.collect()] == [(0, 9)]
+    for _ in range(2):
+        append_results(found, str(tmp_path / "csv"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "csv").glob("call=*/part-*.csv")))
+    assert text.splitlines() == ["benchmark,metric,average", *text.splitlines()[1:3], *text.splitlines()[1:3]]
+    again = read_results(spark, str(tmp_path / "csv"), "benchmark string, metric string, average double")
+    assert sorted(map(tuple, again.collect())) == sorted([*map(tuple, found.collect())] * 2)
+
+
+def test_files_in_blocks(spark, tmp_path):
+    """Large files are read in several blocks, and graphs written in several
+    files, without losing the order of lines."""
+    rng = random.Random(1)
+    texts = {}
+    for name, n in (("a", 900), ("b", 3)):
+        names = [f"node {rng.randrange(10**6)} {i}" for i in range(n)]
+        pairs = [sorted(rng.sample(range(n), 2)) for _ in range(2 * n)]
+        texts[name] = names, pairs
+        lines = [str(n), *(f'"{x}";' for x in names), *(f'"{names[a]}" -> "{names[b]}";' for a, b in pairs)]
+        (tmp_path / f"{name}.txt").write_text("\r\n".join(lines) + "\n")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert spark.read.text(str(tmp_path / "a.txt")).rdd.getNumPartitions() > 5
+        g = read_graph(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")])
+        write_graph(TaskGraph(g.nodes.repartition(3), g.edges.repartition(3)), str(tmp_path / "out"))
+        write_dot(g, str(tmp_path / "dot"))
+        for h in (g, read_graph(spark, str(tmp_path / "out" / "graph_id=*"))):
+            for k, name in enumerate(("a", "b")):
+                names, pairs = texts[name]
+                nodes = h.nodes.where(f"graph_id = {k}").orderBy("node_seq").collect()
+                edges = h.edges.where(f"graph_id = {k}").orderBy("edge_seq").collect()
+                assert [r.name for r in nodes] == names
+                assert [[r.src, r.dst] for r in edges] == pairs
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    dot = "".join(f.read_text() for f in sorted((tmp_path / "dot" / "graph_id=1").glob("part-*")))
+    names, pairs = texts["b"]
+    assert dot.splitlines() == ["digraph {", *(f'"{x}";' for x in names), *(f'"{names[a]}" -> "{names[b]}";' for a, b in pairs), "}"]
