@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DataType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: Bytes of a side, as it stands in a join's hash table, up to which it is
 #: broadcast; beyond, it is shuffled.
@@ -63,14 +63,36 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def row_bytes(kinds: list[DataType]) -> int:
-    """About what a row takes in a hash table of a broadcast join."""
-    return 48 + sum(40 if isinstance(x, (BinaryType, StringType)) else 8 for x in kinds)
+    """About what a row of numbers takes in a hash table of a broadcast join."""
+    return 48 + 8 * len(kinds)
+
+
+def _value_bytes(c: Column, kind: DataType) -> Column:
+    """About what a value takes there, by its own length."""
+    if isinstance(kind, (BinaryType, StringType)):
+        return 24 + F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, StructType):
+        return sum((_value_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, ArrayType):
+        if not isinstance(kind.elementType, (ArrayType, BinaryType, MapType, StringType, StructType)):
+            return 24 + 8 * F.coalesce(F.size(c), F.lit(0))
+        return F.coalesce(F.aggregate(c, F.lit(24).cast("long"), lambda n, x: n + _value_bytes(x, kind.elementType)), F.lit(24))
+    if isinstance(kind, MapType):
+        return _value_bytes(F.map_keys(c), ArrayType(kind.keyType)) + _value_bytes(F.map_values(c), ArrayType(kind.valueType))
+    return F.lit(8)
+
+
+def side_bytes(df: DataFrame) -> int:
+    """About what the rows take in a hash table of a broadcast join, nested
+    values by their lengths."""
+    total = F.sum(sum((_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(48)).cast("long"))
+    return df.agg(F.coalesce(total, F.lit(0)).alias("n")).first()["n"]
 
 
 def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """Marks a stored side for broadcast if its rows, which are counted, are
-    small; else leaves it to a shuffled join.  For short keys only."""
-    return F.broadcast(df) if df.count() * row_bytes([x.dataType for x in df.schema]) <= most else df
+    """Marks a stored side for broadcast if its rows, which are counted and then
+    measured, are small; else leaves it to a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes([*df.schema]) <= most and side_bytes(df) <= most else df
 
 
 @dataclass
