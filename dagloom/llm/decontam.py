@@ -1,38 +1,38 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items are joined on seeds, runs of ``SEED`` shared
-words (case of A-Z ignored).  For each pair that shares enough of them,
-Karp-Rabin hashes find the longest match of words that are still unmarked on
-both sides, which becomes a tile, again and again, until no match of SEED words
-is left.  A document is contaminated by an item if tiles cover ``SHARE`` of the
-item's words, in whatever order they stand.
-
-The benchmark is gone through in blocks of about ``BLOCK_WORDS`` words, so what
-a task holds of it is bounded whatever its size; each block meets all rows.
+words (case of A-Z ignored).  A filter of bounded size keeps seeds that no item
+has out of the join; the join is exact.  For each pair that shares enough of
+them, Karp-Rabin hashes find the longest match of words that are still unmarked
+on both sides, which becomes a tile, again and again, until no match of SEED
+words is left.  A document is contaminated by an item if tiles cover ``SHARE``
+of the item's words, in whatever order they stand.  Items meet documents by
+joins alone, so a benchmark may have any size.
 
 Edge cases: null and empty texts match nothing; items with fewer words than a
-seed are found where they stand whole, those without words never; a null doc_id or item_id is reported as null; repeated
+seed are found where they stand whole (``without_leaks`` passes them over),
+those without words never; a null doc_id or item_id is reported as null; repeated
 documents and items each give their rows; extra columns are ignored or, in
 ``without_leaks``, kept; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagloom.llm.common import keyed, load, stored, without
-from dagloom.llm.words import slices, split_words, text_bytes, windows
+from dagloom.llm.common import key_filter, keyed, load, small_side, stored, without
+from dagloom.llm.words import mix, slices, split_words, text_bytes, windows
 
 SEED = 4
 SHARE = 0.5
-BLOCK_WORDS = 400_000
-#: Seeds of documents and items that are held side by side at once.
-MEETINGS = 1 << 21
+#: Words of the shortest item for which a document is dropped.
+LEAST_WORDS = 8
 
 
 def _free(used: np.ndarray, size: int) -> np.ndarray:
@@ -96,126 +96,108 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[in
     return out
 
 
-class Block:
-    """Some benchmark items, with their seeds sorted by hash."""
-
-    def __init__(self, ids: list, texts: list[str]):
-        w = split_words(*text_bytes(pa.array(texts, pa.string())), lower=True)
-        self.ids, self.first, self.words = ids, w.first, w.hash
-        self.size = np.diff(w.first)
-        h = windows(w.hash, SEED)
-        item = np.searchsorted(w.first, np.arange(len(h)), "right") - 1
-        place = np.flatnonzero(np.arange(len(h)) + SEED <= w.first[item + 1])
-        # of an item's equal seeds each counts by its place
-        order = np.argsort(h[place], kind="stable")
-        self.place = place[order]
-        self.hash, self.begin, self.times = np.unique(h[self.place], return_index=True, return_counts=True)
-        self.item = item[self.place]
-
-    def short(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, int]]:
-        """Documents that hold a whole item of fewer words than a seed."""
-        out = set()
-        for n in range(1, SEED):
-            items = np.flatnonzero(self.size == n)
-            h = windows(words, n)
-            if not len(items) or not len(h):
-                continue
-            own = windows(self.words, n)[self.first[items]]
-            hit = np.flatnonzero(np.isin(h, own))
-            doc = np.searchsorted(first, hit, "right") - 1
-            fits = hit + n <= first[doc + 1]
-            for k, x in zip(items.tolist(), own.tolist()):
-                out |= {(d, k, 1.0, 1) for d in np.unique(doc[fits & (h[hit] == np.uint64(x))]).tolist()}
-        return sorted(out)
-
-    def leaks(self, words: np.ndarray, first: np.ndarray, share: float) -> list[tuple[int, int, float, int]]:
-        """(document, item, coverage, tiles) of those covered enough."""
-        out = self.short(words, first)
-        h = windows(words, SEED)
-        if not len(h) or not len(self.hash):
-            return out
-        low = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        hit = np.flatnonzero(self.hash[low] == h)
-        doc = np.searchsorted(first, hit, "right") - 1
-        fits = hit + SEED <= first[doc + 1]
-        met = np.unique(doc[fits].astype(np.int64) * len(self.hash) + low[hit[fits]])  # a document's seeds, once each
-        total = np.cumsum(self.times[met % len(self.hash)])
-        doc = met // len(self.hash)
-        a = 0
-        while a < len(met):  # whole documents, as many as meet few enough seeds
-            z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + MEETINGS, "right")))
-            z = int(np.searchsorted(doc, doc[z - 1], "right"))
-            out += self._tiled(met[a:z], words, first, share)
-            a = z
-        return out
-
-    def _tiled(self, met: np.ndarray, words: np.ndarray, first: np.ndarray, share: float) -> list[tuple[int, int, float, int]]:
-        seed = met % len(self.hash)
-        n = self.times[seed]
-        row = np.repeat(np.arange(len(met)), n)
-        at = self.begin[seed][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        pair = (met // len(self.hash))[row] * len(self.ids) + self.item[at]
-        pairs, each = np.unique(pair, return_counts=True)
-        enough = pairs[each * SEED >= share * self.size[pairs % len(self.ids)]]
-        kept = np.isin(pair, enough)
-        order = np.argsort(pair[kept], kind="stable")
-        pair, at = pair[kept][order], at[kept][order]
-        edges = np.flatnonzero(np.diff(pair, prepend=-1))
-        out = []
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(pair)]):
-            d, k = divmod(int(pair[a]), len(self.ids))
-            # words of the item that any seed covers: tiles cover no more
-            mark = np.zeros(self.size[k] + 1, np.int32)
-            to = self.place[at[a:b]] - self.first[k]
-            np.add.at(mark, to, 1)
-            np.add.at(mark, to + SEED, -1)
-            if np.count_nonzero(np.cumsum(mark)) < share * self.size[k]:
-                continue
-            found = tiles(words[first[d] : first[d + 1]], self.words[self.first[k] : self.first[k + 1]])
-            covered = sum(x[2] for x in found)
-            if covered >= share * self.size[k]:
-                out.append((d, k, covered / int(self.size[k]), len(found)))
-        return out
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(k, t, item_id, coverage, tiles): a row for each document and item."""
+def _keys(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of n words, which differ between n, and their texts."""
+    h = windows(words, n)
+    text = np.searchsorted(first, np.arange(len(h)), "right") - 1
+    fits = np.arange(len(h)) + n <= first[text + 1]
+    return mix(h[fits] ^ np.uint64(n)), text[fits]
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, h, times, size): an item's seeds, or, of fewer words, the whole."""
+    for batch in batches:
+        for b in slices(batch, "text"):
+            w = split_words(*text_bytes(b.column("text")), lower=True)
+            size = np.diff(w.first)
+            for n in range(1, SEED + 1):
+                h, item = _keys(w.hash, w.first, n)
+                own = (size[item] == n) | (n == SEED)
+                order = np.lexsort((h[own], item[own]))
+                h, item = h[own][order], item[own][order]
+                new = np.flatnonzero(np.append(True, (np.diff(item) != 0) | (h[1:] != h[:-1]))[: len(h)])
+                times = np.diff(np.append(new, len(h)))
+                yield pa.record_batch([b.column("i").take(pa.array(item[new])), pa.array(h[new].view(np.int64)), pa.array(times), pa.array(size[item[new]])], ["i", "h", "times", "size"])
+
+
+def _doc_seeds(known: Broadcast, sizes: list[int]) -> Callable:
+    """(k, t, h): a document's seeds that known, a filter, may hold, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text"):
+                w = split_words(*text_bytes(b.column("text")), lower=True)
+                for n in sizes:
+                    h, doc = _keys(w.hash, w.first, n)
+                    some = known.value.may_hold(h)
+                    h, doc = h[some], doc[some]
+                    order = np.lexsort((h, doc))
+                    h, doc = h[order], doc[order]
+                    new = np.append(True, (np.diff(doc) != 0) | (h[1:] != h[:-1]))[: len(h)]
+                    row = pa.array(doc[new])
+                    yield pa.record_batch([b.column("k").take(row), b.column("t").take(row), pa.array(h[new].view(np.int64))], ["k", "t", "h"])
+
+    return run
+
+
+def _covered(doc: np.ndarray, item: np.ndarray, share: float) -> tuple[int, int]:
+    """Words of the item that tiles cover, and tiles; none if seeds, tiled or
+    not, cover too few."""
+    mark = np.zeros(len(item) + 1, np.int32)
+    at = np.flatnonzero(np.isin(windows(item, SEED), windows(doc, SEED)))
+    np.add.at(mark, at, 1)
+    np.add.at(mark, at + SEED, -1)
+    if np.count_nonzero(np.cumsum(mark)) < share * len(item):
+        return 0, 0
+    found = tiles(doc, item)
+    return sum(x[2] for x in found), len(found)
+
+
+def _tiled(share: float) -> Callable:
+    def words(text: str) -> np.ndarray:
+        return split_words(*text_bytes(pa.array([text])), lower=True).hash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, rows, last, doc = [], [], None, None
+            for i, (text, item) in enumerate(zip(b.column("text"), b.column("item"))):
+                if text != last:
+                    last, doc = text, words(text.as_py())
+                size = words(item.as_py())
+                covered, n = _covered(doc, size, share) if len(size) >= SEED else (len(size), 1)
+                if covered >= share * len(size):
+                    found.append((covered / len(size), n))
+                    rows.append(i)
+            at = pa.array(rows, pa.int64())
+            columns = [pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int32())]
+            yield pa.record_batch([*(b.column(c).take(at) for c in ("k", "t", "item_id")), *columns], ["k", "t", "item_id", "coverage", "tiles"])
+
+    return run
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text: str = "text", key: str = "doc_id", least_words: int = 1, name: str = "leaks") -> DataFrame:
+    """(k, t, item_id, coverage, tiles): a row for each document and item of
+    least_words words or more."""
+    spark = docs.sparkSession
     rows = keyed(docs, text, key)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    words = items.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))).alias("n")).first()["n"] or 0
-    blocks = int(words // BLOCK_WORDS) + 1
-    shape = "k long, t binary, item_id long, coverage double, tiles int"
-    out = None
-    for at in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == at).orderBy("item_id", "text").collect()
-        ids, texts = [r["item_id"] for r in part], [r["text"] for r in part]
-
-        def run(batches: Iterator[pa.RecordBatch], ids: list = ids, texts: list = texts) -> Iterator[pa.RecordBatch]:
-            block = Block(ids, texts)
-            for batch in batches:
-                for b in slices(batch, "text"):
-                    w = split_words(*text_bytes(b.column("text")), lower=True)
-                    found = block.leaks(w.hash, w.first, share)
-                    row = pa.array([x[0] for x in found], pa.int64())
-                    yield pa.record_batch(
-                        [
-                            b.column("k").take(row),
-                            b.column("t").take(row),
-                            pa.array([ids[x[1]] for x in found], pa.int64()),
-                            pa.array([x[2] for x in found], pa.float64()),
-                            pa.array([x[3] for x in found], pa.int32()),
-                        ],
-                        ["k", "t", "item_id", "coverage", "tiles"],
-                    )
-
-        got = rows.mapInArrow(run, shape)
-        out = got if out is None else out.union(got)
-    return out
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without those that an item contaminates."""
-    gone = stored(find_leaks(docs, benchmark, share, text, key).select("k", "t").distinct(), "leaks")
+    items = benchmark.select(F.monotonically_increasing_id().alias("i"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item"))
+    items = stored(items.where("item is not null"), f"{name}-items")
+    seeds = items.select("i", F.col("item").alias("text")).mapInArrow(_item_seeds, "i long, h long, times long, size long")
+    seeds = stored(seeds.where(F.col("size") >= least_words), f"{name}-seeds")
+    sizes = [r["n"] for r in seeds.select(F.least("size", F.lit(SEED)).cast("int").alias("n")).distinct().collect()]
+    known = spark.sparkContext.broadcast(key_filter(seeds.select("h").distinct(), "h"))
+    met = rows.mapInArrow(_doc_seeds(known, sorted(sizes)), "k long, t binary, h long").join(small_side(seeds), "h")
+    pairs = met.groupBy("k", "t", "i", "size").agg(F.sum("times").alias("times"))
+    # tiles cover no more words than the item's seeds that both have
+    pairs = stored(pairs.where((F.col("size") < SEED) | (F.col("times") * SEED >= F.lit(share) * F.col("size"))).select("k", "t", "i"), f"{name}-pairs")
+    both = rows.join(small_side(pairs), ["k", "t"]).join(small_side(items), "i")
+    return both.select("k", "t", "text", "item_id", "item").mapInArrow(_tiled(share), "k long, t binary, item_id long, coverage double, tiles int")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text: str = "text", key: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs without those that an item of least_words words or more
+    contaminates: a few common words are no reason to drop a document."""
+    gone = stored(find_leaks(docs, benchmark, share, text, key, least_words).select("k", "t").distinct(), "leaks")
     return without(docs, gone, text, key)
 
 

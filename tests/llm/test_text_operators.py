@@ -505,8 +505,8 @@ def test_tiling_against_brute_force():
     assert decontam.tiles(one, one[:15_000]) == [(0, 0, 15_000)]
 
 
-def test_decontamination_against_brute_force(spark):
-    """Whole result, short items included, and with few seeds at once."""
+def test_decontamination_against_brute_force(spark, monkeypatch):
+    """Whole result, short items included, by either kind of join."""
     rng = np.random.default_rng(4)
     draw = lambda n: [f"v{x}" for x in rng.integers(0, 12, n)]
     items = [draw(int(rng.integers(1, 30))) for _ in range(25)] + [["a"], [], ["a", "a", "a", "a", "a"]]
@@ -524,13 +524,19 @@ def test_decontamination_against_brute_force(spark):
     frame = lambda rows, key: spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], f"{key} long, text string")
     got = decontam.find_leaks(frame(docs, "doc_id"), frame(items, "item_id"))
     assert sorted((r.k, r.item_id, round(r.coverage, 6), r.tiles) for r in got.collect()) == sorted(want)
-    block = decontam.Block(list(range(len(items))), [" ".join(x) for x in items])
-    w = decontam.split_words(*decontam.text_bytes(decontam.pa.array([" ".join(x) for x in docs])), lower=True)
-    meetings, decontam.MEETINGS = decontam.MEETINGS, 5
-    try:
-        assert sorted((d, k, round(c, 6), n) for d, k, c, n in block.leaks(w.hash, w.first, 0.5)) == sorted(want)
-    finally:
-        decontam.MEETINGS = meetings
+    with monkeypatch.context() as m:  # joins that shuffle
+        m.setattr(decontam, "small_side", lambda df: df)
+        again = decontam.find_leaks(frame(docs, "doc_id"), frame(items, "item_id"), least_words=3)
+        assert sorted((r.k, r.item_id, round(r.coverage, 6), r.tiles) for r in again.collect()) == sorted(x for x in want if len(items[x[1]]) >= 3)
+    kept = decontam.without_leaks(frame(docs, "doc_id"), frame(items, "item_id"), least_words=6)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(range(len(docs))) - {d for d, k, *_ in want if len(items[k]) >= 6})
+
+
+def test_short_items_drop_nothing(spark):
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, "a b c d e f g h")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "the cat sat"), (3, "a b c d e f g h")], "item_id long, text string")
+    assert sorted((r.k, r.item_id) for r in decontam.find_leaks(docs, items).collect()) == [(1, 1), (1, 2), (2, 3)]
+    assert [r.doc_id for r in decontam.without_leaks(docs, items).collect()] == [1]
 
 
 # ------------------------------------------------------------------ media
@@ -626,3 +632,15 @@ def test_without_repeats(spark):
 def test_cover_is_a_difference_cover():
     assert {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER} == set(range(substring.PERIOD))
     assert substring.ANCHOR + substring.PERIOD - 1 == substring.WINDOW
+
+
+def test_sizes_of_broadcasts(spark):
+    """Nested values count by their lengths."""
+    from dagloom.llm.common import side_bytes, small_side
+
+    flat = spark.range(1000).selectExpr("id", "id as b")
+    wide = spark.range(1000).selectExpr("id", "struct(array_repeat(1.0D, 200) as n, 1.0D as total) as x", "cast(null as array<double>) as y", "array('abc') as z", "map('a', 1) as m")
+    assert side_bytes(flat) == 1000 * 64 and side_bytes(flat.limit(0)) == 0
+    assert 1000 * 1600 < side_bytes(wide) < 1000 * 2100
+    hint = lambda df, most: "broadcast" in small_side(df, most)._jdf.queryExecution().analyzed().toString().lower()
+    assert hint(wide, 1 << 21) and not hint(wide, 1 << 20)
