@@ -395,7 +395,7 @@ SELECT gid AS graph_id, v AS node_id, CASE WHEN up THEN v ELSE old END AS src, C
         "log_nodes": _with(_LOG, f"""SELECT n.* FROM ({_LOG_NODES}) n ANTI JOIN gone ON gone.gid = n.graph_id AND gone.v = n.node_id UNION ALL
 SELECT aa.gid, aa.v, min_by(aa.name, aa.t), (SELECT count(*) FROM k WHERE k.gid = aa.gid) + min_by(aa.num, aa.t) FROM aa LEFT JOIN gone ON gone.gid = aa.gid AND gone.v = aa.v
   LEFT JOIN k ON k.gid = aa.gid AND k.v = aa.v WHERE (gone.t IS NULL AND k.v IS NULL) OR aa.t > gone.t GROUP BY aa.gid, aa.v"""),
-        "log_edges": _with(_LOG, """, every AS (SELECT gid, eseq, src, dst, -1 AS t FROM es UNION ALL
+        "log_edges": _with(_LOG, """, every AS (SELECT gid, eseq, src, dst, -1::BIGINT AS t FROM es UNION ALL
   SELECT ok.gid, coalesce(n, 0) + num, src, dst, t FROM ok LEFT JOIN (SELECT gid, count(*) AS n FROM es GROUP BY gid) c ON c.gid = ok.gid)
 SELECT gid AS graph_id, eseq AS edge_seq, src, dst FROM every e WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.gid = e.gid AND gone.v IN (e.src, e.dst) AND gone.t > e.t)
   AND NOT EXISTS (SELECT 1 FROM lh WHERE lh.gid = e.gid AND event_type = 'error' AND rk = e.eseq AND lh.t > e.t)"""),
