@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ BITS_A_KEY = 16
 BATCH_ROWS = 2000
 #: Spark's setting that drops a query's shuffle files when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Where stored tables are.
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()
 #: Stands for a null id inside joins; orders before every other id.
 NULL_ID = -(1 << 63)
 
@@ -59,7 +62,18 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
         df.write.options(**options).parquet(path)
     finally:
         df.sparkSession.conf.set(CLEANUP, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing which is still to run reads."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def row_bytes(kinds: list[DataType]) -> int:
@@ -160,10 +174,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     the smallest id.  Min-label hooking with pointer jumping; each round is
     stored.  Vertices without an edge are not returned.
     """
-    both = stored(
+    table = stored(
         edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{name}-edges"
-    ).toDF("id", "other")
-    label = stored(both.groupBy("id").agg(F.min(F.least("id", "other")).alias("component")), f"{name}-label")
+    )
+    both = table.toDF("id", "other")
+    last = label = stored(both.groupBy("id").agg(F.min(F.least("id", "other")).alias("component")), f"{name}-label")
     while True:
         near = (
             both.join(label.toDF("other", "o"), "other")
@@ -178,5 +193,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         jump = stored(jump, f"{name}-label")
         changed = not jump.where("new <> component").isEmpty()
         label = jump.select("id", F.col("new").alias("component"))
+        drop(last)
+        last = jump
         if not changed:
+            drop(table)
             return label

@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagloom.llm.common import digest, id_key, key_filter, load, small_side, stored
+from dagloom.llm.common import digest, drop, id_key, key_filter, load, small_side, stored
 from dagloom.llm.words import mix, slices, split_words, text_bytes, windows
 
 WINDOW = 20
@@ -150,8 +150,9 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", name:
     # windows that most documents have
     first = stored(first.select("g", "g2", F.col("f.k").alias("fk"), F.col("f.x").alias("fx"), F.col("f.at").alias("fat")), f"{name}-first")
     later = spans.join(small_side(first), ["g", "g2"]).where("fk <> k or fx <> x or fat <> at")
-    covered = later.groupBy("k", "x").agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    return copies, stored(covered, f"{name}-covered")
+    covered = stored(later.groupBy("k", "x").agg(F.sort_array(F.collect_set("at")).alias("starts")), f"{name}-covered")
+    drop(twice, places, spans, first)
+    return copies, covered
 
 
 def _kept(words: list[bytes], starts: np.ndarray | None, copy: bool) -> list[bytes]:
