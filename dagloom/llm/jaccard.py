@@ -20,7 +20,9 @@ Lists are scanned without emitting their pairs: in each round every set of a
 list is held against a few pivots of other components and keeps the nearest by
 a bit-parity sketch, whose Hamming distance never exceeds the symmetric
 difference; only lists that still have several components give their remaining
-pairs, as far as the sketch allows a link, for the exact test.  No candidate is capped.
+pairs, as far as the sketch allows a link.  Pairs are then held against longer
+sketches, with cells in proportion to the sets, and what these allow is tested
+exactly.  No candidate is capped.  Tables go once nothing needs them.
 
 Edge cases: null texts and texts without words have an empty set, linked with
 nothing; with fewer words than a shingle has, the whole sequence is one; a null
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dagloom.llm.common import NULL_ID, components, key_filter, keyed, keyed_rows, load, small_side, stored
+from dagloom.llm.common import NULL_ID, components, drop, key_filter, keyed, keyed_rows, load, small_side, stored
 from dagloom.llm.words import mix, slices, split_words, text_bytes, windows
 
 #: Most elements of a light set, whatever its cost.
@@ -52,6 +54,9 @@ SHARE = 0.05
 #: at, and pivots of a list in each.
 STARS = 4
 PIVOTS = 3
+#: Sets of a list on average, weighted by its length, up to which a list's
+#: remaining pairs are looked at without more star rounds.
+SHORT = 256
 #: 64-bit words of the parity sketch.
 SKETCH = 8
 
@@ -159,14 +164,48 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return np.packbits(cell.astype(np.uint8)).view(np.int64)
 
 
+def long_sketch(items: np.ndarray) -> np.ndarray:
+    """The same with cells in proportion to the items, four for each or more;
+    their number is a power of two, so that longer ones can be folded."""
+    cells = max(64 * SKETCH, 1 << (4 * len(items) - 1).bit_length())
+    cell = np.bincount((mix(items ^ np.uint64(0x3C3C3C3CC3C3C3C3)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(cell.astype(np.uint8)).view(np.int64)
+
+
+def sketches_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many cells two long sketches differ: no more than items differ."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+
+
 def _digest(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, plan: Plan, name: str) -> DataFrame:
+    """Of the stored pairs(a, b, n), those that long sketches allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = zip(b.column("na").to_pylist(), b.column("nb").to_pylist())
+            signs = zip(b.column("la"), b.column("lb"))
+            fits = [sketches_apart(x.values.to_numpy(), y.values.to_numpy()) * (plan.den + plan.num) <= (m + n) * (plan.den - plan.num) for (x, y), (m, n) in zip(signs, sizes)]
+            yield pa.record_batch([b.column(c) for c in ("a", "b", "n")], ["a", "b", "n"]).filter(pa.array(fits, pa.bool_()))
+
+    side = lambda c: sets.select(F.col("d").alias(c), F.col("long").alias(f"l{c}"), F.size("items").alias(f"n{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n", "la", "lb", "na", "nb")
+    return stored(both.mapInArrow(run, pairs.select("a", "b", "n").schema.simpleString()), f"{name}-possible")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, volume: int, plan: Plan, name: str) -> DataFrame:
     """Of the stored pairs(a, b, n), those whose sets are similar; n: shingles
     of a; volume: those of all sets.  Sets meet the pairs where they are read,
-    and only those in pairs are shuffled, about half the sets' volume at a time."""
+    and only those in pairs that long sketches allow are shuffled, about half
+    the sets' volume at a time."""
+    pairs = _possible(pairs, sets, plan, name)
     parts = max(1, math.ceil(2 * (pairs.agg(F.sum("n").alias("n")).first()["n"] or 0) / max(volume, 1)))
     out = None
     for part in range(parts):
@@ -178,17 +217,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, volume: int, plan: Plan, name:
         union = F.size("ia") + F.size("ib") - inter
         found = stored(both.where(F.lit(plan.den) * inter >= F.lit(plan.num) * union).select("a", "b"), f"{name}-links")
         out = found if out is None else out.union(found)
+    drop(pairs)
     return out
 
 
-def _of_one_membership(lists: DataFrame) -> DataFrame:
+def _of_one_membership(lists: DataFrame, name: str) -> DataFrame:
     """Of lists(key, d, n) that hold the same classes, one each: they give the
     same pairs, and near copies share most of their keys.  Memberships are told
     apart by their number and 128 bits of hash."""
     held = [F.bit_xor(F.xxhash64("d", F.lit(j))).alias(f"x{j}") for j in range(2)]
     members = lists.groupBy("key").agg(F.count("*").alias("c"), *held)
     kept = members.groupBy("c", "x0", "x1").agg(F.min("key").alias("key")).where("c > 1").select("key")
-    return lists.join(small_side(stored(kept, "one-membership")), "key", "left_semi")
+    kept = stored(kept, f"{name}-kept")
+    out = stored(lists.join(small_side(kept), "key", "left_semi"), f"{name}-lists")
+    drop(kept)
+    return out
 
 
 def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "text", key: str = "doc_id", name: str = "jaccard") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -245,7 +288,9 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
     twice = stored(counts.where("c > 1").select("key"), f"{name}-keys")
     several = spark.sparkContext.broadcast(key_filter(twice))
     lists = own.mapInArrow(with_keys, "key long, d binary, n long").join(small_side(twice), "key", "left_semi")
-    lists = stored(_of_one_membership(stored(lists.distinct(), f"{name}-every")), f"{name}-lists")
+    every = stored(lists.distinct(), f"{name}-every")
+    lists = _of_one_membership(every, name)
+    drop(every, twice)
     met = kinds.join(lists.select("d").distinct(), "d", "left_semi").select("own.k", "own.t")
     met = stored(met, f"{name}-met")
 
@@ -258,12 +303,13 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
                     [
                         pa.array([_digest(x) for x in sets], pa.binary()),
                         pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                        pa.array([long_sketch(x) for x in sets], pa.list_(pa.int64())),
                         *(pa.array([x[k] for x in signs], pa.int64()) for k in range(SKETCH)),
                     ],
-                    ["d", "items", *(f"s{k}" for k in range(SKETCH))],
+                    ["d", "items", "long", *(f"s{k}" for k in range(SKETCH))],
                 )
 
-    shape = "d binary, items array<long>" + "".join(f", s{k} long" for k in range(SKETCH))
+    shape = "d binary, items array<long>, long array<long>" + "".join(f", s{k} long" for k in range(SKETCH))
     sets = own.join(small_side(met), ["k", "t"], "left_semi").mapInArrow(whole_sets, shape)
     # sets are one for each class unless rows repeat an id and its text
     again = members.join(small_side(met), ["k", "t"], "left_semi").groupBy("k", "t").count().where("count > 1")
@@ -296,7 +342,8 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
             return True
         moved = label.join(merged.toDF("c", "to"), "c", "left").select("d", F.coalesce("to", "c").alias("c"))
         fresh = merged.toDF("d", "c").join(label, "d", "left_anti")
-        label = stored(moved.unionByName(fresh), f"{name}-label")
+        before, label = label, stored(moved.unionByName(fresh), f"{name}-label")
+        drop(before)
         return True
 
     signs = sets.select("d", F.array(*(f"s{k}" for k in range(SKETCH))).alias("sign"))
@@ -311,7 +358,7 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
         several = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
         return stored(now.join(several, "key", "left_semi").join(signs, "d"), f"{name}-open")
 
-    rest = unsettled()
+    rest, stars = unsettled(), []
     for turn in range(STARS):
         firsts = [F.min(F.struct(F.xxhash64("d", F.lit(turn * PIVOTS + j)).alias("h"), "d", "c", "n", "sign")) for j in range(PIVOTS)]
         pivot = rest.groupBy("key").agg(F.array(*firsts).alias("p")).select("key", F.explode(F.array_distinct("p")).alias("p")).select("key", "p.d", "p.c", "p.n", "p.sign")
@@ -321,16 +368,23 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
         near = rest.alias("x").join(pivot.alias("y"), able).select(F.col("x.d").alias("d"), F.struct(apart.alias("apart"), F.col("y.d").alias("p"), F.greatest("x.n", "y.n").alias("n")).alias("y"))
         near = near.groupBy("d").agg(F.min("y").alias("y")).select(F.least("d", "y.p").alias("a"), F.greatest("d", "y.p").alias("b"), "y.n")
         pairs = stored(near.distinct().join(tried, ["a", "b"], "left_anti"), f"{name}-star")
+        stars.append(pairs)
+        drop(pivot)
         tried = tried.union(pairs.select("a", "b"))
         if not settle(pairs):
             break
-        rest = unsettled()
+        before, rest = rest, unsettled()
+        drop(before)
+        size = rest.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("pairs")).first()
+        if (size["pairs"] or 0) <= SHORT * (size["n"] or 0):
+            break  # the lists that are left are short
 
     # what unsettled lists have left
     x, y = rest.alias("x"), rest.alias("y")
     left = x.join(y, able & (F.col("x.d") < F.col("y.d")))
     left = left.select(F.col("x.d").alias("a"), F.col("y.d").alias("b"), apart.alias("apart"), F.greatest("x.n", "y.n").alias("n")).distinct()
     left = stored(left.join(tried, ["a", "b"], "left_anti"), f"{name}-left")
+    drop(rest, *stars)
     best = 2
     while True:
         ends = left
@@ -345,6 +399,7 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
             break
         settle(pairs)
         best *= 16
+    drop(sets, lists, met, extra)
     return members, kinds, label if label is not None else spark.createDataFrame([], "d binary, c binary")
 
 
@@ -356,6 +411,7 @@ def linked(docs: DataFrame, words: int, num: int, den: int, text: str = "text",
     named = stored(kinds.select("d", "own").join(groups, "d", "left").withColumn("g", F.coalesce("c", "d")).select("d", "own", "g"), f"{name}-named")
     least = stored(named.groupBy("g").agg(F.min("own").alias("own")), f"{name}-least")
     owners = stored(named.select("d", "g").join(small_side(least), "g").select("d", "own"), f"{name}-owners")
+    drop(named, least, kinds, groups)
     found = members.where("n > 0").join(small_side(owners), "d").select("k", "t", "n", "own")
     return found.unionByName(members.where("n = 0").select("k", "t", "n"), allowMissingColumns=True)
 

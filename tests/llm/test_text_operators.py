@@ -644,3 +644,15 @@ def test_sizes_of_broadcasts(spark):
     assert 1000 * 1600 < side_bytes(wide) < 1000 * 2100
     hint = lambda df, most: "broadcast" in small_side(df, most)._jdf.queryExecution().analyzed().toString().lower()
     assert hint(wide, 1 << 21) and not hint(wide, 1 << 20)
+
+
+def test_long_sketches_bound_differences():
+    """Sketches of any two lengths never differ in more cells than sets do."""
+    rng = np.random.default_rng(3)
+    for n, m, common in ((10, 12, 8), (200, 190, 150), (1000, 1100, 0), (130, 700, 60), (3000, 2900, 2850)):
+        x = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+        a, b = np.unique(x[:n]), np.unique(np.concatenate([x[:common], x[n : n + m - common]]))
+        apart = jaccard.sketches_apart(jaccard.long_sketch(a), jaccard.long_sketch(b))
+        assert apart == jaccard.sketches_apart(jaccard.long_sketch(b), jaccard.long_sketch(a)) <= len(np.setxor1d(a, b))
+        if m == 2900:
+            assert apart > 0.9 * len(np.setxor1d(a, b))
