@@ -10,14 +10,15 @@ A row's posterior over languages adds, in logs,
   domain, and these towards all rows' (``KAPPA`` pseudo-rows each).
 
 Suffix and host counts come from grouped sums of the text likelihood's winners
-over all rows.  One more class, "und", has all trigrams alike; a row for which
+over all rows; each row is judged by those of the others.  One more class, "und", has all trigrams alike; a row for which
 it wins, or that has no letter, is rejected.  A declared language without a
 model shares this likelihood and has ``TRUST`` of its weight, so such a row
 keeps its declared language unless a model explains its text better.
 
 Every labelled language has a model, however rare it is, fitted on about
 ``SAMPLE_ROWS`` of its rows (all, if it has fewer), taken by a hash of their
-content; everything else covers all rows.  A language takes 128 KB.
+content; everything else covers all rows.  A language takes 128 KB, and more
+than ``MOST_LANGUAGES`` labels are an error.
 
 Edge cases: null and empty texts, and texts without a letter, are rejected as
 "und"; null or empty declarations and null hosts say nothing; a null id is
@@ -44,6 +45,8 @@ from dagloom.llm.words import LOWER, slices, text_bytes
 
 #: Of each language.
 SAMPLE_ROWS = 20_000
+#: Labels at most: workers and the driver hold a model of each.
+MOST_LANGUAGES = 500
 BUCKETS = 1 << 14
 TEMPER = 0.3
 TRUST = 0.9
@@ -85,6 +88,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """labelled: (label, text).  Languages are in alphabetical order."""
     small_batches(labelled.sparkSession)
     rows = labelled.where("label is not null and text is not null")
+    if rows.select("label").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels: these are no languages")
     keyed = rows.select("label", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
     cut = F.greatest(F.min("h") + 1, F.ceil(F.lit(float(sample_rows << 40)) / F.count("*")).cast("long"))  # one text at least
     sample = keyed.join(F.broadcast(keyed.groupBy("label").agg(cut.alias("cut"))), "label").where("h < cut")
@@ -131,9 +136,16 @@ def declared_of(html: str | Column) -> Column:
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[a-z!?/][^>]*(?:>|\Z)", re.S | re.I)
 
 
-def visible_text(html: Column) -> Column:
+def visible_text(html: str | None) -> str | None:
     """html without comments, scripts, styles and tags, entities decoded."""
-    return F.udf(lambda x: None if x is None else markup.unescape(_MARKUP.sub(" ", x)), "string")(html)
+    return None if html is None else markup.unescape(_MARKUP.sub(" ", html))
+
+
+def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in slices(batch, "html", 1 << 20):
+            text = [visible_text(x) or "" for x in b.column("html").to_pylist()]
+            yield pa.record_batch([*(b.column(c) for c in ("k", "declared", "host")), pa.array(text, pa.string())], ["k", "declared", "host", "text"])
 
 
 def identify(rows: DataFrame, model: Model, name: str = "langid") -> DataFrame:
@@ -168,10 +180,15 @@ def identify(rows: DataFrame, model: Model, name: str = "langid") -> DataFrame:
     every = usable.agg(F.array(*per).alias("n")).first()["n"]
     base = [(x + 1.0) / (sum(every) + size) for x in every]
 
+    counted = (F.col("letters") > 0) & (F.col("won") < size)
+
     def shares(column: str, above: Column) -> Column:
-        total = F.coalesce(F.col(f"{column}.total"), F.lit(0.0)) + KAPPA
-        counts = F.coalesce(F.col(f"{column}.n"), F.array_repeat(F.lit(0.0), size))
-        return F.zip_with(counts, above, lambda c, a: (c + KAPPA * a) / total)
+        """By the other rows: a row's own winner is its text once more."""
+        own = F.when(counted & F.col(column).isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
+        total = F.coalesce(F.col(f"by_{column}.total"), F.lit(0.0)) - own + KAPPA
+        counts = F.coalesce(F.col(f"by_{column}.n"), F.array_repeat(F.lit(0.0), size))
+        others = F.transform(counts, lambda c, k: c - F.when(k == F.col("won"), own).otherwise(F.lit(0.0)))
+        return F.zip_with(others, above, lambda c, a: (c + KAPPA * a) / total)
 
     out = seen
     for column in ("host", "parent", "suffix"):
@@ -179,8 +196,8 @@ def identify(rows: DataFrame, model: Model, name: str = "langid") -> DataFrame:
         counts = stored(found, f"{name}-{column}")
         out = out.join(small_side(counts.select(column, F.struct("n", "total").alias(f"by_{column}"))), column, "left")
     whole = F.array(*[F.lit(x) for x in base])
-    host = shares("by_host", shares("by_parent", whole))
-    suffix = F.zip_with(shares("by_suffix", whole), whole, lambda s, b: F.log(s) - F.log(b))
+    host = shares("host", shares("parent", whole))
+    suffix = F.zip_with(shares("suffix", whole), whole, lambda s, b: F.log(s) - F.log(b))
     place = F.zip_with(host, suffix, lambda h, s: F.log(h) + s)
     # of the declared language among the models; null if nothing is declared
     at = F.when(F.col("declared") != "", F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("declared")))
@@ -235,8 +252,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_languages(pages: DataFrame, model: Model, name: str = "langid-pages") -> DataFrame:
     """(k, t, lang, posterior, accepted) of pages(page_id, url, html), by their
     text, html element, host, its parent domain and suffix."""
-    shown = pages.withColumn("__text", visible_text(F.col("html")))
-    return identify(evidence(shown, "__text", "page_id", declared_of("html"), host_of("url")), model, name)
+    rows = pages.select(id_key("page_id").alias("k"), declared_of("html").alias("declared"), host_of("url").alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    small_batches(pages.sparkSession)
+    shown = rows.mapInArrow(_with_text, "k long, declared string, host string, text string")
+    return identify(shown.withColumn("t", digest("text")), model, name)
 
 
 def op5_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

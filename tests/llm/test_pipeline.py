@@ -62,17 +62,19 @@ def plain_languages(rows):
             for kind, value in (("host", host), ("parent", parent), ("suffix", suffix)):
                 if value is not None:
                     by[kind, value][won] += 1
-        seen.append((r, ll, letters, host, parent, suffix))
+        seen.append((r, ll, letters, won if letters and won < len(names) else None, host, parent, suffix))
 
-    def share(key, above):
-        c = by[key] if key[1] is not None else Counter()
-        return [(c[k] + langid.KAPPA * a) / (c.total() + langid.KAPPA) for k, a in enumerate(above)]
+    def share(key, above, own):
+        c = Counter(by[key]) if key[1] is not None else Counter()
+        if key[1] is not None and own is not None:  # by the other rows
+            c[own] -= 1
+        return [(c[k] + langid.KAPPA * a) / (sum(c.values()) + langid.KAPPA) for k, a in enumerate(above)]
 
     whole = [(by["all"][k] + 1) / (by["all"].total() + len(names)) for k in range(len(names))]
     kept = []
-    for r, ll, letters, host, parent, suffix in seen:
-        place = share(("host", host), share(("parent", parent), whole))
-        ending = share(("suffix", suffix), whole)
+    for r, ll, letters, own, host, parent, suffix in seen:
+        place = share(("host", host), share(("parent", parent), whole, own), own)
+        ending = share(("suffix", suffix), whole, own)
         score = [a + math.log(h) + math.log(s / b) for a, h, s, b in zip(ll, place, ending, whole)]
         if letters and max(score) >= ll[-1] + math.log(0.01):
             kept.append(r)

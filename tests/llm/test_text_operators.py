@@ -429,8 +429,6 @@ def test_markup_and_host(spark):
 def test_suffix_and_parent_of_pages(spark):
     """A page that says nothing itself follows its suffix's pages and, where
     suffixes are alike, its parent domain's; markup is read too."""
-    from pyspark.sql import functions as F
-
     text = {"en": "the house of the rising sun is the one that they all know ", "de": "das haus und der garten sind nicht so groß wie ich dachte "}
     labelled = spark.createDataFrame([(x, text[x] * 5) for x in text], "label string, text string")
     page = lambda i, host, body, tag="<html>": (i, f"https://{host}/p{i}", f"{tag}<style>p {{the}}</style><!-- the --><body>{body}")
@@ -438,13 +436,77 @@ def test_suffix_and_parent_of_pages(spark):
     near = [page(300 + 100 * (x == "de") + i, f"h{i}.{x}-site.com", text[x] * 5) for x in text for i in range(20)]
     asked = [page(900, "new.s91.uk", "zq"), page(901, "new.s92.de", "zq"), page(902, "new.en-site.com", "zq"), page(903, "new.de-site.com", "zq"), page(904, "new.s93.org", "zq", '<html lang="de">'), page(905, "new.s94.org", "zq", '<html lang="en">')]
     pages = spark.createDataFrame(far + near + asked + [(None, None, None)], "page_id long, url string, html string")
-    shown = pages.where("page_id = 0").select(langid.visible_text(F.col("html"))).first()[0]
+    assert langid.visible_text(None) is None
+    shown = langid.visible_text(far[0][2])
     assert shown.split() == (text["en"] * 5).split()
     found = {r.k: r for r in langid.page_languages(pages, langid.fit(labelled)).collect()}
     assert [found[i].lang for i in range(900, 906)] == ["en", "de", "en", "de", "de", "en"]
     assert all(found[i].posterior > 0.7 for i in range(900, 906)) and not found[-(1 << 63)].accepted
 
 
+def plain_posteriors(pages, model):
+    """(language, posterior) of pages (host, declared, text), by the formula."""
+    size = len(model.languages)
+    seen, by = [], collections.defaultdict(collections.Counter)
+    for host, declared, text in pages:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        ll = [langid.TEMPER * sum(row[g] for g in langid.trigrams(raw).tolist()) for row in model.table]
+        letters = any(b >= 128 or chr(b).isalpha() for b in raw.tolist())
+        won = ll.index(max(ll))
+        own = won if letters and won < size else None
+        names = [("host", host), ("parent", ".".join(host.split(".")[-2:])), ("suffix", host.split(".")[-1])] if host else []
+        seen.append((ll, letters, own, declared, dict(names)))
+        for key in [("all", None), *names]:
+            by[key][own] += own is not None
+    base = [(by["all", None][k] + 1) / (sum(by["all", None].values()) + size) for k in range(size)]
+    out = []
+    for ll, letters, own, declared, names in seen:
+        def share(kind, above):
+            c = [by[kind, names.get(kind)][k] - (k == own) if kind in names else 0 for k in range(size)]
+            return [(x + langid.KAPPA * a) / (sum(c) + langid.KAPPA) for x, a in zip(c, above)]
+
+        place, ending = share("host", share("parent", base)), share("suffix", base)
+        score = [a + math.log(h) + math.log(s) - math.log(b) for a, h, s, b in zip(ll, place, ending, base)]
+        names_ = [*model.languages, declared, "und"]
+        none = ll[-1] + math.log(0.01)
+        if declared in model.languages:
+            score = [x + math.log(langid.TRUST if n == declared else (1 - langid.TRUST) / max(size - 1, 1)) for x, n in zip(score, names_)]
+            score += [-math.inf, none - math.log(size)]
+        elif declared:
+            score += [none + math.log(langid.TRUST), none + math.log(1 - langid.TRUST)]
+        else:
+            score += [-math.inf, none]
+        top = max(score)
+        out.append((names_[score.index(top)], 1 / sum(math.exp(x - top) for x in score)) if letters else ("und", 1.0))
+    return out
+
+
+def test_posteriors_of_pages(spark):
+    """Markup, suffix, host and parent domain against the formula."""
+    text = {"en": "the house of the rising sun is the one that they all know ", "de": "das haus und der garten sind nicht so groß wie ich dachte ", "fr": "la maison et le jardin ne sont pas aussi grands que je pensais "}
+    labelled = spark.createDataFrame([(x, text[x] * 5) for x in text], "label string, text string")
+    rng = random.Random(6)
+    rows = []
+    for i in range(80):
+        body = " ".join(rng.sample(text[rng.choice(list(text))].split(), rng.randrange(1, 6))) if i % 9 else rng.choice(["", "12 34", "zq"])
+        host = rng.choice(["a.site.de", "b.site.de", "x.org", "y.co.fr", "y.co.fr", None])
+        rows.append((i, host, rng.choice([None, None, "en", "de", "xx"]), body))
+    model = langid.fit(labelled)
+    pages = [(i, host and f"http://{host}/", f"<html{f' lang={d}' if d else ''}><b>{body}</b>") for i, host, d, body in rows]
+    found = {r.k: (r.lang, r.posterior) for r in langid.page_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()}
+    want = plain_posteriors([(host, d, langid.visible_text(html)) for (_, host, d, _), (_, _, html) in zip(rows, pages)], model)
+    assert [found[i][0] for i in range(80)] == [x for x, _ in want] and len({x for x, _ in want}) > 3
+    assert all(abs(found[i][1] - p) < 1e-9 for i, (_, p) in enumerate(want))
+
+
+def test_labels_that_are_no_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    rows = spark.createDataFrame([(f"x{i}", "some text") for i in range(4)], "label string, text string")
+    assert len(langid.fit(rows.limit(3)).languages) == 3
+    with pytest.raises(ValueError, match="no languages"):
+        langid.fit(rows)
+
+
 def test_pages_query(spark, tmp_path):
     text = "das haus und der garten sind nicht so groß wie ich dachte " * 5
     spark.createDataFrame([(1, text, "de")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
@@ -542,6 +604,44 @@ def test_short_items_drop_nothing(spark):
 # ------------------------------------------------------------------ media
 
 
+def plain_features(payload):
+    """The feature string, sample by sample, by the formats' rules."""
+    def mu(c):
+        c = ~c & 255
+        size = ((c & 15) * 8 + 132 << (c >> 4 & 7)) - 132
+        return -size if c & 128 else size
+
+    def a(c):
+        c ^= 0x55
+        exp, low = c >> 4 & 7, (c & 15) * 16 + 8
+        size = low if exp == 0 else low + 256 << exp - 1
+        return size if c & 128 else -size
+
+    def powers(pcm):
+        return sum(x * x for x in pcm) // len(pcm), sum((x - y) ** 2 for x, y in zip(pcm[1:], pcm)) // len(pcm)
+
+    def adpcm(block):
+        held, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        out = [held]
+        for byte in block[4:]:
+            for code in (byte & 15, byte >> 4):
+                step = int(media.STEP_SIZE[index])
+                move = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                held = max(-32768, min(32767, held - move if code & 8 else held + move))
+                index = max(0, min(88, index + (-1 if code & 7 < 4 else 2 * ((code & 7) - 3))))
+                out.append(held)
+        return out
+
+    wide = [mu(c) for c in payload]
+    samples = [x for i in range(0, len(payload), 64) for x in adpcm(payload[i : i + 64])]
+    pcm = []
+    for x, y in zip(wide, [*wide[1:], wide[-1]]):
+        pcm += [x, (x + y) // 2]
+    crc = zlib.crc32(np.array(pcm, "<i2").tobytes())
+    (m, n), (p, q) = powers(wide), powers([a(c) for c in payload])
+    return f"mu={m},{n};a={p},{q};adpcm={sum(x * x for x in samples) // len(samples)},{samples[-1]};pcm16k={crc:08x}"
+
+
 def test_media(spark):
     got = media.digests(media.store_payloads(awkward(spark, extra=True)))
     want = []
@@ -556,6 +656,13 @@ def test_media(spark):
         same[r.payload_sha256].add((r.media_sha256, r.feature))
     assert all(len(x) == 1 for x in same.values())
     assert media.digests(media.store_payloads(empty(spark))).count() == 0
+    for r in got.where("doc_id in (4, 10, 40)").collect():
+        assert r.feature == plain_features(media.padded(next((x[1] or "") for x in ROWS if x[0] == r.doc_id).encode()))
+    files = media.store_payloads(awkward(spark))
+    sound = {r.doc_id: r.pcm for r in media.stored_pcm(files).collect()}
+    for r in files.where("doc_id in (3, 10, 71)").collect():
+        codes = np.frombuffer(media.read_payload(r.media)[1], np.uint8)
+        assert sound[r.doc_id] == media.resample(media.MU[codes], 2, 1).astype("<i2").tobytes()
     pcm = media.decoded(media.store_payloads(awkward(spark).where("doc_id = 4"))).first()
     assert len(pcm.pcm) == 2 * 2 * 64
 
@@ -656,3 +763,18 @@ def test_long_sketches_bound_differences():
         assert apart == jaccard.sketches_apart(jaccard.long_sketch(b), jaccard.long_sketch(a)) <= len(np.setxor1d(a, b))
         if m == 2900:
             assert apart > 0.9 * len(np.setxor1d(a, b))
+
+
+def test_texts_of_megabytes(spark):
+    """One very long text among short ones."""
+    rng = random.Random(2)
+    long = " ".join("w%d" % rng.randrange(3000) for _ in range(400_000))  # two megabytes
+    docs = spark.createDataFrame([(1, "short"), (2, long), (3, None)], "doc_id long, text string")
+    found = {r.doc_id: r for r in media.digests(media.store_payloads(docs)).collect()}
+    assert found[2].payload_sha256 == hashlib.sha256(media.padded(long.encode())).hexdigest()
+    counts = {r.doc_id: r.n_tokens for r in prefix_tokens.token_counts(docs, 1024).collect()}
+    assert counts[2] == len(library("byte_bpe_50k.json").encode(long, add_special_tokens=False).ids) and counts[3] == 0
+    from dagloom.llm import suffixes
+
+    spans = {r.doc_id: r.spans for r in suffixes.repeated_spans(docs.unionByName(docs.where("doc_id = 2").selectExpr("4 as doc_id", "'x' || text as text"))).collect()}
+    assert spans[2] == [] and spans[4] == [1, len(long) + 1]
