@@ -167,9 +167,8 @@ def identify(rows: DataFrame, model: Model, name: str = "langid") -> DataFrame:
 
     shape = "k long, t binary, declared string, host string, ll array<double>, letters long"
     seen = stored(rows.select("k", "t", "text", "declared", "host").mapInArrow(likelihood, shape), f"{name}-text")
-    seen = seen.withColumns(
+    seen = seen.withColumn("host", F.when(F.col("host") != "", F.col("host"))).withColumns(
         {
-            "host": F.when(F.col("host") != "", F.col("host")),
             "parent": F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1),
             "suffix": F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)),
             "won": (F.array_position("ll", F.array_max("ll")) - 1).cast("int"),
