@@ -16,7 +16,7 @@ CLUSTERED = "graph_id long, node_id long, cluster_id long"
 def _loop_clusters(g: TaskGraph, size: int) -> DataFrame:
     """Level by level: nodes of a level that want one cluster are ranked by id;
     those beyond its room open clusters of their own, in id order."""
-    nodes = g.nodes
+    nodes = cut(checked_levels(g, "loop"))
     by_id = Window.partitionBy("graph_id").orderBy("node_id")
     done = cut(nodes.where("level = 0").select("graph_id", "node_id", (F.row_number().over(by_id) - 1).cast("long").alias("cluster_id")))
     for level in range(1, (nodes.agg(F.max("level")).first()[0] or 0) + 1):
@@ -40,8 +40,7 @@ def convex_clusters(g: TaskGraph, size: int, strategy: str = "auto") -> DataFram
     go in (level, node_id) order."""
     if size < 1:
         raise ValueError("a cluster holds at least one node")
-    levelled = TaskGraph(g.nodes.select("graph_id", "node_id", "node_seq").join(checked_levels(g, strategy), ["graph_id", "node_id"]), g.edges)
-    return by_strategy(levelled, strategy, lambda a, b: kernels.convex_clusters(a, b, size), CLUSTERED, lambda x: _loop_clusters(x, size), like=g)
+    return by_strategy(g, strategy, lambda a, b: kernels.convex_clusters(a, b, size), CLUSTERED, lambda x: _loop_clusters(x, size))
 
 
 def cluster_members(clusters: DataFrame) -> DataFrame:

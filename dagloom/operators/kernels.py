@@ -161,32 +161,48 @@ def weighted_levels(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     return nodes[["graph_id", "node_id"]].assign(level=pd.Series(level, nodes.index, "Int64").where(done))
 
 
+def rank_within(group: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    """The place from 0 of each row within its group, in the order of by (the
+    first is looked at last)."""
+    order = np.lexsort((*by, group))
+    at = np.arange(len(group))
+    first = np.diff(group[order], prepend=-1) != 0
+    out = np.empty(len(group), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+    return out
+
+
 def convex_clusters(nodes: pd.DataFrame, edges: pd.DataFrame, size: int) -> pd.DataFrame:
-    """nodes also have level.  In (level, node_id) order each node joins the
-    greatest cluster of its predecessors, or its own as a source, if that has
-    room, and else opens a new one."""
-    nodes = nodes.sort_values(["graph_id", "level", "node_id"], ignore_index=True)
-    nodes["node_seq"] = nodes.groupby("graph_id").cumcount()
+    """In (level, node_id) order each node joins the greatest cluster of its
+    predecessors, or its own as a source, if that has room, and else opens a new
+    one.  Predecessors stand on lower levels, so a level is done at once: of its
+    nodes that want one cluster the first ones get in."""
     nodes, src, dst, _ = _indexed(nodes, edges)
-    order = np.argsort(dst, kind="stable")
-    src, dst = src[order], dst[order]
-    first = np.searchsorted(dst, np.arange(len(nodes) + 1)).tolist()
-    src = src.tolist()
-    cluster, room, top, graph = [], {}, -1, None
-    for k, (g, level) in enumerate(zip(nodes["graph_id"].tolist(), nodes["level"].tolist())):
-        if g != graph:
-            graph, top, room = g, -1, {}
-        if level == 0:
-            top += 1
-            want = top
+    level, _ = _kahn(len(nodes), src, dst)
+    if len(nodes) and level.min() < 0:
+        raise ValueError("the graph has a cycle")
+    graph = np.unique(nodes["graph_id"], return_inverse=True)[1]
+    node = nodes["node_id"].to_numpy()
+    offset = np.searchsorted(graph, np.arange(graph.max(initial=-1) + 2))  # of a graph's clusters among all
+    by = np.lexsort((node, graph, level))
+    edge = np.argsort(level[dst], kind="stable")
+    src, dst = src[edge], dst[edge]
+    cluster, held = np.full(len(nodes), -1, np.int64), np.zeros(len(nodes), np.int64)
+    top = np.zeros(len(offset), np.int64)  # clusters of each graph
+    for now in range(level.max(initial=-1) + 1):
+        at = by[np.searchsorted(level[by], now) : np.searchsorted(level[by], now, "right")]
+        if now:
+            a, z = np.searchsorted(level[dst], (now, now + 1))
+            np.maximum.at(cluster, dst[a:z], cluster[src[a:z]])
+            want = offset[graph[at]] + cluster[at]
+            opens = held[want] + rank_within(want, np.arange(len(at))) >= size
         else:
-            want = max(cluster[p] for p in src[first[k] : first[k + 1]])
-        if room.get(want, 0) >= size:
-            top += 1
-            want = top
-        room[want] = room.get(want, 0) + 1
-        cluster.append(want)
-    return nodes[["graph_id", "node_id"]].assign(cluster_id=np.array(cluster, np.int64))
+            opens = np.ones(len(at), bool)
+        new = at[opens]
+        cluster[new] = top[graph[new]] + rank_within(graph[new], np.arange(len(new)))
+        np.add.at(top, graph[new], 1)
+        np.add.at(held, offset[graph[at]] + cluster[at], 1)
+    return nodes[["graph_id", "node_id"]].assign(cluster_id=cluster)
 
 
 def depth_first(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:

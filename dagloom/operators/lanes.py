@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dagloom.graph import TaskGraph
-from dagloom.operators.traverse import is_acyclic, is_large, topo_order
+from dagloom.operators.traverse import by_strategy, is_acyclic, is_large, topo_order
+from dagloom.operators.turns import lane_edges
 from dagloom.plans.fixpoint import cut
 from dagloom.plans.ranking import numbered
 
@@ -61,6 +62,21 @@ def lane_constraints(g: TaskGraph, laned: DataFrame, strategy: str = "auto") ->
     return TaskGraph(g.nodes, _numbered(g.edges.select("graph_id", "src", "dst").unionByName(lane_chains(laned, large).drop("lane")), large))
 
 
+def limited_edges(g: TaskGraph, n_lanes: int, incremental: bool = False, strategy: str = "auto") -> DataFrame:
+    """(graph_id, src, dst) of lane_graph over the canonical lanes, or, if
+    incremental, of lane_constraints, for acyclic graphs: those that fit a task
+    get order, lanes and edges there in one pass."""
+    if n_lanes < 1:
+        raise ValueError("there must be a lane")
+
+    def loop(x: TaskGraph) -> DataFrame:
+        laned = cut(lanes(x, n_lanes, strategy="loop"))
+        limited = lane_constraints(x, laned, "loop") if incremental else lane_graph(x, laned, "loop")
+        return limited.edges.select("graph_id", "src", "dst")
+
+    return by_strategy(g, strategy, lambda a, b: lane_edges(a, b, n_lanes, not incremental), "graph_id long, src long, dst long", loop, listed=True)
+
+
 def frozen_constraints(g: TaskGraph, first_run: DataFrame) -> TaskGraph:
     """The edges with the chains of an earlier run's lanes, as far as their
     nodes are still there; whether that has a cycle is for is_acyclic."""

@@ -21,6 +21,8 @@ from dagloom.plans.fixpoint import cut
 
 #: Neighbours that are tried from one row.
 CHUNK = 100_000
+#: Vertices of the largest hyperedge of which pairs are made.
+HEAVY = 500
 #: Incidence rows up to which the remaining rounds run in one task.
 TAIL_ROWS = 200_000
 
@@ -53,8 +55,29 @@ def sparse_random_graph(spark: SparkSession, n: int, chance: float, seed: int =
     return UndirectedGraph.of(spark.range(n).toDF("v"), spark.range(n).mapInArrow(draw, "src long, dst long"))
 
 
-def count_edges(g: UndirectedGraph) -> DataFrame:
-    return g.edges.where("src < dst").agg(F.count("*").alias("n_edges"))
+def count_edges(g: UndirectedGraph | Hypergraph) -> DataFrame:
+    """(n_edges): pairs of neighbours, each once.  Pairs are made of hyperedges
+    of up to HEAVY vertices only.  Vertices of larger ones are counted by
+    class: those that are in the same large hyperedges are alike, so classes
+    that share one are neighbours as wholes."""
+    if isinstance(g, UndirectedGraph):
+        return g.edges.where("src < dst").agg(F.count("*").alias("n_edges"))
+    size = g.members.groupBy("e").agg(F.count("*").alias("n"))
+    heavy = size.where(F.col("n") > HEAVY).select("e")
+    light = g.members.join(heavy, "e", "left_anti")
+    pairs = light.withColumnRenamed("v", "a").join(light.withColumnRenamed("v", "b"), "e").where("a < b").select("a", "b").distinct()
+    if heavy.isEmpty():
+        return pairs.agg(F.count("*").alias("n_edges"))
+    of = cut(g.members.join(heavy, "e", "left_semi").groupBy("v").agg(F.array_sort(F.collect_list("e")).alias("of")))
+    classes = cut(of.groupBy("of").agg(F.count("*").alias("n")).withColumn("c", F.monotonically_increasing_id()))
+    by_edge = classes.select("c", "n", F.explode("of").alias("e"))
+    met = by_edge.toDF("a", "na", "e").join(by_edge.toDF("b", "nb", "e"), "e").where("a < b").select("a", "b", "na", "nb").distinct()
+    within = classes.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("x"))
+    between = met.agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("x"))
+    at = lambda c: of.select(F.col("v").alias(c), F.col("of").alias(f"of_{c}"))
+    more = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where("not coalesce(arrays_overlap(of_a, of_b), false)")
+    more = more.agg(F.count("*").alias("x"))
+    return within.unionByName(between).unionByName(more).agg(F.sum("x").alias("n_edges"))
 
 
 def _incidence(g: UndirectedGraph | Hypergraph) -> Hypergraph:
@@ -148,6 +171,11 @@ def mis(g: UndirectedGraph | Hypergraph, algo: str = "greedy", seed: int = 42) -
     return _rounds(_incidence(g), algo, seed)[0]
 
 
+def rounds(g: UndirectedGraph | Hypergraph, algo: str = "greedy", seed: int = 42) -> int:
+    """Rounds over DataFrames that mis takes before one task does the rest."""
+    return _rounds(_incidence(g), algo, seed)[1]
+
+
 def violations(g: UndirectedGraph | Hypergraph, chosen: DataFrame) -> DataFrame:
     """(e, n): hyperedges that have n > 1 chosen vertices."""
     met = _incidence(g).members.join(chosen, "v", "left_semi")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from dagloom.functions.numbers import priority
 from dagloom.graph import TaskGraph
-from dagloom.operators.traverse import is_acyclic, topo_order
+from dagloom.operators.traverse import by_strategy, is_acyclic, topo_order
+from dagloom.operators.turns import FOUND
+from dagloom.operators.turns import turns as all_turns
 from dagloom.plans.fixpoint import cut
 
 
@@ -61,7 +63,11 @@ def random_edges(g: TaskGraph, n: int, seed: int = 42, turn: int = 0, tries: int
     """(graph_id, src, dst): up to n new edges a graph, none there before, all
     rising in (level, node_id) order, so that no cycle comes.  ``tries`` * n +
     100 pairs of places are drawn by hash; the first that serve are taken."""
-    ordered = cut(topo_order(g, strategy=strategy).select("graph_id", "node_id", "topo_id"))
+    return drawn_edges(g, cut(topo_order(g, strategy=strategy).select("graph_id", "node_id", "topo_id")), n, seed, turn, tries)
+
+
+def drawn_edges(g: TaskGraph, ordered: DataFrame, n: int, seed: int = 42, turn: int = 0, tries: int = 20) -> DataFrame:
+    """random_edges of a graph whose order is worked out already."""
     size = ordered.groupBy("graph_id").agg(F.count("*").alias("n")).where("n > 1")
     draw = size.select("graph_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tries * n + 99).cast("long"))).alias("try")) if n > 0 else size.where("false").withColumn("try", F.lit(0).cast("long"))
     a = F.pmod(priority(F.col("try") * 2, turn, seed), F.col("n") - 1)
@@ -115,15 +121,54 @@ def parallelism_bounce(turn: int | Column, most: int = 8) -> int | Column:
     return (F.lit(1) + F.abs(F.lit(most - 1) - F.pmod(turn, F.lit(2 * most - 2)))).cast("long")
 
 
-def incremental(g: TaskGraph, turns: int, n: int, seed: int = 42) -> Iterator[tuple[int, TaskGraph, DataFrame]]:
+def still_acyclic(g: TaskGraph, ordered: DataFrame, new: DataFrame, strategy: str = "auto") -> DataFrame:
+    """(graph_id, acyclic) of g, by what has changed: ordered (graph_id,
+    node_id, topo_id) is an order of g before the edges new (graph_id, src, dst)
+    came, without the nodes that came since, which have one edge each.  If every
+    new edge rises in it, no cycle has come; other graphs are looked through
+    whole."""
+    at = lambda c: ordered.select("graph_id", F.col("node_id").alias(c), F.col("topo_id").alias(f"t_{c}"))
+    falls = new.join(at("src"), ["graph_id", "src"], "left").join(at("dst"), ["graph_id", "dst"], "left").where("not coalesce(t_src < t_dst, false)")
+    suspect = cut(falls.select("graph_id").distinct())
+    every = g.nodes.select("graph_id").distinct()
+    if suspect.isEmpty():
+        return every.withColumn("acyclic", F.lit(True))
+    part = lambda df: df.join(suspect, "graph_id", "left_semi")
+    found = is_acyclic(TaskGraph(part(g.nodes), part(g.edges)), strategy)
+    return every.join(suspect, "graph_id", "left_anti").withColumn("acyclic", F.lit(True)).unionByName(found)
+
+
+def incremental(g: TaskGraph, turns: int, n: int, seed: int = 42, strategy: str = "auto") -> Iterator[tuple[int, TaskGraph, DataFrame]]:
     """Rounds of change: n nodes go, n edges go, n edges come, n nodes come.
-    Yields (round, graph, (graph_id, nodes, edges, acyclic))."""
+    Yields (round, graph, (graph_id, nodes, edges, acyclic)).  An order is
+    worked out once a round: what goes leaves it valid, and what comes is held
+    against it."""
     for turn in range(turns):
         g = remove_random_nodes(g, n, seed, turn)
         g = remove_random_edges(g, n, seed, turn)
-        g, _ = add_random_edges(TaskGraph(cut(g.nodes), cut(g.edges)), n, seed, turn)
-        g = add_random_nodes(g, n, seed, turn)
         g = TaskGraph(cut(g.nodes), cut(g.edges))
+        ordered = cut(topo_order(g, strategy=strategy).select("graph_id", "node_id", "topo_id"))
+        stuck = cut(g.nodes.join(ordered, ["graph_id", "node_id"], "left_anti").select("graph_id").distinct())
+        new = cut(drawn_edges(g, ordered, n, seed, turn))
+        g = add_random_nodes(add_edges(g, new), n, seed, turn)
+        g = TaskGraph(cut(g.nodes), cut(g.edges))
+        fine = still_acyclic(g, ordered, new, strategy).join(stuck.withColumn("stuck", F.lit(True)), "graph_id", "left")
+        fine = fine.select("graph_id", (F.col("acyclic") & F.col("stuck").isNull()).alias("acyclic"))
         e = g.edges.groupBy("graph_id").agg(F.count("*").alias("edges"))
-        found = g.nodes.groupBy("graph_id").agg(F.count("*").alias("nodes")).join(e, "graph_id", "left").join(is_acyclic(g), "graph_id")
+        found = g.nodes.groupBy("graph_id").agg(F.count("*").alias("nodes")).join(e, "graph_id", "left").join(fine, "graph_id")
         yield turn, g, found.select("graph_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "acyclic")
+
+
+def incremental_stats(g: TaskGraph, turns: int, n: int, seed: int = 42, strategy: str = "auto") -> DataFrame:
+    """(iter, graph_id, nodes, edges, acyclic) after each round of incremental.
+    Graphs that fit a task go through all rounds there."""
+
+    def loop(large: TaskGraph) -> DataFrame:
+        out = None
+        for turn, _, found in incremental(large, turns, n, seed, strategy):
+            row = found.select(F.lit(turn).cast("long").alias("iter"), "*")
+            out = row if out is None else out.unionByName(row)
+        return out
+
+    kernel = lambda a, b: all_turns(a, b, [0] * turns, n, seed, None)
+    return by_strategy(g, strategy, kernel, FOUND, loop, listed=True)

@@ -17,7 +17,9 @@ from dagloom.graph import TaskGraph
 from dagloom.operators.cluster import quotient
 from dagloom.operators.lanes import lane_constraints, lane_graph, lanes
 from dagloom.operators.mutate import incremental, parallelism_bounce
-from dagloom.operators.traverse import levels, topo_order
+from dagloom.operators.traverse import by_strategy, levels, topo_order
+from dagloom.operators.turns import RUNS, lane_waves
+from dagloom.operators.turns import turns as all_turns
 from dagloom.plans.fixpoint import cut
 
 
@@ -61,6 +63,15 @@ def schedule_lanes(g: TaskGraph, laned: DataFrame, incremental: bool = False, st
     return waves.join(laned.select("graph_id", "node_id", F.col("lane").alias("slot")), ["graph_id", "node_id"])
 
 
+def run_lanes(g: TaskGraph, n_lanes: int, incremental: bool = False, strategy: str = "auto") -> DataFrame:
+    """schedule_lanes over the canonical lanes, for acyclic graphs: those that
+    fit a task get order, lanes and waves there in one pass."""
+    if n_lanes < 1:
+        raise ValueError("there must be a lane")
+    loop = lambda x: schedule_lanes(x, lanes(x, n_lanes, strategy="loop"), incremental, "loop").select("graph_id", "node_id", "wave", "slot")
+    return by_strategy(g, strategy, lambda a, b: lane_waves(a, b, n_lanes, not incremental), "graph_id long, node_id long, wave long, slot long", loop, listed=True)
+
+
 def run_totals(plan: DataFrame, matrix_size: int = 8) -> DataFrame:
     """(graph_id, waves, tasks, widest, total) of a plan, total being the sum
     of the payloads' checksums."""
@@ -68,33 +79,38 @@ def run_totals(plan: DataFrame, matrix_size: int = 8) -> DataFrame:
     return waves.groupBy("graph_id").agg(F.count("*").alias("waves"), F.sum("n").alias("tasks"), F.max("n").alias("widest")).withColumn("total", F.col("tasks") * checksum(matrix_size))
 
 
-def incremental_runs(g: TaskGraph, mode: str, turns: int, n: int, most: int = 8, seed: int = 42, matrix_size: int = 8) -> DataFrame:
+def incremental_runs(g: TaskGraph, mode: str, turns: int, n: int, most: int = 8, seed: int = 42, matrix_size: int = 8, strategy: str = "auto") -> DataFrame:
     """(iter, k, graph_id, waves, tasks, widest, total, nodes, edges): in each
     turn the graph runs with parallelism k, is changed (see ``incremental``) and
     looked through for cycles, and k bounces between most and 1; nodes and
     edges are those after the change.  mode: "semaphore" lets k tasks run,
     "lanes" runs k lanes, and "lanes-incremental" the edges with the lanes'
     chains.  A cycle ends the loop with an error, and so does a mode of another
-    name."""
+    name.  Graphs that fit a task go through all turns there."""
     plans = {
-        "semaphore": lambda g, k: schedule(g, k),
-        "lanes": lambda g, k: schedule_lanes(g, lanes(g, k)),
-        "lanes-incremental": lambda g, k: schedule_lanes(g, lanes(g, k), incremental=True),
+        "semaphore": lambda g, k: schedule(g, k, strategy),
+        "lanes": lambda g, k: schedule_lanes(g, lanes(g, k, strategy=strategy), strategy=strategy),
+        "lanes-incremental": lambda g, k: schedule_lanes(g, lanes(g, k, strategy=strategy), incremental=True, strategy=strategy),
     }
     if mode not in plans:
         raise ValueError(f"no such mode: {mode}")
-    out, changes = None, incremental(g, turns, n, seed)
-    for turn in range(turns):
-        k = parallelism_bounce(turn, most)
-        ran = cut(run_totals(plans[mode](g, k), matrix_size))
-        _, g, found = next(changes)
-        found = cut(found)
-        if not found.where("not acyclic").isEmpty():
-            raise RuntimeError(f"the graph has a cycle after turn {turn}")
-        row = ran.join(found.drop("acyclic"), "graph_id", "left")
-        row = row.select(F.lit(turn).cast("long").alias("iter"), F.lit(k).cast("long").alias("k"), *row.columns)
-        out = row if out is None else out.unionByName(row)
-    return out
+    names = [c.split()[0] for c in RUNS.split(", ")]
+    parallel = [parallelism_bounce(turn, most) for turn in range(turns)]
+
+    def loop(large: TaskGraph) -> DataFrame:
+        out, changes = None, incremental(large, turns, n, seed, strategy)
+        for turn, k in enumerate(parallel):
+            ran = cut(run_totals(plans[mode](large, k), matrix_size))
+            _, large, found = next(changes)
+            row = ran.drop("total").join(cut(found), "graph_id", "left").withColumn("acyclic", F.coalesce("acyclic", F.lit(True)))
+            row = row.select(F.lit(turn).cast("long").alias("iter"), F.lit(k).cast("long").alias("k"), *row.columns).select(*names)
+            out = row if out is None else out.unionByName(row)
+        return out
+
+    found = by_strategy(g, strategy, lambda a, b: all_turns(a, b, parallel, n, seed, mode), RUNS, loop, listed=True)
+    stuck = F.raise_error(F.concat(F.lit("the graph has a cycle after turn "), F.col("iter").cast("string"))).cast("long")
+    total = F.when(F.col("acyclic"), F.col("tasks") * checksum(matrix_size)).otherwise(stuck)
+    return found.withColumn("total", total).drop("acyclic")
 
 
 def timed(spark: SparkSession, phases: dict[str, Callable[[], DataFrame]]) -> DataFrame:

@@ -11,7 +11,7 @@ from dagloom.functions.numbers import payload, priority_sql
 from dagloom.graph import Hypergraph, TaskGraph
 from dagloom.operators import cluster, lanes, log, mis, mutate, schedule, traverse
 from dagloom.plans.fixpoint import cut
-from dagloom.sources.tables import conversation_graph, event_graph, event_log, key_graph, part_graph, part_orders, table
+from dagloom.sources.tables import conversation_graph, event_graph, event_log, key_graph, part_orders, table
 from dagloom.sources.text import dot_lines, harness_averages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,14 +68,6 @@ def _new_node_edges(g) -> DataFrame:
     return edges.join(at, (edges.graph_id == at.graph_id) & F.col("node_id").isin(edges.src, edges.dst)).select(edges.graph_id, "node_id", "src", "dst")
 
 
-def incremental_stats(spark: SparkSession, sf: str) -> DataFrame:
-    out = None
-    for turn, _, found in mutate.incremental(event_graph(spark, sf), TURNS, CHANGES, SEED):
-        row = found.withColumn("iter", F.lit(turn).cast("long"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def _incremental_runs(mode: str) -> Query:
     return _events(lambda g: schedule.incremental_runs(g, mode, TURNS, CHANGES, PARALLEL, SEED))
 
@@ -124,7 +116,7 @@ def spark_queries() -> dict[str, Query]:
         "node_degrees": _events(traverse.degrees),
         "source_nodes": _events(traverse.sources),
         "sink_nodes": _events(traverse.sinks),
-        "undirected_edge_count": lambda spark, sf: mis.count_edges(part_graph(spark, sf)),
+        "undirected_edge_count": _parts(mis.count_edges),
         "key_graph_levels": lambda spark, sf: traverse.checked_levels(key_graph(spark, sf)),
         "levels": _events(traverse.levels),
         "level_widths": _events(lambda g: traverse.levels(g).groupBy("graph_id", "level").agg(F.count("*").alias("width"))),
@@ -142,16 +134,16 @@ def spark_queries() -> dict[str, Query]:
         "lane_assign": _lanes(lambda g, x: x.select("graph_id", "node_id", "lane")),
         "lane_chains": _lanes(lambda g, x: lanes.lane_chains(x)),
         "lane_cross_edges": _lanes(lanes.cross_edges),
-        "lane_graph": _lanes(lambda g, x: _edge_ends(lanes.lane_graph(g, x))),
+        "lane_graph": _events(lambda g: lanes.limited_edges(g, LANES)),
         "lane_union_acyclic": _lanes(lambda g, x: lanes.union_acyclic(g, lanes.lane_graph(g, x).edges)),
         "lane_order_certificate": _lanes(lambda g, x: lanes.order_certificate(lanes.lane_graph(g, x).edges, x)),
-        "lane_incremental_edges": _lanes(lambda g, x: _edge_ends(lanes.lane_constraints(g, x))),
+        "lane_incremental_edges": _events(lambda g: lanes.limited_edges(g, LANES, incremental=True)),
         "lane_incremental_acyclic": _lanes(lambda g, x: lanes.union_acyclic(g, lanes.lane_chains(x))),
         "schedule_unbounded": _events(schedule.schedule),
         "schedule_clusters": _clusters(schedule.schedule_clusters),
         "schedule_semaphore": _events(lambda g: schedule.schedule(g, PARALLEL)),
-        "schedule_lanes": _lanes(schedule.schedule_lanes),
-        "schedule_lanes_incremental": _lanes(lambda g, x: schedule.schedule_lanes(g, x, incremental=True)),
+        "schedule_lanes": _events(lambda g: schedule.run_lanes(g, LANES)),
+        "schedule_lanes_incremental": _events(lambda g: schedule.run_lanes(g, LANES, incremental=True)),
         "parallelism_sweep": parallelism_sweep,
         "payload_checksum": lambda spark, sf: payload(spark, [1, 2, 4, 8]),
         "remove_nodes": _events(lambda g: _node_ids(mutate.remove_random_nodes(g, CHANGES, SEED))),
@@ -165,7 +157,7 @@ def spark_queries() -> dict[str, Query]:
         "insert_edges": _events(lambda g: mutate.add_edges(g, mutate.random_edges(g, CHANGES, SEED)).edges),
         "sample_ints": lambda spark, sf: mutate.sample_ints(spark, 1000, 50, SEED),
         "parallelism_bounce": lambda spark, sf: spark.range(30).select(F.col("id").alias("iter"), mutate.parallelism_bounce(F.col("id")).alias("k")),
-        "incremental_stats": incremental_stats,
+        "incremental_stats": _events(lambda g: mutate.incremental_stats(g, TURNS, CHANGES, SEED)),
         "mis_greedy": _parts(lambda g: mis.mis(g, "greedy")),
         "mis_priority": _parts(lambda g: mis.mis(g, "priority", SEED)),
         "mis_luby": _parts(lambda g: mis.mis(g, "luby", SEED)),
@@ -301,6 +293,61 @@ fo AS (SELECT dj.gid, a.v AS src, b.v AS dst, min(try) AS try FROM dj JOIN o a O
   WHERE NOT EXISTS (SELECT 1 FROM ee WHERE ee.gid = dj.gid AND ee.src = a.v AND ee.dst = b.v) GROUP BY ALL)"""
 
 
+def _turns(mode: str | None) -> str:
+    """Turns of change, each written out: n, e: nodes and edges before it; m, g:
+    what removals leave; a: the edges that come; i: the nodes, with the old one
+    and the direction of their edge."""
+    p = lambda key, turn, more=0: priority_sql(key, str(turn), SEED + more)
+    longest = lambda name, nodes, edges: f"{name}(gid, v, d) AS (SELECT gid, v, 0 FROM {nodes} UNION SELECT y.gid, y.dst, x.d + 1 FROM {name} x JOIN {edges} y ON x.gid = y.gid AND x.v = y.src)"
+    after = lambda edges: f"coalesce((SELECT max(eseq) + 1 FROM {edges} y WHERE y.gid = x.gid), 0)"
+    parts = [_EVENTS, "n0 AS (SELECT gid, v FROM k)", "e0 AS (SELECT gid, row_number() OVER (PARTITION BY gid ORDER BY src, dst) - 1 AS eseq, src, dst FROM ee)"]
+    rows = []
+    for t in range(TURNS):
+        k = mutate.parallelism_bounce(t, PARALLEL)
+        if mode:
+            parts += [longest(f"q{t}", f"n{t}", f"e{t}"), f"""b{t} AS (SELECT *, (row_number() OVER (PARTITION BY gid, level ORDER BY v) - 1) % {k} AS lane, row_number() OVER (PARTITION BY gid ORDER BY level, v) - 1 AS topo
+  FROM (SELECT gid, v, max(d) AS level FROM q{t} GROUP BY ALL))"""]
+            wave = f"SELECT gid, level AS wave, count(*) AS w FROM b{t} GROUP BY ALL"
+        if mode and mode != "semaphore":
+            parts.append(f"""c{t} AS (SELECT * FROM (SELECT gid, v AS src, lead(v) OVER (PARTITION BY gid, lane ORDER BY topo) AS dst FROM b{t}) WHERE dst IS NOT NULL)""")
+            kept = f"SELECT gid, src, dst FROM e{t}"
+            if mode == "lanes":
+                parts.append(f"""x{t} AS (SELECT e.gid, e.src, e.dst, e.eseq, a.lane, a.topo FROM e{t} e JOIN b{t} a ON a.gid = e.gid AND a.v = e.src JOIN b{t} b ON b.gid = e.gid AND b.v = e.dst WHERE a.lane <> b.lane)""")
+                kept = f"SELECT gid, src, dst FROM x{t} x WHERE NOT EXISTS (SELECT 1 FROM x{t} y WHERE y.gid = x.gid AND y.dst = x.dst AND y.lane = x.lane AND (y.topo, -y.eseq) > (x.topo, -x.eseq)) OR lane <> (SELECT max_by(y.lane, y.topo) FROM x{t} y WHERE y.gid = x.gid AND y.dst = x.dst)"
+            parts += [f"f{t} AS (SELECT * FROM c{t} UNION ALL {kept})", longest(f"w{t}", f"n{t}", f"f{t}")]
+            wave = f"SELECT gid, wave, count(*) AS w FROM (SELECT gid, v, max(d) AS wave FROM w{t} GROUP BY ALL) GROUP BY ALL"
+        if mode:
+            lots = f"sum((w + {k} - 1) // {k})" if mode == "semaphore" else "count(*)"
+            parts.append(f"r{t} AS (SELECT gid, {lots}::BIGINT AS waves, sum(w)::BIGINT AS tasks, max(least(w, {k}))::BIGINT AS widest FROM ({wave}) GROUP BY gid)")
+        hi, hj = (p(f"(try * 2 + {x})", t) for x in (0, 1))
+        parts += [
+            f"m{t} AS (SELECT gid, v FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY {p('v', t)}, v) AS pick FROM n{t}) WHERE pick > {CHANGES})",
+            f"h{t} AS (SELECT e.* FROM e{t} e SEMI JOIN m{t} a ON a.gid = e.gid AND a.v = e.src SEMI JOIN m{t} b ON b.gid = e.gid AND b.v = e.dst)",
+            f"g{t} AS (SELECT gid, eseq, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY {p('eseq', t)}, eseq) AS pick FROM h{t}) WHERE pick > {CHANGES})",
+            longest(f"p{t}", f"m{t}", f"g{t}"),
+            f"o{t} AS (SELECT gid, v, row_number() OVER (PARTITION BY gid ORDER BY level, v) - 1 AS topo FROM (SELECT gid, v, max(d) AS level FROM p{t} GROUP BY ALL))",
+            f"s{t} AS (SELECT gid, count(*) AS n FROM o{t} GROUP BY gid HAVING count(*) > 1)",
+            f"d{t} AS (SELECT gid, try, i, i + 1 + h % (n - 1 - i) AS j FROM (SELECT gid, n, try, {hi} % (n - 1) AS i, {hj} AS h FROM s{t}, (SELECT unnest(range(0, {20 * CHANGES + 100})) AS try)))",
+            f"""a{t} AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY src, dst) - 1 AS num FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY try) AS pick FROM (
+  SELECT d.gid, a.v AS src, b.v AS dst, min(try) AS try FROM d{t} d JOIN o{t} a ON a.gid = d.gid AND a.topo = i JOIN o{t} b ON b.gid = d.gid AND b.topo = j
+  ANTI JOIN g{t} g ON g.gid = d.gid AND g.src = a.v AND g.dst = b.v GROUP BY ALL)) WHERE pick <= {CHANGES})""",
+            f"j{t} AS (SELECT * FROM g{t} UNION ALL SELECT gid, {after(f'g{t}')} + num, src, dst FROM a{t} x)",
+            f"""i{t} AS (SELECT z.gid, z.v, o.v AS old, {p('z.v', t, 1)} % 2 = 0 AS up FROM (SELECT gid, n, top + 1 + i AS v FROM (SELECT gid, count(*) AS n, max(v) AS top FROM m{t} GROUP BY gid), (SELECT unnest(range(0, {CHANGES})) AS i)) z
+  JOIN (SELECT gid, v, row_number() OVER (PARTITION BY gid ORDER BY v) - 1 AS place FROM m{t}) o ON o.gid = z.gid AND o.place = {p('z.v', t)} % z.n)""",
+            f"n{t + 1} AS (SELECT * FROM m{t} UNION ALL SELECT gid, v FROM i{t})",
+            f"""e{t + 1} AS (SELECT * FROM j{t} UNION ALL SELECT gid, {after(f'j{t}')} + row_number() OVER (PARTITION BY gid ORDER BY src, dst) - 1, src, dst
+  FROM (SELECT gid, CASE WHEN up THEN v ELSE old END AS src, CASE WHEN up THEN old ELSE v END AS dst FROM i{t}) x)""",
+            f"z{t}(gid, src, dst) AS (SELECT gid, src, dst FROM e{t + 1} UNION SELECT x.gid, x.src, y.dst FROM z{t} x JOIN e{t + 1} y ON y.gid = x.gid AND y.src = x.dst)",
+            f"""u{t} AS (SELECT gid, count(*) AS nodes, (SELECT count(*) FROM e{t + 1} y WHERE y.gid = x.gid) AS edges, NOT EXISTS (SELECT 1 FROM z{t} y WHERE y.gid = x.gid AND y.src = y.dst) AS acyclic
+  FROM n{t + 1} x GROUP BY gid)""",
+        ]
+        if mode:
+            rows.append(f"SELECT {t}::BIGINT AS iter, {k}::BIGINT AS k, gid AS graph_id, waves, tasks, widest, tasks * 1024 AS total, nodes, edges FROM r{t} LEFT JOIN u{t} USING (gid)")
+        else:
+            rows.append(f"SELECT {t}::BIGINT AS iter, gid AS graph_id, nodes, edges, acyclic FROM u{t}")
+    return _with(",\n".join(parts), " UNION ALL ".join(rows))
+
+
 _LOG = f"""{_EVENTS},
 lr AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY v) - 1 AS rk FROM k),
 lh AS (SELECT *, min(v) OVER (PARTITION BY gid, rk // 4) AS head, (extract(minute FROM ts) // 10) * 1000000000000 + v AS t FROM lr),
@@ -350,6 +397,21 @@ SELECT 0, n_nationkey::BIGINT * 10 + 1, 1 FROM nation UNION ALL SELECT 0, c_cust
         "level_widths": _with(_LEVELS, "SELECT gid AS graph_id, level, count(*) AS width FROM lv GROUP BY ALL"),
         "topo_canonical": order("SELECT gid AS graph_id, v AS node_id, level, lid, topo AS topo_id FROM o"),
         "topo_fifo": _with(_FIFO, "SELECT gid AS graph_id, v AS node_id, level, lid, topo AS topo_id FROM st WHERE it = (SELECT max(it) FROM st)"),
+        "topo_dfs": ev("""
+, ad AS (SELECT gid, src AS v, list(dst ORDER BY dst) AS ch FROM ee GROUP BY ALL),
+rt AS (SELECT gid, list(v ORDER BY v) AS rs FROM (SELECT gid, v FROM k ANTI JOIN (SELECT gid, dst AS v FROM ee) e USING (gid, v)) GROUP BY gid),
+st(gid, stack, seen, post, nxt) AS (
+  SELECT gid, []::BIGINT[], []::BIGINT[], []::BIGINT[], rs[1] FROM rt UNION ALL
+  SELECT gid, stack, seen, post, CASE WHEN len(stack) = 0 THEN list_filter(rs, lambda x: NOT list_contains(seen, x))[1]
+    ELSE list_filter(coalesce(ch, []), lambda x: NOT list_contains(seen, x))[1] END FROM (
+    SELECT y.*, rt.rs, ad.ch FROM (
+      SELECT gid, CASE WHEN nxt IS NOT NULL THEN list_append(stack, nxt) ELSE stack[1:len(stack) - 1] END AS stack,
+        CASE WHEN nxt IS NOT NULL THEN list_append(seen, nxt) ELSE seen END AS seen,
+        CASE WHEN nxt IS NULL THEN list_append(post, stack[-1]) ELSE post END AS post
+      FROM st WHERE nxt IS NOT NULL OR len(stack) > 0) y
+    JOIN rt ON rt.gid = y.gid LEFT JOIN ad ON ad.gid = y.gid AND ad.v = y.stack[-1])),
+en AS (SELECT gid, unnest(post) AS v, len(post) - generate_subscripts(post, 1) AS dfs FROM st WHERE nxt IS NULL AND len(stack) = 0)
+SELECT gid AS graph_id, v AS node_id, dfs AS dfs_id FROM en"""),
         "unreachable_from_sources": _with(_CONV, """, rs AS (SELECT gid, v FROM k ANTI JOIN (SELECT gid, dst AS v FROM ee) e USING (gid, v)
 UNION SELECT ee.gid, ee.dst FROM rs JOIN ee ON ee.gid = rs.gid AND ee.src = rs.v)
 SELECT gid AS graph_id, count(*) > count(rs.v) AS has_unreachable FROM k LEFT JOIN rs USING (gid, v) GROUP BY gid"""),
@@ -405,6 +467,10 @@ SELECT * FROM ({_LOG_NODES}) UNION ALL SELECT gid, top + 1 + i, 'new_' || (n + i
   (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY try) AS r FROM fo) WHERE r <= {CHANGES})
 SELECT gid AS graph_id, eseq AS edge_seq, src, dst FROM es UNION ALL
 SELECT na.gid, coalesce(c.n, 0) + i, na.src, na.dst FROM na LEFT JOIN (SELECT gid, count(*) AS n FROM es GROUP BY gid) c ON c.gid = na.gid"""),
+        "incremental_stats": _turns(None),
+        "incremental_semaphore_runs": _turns("semaphore"),
+        "incremental_lane_runs": _turns("lanes"),
+        "incremental_chain_runs": _turns("lanes-incremental"),
         "sample_ints": f"SELECT range AS value FROM range(1000) ORDER BY {priority_sql('range', '0', SEED)}, range LIMIT 50",
         "parallelism_bounce": "SELECT range AS iter, 1 + abs(7 - range % 14) AS k FROM range(30)",
         "mis_greedy": _with(_SCAN.format(rank="vx.v"), ""),

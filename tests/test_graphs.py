@@ -127,11 +127,32 @@ def test_multi_edges(spark):
     assert traverse.chain_edges(g).count() == 0
 
 
+def walked(nodes, edges):
+    """Reverse post-order of a depth-first walk from each source, in the order
+    of the lists."""
+    seen, post = set(), []
+
+    def visit(v):
+        seen.add(v)
+        for a, b in edges:
+            if a == v and b not in seen:
+                visit(b)
+        post.append(v)
+
+    for v in nodes:
+        if v not in seen and v not in {b for _, b in edges}:
+            visit(v)
+    return post[::-1]
+
+
 def test_dfs_order(spark):
     got = [r[1] for r in rows(traverse.dfs_order(graph17(spark)), "dfs_id", "node_id")]
-    place = {v: k for k, v in enumerate(got)}
-    assert sorted(got) == list(range(17))
-    assert all(place[int(a)] < place[int(b)] for a, b in (e.split("-") for e in CHAIN17.split()))
+    assert got == walked(list(range(17)), [tuple(map(int, e.split("-"))) for e in CHAIN17.split()])
+    g = random_dag(spark, seed=4)
+    found = rows(traverse.dfs_order(g), "graph_id", "dfs_id", "node_id")
+    edges = sorted((r.graph_id, r.edge_seq, r.src, r.dst) for r in g.edges.collect())
+    for x in range(3):
+        assert [v for y, _, v in found if y == x] == walked(list(range(30)), [(a, b) for y, _, a, b in edges if y == x])
 
 
 def test_mutations_keep_graphs_sound(spark):

@@ -4,13 +4,14 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dagloom.graph import TaskGraph
-from dagloom.operators import cluster, kernels, lanes, traverse
+from dagloom.operators import cluster, kernels, lanes, schedule, traverse
 from dagloom.plans.ranking import numbered, windowed
 from tests.test_graphs import random_dag, rows
 
@@ -79,6 +80,12 @@ def test_lanes_of_large_graphs(spark):
         assert ends(lanes.lane_chains(laned, large=True)) == ends(lanes.lane_chains(laned))
         assert ends(lanes.cross_edges(g, laned, large=True)) == ends(lanes.cross_edges(g, laned))
         assert ends(lanes.lane_graph(g, laned, "loop").edges) == ends(lanes.lane_graph(g, laned).edges)
+    for more in (False, True):
+        laned = lanes.lanes(g, 3)
+        limited = lanes.lane_constraints(g, laned) if more else lanes.lane_graph(g, laned)
+        assert ends(lanes.limited_edges(g, 3, more)) == ends(limited.edges)
+        a, b = rows(schedule.run_lanes(g, 3, more), "graph_id", "node_id", "wave", "slot"), rows(schedule.schedule_lanes(g, laned, more), "graph_id", "node_id", "wave", "slot")
+        assert a == b and len(a) == 90
     found = [rows(cluster.convex_clusters(g, 4, s), "graph_id", "node_id", "cluster_id") for s in ("grouped", "loop")]
     assert found[0] == found[1]
 
@@ -141,6 +148,29 @@ def test_numbers_within_groups(spark):
     assert numbered(df.limit(0), ["g"], ["i"], "n").count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 5), st.lists(st.tuples(st.integers(0, 1), st.integers(0, 14), st.integers(0, 14)), max_size=50))
+def test_clusters_node_by_node(size, pairs):
+    """Levels at once against a walk in (level, node_id) order."""
+    edges = pd.DataFrame([(g, min(a, b), max(a, b)) for g, a, b in pairs if a != b], columns=["graph_id", "src", "dst"], dtype=np.int64)
+    nodes = pd.DataFrame([(g, v) for g in (0, 1) for v in range(15 - 5 * g)], columns=["graph_id", "node_id"])
+    edges = edges[(edges["graph_id"] == 0) | (edges["dst"] < 10)]
+    got = {(r.graph_id, r.node_id): r.cluster_id for r in kernels.convex_clusters(nodes, edges, size).itertuples()}
+    for g in (0, 1):
+        before = {v: [r.src for r in edges.itertuples() if r.graph_id == g and r.dst == v] for v in range(15 - 5 * g)}
+        level, at, held = {}, {}, []
+        for v in before:  # edges rise
+            level[v] = max([level[p] + 1 for p in before[v]], default=0)
+        for v in sorted(before, key=lambda v: (level[v], v)):
+            want = max([at[p] for p in before[v]], default=len(held))
+            if want == len(held) or held[want] >= size:
+                want = len(held)
+                held.append(0)
+            held[want] += 1
+            at[v] = want
+        assert {v: got[g, v] for v in before} == at
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(1, 60), st.randoms())
 def test_climbing(n, rng):

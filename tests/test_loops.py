@@ -43,8 +43,11 @@ def test_unknown_mode_and_cycles(spark):
     with pytest.raises(ValueError):
         schedule.incremental_runs(random_dag(spark), "none", 1, 1)
     ring = TaskGraph.from_lists(spark, [0, 1, 2], [(0, 1), (1, 2), (2, 1)])
-    with pytest.raises(RuntimeError, match="cycle"):
-        schedule.incremental_runs(ring, "semaphore", 1, 0)
+    for strategy in ("grouped", "loop"):
+        with pytest.raises(Exception, match="cycle"):
+            schedule.incremental_runs(ring, "semaphore", 1, 0, strategy=strategy).collect()
+        found = mutate.incremental_stats(ring, 1, 0, strategy=strategy).collect()
+        assert [(r.nodes, r.edges, r.acyclic) for r in found] == [(3, 3, False)]
 
 
 def test_large_ids(spark):
@@ -78,3 +81,35 @@ def test_frozen_chains_of_an_earlier_run(spark):
 def test_timing(spark):
     rows = schedule.timed(spark, {"levels": lambda: spark.range(5), "none": lambda: spark.range(0)}).collect()
     assert [(r.phase, r.rows, r.us > 0) for r in rows] == [("levels", 5, True), ("none", 0, True)]
+
+
+@pytest.mark.parametrize("mode", ["semaphore", "lanes", "lanes-incremental", None])
+def test_turns_in_one_pass(spark, mode):
+    """The kernel and the loop over DataFrames make the same choices, also where
+    graphs run out of nodes."""
+    g = random_dag(spark, graphs=3, n=9, seed=8)
+    g = TaskGraph(g.nodes.where("graph_id < 2 or node_id < 3"), g.edges.where("graph_id < 2 or dst < 3"))
+    run = (lambda s: schedule.incremental_runs(g, mode, 2, 5, most=3, seed=5, strategy=s)) if mode else (lambda s: mutate.incremental_stats(g, 2, 5, 5, strategy=s))
+    found = [run(s) for s in ("grouped", "loop")]
+    a, b = (sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr) for df in found)
+    assert a == b and len(a) >= 4
+
+
+def test_edges_that_fall_are_looked_through(spark):
+    g = random_dag(spark, graphs=2, n=8)
+    ordered = traverse.topo_order(g)
+    first = ordered.where("graph_id = 0").orderBy("topo_id").collect()
+    back = spark.createDataFrame([(0, first[-1].node_id, first[0].node_id)], "graph_id long, src long, dst long")
+    more = mutate.add_edges(g, back)
+    found = {r.graph_id: r.acyclic for r in mutate.still_acyclic(more, ordered, back).collect()}
+    assert found == {r.graph_id: r.acyclic for r in traverse.is_acyclic(more).collect()}
+    assert all(r.acyclic for r in mutate.still_acyclic(g, ordered, back.limit(0)).collect())
+
+
+def test_a_thousand_turns(spark):
+    """The length that graphs are worked on at in practice."""
+    g = random_dag(spark, graphs=2, n=30)
+    rows = schedule.incremental_runs(g, "lanes", 1000, 3, seed=3).collect()
+    assert len(rows) == 2000 and {r.nodes for r in rows} == {30}
+    assert [r.k for r in sorted(rows, key=lambda r: (r.graph_id, r.iter))[:15]] == [mutate.parallelism_bounce(t) for t in range(15)]
+    assert all(r.widest <= r.k and r.tasks == 30 for r in rows)

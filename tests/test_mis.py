@@ -126,6 +126,19 @@ def test_order_of_many_parts(spark):
         assert mis.is_independent(g, chosen).first()[0] and mis.is_maximal(g, chosen).first()[0]
 
 
+@pytest.mark.parametrize("heavy", [0, 3, 500])
+def test_pairs_are_counted_once(spark, monkeypatch, heavy):
+    """Whatever hyperedges' pairs are made or counted by class."""
+    monkeypatch.setattr(mis, "HEAVY", heavy)
+    rng = random.Random(9)
+    items = {(e, rng.randrange(40)) for e in range(25) for _ in range(rng.randrange(1, 9))} | {(100, v) for v in range(0, 40, 2)} | {(101, v) for v in range(20)}
+    pairs = {(a, b) for e, a in items for f, b in items if e == f and a < b}
+    assert mis.count_edges(hypergraph(spark, items)).first().n_edges == len(pairs)
+    many = spark.range(200_000).select(F.lit(0).alias("e"), F.col("id").alias("v"))
+    if heavy == 500:
+        assert mis.count_edges(Hypergraph(many.select("v"), many)).first().n_edges == 200_000 * 199_999 // 2
+
+
 def test_report(spark, graph):
     rows = {r.algo: r for r in mis.report(graph[0]).collect()}
     assert set(rows) == {"greedy", "priority", "luby"} and all(r.independent and r.maximal for r in rows.values())
