@@ -25,6 +25,9 @@ CHUNK = 100_000
 HEAVY = 500
 #: Incidence rows up to which the remaining rounds run in one task.
 TAIL_ROWS = 200_000
+#: Words of marks up to which they are broadcast (about 64 MB).
+BROADCAST_ROWS = 1_000_000
+ALGORITHMS = ("greedy", "priority", "luby")
 
 
 def random_graph(spark: SparkSession, n: int, chance: float, seed: int = 42) -> UndirectedGraph:
@@ -81,39 +84,52 @@ def count_edges(g: UndirectedGraph | Hypergraph) -> DataFrame:
 
 
 def _incidence(g: UndirectedGraph | Hypergraph) -> Hypergraph:
+    """Members are read several times, so those made here are stored."""
     if isinstance(g, Hypergraph):
         return g
     both = g.edges.where("src < dst").select(F.struct("src", "dst").alias("e"), F.explode(F.array("src", "dst")).alias("v"))
-    return Hypergraph(g.vertices, both)
+    return Hypergraph(g.vertices, cut(both))
 
 
-def _key(algo: str, seed: int, packed: bool) -> Callable[[int], Column]:
-    """What vertices are compared by in a round: the largest comes first.
-    "greedy" and "priority" prefer low ids and low hashes, "luby" draws new
-    hashes each round and prefers high ones; ties go to the id alike."""
+def _key(algo: str, seed: int, packed: bool) -> tuple[Callable[[int], Column], Callable[[Column], Column]]:
+    """What vertices are compared by in a round, the largest comes first, and
+    the vertex of such a key.  "greedy" and "priority" prefer low ids and low
+    hashes, "luby" draws new hashes each round and prefers high ones; ties go to
+    the id alike."""
     v = F.col("v")
     if algo == "greedy":
-        return lambda turn: -v
+        return lambda turn: -v, lambda k: -k
+    last = 2**32 - 1 if packed else 0
     if packed:  # a hash has 31 bits
-        wide = lambda h, v: F.shiftleft(h, 32) + v
+        wide, low = lambda h, x: F.shiftleft(h, 32) + x, lambda k: k.bitwiseAND(F.lit(2**32 - 1))
     else:
-        wide = F.struct
+        wide, low = lambda h, x: F.struct(h.alias("h"), x.alias("x")), lambda k: k["x"]
     if algo == "luby":
-        return lambda turn: wide(priority(v, turn, seed), v)
-    last = 2**32 - 1 if packed else 0
-    return lambda turn: wide(F.lit(2**31 - 1) - priority(v, 0, seed), F.lit(last) - v)
-
-
-def _tail(algo: str, seed: int, turn: int) -> Callable:
+        return lambda turn: wide(priority(v, turn, seed), v), low
+    return lambda turn: wide(F.lit(2**31 - 1) - priority(v, 0, seed), F.lit(last) - v), lambda k: F.lit(last) - low(k)
+
+
+def _marked(df: DataFrame, c: str, marks: DataFrame, k: int, how: str = "inner") -> DataFrame:
+    """df with t, the bits (k at most) that some row of marks (c, t) sets for
+    its c; inner: rows with such a bit only.  Bits of neighbouring whole numbers
+    are one row, so that those of millions of vertices can be broadcast and df
+    stays where it is, in its order; beyond BROADCAST_ROWS it is shuffled."""
+    word, shift = F.col(c), F.lit(0)
+    if dict(marks.dtypes)[c] in ("int", "bigint"):
+        place = F.pmod(F.col(c), F.lit(63 // k))
+        word, shift = F.expr(f"({c} - pmod({c}, {63 // k}L)) div {63 // k}L"), (place * k).cast("int")
+    bits = F.call_function("shiftleft", F.col("t").cast("long"), shift)
+    words = cut(marks.select(word.alias("__word"), bits.alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__bits")))
+    words = F.broadcast(words) if words.count() <= BROADCAST_ROWS else words
+    t = F.coalesce(F.call_function("shiftright", F.col("__bits"), shift).bitwiseAND(F.lit(2**k - 1)), F.lit(0)).cast("int")
+    out = df.withColumn("__word", word).join(words, "__word", how).withColumn("t", t).select(*df.columns, "t")
+    return out.where("t <> 0") if how == "inner" else out
+
+
+def _tail(algos: tuple[str, ...], seed: int, turn: int) -> Callable:
     """The rounds from ``turn`` on over one task's rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        rows = pa.Table.from_batches(held)
-        e = np.array(pa.concat_arrays(rows.column("e").chunks).dictionary_encode().indices)
-        ids, v = np.unique(rows.column("v").to_numpy(), return_inverse=True)
+    def one(e: np.ndarray, ids: np.ndarray, v: np.ndarray, algo: str) -> Iterator[np.ndarray]:
         now = turn
         while len(v):
             if algo == "greedy":
@@ -128,7 +144,7 @@ def _tail(algo: str, seed: int, turn: int) -> Callable:
             np.maximum.at(top, e, rank[v])
             np.maximum.at(seen, v, top[e])
             taken = seen == rank
-            yield pa.record_batch([pa.array(ids[taken])], ["v"])
+            yield ids[taken]
             hit = np.zeros(len(top), bool)
             hit[e[taken[v]]] = True
             gone = np.zeros(len(ids), bool)
@@ -136,44 +152,68 @@ def _tail(algo: str, seed: int, turn: int) -> Callable:
             e, v = e[~gone[v]], v[~gone[v]]
             now += 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        rows = pa.Table.from_batches(held)
+        e = np.array(pa.concat_arrays(rows.column("e").chunks).dictionary_encode().indices)
+        m = rows.column("m").to_numpy()
+        for i, algo in enumerate(algos):
+            live = (m >> i & 1).astype(bool)
+            ids, v = np.unique(rows.column("v").to_numpy()[live], return_inverse=True)
+            for taken in one(e[live], ids, v, algo):
+                yield pa.record_batch([pa.array(taken), pa.array(np.full(len(taken), 1 << i, np.int32))], ["v", "t"])
+
     return run
 
 
-def _rounds(g: Hypergraph, algo: str, seed: int) -> tuple[DataFrame, int]:
-    """(v) of an independent set, and the rounds over DataFrames it took: in
-    each, vertices that come first in all their hyperedges are taken, and all
-    vertices of those hyperedges leave with their rows.  Few rows that are left
-    go through the same rounds in one task."""
+def _rounds(g: Hypergraph, algos: tuple[str, ...], seed: int) -> tuple[DataFrame, int]:
+    """(v, t), bit i of t for the set of algos[i], and the rounds over
+    DataFrames it took: in each, vertices that come first in all their
+    hyperedges are taken, and all vertices of those hyperedges leave with their
+    rows.  All algorithms go through the same rows, with a bit of m for each in
+    which the vertex is still there.  A vertex that stays keeps all its rows, so
+    it comes first in all hyperedges if it does in as many as it has at first:
+    only the first of each hyperedge are sent to be counted.  Few rows that are
+    left go through the same rounds in one task."""
+    k = len(algos)
     ends = g.vertices.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    key = _key(algo, seed, ends["lo"] is not None and ends["lo"] >= 0 and ends["hi"] < 2**32)
-    out = g.vertices.join(g.members, "v", "left_anti").select("v")
-    live, turn = cut(g.members.select("e", "v")), 0
+    packed = ends["lo"] is not None and ends["lo"] >= 0 and ends["hi"] < 2**32
+    keys = [_key(algo, seed, packed) for algo in algos]
+    every = F.lit(2**k - 1).cast("int")
+    members = g.members.select("e", F.col("v").cast("long").alias("v"))
+    degrees = cut(members.groupBy("v").agg(F.count("*").alias("n")))
+    out = g.vertices.select(F.col("v").cast("long").alias("v")).join(degrees, "v", "left_anti").select("v", every.alias("t"))
+    live, turn = members.withColumn("m", every), 0
     while True:
-        rows = live.count()
-        if rows <= TAIL_ROWS:
-            named = live.select(F.col("e").cast("string").alias("e"), F.col("v").cast("long").alias("v"))
-            return out.unionByName(named.coalesce(1).mapInArrow(_tail(algo, seed, turn), "v long")), turn
-        keyed = live.withColumn("k", key(turn))
-        top = keyed.groupBy("e").agg(F.max("k").alias("m"))
-        seen = keyed.join(top, "e").groupBy("v", "k").agg(F.max("m").alias("m"))
-        taken = cut(seen.where("m = k").select("v"))
-        hit = live.join(taken, "v", "left_semi").select("e").distinct()
-        gone = live.join(hit, "e", "left_semi").select("v").distinct()
-        live = cut(live.join(gone, "v", "left_anti").select("e", "v"))
+        if live.count() <= TAIL_ROWS:
+            named = live.select(F.col("e").cast("string").alias("e"), "v", "m")
+            return out.unionByName(named.coalesce(1).mapInArrow(_tail(algos, seed, turn), "v long, t int")), turn
+        there = [F.when(F.col("m").bitwiseAND(F.lit(1 << i)) != 0, key(turn)) for i, (key, _) in enumerate(keys)]
+        tops = live.groupBy("e").agg(*[F.max(c).alias(f"k{i}") for i, c in enumerate(there)])
+        first = [F.struct(vertex(F.col(f"k{i}")).alias("v"), F.lit(1 << i).alias("t")) for i, (_, vertex) in enumerate(keys)]
+        first = tops.select(F.explode(F.array(*first)).alias("x")).select("x.v", "x.t").where("v is not null")
+        first = first.groupBy("v", "t").agg(F.count("*").alias("first"))
+        taken = cut(first.join(degrees, "v").where("first = n").groupBy("v").agg(F.bit_or("t").alias("t")))
+        hit = _marked(live, "v", taken, k).select("e", "t")
+        gone = _marked(live, "e", hit, k).select("v", F.col("t").bitwiseAND(F.col("m")).alias("t"))
+        left = _marked(live, "v", gone, k, "left").withColumn("m", F.col("m").bitwiseAND(F.bitwise_not("t")))
+        live = cut(left.where("m <> 0").select("e", "v", "m"))
         out, turn = out.unionByName(taken), turn + 1
 
 
 def mis(g: UndirectedGraph | Hypergraph, algo: str = "greedy", seed: int = 42) -> DataFrame:
     """(v): "greedy" gives the lexicographically first set, as a scan by id
     does; "priority" scans by a hash of the id; "luby" draws anew each round."""
-    if algo not in ("greedy", "priority", "luby"):
+    if algo not in ALGORITHMS:
         raise ValueError(f"no such algorithm: {algo}")
-    return _rounds(_incidence(g), algo, seed)[0]
+    return _rounds(_incidence(g), (algo,), seed)[0].select("v")
 
 
 def rounds(g: UndirectedGraph | Hypergraph, algo: str = "greedy", seed: int = 42) -> int:
     """Rounds over DataFrames that mis takes before one task does the rest."""
-    return _rounds(_incidence(g), algo, seed)[1]
+    return _rounds(_incidence(g), (algo,), seed)[1]
 
 
 def violations(g: UndirectedGraph | Hypergraph, chosen: DataFrame) -> DataFrame:
@@ -199,14 +239,20 @@ def is_maximal(g: UndirectedGraph | Hypergraph, chosen: DataFrame) -> DataFrame:
 
 
 def report(g: UndirectedGraph | Hypergraph, seed: int = 42) -> DataFrame:
-    """(algo, size, independent, maximal) of the three algorithms."""
-    g = _incidence(g)
-    out = None
-    for algo in ("greedy", "priority", "luby"):
-        chosen = cut(mis(g, algo, seed))
-        one = lambda df, k: df.select(*[F.lit(int(k == j)).alias(f"x{j}") for j in range(3)])
-        every = one(chosen, 0).union(one(violations(g, chosen), 1)).union(one(uncovered(g, chosen), 2))
-        sums = [F.coalesce(F.sum(f"x{j}"), F.lit(0)) for j in range(3)]
-        row = every.agg(sums[0].alias("size"), (sums[1] == 0).alias("independent"), (sums[2] == 0).alias("maximal")).select(F.lit(algo).alias("algo"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(algo, size, independent, maximal) of the three algorithms, found and
+    checked together: what is chosen more than once in a hyperedge, and what is
+    neither chosen nor next to a chosen one."""
+    g, k = _incidence(g), len(ALGORITHMS)
+    of = lambda i: F.col("t").bitwiseAND(F.lit(1 << i)) != 0
+    count = lambda *c: [F.coalesce(F.sum(x.cast("long")), F.lit(0)) for x in c]
+    each = lambda c: [x.alias(f"x{i}") for i, x in enumerate(count(*c))]
+    chosen = cut(_rounds(g, ALGORITHMS, seed)[0])
+    met = _marked(g.members.select("e", F.col("v").cast("long").alias("v")), "v", chosen, k).groupBy("e").agg(*each(of(i) for i in range(k)), F.bit_or("t").alias("t"))
+    met = cut(met)
+    near = _marked(g.members, "e", met.select("e", "t"), k).select(F.col("v").cast("long").alias("v"), "t")
+    seen = _marked(g.vertices.select(F.col("v").cast("long").alias("v")), "v", near.unionByName(chosen), k, "left")
+    sizes, twice, lost = chosen.agg(*each(of(i) for i in range(k))), met.agg(*each(F.col(f"x{i}") > 1 for i in range(k))), seen.agg(*each(~of(i) for i in range(k)))
+    name = lambda df, c: df.toDF(*[f"{c}{i}" for i in range(k)])
+    row = name(sizes, "size").crossJoin(name(twice, "twice")).crossJoin(name(lost, "lost"))
+    found = [F.struct(F.lit(a).alias("algo"), F.col(f"size{i}").alias("size"), (F.col(f"twice{i}") == 0).alias("independent"), (F.col(f"lost{i}") == 0).alias("maximal")) for i, a in enumerate(ALGORITHMS)]
+    return row.select(F.explode(F.array(*found)).alias("x")).select("x.*")

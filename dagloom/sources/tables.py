@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from dagloom.graph import Hypergraph, TaskGraph, UndirectedGraph
 
+#: Rows of lineitem that a partition of part_orders is meant to have.
+PART_ROWS = 250_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -95,6 +98,8 @@ def part_graph(spark: SparkSession, sf_dir: str) -> UndirectedGraph:
 
 
 def part_orders(spark: SparkSession, sf_dir: str) -> Hypergraph:
-    """The same neighbours, with orders as hyperedges of their parts."""
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("e"), F.col("l_partkey").alias("v")).distinct()
+    """The same neighbours, with orders as hyperedges of their parts.  Rows of an
+    order are next to each other, so that a task's sums by order are few."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("e"), F.col("l_partkey").alias("v"))
+    items = items.repartitionByRange(items.count() // PART_ROWS + 1, "e", "v").distinct().sortWithinPartitions("e", "v")
     return Hypergraph(items.select("v").distinct(), items)

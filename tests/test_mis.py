@@ -147,6 +147,41 @@ def test_report(spark, graph):
     assert [r.size for r in rows.values()] == [len(s) for s in lists]
 
 
+def test_report_stores_rows_once(spark, monkeypatch):
+    """The three algorithms share their rounds: what they store is about the
+    incidence rows, not a copy for each of them."""
+    monkeypatch.setattr(mis, "TAIL_ROWS", 300)
+    rng = random.Random(11)
+    items = {(e, rng.randrange(400)) for e in range(1500) for _ in range(4)}
+    g, stored, cut = hypergraph(spark, items), [], mis.cut
+
+    def counted(df):
+        out = cut(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(mis, "cut", counted)
+    rows = mis.report(g, SEED).collect()
+    assert sum(stored) < 2.5 * len(items)
+    monkeypatch.setattr(mis, "TAIL_ROWS", 200_000)
+    assert [r["size"] for r in rows] == [mis.mis(g, r.algo, SEED).count() for r in rows]
+    assert all(r.independent and r.maximal for r in rows)
+
+
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+@pytest.mark.parametrize("ids", [range(-50, 50), range(2**40, 2**40 + 90)])
+def test_marks(spark, monkeypatch, broadcast, ids):
+    monkeypatch.setattr(mis, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(3)
+    marks = [(rng.choice(ids), 1 << rng.randrange(3)) for _ in range(40)]
+    want = {v: 0 for v in ids}
+    for v, t in marks:
+        want[v] |= t
+    df = spark.createDataFrame([(v,) for v in ids], "v long")
+    got = {how: {r.v: r.t for r in mis._marked(df, "v", spark.createDataFrame(marks, "v long, t int"), 3, how).collect()} for how in ("left", "inner")}
+    assert got == {"left": want, "inner": {v: t for v, t in want.items() if t}}
+
+
 def test_hashes_agree(spark):
     ids = [0, 1, 2**31, 10**15, 2**40 + 5]
     df = spark.createDataFrame([(i,) for i in ids], "v long")
