@@ -42,8 +42,10 @@ def changes(log: DataFrame) -> DataFrame:
     """CHANGES of a log.  An added edge whose end was removed before, and not
     added again, is left out."""
     log = log.select(*[c.split()[0] for c in LOG.split(", ")])
-    number = lambda op: ranked(log.where(F.col("op") == op), ["graph_id"], ["iter", "step"], "number", TASK_ROWS)
-    nodes = number("add_node").unionByName(log.where("op = 'remove_node'"), allowMissingColumns=True)
+    # op as a literal, so that who filters by it leaves out the other parts
+    of = lambda op, df: df.withColumn("op", F.lit(op))
+    number = lambda op: of(op, ranked(log.where(F.col("op") == op), ["graph_id"], ["iter", "step"], "number", TASK_ROWS))
+    nodes = number("add_node").unionByName(of("remove_node", log.where("op = 'remove_node'")), allowMissingColumns=True)
     edges = number("add_edge")
     # what was last done to each end before the edge came
     ends = edges.select("graph_id", "iter", "step", F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.lit("src").alias("end")), F.struct(F.col("dst").alias("node_id"), F.lit("dst").alias("end")))).alias("x"))
@@ -54,7 +56,7 @@ def changes(log: DataFrame) -> DataFrame:
     at = lambda c: F.max(F.when(F.col("end") == c, F.coalesce("last", F.lit("")))).alias(f"{c}_last")
     edges = edges.join(found.agg(at("src"), at("dst")), ["graph_id", "iter", "step"]).where("src_last <> 'remove_node' and dst_last <> 'remove_node'")
     edges = edges.withColumns({"src_there": F.col("src_last") == "add_node", "dst_there": F.col("dst_last") == "add_node"}).drop("src_last", "dst_last")
-    rest = nodes.unionByName(log.where("op = 'remove_edge'"), allowMissingColumns=True)
+    rest = nodes.unionByName(of("remove_edge", log.where("op = 'remove_edge'")), allowMissingColumns=True)
     return edges.unionByName(rest, allowMissingColumns=True)
 
 

@@ -9,6 +9,10 @@ from dagloom.graph import Hypergraph, TaskGraph, UndirectedGraph
 
 #: Rows of lineitem that a partition of part_orders is meant to have.
 PART_ROWS = 250_000
+#: Events that a task over hours is meant to have.  Sorts by hour stand on each
+#: other in one stage, at about a kilobyte an event, and partitions of a number
+#: that is given aren't joined to larger ones by their compressed sizes.
+HOUR_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +26,17 @@ def hour_of(df: DataFrame, c: str) -> Column:
     return F.floor(F.unix_seconds(c) / 3600).cast("long")
 
 
+def by_hour(events: DataFrame, *more: Column | str) -> DataFrame:
+    """Events with graph_id, their hour; whole hours to a partition."""
+    rows = events.select(hour_of(events, "ts").alias("graph_id"), *more)
+    return rows.repartition(events.count() // HOUR_ROWS + 1, "graph_id")
+
+
 def event_graph(spark: SparkSession, sf_dir: str) -> TaskGraph:
     """A graph for each hour: an event precedes the same user's next event and
     the next event of its type."""
     events = table(spark, sf_dir, "events")
-    keyed = events.select(hour_of(events, "ts").alias("graph_id"), F.col("event_id").alias("node_id"), "ts", "user_id", "event_type")
+    keyed = by_hour(events, F.col("event_id").alias("node_id"), "ts", "user_id", "event_type")
     after = lambda c: F.lead("node_id").over(Window.partitionBy("graph_id", c).orderBy("ts", "node_id"))
     ahead = keyed.select("graph_id", F.col("node_id").alias("src"), after("user_id").alias("by_user"), after("event_type").alias("by_type"))
     follows = ahead.select("graph_id", "src", F.explode(F.array("by_user", "by_type")).alias("dst"))
@@ -40,8 +50,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     of the event's negative id; an error removes the edge of the event's rank.
     Rows go by tens of minutes and event."""
     events = table(spark, sf_dir, "events")
-    hour = hour_of(events, "ts")
-    rows = events.select(hour.alias("graph_id"), F.floor(F.minute("ts") / 10).cast("long").alias("iter"), F.col("event_id").cast("long").alias("step"), F.col("event_type").alias("type"))
+    rows = by_hour(events, F.floor(F.minute("ts") / 10).cast("long").alias("iter"), F.col("event_id").cast("long").alias("step"), F.col("event_type").alias("type"))
     rows = rows.withColumn("rank", (F.row_number().over(Window.partitionBy("graph_id").orderBy("step")) - 1).cast("long"))
     head = F.min("step").over(Window.partitionBy("graph_id", F.floor(F.col("rank") / 4)))
     rows = rows.withColumn("head", head)

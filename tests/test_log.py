@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from dagloom.graph import TaskGraph
 from dagloom.operators import log as logs
 from dagloom.operators.log import LOG
+from dagloom.sources import tables
 from dagloom.streaming import mutations
 from tests.test_graphs import random_dag
 
@@ -103,3 +105,22 @@ def test_rows_that_come_too_late(spark, tmp_path):
         else:
             with pytest.raises(Exception, match="comes after a later one"):
                 query.awaitTermination(180)
+
+
+def test_hours_are_dealt_by_rows(spark, monkeypatch):
+    """A task's share of the events is bounded by rows, whatever small
+    partitions would be joined to; each hour stays whole."""
+    monkeypatch.setattr(tables, "HOUR_ROWS", 50)
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    log = tables.event_log(spark, "/root/testdata/sf0.001").select("graph_id", F.spark_partition_id().alias("part"))
+    parts = log.distinct().collect()
+    assert len({r.part for r in parts}) > events.count() // 100
+    assert len(parts) == len({r.graph_id for r in parts})
+
+
+def test_nodes_need_no_edges(spark):
+    """Whoever filters changes by op leaves out what other rows would cost."""
+    log = spark.createDataFrame(a_log(), LOG)
+    plan = lambda op: logs.changes(log).where(F.col("op") == op)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan("remove_node") and "Window" not in plan("remove_node")
+    assert "Join" in plan("add_edge")
