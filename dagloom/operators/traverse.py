@@ -28,6 +28,8 @@ BUCKET_ROWS = 200_000
 #: Rounds of a loop at most, and rounds after which edges that were passed go.
 MOST_ROUNDS = 1_000_000
 SHRINK = 4
+#: Share of the nodes that may be left when leaves are peeled off.
+CORE = 0.75
 
 ORDERED = "graph_id long, node_id long, level long, lid long, topo_id long"
 
@@ -95,6 +97,8 @@ def by_strategy(g: TaskGraph, strategy: str, kernel: Callable, schema: str, loop
     total, most = sizes(like or g)
     if most <= TASK_ROWS:
         return grouped(g, kernel, schema, total, listed)
+    if most == total:  # there is only one
+        return loop(g)
     large = stats(like or g).where(F.col("num_nodes") + F.col("num_edges") > TASK_ROWS).select("graph_id")
     part = lambda how: TaskGraph(g.nodes.join(large, "graph_id", how), g.edges.join(large, "graph_id", how))
     return grouped(part("left_anti"), kernel, schema, listed=listed).unionByName(loop(part("left_semi")))
@@ -138,6 +142,31 @@ def _in_one_task(nodes: DataFrame, edges: DataFrame, kernel: Callable, schema: s
 
 
 def _loop_levels(g: TaskGraph) -> DataFrame:
+    """Nodes that nothing hangs on are peeled off, as long as they are many, and
+    get their levels from their predecessors' in the end; what is left once it
+    fits a task is done there, and what does not peel goes by rounds."""
+    ids = lambda df, c, flag: df.select("graph_id", F.col(c).alias("node_id"), *[F.lit(x == flag).alias(x) for x in ("node", "out", "into")])
+    every = ids(g.nodes, "node_id", "node").unionByName(ids(g.edges, "src", "out")).unionByName(ids(g.edges, "dst", "into"))
+    ends = cut(every.groupBy("graph_id", "node_id").agg(*[F.max(c).alias(c) for c in ("node", "out", "into")]))
+    found = ends.agg(F.count("*").alias("n"), F.count_if(F.col("out")).alias("core"), F.count_if(~F.col("node")).alias("strays")).first()
+    if found["strays"]:
+        raise ValueError("an edge names no node")
+    if found["core"] > found["n"] * CORE:
+        return _round_levels(g)
+    core = ends.where("out").select("graph_id", "node_id")
+    edges = g.edges.select("graph_id", "src", "dst").join(core.select("graph_id", F.col("node_id").alias("dst"), F.lit(True).alias("inner")), ["graph_id", "dst"], "left")
+    edges = cut(edges)
+    rest = TaskGraph(core, edges.where("inner").select("graph_id", "src", "dst"))
+    rows = found["core"] + rest.edges.count()
+    known = grouped(rest, kernels.canonical_orders, ORDERED, rows) if rows <= TASK_ROWS else _loop_levels(rest)
+    known = cut(known.select("graph_id", "node_id", "level"))
+    leaves = edges.where("inner is null").join(known.withColumnRenamed("node_id", "src"), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id"))
+    leaves = leaves.agg(F.when(F.count("level") == F.count("*"), F.max("level") + 1).alias("level"))
+    alone = ends.where("not out and not into").select("graph_id", "node_id", F.lit(0).cast("long").alias("level"))
+    return known.unionByName(leaves).unionByName(alone)
+
+
+def _round_levels(g: TaskGraph) -> DataFrame:
     """Rounds of Kahn's algorithm over chains: chains whose predecessors all
     have levels are the next frontier, and only it, its edges and the chains
     that some of them lead to are written.  Edges that were passed leave now and

@@ -62,6 +62,29 @@ def test_both_forms_agree(spark, monkeypatch, task):
     assert a == b == [(0, True), (1, False), (2, False), (3, False)]
 
 
+@pytest.mark.parametrize("core", [0, 0.99])
+def test_peeled_levels(spark, monkeypatch, core):
+    """Leaves are peeled off as long as they are many, or not at all."""
+    g = tangled(spark)
+    want = sorted(map(str, traverse.levels(g, "grouped").collect()))
+    monkeypatch.setattr(traverse, "TASK_ROWS", 8)
+    monkeypatch.setattr(traverse, "CORE", core)
+    assert sorted(map(str, traverse.levels(g, "loop").collect())) == want
+
+
+def test_wide_graphs_need_no_chains(spark, monkeypatch):
+    """A tree of four levels, most of it leaves: two layers are peeled off."""
+    def never(g):
+        raise AssertionError("chains were contracted")
+
+    tree = [(0, v) for v in range(1, 6)] + [(1 + v % 5, v) for v in range(6, 56)] + [(6 + v % 40, v) for v in range(56, 800)]
+    g = TaskGraph.from_lists(spark, list(range(801)), tree)
+    monkeypatch.setattr(traverse, "TASK_ROWS", 30)
+    monkeypatch.setattr(traverse, "_loop_chains", never)
+    got = {r.node_id: r.level for r in traverse.levels(g).collect()}
+    assert got == {0: 0, 800: 0} | {v: 1 if v < 6 else 2 if v < 56 else 3 for v in range(1, 800)}
+
+
 def test_large_and_small_together(spark, monkeypatch):
     """Each graph goes the way of its own size."""
     g = tangled(spark)
