@@ -4,8 +4,8 @@ Texts, lower-cased in A-Z, are split at ``. , ; : ! ?`` and line breaks into
 pieces, and those at blanks and tabs into words.  Everything is per language.
 
 A phrase of m words is as frequent as its parts at most.  So hashes of words,
-then of pairs of frequent words, then of triples of frequent pairs are counted,
-each over all texts, and filters of bounded size hold those that occur
+then of pairs of frequent words, and so on up to five words, are counted, each
+over all texts, and filters of bounded size hold those that occur
 ``least`` times.  A hash or filter that errs lets too much through, never too
 little, and the counts that follow are of the words themselves.
 
@@ -208,7 +208,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     filters: list[KeyFilter] = []
     totals = None
-    for words in range(1, 4):
+    for words in range(1, WORDS + 1):
         counts = rows.mapInArrow(_hash_counts(spark.sparkContext.broadcast(filters)), "lang string, h long, n long")
         counts = stored(counts.groupBy("lang", "h").agg(F.sum("n").alias("n")).where(f"h is null or n >= {least}"), f"{name}-{words}")
         if totals is None:

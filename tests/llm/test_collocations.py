@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -124,3 +125,21 @@ def test_automaton(texts):
         assert len(places) == n and end in places
         got[places] = strings
     assert got == want and len(s.end) == len(got)
+
+
+def test_states_are_of_frequent_strings(spark, monkeypatch):
+    """Triples are frequent here and strings of five words are not: a shard
+    gives no rows for those."""
+    rng, taken, rows = random.Random(4), [], collocations._state_rows
+    text = " ".join(rng.choice("abcde") for _ in range(5000))
+    monkeypatch.setattr(collocations, "_state_rows", lambda filters: taken.append(filters) or rows(filters))
+    docs = spark.createDataFrame([(text, "en")], "text string, lang string")
+    _, counts = collocations.phrase_counts(docs, least=12, name="rare")
+    words = text.split()
+    strings = [" ".join(words[i : i + k]) for k in range(1, 6) for i in range(len(words) - k + 1)]
+    want = {s: strings.count(s) for s in set(strings) if s.count(" ") < 3}
+    got = {r.phrase: r.f for r in counts.collect()}
+    assert {s: n for s, n in got.items() if s.count(" ") < 3} == {s: n for s, n in want.items() if n >= 12}
+    batch = pa.record_batch([pa.array([text]), pa.array(["en"])], ["text", "lang"])
+    states = pa.Table.from_batches(list(rows(taken[0])(iter([batch]))))
+    assert sum(x == 5 for x in states.column("high").to_pylist()) < 50
