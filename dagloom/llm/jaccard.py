@@ -16,6 +16,10 @@ Parts that are empty are no keys for a set with more than D other parts: its
 partners meet it elsewhere.  Only sets with fewer list their empty parts too.
 
 Of lists that hold the same classes one is kept, as they give the same pairs.
+Similar sets differ in no more parts than in shingles, so they share many lists,
+not one; of each set's lists, the rarest first, the last ones go of which it
+shares more than that with any similar set (a prefix filter), and sets that have
+too few lists go whole.
 Lists are scanned without emitting their pairs: in each round every set of a
 list is held against a few pivots of other components and keeps the nearest by
 a bit-parity sketch, whose Hamming distance never exceeds the symmetric
@@ -57,6 +61,8 @@ PIVOTS = 3
 #: Sets of a list on average, weighted by its length, up to which a list's
 #: remaining pairs are looked at without more star rounds.
 SHORT = 256
+#: Lists of a set by which a pair is known to come up elsewhere.
+HEAD = 8
 #: 64-bit words of the parity sketch.
 SKETCH = 8
 
@@ -84,6 +90,13 @@ class Plan:
     def parts(self, upper: int) -> int:
         return math.ceil(1.15 * (self.most_apart(upper) + 1)) + 2
 
+    def common(self, s: int, upper: int, full: int) -> int:
+        """Full parts that a set of size s, which has ``full`` of them, shares
+        with any similar set of a band up to upper, at least: no more parts
+        differ than shingles do."""
+        apart = (s + min(s * self.den // self.num, upper)) * (self.den - self.num) // (self.den + self.num)
+        return max(1, full - apart)
+
     def partners(self, s: int) -> list[int]:
         """Sizes of light pairs that a set of size s can be in."""
         out = [p for p in range(self.least(s), s * self.den // self.num + 1) if max(s, p) <= self.light]
@@ -135,9 +148,10 @@ def shingle_sets(b: pa.RecordBatch, words: int) -> list[np.ndarray]:
     return out
 
 
-def keys_of(plan: Plan, items: np.ndarray) -> np.ndarray:
-    """All keys of one set."""
-    s, out = len(items), []
+def listed(plan: Plan, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All keys of one set, their bands (-1: subsets) and how many keys of the
+    band it has in common with any similar set of it, at least."""
+    s, out, bands = len(items), [], []
     own = mix(items ^ np.uint64(0xA5A5A5A55A5A5A5A))
     if s <= plan.light:
         for p in plan.partners(s):
@@ -145,6 +159,7 @@ def keys_of(plan: Plan, items: np.ndarray) -> np.ndarray:
             left = [own[list(x)].sum(dtype=np.uint64) for x in itertools.combinations(range(s), s - c)]
             sums = own.sum(dtype=np.uint64) - np.array(left, np.uint64)
             out.append(mix(sums ^ mix(np.array([1 << 40 | min(s, p) << 20 | max(s, p)], np.uint64))))
+            bands.append((-1, 1))
     for band in plan.bands(s):
         upper = plan.lows[band + 1] - 1 if band + 1 < len(plan.lows) else plan.lows[band] * plan.den**2 // plan.num**2 + 1
         n = plan.parts(upper)
@@ -155,7 +170,15 @@ def keys_of(plan: Plan, items: np.ndarray) -> np.ndarray:
         keys = mix(sums ^ mix(np.arange(n, dtype=np.uint64) + np.uint64((band + 1) << 32)))
         full = count > 0
         out.append(keys[full] if full.sum() > plan.most_apart(upper) else keys)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        bands.append((band, plan.common(s, upper, int(full.sum()))))
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    each = np.repeat(np.array(bands, np.int32), [len(x) for x in out], axis=0)
+    return np.concatenate(out), each[:, 0], each[:, 1]
+
+
+def keys_of(plan: Plan, items: np.ndarray) -> np.ndarray:
+    return listed(plan, items)[0]
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
@@ -222,18 +245,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, volume: int, plan: Plan, name:
 
 
 def _of_one_membership(lists: DataFrame, name: str) -> DataFrame:
-    """Of lists(key, d, n) that hold the same classes, one each: they give the
-    same pairs, and near copies share most of their keys.  Memberships are told
-    apart by their number and 128 bits of hash."""
+    """Of lists(key, d, n, band, need) of a band that hold the same classes, one
+    each: they give the same pairs, and near copies share most of their keys.
+    Memberships are told apart by their number and 128 bits of hash.  Adds c,
+    the classes of a list, and w, how many lists it stands for."""
     held = [F.bit_xor(F.xxhash64("d", F.lit(j))).alias(f"x{j}") for j in range(2)]
-    members = lists.groupBy("key").agg(F.count("*").alias("c"), *held)
-    kept = members.groupBy("c", "x0", "x1").agg(F.min("key").alias("key")).where("c > 1").select("key")
+    members = lists.groupBy("band", "key").agg(F.count("*").alias("c"), *held)
+    kept = members.groupBy("band", "c", "x0", "x1").agg(F.min("key").alias("key"), F.count("*").alias("w")).where("c > 1").select("key", "c", "w")
     kept = stored(kept, f"{name}-kept")
-    out = stored(lists.join(small_side(kept), "key", "left_semi"), f"{name}-lists")
+    out = stored(lists.join(small_side(kept), "key"), f"{name}-lists")
     drop(kept)
     return out
 
 
+def _rarest(lists: DataFrame, name: str) -> DataFrame:
+    """Of each set's lists those in which it can first meet a similar one.
+
+    Two similar sets share ``need`` lists of their band or more.  In the order of
+    (c, key) the first that they share has as many with it and after it, in
+    either set.  So a set's last lists go, of less than that weight, and all of
+    one that has too few; then lists of a single set.
+
+    Adds head, those of the set's HEAD last lists that come after this one: a
+    pair comes up in one of them, too, where its heads have a list in common."""
+    order = Window.partitionBy("d", "band").orderBy(F.desc("c"), F.desc("key"))
+    first = lists.withColumn("after", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("after >= need")
+    first = first.withColumn("last", F.when(F.row_number().over(order) <= HEAD, F.col("key")))
+    first = first.withColumn("head", F.collect_list("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    first = stored(first.select("key", "d", "n", "head"), f"{name}-first")
+    several = stored(first.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), f"{name}-several")
+    out = stored(first.join(small_side(several), "key", "left_semi"), f"{name}-lists")
+    drop(first, several)
+    return out
+
+
 def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "text", key: str = "doc_id", name: str = "jaccard") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored tables: members (k, t, n, d), a row for each row of docs, d being
     its class; kinds (d, own, n), the classes of sets that are not empty, own
@@ -261,9 +306,9 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
                 sets = shingle_sets(b, words)
-                keys = [keys_of(plan, x) for x in sets]
-                row = np.repeat(np.arange(len(sets)), [len(x) for x in keys])
-                key = np.concatenate(keys)
+                keys = [listed(plan, x) for x in sets]
+                row = np.repeat(np.arange(len(sets)), [len(x[0]) for x in keys])
+                key, band, need = (np.concatenate(x) for x in zip(*keys))
                 some = several.value.may_hold(key)
                 key, row = key[some], pa.array(row[some])
                 yield pa.record_batch(
@@ -271,8 +316,10 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
                         pa.array(key.view(np.int64)),
                         pa.array([_digest(x) for x in sets], pa.binary()).take(row),
                         pa.array([len(x) for x in sets], pa.int64()).take(row),
+                        pa.array(band[some]),
+                        pa.array(need[some]),
                     ],
-                    ["key", "d", "n"],
+                    ["key", "d", "n", "band", "need"],
                 )
 
     def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,10 +334,12 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
     counts = own.mapInArrow(keys_only, "key long").groupBy("key").agg(F.count("*").alias("c"))
     twice = stored(counts.where("c > 1").select("key"), f"{name}-keys")
     several = spark.sparkContext.broadcast(key_filter(twice))
-    lists = own.mapInArrow(with_keys, "key long, d binary, n long").join(small_side(twice), "key", "left_semi")
+    lists = own.mapInArrow(with_keys, "key long, d binary, n long, band int, need int").join(small_side(twice), "key", "left_semi")
     every = stored(lists.distinct(), f"{name}-every")
-    lists = _of_one_membership(every, name)
+    distinct = _of_one_membership(every, name)
     drop(every, twice)
+    lists = _rarest(distinct, name)
+    drop(distinct)
     met = kinds.join(lists.select("d").distinct(), "d", "left_semi").select("own.k", "own.t")
     met = stored(met, f"{name}-met")
 
@@ -381,7 +430,7 @@ def link_classes(docs: DataFrame, words: int, num: int, den: int, text: str = "t
 
     # what unsettled lists have left
     x, y = rest.alias("x"), rest.alias("y")
-    left = x.join(y, able & (F.col("x.d") < F.col("y.d")))
+    left = x.join(y, able & (F.col("x.d") < F.col("y.d")) & ~F.arrays_overlap("x.head", "y.head"))
     left = left.select(F.col("x.d").alias("a"), F.col("y.d").alias("b"), apart.alias("apart"), F.greatest("x.n", "y.n").alias("n")).distinct()
     left = stored(left.join(tried, ["a", "b"], "left_anti"), f"{name}-left")
     drop(rest, *stars)

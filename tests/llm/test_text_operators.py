@@ -235,6 +235,53 @@ def test_jaccard_keys_meet():
                     assert len(np.intersect1d(jaccard.keys_of(plan, a), jaccard.keys_of(plan, b))), (len(a), len(b), inter)
 
 
+def similar_sets(rng, plan, s):
+    """Two sets whose similarity is just about the plan's threshold."""
+    a = np.unique(rng.integers(0, 1 << 62, s).astype(np.uint64))
+    apart = int(rng.integers(0, plan.most_apart(s) + 1))
+    new = int(rng.integers(0, apart + 1))
+    b = np.unique(np.concatenate([a[apart - new :], rng.integers(0, 1 << 62, new).astype(np.uint64)]))
+    inter = len(np.intersect1d(a, b))
+    return (a, b) if plan.den * inter >= plan.num * (len(a) + len(b) - inter) else similar_sets(rng, plan, s)
+
+
+def test_similar_sets_share_as_many_lists_as_needed():
+    """In the band of the larger one."""
+    rng = np.random.default_rng(6)
+    most = 0
+    for num, den in ((90, 100), (80, 100), (50, 100)):
+        plan = jaccard.make_plan(num, den, 3, {}, 6000)
+        for _ in range(200):
+            a, b = similar_sets(rng, plan, int(rng.integers(plan.light + 1, rng.choice([60, 300, 5000]))))
+            band = max(plan.bands(max(len(a), len(b)))[0], 0)
+            keys, needs = [], []
+            for x in (a, b):
+                key, of, need = jaccard.listed(plan, x)
+                keys.append(key[of == band])
+                needs.append(int(need[of == band][0]))
+            assert len(np.intersect1d(*keys)) >= max(needs) >= 1
+            most = max(most, *needs)
+    assert most > 20
+
+
+def test_lists_of_few_common_parts_go(spark):
+    """Sets that share fewer lists than similar ones do meet in none, and others
+    only in the first that they share."""
+    row = lambda key, d, need, c, w: (key, d.encode(), 100, 0, need, c, w)
+    rows = [row(1, x, 5, 2, 4) for x in "ab"] + [row(2, x, 5, 3, 1) for x in "abc"] + [row(3, x, 5, 4, 3) for x in "abce"]
+    lists = spark.createDataFrame(rows, "key long, d binary, n long, band int, need int, c long, w long")
+    assert sorted((r.key, bytes(r.d), r.head) for r in jaccard._rarest(lists, "test").collect()) == [(1, b"a", []), (1, b"b", [])]
+
+
+def test_pairs_come_up_once(spark):
+    """Each list of a set names its last ones, up to its own."""
+    rows = [(key, d, 100, 0, 1, 2, 1) for key in range(30) for d in (b"a", b"b")]
+    lists = spark.createDataFrame(rows, "key long, d binary, n long, band int, need int, c long, w long")
+    heads = {(r.key, bytes(r.d)): r.head for r in jaccard._rarest(lists, "test").collect()}
+    assert len(heads) == 60 and all(x == list(range(29, max(key, 21), -1)) for (key, _), x in heads.items())
+    assert sum(not set(heads[key, b"a"]) & set(heads[key, b"b"]) for key in range(30)) == 1
+
+
 def test_names_and_repeated_rows(spark):
     """Columns with inner names keep their values, rows without words all stay,
     and of rows with one id and text the least as JSON stays."""
