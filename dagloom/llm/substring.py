@@ -44,6 +44,7 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Numbers in broadcast position lists at most; beyond, the join is shuffled.
 BROADCAST_NUMBERS = 16_000_000
 
+WINDOW_ROW = "g long, g2 long, k long, x long, at int"
 #: Makes the second 64 bits of a window's hash.
 OTHER = np.uint64(0x5851F42D4C957F2D)
 
@@ -117,11 +118,18 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _keyed(docs: DataFrame, text: str, key: str, *more: Column) -> DataFrame:
-    """A number for the id (k), the text, a digest (t) and a hash (x) of it."""
+def _keyed(docs: DataFrame, text: str, key: str, several: bool, *more: Column) -> DataFrame:
+    """A number for the id (k), the text, a digest (t) of it, and what tells
+    texts of one id apart (x): a hash, or 0 where ids don't have several."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(*more, id_key(key).alias("k"), whole.alias("text"))
-    return rows.withColumns({"t": digest("text"), "x": F.xxhash64("text")})
+    return rows.withColumns({"t": digest("text"), "x": F.xxhash64("text") if several else F.lit(0).cast("long")})
+
+
+def _several_texts(docs: DataFrame, text: str, key: str) -> bool:
+    """Whether any id has more than one text."""
+    rows = _keyed(docs, text, key, True)
+    return not rows.groupBy("k").agg(F.min("x").alias("a"), F.max("x").alias("z")).where("a <> z").isEmpty()
 
 
 def _numbers_side(lists: DataFrame, column: str) -> DataFrame:
@@ -129,10 +137,21 @@ def _numbers_side(lists: DataFrame, column: str) -> DataFrame:
     return F.broadcast(lists) if total <= BROADCAST_NUMBERS else lists
 
 
-def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = "substring") -> tuple[DataFrame, DataFrame]:
+def _held_windows(several: Broadcast) -> Callable:
+    """The rows of windows that several, a filter, may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(several.value.may_hold(b.column("g").to_numpy().view(np.uint64))))
+
+    return run
+
+
+def find_repeats(docs: DataFrame, several: bool, text: str = "text", key: str = "doc_id", name: str = "substring") -> tuple[DataFrame, DataFrame]:
     """Two stored tables: copies (t, first), of texts that more than one id has,
-    and covered (k, x, starts), the starts of covered windows of other texts."""
-    rows = _keyed(docs, text, key)
+    and covered (k, x, starts), the starts of covered windows of other texts.
+    several: whether ids have several texts."""
+    rows = _keyed(docs, text, key, several)
     copies = stored(
         rows.groupBy("t").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("last > first").select("t", "first"),
         f"{name}-copies",
@@ -140,16 +159,20 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", name:
     own = rows.join(small_side(copies), "t", "left").where("first is null or first = k").select("k", "x", "text")
     counts = own.select("text").mapInArrow(_anchor_counts, "h long, n byte")
     twice = stored(counts.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), f"{name}-anchors")
-    several = docs.sparkSession.sparkContext.broadcast(key_filter(twice, "h"))
-    found = own.mapInArrow(_anchor_rows(several), "h long, k long, x long, at int").join(small_side(twice), "h", "left_semi")
+    known = docs.sparkSession.sparkContext.broadcast(key_filter(twice, "h"))
+    found = own.mapInArrow(_anchor_rows(known), "h long, k long, x long, at int").join(small_side(twice), "h", "left_semi")
     places = stored(found.groupBy("k", "x").agg(F.collect_list("at").alias("places")), f"{name}-places")
     near = own.join(_numbers_side(places, "places"), ["k", "x"])
-    spans = stored(near.mapInArrow(_window_rows, "g long, g2 long, k long, x long, at int"), f"{name}-windows")
+    spans = stored(near.mapInArrow(_window_rows, WINDOW_ROW), f"{name}-windows")
     first = spans.groupBy("g", "g2").agg(F.min(F.struct("k", "x", "at")).alias("f"), F.count("*").alias("c")).where("c > 1")
     # stored, so that the join has exchanges of its own and Spark can split the
     # windows that most documents have
     first = stored(first.select("g", "g2", F.col("f.k").alias("fk"), F.col("f.x").alias("fx"), F.col("f.at").alias("fat")), f"{name}-first")
-    later = spans.join(small_side(first), ["g", "g2"]).where("fk <> k or fx <> x or fat <> at")
+    side, held = small_side(first), spans
+    if side is first:  # windows of their own needn't be shuffled
+        repeated = docs.sparkSession.sparkContext.broadcast(key_filter(first, "g"))
+        held = spans.mapInArrow(_held_windows(repeated), WINDOW_ROW)
+    later = held.join(side, ["g", "g2"]).where("fk <> k or fx <> x or fat <> at")
     covered = stored(later.groupBy("k", "x").agg(F.sort_array(F.collect_set("at")).alias("starts")), f"{name}-covered")
     drop(twice, places, spans, first)
     return copies, covered
@@ -166,9 +189,9 @@ def _kept(words: list[bytes], starts: np.ndarray | None, copy: bool) -> list[byt
     return [words[i] for i in np.flatnonzero(np.cumsum(mark)[:-1] == 0).tolist()]
 
 
-def _with_repeats(docs: DataFrame, copies: DataFrame, covered: DataFrame, text: str, key: str) -> DataFrame:
+def _with_repeats(docs: DataFrame, copies: DataFrame, covered: DataFrame, several: bool, text: str, key: str) -> DataFrame:
     """docs' rows with a list of covered starts and whether they are copies."""
-    rows = _keyed(docs, text, key, F.struct("*").alias("row"))
+    rows = _keyed(docs, text, key, several, F.struct("*").alias("row"))
     rows = rows.join(small_side(copies), "t", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("k"), F.lit(False)))
     return rows.join(_numbers_side(covered, "starts"), ["k", "x"], "left")
 
@@ -189,8 +212,9 @@ def repeat_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             kinds = (pa.int64(), pa.int64(), pa.string())
             yield pa.record_batch([b.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds))], names)
 
-    copies, covered = find_repeats(docs, text, key)
-    rows = _with_repeats(docs, copies, covered, text, key)
+    several = _several_texts(docs, text, key)
+    copies, covered = find_repeats(docs, several, text, key)
+    rows = _with_repeats(docs, copies, covered, several, text, key)
     return rows.select(F.col(f"row.{key}").cast("long").alias("doc_id"), "text", "copy", "starts").mapInArrow(
         run, "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )
@@ -212,8 +236,9 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 out.append(whole)
             yield pa.record_batch([b.column(0), pa.array(out, pa.string())], ["row", "text"])
 
-    copies, covered = find_repeats(docs, text, key)
-    rows = _with_repeats(docs, copies, covered, text, key).select("row", "text", "copy", "starts")
+    several = _several_texts(docs, text, key)
+    copies, covered = find_repeats(docs, several, text, key)
+    rows = _with_repeats(docs, copies, covered, several, text, key).select("row", "text", "copy", "starts")
     done = rows.mapInArrow(run, f"row {docs.schema.simpleString()}, text string")
     return done.select(*[F.when(F.col("row")[c].isNull(), F.lit(None)).otherwise(F.col("text")).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 

@@ -775,6 +775,24 @@ def test_windows_of_one_id_at_one_place(spark):
     assert sorted((r.n_words, r.n_removed) for r in got.collect() if r.doc_id is None) in ([(27, 25), (28, 0)], [(27, 0), (28, 25)])
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_windows_carry_no_hash_of_texts_unless_ids_repeat(spark, monkeypatch, shuffled):
+    """And where they don't fit a broadcast only those that repeat are shuffled,
+    with the same result."""
+    words = lambda a, z: [f"w{i}" for i in range(a, z)]
+    texts = [words(0, 60), words(100, 130) + words(20, 55) + words(200, 230), words(300, 310) + words(10, 45) + words(400, 420)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    if shuffled:
+        monkeypatch.setattr(substring, "small_side", lambda df: df)
+    for ids, several in (([0, 1, 2], False), ([0, 1, 1], True)):
+        docs = spark.createDataFrame([(i, x) for i, (_, x) in zip(ids, rows)], "doc_id long, text string")
+        assert substring._several_texts(docs, "text", "doc_id") == several
+        _, covered = substring.find_repeats(docs, several)
+        assert sorted((len(r.starts), r.x != 0) for r in covered.collect()) == [(16, several)] * 2
+        removed = sorted(r.n_removed for r in substring.repeat_digests(docs).collect())
+        assert removed == [0, 35, 35]
+
+
 def test_without_repeats(spark):
     docs = awkward(spark, extra=True)
     out = substring.without_repeats(docs)
