@@ -17,8 +17,8 @@ read backwards, so states and endpos counts come from sorting all places by
 their last words: a string of d words is a run of equal d-word contexts, and
 strings with the same run are one state.  Depth is bounded by ``WORDS``.  A
 shard gives a row for each state, with its longest string, the length of its
-shortest and the count.  Equal states are summed over shards, and then, down the
-links, the counts of all their strings.
+shortest and the count.  Equal states are summed over a task's shards before rows
+leave it, then over all, and then, down the links, the counts of all their strings.
 
 A phrase is subsumed where one that holds it is as frequent.  Then one with one
 word more is, too: one whose suffix link leads to the phrase, or the same at its
@@ -51,6 +51,9 @@ LEAST = 100
 TOP = 2000
 #: Bytes of text of a shard: its automaton takes some forty times as much.
 SHARD_BYTES = 3 << 20
+#: Bytes of states that a task holds to sum equal ones of its shards.
+HELD = 48 << 20
+STATE = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("low", pa.int32()), ("high", pa.int32()), ("n", pa.int64())])
 #: Parts in which a language's phrases are ranked before they meet.
 SALTS = 64
 
@@ -163,8 +166,15 @@ def automaton(ids: np.ndarray, depth: np.ndarray, words: int = WORDS) -> States:
     return States(at[order[begin[head]]], length[tail], length[head], size[head])
 
 
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """Equal states once, their counts summed."""
+    whole = pa.concat_tables(tables)
+    return whole.group_by(["lang", "phrase", "low", "high"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "low", "high", "n"])
+
+
 def _state_rows(filters: Broadcast) -> Callable:
-    """(lang, phrase, low, high, n): a row for each state of a shard."""
+    """(lang, phrase, low, high, n): a row for each state of a task's shards; of
+    a task with more than HELD bytes of them now and then one again."""
 
     def shard(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         t = tokens(b)
@@ -193,9 +203,16 @@ def _state_rows(filters: Broadcast) -> Callable:
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
             for b in slices(batch, "text", SHARD_BYTES):
-                yield from shard(b)
+                held.append(pa.Table.from_batches([*shard(b)], STATE))
+                if len(held) > 1 and sum(x.nbytes for x in held[1:]) >= max(held[0].nbytes, HELD // 4):
+                    held = [_summed(held)]
+                    if held[0].nbytes > HELD:
+                        yield from held.pop().to_batches(max_chunksize=100_000)
+        if held:
+            yield from _summed(held).to_batches(max_chunksize=100_000)
 
     return run
 

@@ -74,6 +74,25 @@ def test_phrases(spark, monkeypatch, shard):
     assert found(collocations.collocations(df, least=2, top=7)) == plain(rows, 2, 7)
 
 
+@pytest.mark.parametrize("held", [48 << 20, 2000])
+def test_a_task_gives_each_state_once(spark, monkeypatch, held):
+    """However many shards it has, up to what it may hold; sums stay the same."""
+    monkeypatch.setattr(collocations, "SHARD_BYTES", 300)
+    monkeypatch.setattr(collocations, "HELD", held)
+    rows = rows_with_phrases()
+    keys = [collocations.KeyFilter(np.full(4096, 255, np.uint8), 15)]
+    filters = type("Held", (), {"value": keys * collocations.WORDS})
+    batch = pa.record_batch([pa.array([x or "und" for _, x in rows]), pa.array([x for x, _ in rows])], ["lang", "text"])
+    sums, n = collections.Counter(), 0
+    for b in collocations._state_rows(filters)(iter([batch, batch])):
+        for r in b.to_pylist():
+            sums[r["lang"], r["phrase"], r["low"], r["high"]] += r["n"]
+            n += 1
+    assert (n == len(sums)) == (held > 2000) and n > 100
+    words = sum(len(re.findall(rb"[^\x20\x09]+", p)) for t, _ in rows for p in re.split(rb"[.,;:!?\x0A-\x0D]", t.encode()))
+    assert sum(n for (_, _, low, _), n in sums.items() if low == 1) == 2 * words
+
+
 def test_awkward_rows(spark):
     want = plain([(t, lang) for _, t, lang, *_ in awkward_rows()], 3)
     assert found(collocations.collocations(awkward(spark, extra=True), least=3)) == want and want
